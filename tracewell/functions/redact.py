@@ -6,20 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tracewell.functions.ids import _col
-from tracewell.functions.json_walk import MASK
-
-# The name of a secret, its assignment, and the forms that are masked.
-_KEY = r"(?:[A-Za-z_][\w-]*[_-])?(?:api[_-]?key|secret|token|password)"
-_ASSIGN = r"(?<![\w-])(?:[\"']?" + _KEY + r"[\"']?)[ \t]*[:=][ \t]*"
-_QUOTED = r"(?i)(" + _ASSIGN + r")([\"'])((?:\\[^\r\n]|(?!\2)[^\r\n\\])+)\2"
-_TRIPLE = r"(?is)" + _ASSIGN + r"(\"{3}|'{3}).*?\1"
-_BARE = r"(?i)(" + _ASSIGN + r")(\[REDACTED\]|[^\s,\"'\)\]\}]+)"
-_API_KEY = r"\bsk-[A-Za-z0-9_-]{12,}\b"
-_KEY_BLOCK = r"(?s)-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----.*?(?:-----END (?:RSA |EC |OPENSSH )?PRIVATE KEY-----|\z)"
-_CONFIG_NAME = r"(?i)(^|/)(\.env[^/]*|[^/]*\.(env|ini|cfg|properties|yaml|yml|toml))$"
-_URL = r"(?i)https?://[^\s\"'<>]+"
-_BEARER = r"(?i)\b(?:Bearer|Basic)\s+[^\s\"',;]+"
-
+from tracewell.functions import secret_patterns as secrets
+from tracewell.functions.secret_patterns import MASK
 
 def _mask_lines(text: Column) -> Column:
     """Every non-empty line becomes the mask; a leading line number stays."""
@@ -50,25 +38,25 @@ def _mask_triple(span: Column) -> Column:
 
 def redact_literals(text: Column | str) -> Column:
     """Mask key blocks, quoted secrets and ``sk-`` keys; names, quotes and line ends stay."""
-    text = _mask_spans(_col(text), _KEY_BLOCK, _mask_lines)
-    text = _mask_spans(text, _TRIPLE, _mask_triple)
-    text = F.regexp_replace(text, _QUOTED, "$1$2[REDACTED]$2")
-    return F.regexp_replace(text, _API_KEY, MASK)
+    text = _mask_spans(_col(text), secrets.KEY_BLOCK, _mask_lines)
+    text = _mask_spans(text, secrets.TRIPLE, _mask_triple)
+    text = F.regexp_replace(text, secrets.QUOTED, "$1$2[REDACTED]$2")
+    return F.regexp_replace(text, secrets.API_KEY, MASK)
 
 
 def redact_bare(text: Column | str) -> Column:
-    return F.regexp_replace(_col(text), _BARE, "$1[REDACTED]")
+    return F.regexp_replace(_col(text), secrets.BARE, "$1[REDACTED]")
 
 
 def redact_source(text: Column | str, path: Column | str) -> Column:
     """Literals everywhere; bare values only where the path names a configuration file."""
     literal = redact_literals(text)
-    config = F.replace(_col(path), F.lit("\\"), F.lit("/")).rlike(_CONFIG_NAME)
+    config = F.replace(_col(path), F.lit("\\"), F.lit("/")).rlike(secrets.CONFIG_NAME)
     return F.when(config, redact_bare(literal)).otherwise(literal)
 
 
 def safe_log_text(text: Column | str, maximum: int = 2048) -> Column:
     """Secrets, bearer tokens and URLs masked, then cut with a marker."""
-    masked = F.regexp_replace(redact_bare(redact_literals(text)), _BEARER, "Bearer [REDACTED]")
-    masked = F.regexp_replace(masked, _URL, "[URL_REDACTED]")
+    masked = F.regexp_replace(redact_bare(redact_literals(text)), secrets.BEARER, "Bearer [REDACTED]")
+    masked = F.regexp_replace(masked, secrets.URL, "[URL_REDACTED]")
     return F.concat(F.substring(masked, 1, maximum), F.when(F.length(masked) > maximum, "…[truncated]").otherwise(""))
