@@ -47,25 +47,41 @@ def with_totals(df: DataFrame, keys: Sequence[str], **aggs: Column) -> DataFrame
 
 
 def prefix_sums(
-    df: DataFrame, keys: Sequence[str], block: Column, order: Order, values: dict[str, Column]
+    df: DataFrame, keys: Sequence[str], blocks: Column | Sequence[Column], order: Order, values: dict[str, Column]
 ) -> DataFrame:
     """Inclusive running sums per key in ``order``, without one task per key.
 
-    ``block`` must not decrease along ``order``; rows of one (key, block) fit a task. Sums run
-    inside blocks; the offsets of earlier blocks come from one row per block.
+    ``blocks`` go from coarse to fine and must not decrease along ``order``; rows of one innermost
+    block fit a task. Sums run inside the innermost block; each level adds the totals of the earlier
+    blocks of its parent, taken from one pre-aggregated row per block. With no keys this is a global
+    running sum whose only ordered step over everything sees the coarse block totals.
     """
-    keys = list(keys)
-    work = df.withColumn("_block", block)
+    blocks = [blocks] if isinstance(blocks, Column) else list(blocks)
+    names = [f"_b{i}" for i in range(len(blocks))]
+    work = df
+    for name, block in zip(names, blocks):
+        work = work.withColumn(name, block)
     for name, value in values.items():
         work = work.withColumn(f"_v_{name}", value)
-    sums = work.groupBy(*keys, "_block").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in values])
-    before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(*keys, "_block", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in values])
-    inner = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = work.join(offsets, [*keys, "_block"])
+    finest = work.groupBy(*keys, *names).agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in values])
+    offsets = finest
+    for n in values:
+        offsets = offsets.withColumn(f"_o_{n}", F.lit(0))
+    for depth, name in enumerate(names):
+        parents = [*keys, *names[:depth]]
+        totals = finest.groupBy(*parents, name).agg(*[F.sum(f"_t_{n}").alias(f"_t_{n}") for n in values])
+        before = Window.partitionBy(*(parents or [F.lit(0)])).orderBy(name).rowsBetween(Window.unboundedPreceding, -1)
+        part = totals.select(*parents, name, *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_p_{n}") for n in values])
+        offsets = offsets.join(part, [*parents, name])
+        for n in values:
+            offsets = offsets.withColumn(f"_o_{n}", F.col(f"_o_{n}") + F.col(f"_p_{n}"))
+        offsets = offsets.drop(*[f"_p_{n}" for n in values])
+    offsets = offsets.drop(*[f"_t_{n}" for n in values])
+    inner = Window.partitionBy(*keys, *names).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = work.join(offsets, [*keys, *names])
     for n in values:
         out = out.withColumn(n, F.col(f"_o_{n}") + F.coalesce(F.sum(f"_v_{n}").over(inner), F.lit(0)))
-    return out.drop("_block", *[f"_v_{n}" for n in values], *[f"_o_{n}" for n in values])
+    return out.drop(*names, *[f"_v_{n}" for n in values], *[f"_o_{n}" for n in values])
 
 
 def with_neighbour(

@@ -36,23 +36,26 @@ SELECT concat('e4/', CAST(l_orderkey AS VARCHAR(20)), '/', CAST(l_linenumber AS
 SELECT a.fn, a.node, b.node, 'false' FROM cfg_nodes a JOIN cfg_nodes b ON a.fn = b.fn AND b.rn = a.rn + 2 WHERE a.kind = 'signup' UNION ALL
 SELECT a.fn, a.node, b.node, 'back' FROM cfg_nodes a JOIN cfg_nodes b ON a.fn = b.fn AND b.rn = a.rn - 3 WHERE a.kind = 'error'""",
     "run_events": """SELECT user_id AS run_id, event_id AS sequence, CASE event_type WHEN 'signup' THEN 'run.started' WHEN 'view' THEN 'model.started' WHEN 'click' THEN 'model.completed' WHEN 'purchase' THEN 'tool.requested' ELSE 'run.failed' END AS event_type, ts AS created_at, value, props AS payload, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events""",
-    "facts": """SELECT concat('src/', CAST(c_custkey AS VARCHAR(20))) AS fact_id, 'source' AS fact_kind, c_nationkey AS symbol, c_mktsegment AS category, 'medium' AS severity FROM customer WHERE c_acctbal > 9500 UNION ALL
-SELECT concat('snk/', CAST(s_suppkey AS VARCHAR(20))), 'sink', s_nationkey, 'supplier', CASE WHEN s_acctbal > 5000 THEN 'high' ELSE 'low' END FROM supplier UNION ALL
-SELECT concat('grd/', CAST(c_custkey AS VARCHAR(20))), 'guard', c_nationkey, c_mktsegment, 'informational' FROM customer WHERE c_acctbal < 0""",
+    "facts": """SELECT concat('src/', c_custkey) AS fact_id, 'source' AS fact_kind, concat('customer/', c_custkey) AS symbol, c_mktsegment AS category, 'medium' AS severity, concat('mod/', c_nationkey, '.py') AS path, CAST(c_custkey % 60 + 1 AS INT) AS line, 'r1' AS rule_id FROM customer WHERE c_acctbal > 9000 UNION ALL
+SELECT concat('snk/', s_suppkey), 'sink', concat('supplier/', s_suppkey), 'supplier', CASE WHEN s_acctbal > 5000 THEN 'high' ELSE 'low' END, concat('mod/', s_nationkey, '.py'), CAST(s_suppkey % 40 + 1 AS INT), concat('r', s_suppkey % 3) FROM supplier UNION ALL
+SELECT concat('grd/', o_orderkey), CASE WHEN o_orderpriority = '1-URGENT' THEN 'guard' ELSE 'sanitizer' END, concat('order/', o_orderkey), o_orderstatus, 'informational', concat('ord/', o_orderkey % 97, '.py'), CAST(o_orderkey % 80 + 1 AS INT), 'r9' FROM orders WHERE o_orderpriority = '1-URGENT' OR (o_orderpriority = '5-LOW' AND o_orderstatus = 'F')""",
     "g_paths": """SELECT source AS s, target AS t, [source, target] AS nodes, certainty AS worst, 1 AS hops FROM g_calls
   UNION ALL
   SELECT p.s, g.target, list_append(p.nodes, g.target), CASE WHEN p.worst = 'may' OR g.certainty = 'may' THEN 'may' ELSE 'must' END, p.hops + 1
   FROM g_paths p JOIN g_calls g ON g.source = p.t WHERE p.hops < 3 AND NOT list_contains(p.nodes, g.target)""",
-    "candidates": """SELECT a.fact_id AS src, b.fact_id AS snk, p.s, p.t, array_to_string(p.nodes, '>') AS route, p.nodes, p.worst, p.hops, a.category AS src_category, b.severity AS severity,
-  concat('candidate:', substr(sha256(concat_ws(chr(31), a.fact_id, b.fact_id, array_to_string(p.nodes, '>'))), 1, 24)) AS candidate_id
-  FROM g_paths p JOIN facts a ON a.fact_kind = 'source' AND a.symbol = p.s JOIN facts b ON b.fact_kind = 'sink' AND b.symbol = p.t""",
+    "candidates": """SELECT DISTINCT concat('candidate:', substr(sha256(concat_ws(chr(31), src, snk, concat(e1, ',', e2), 'structural')), 1, 24)) AS candidate_id, concat('pathgroup:', substr(sha256(concat(src, '|', snk)), 1, 24)) AS path_group_id, * FROM (
+ SELECT concat('src/', c_custkey) AS src, concat('snk/', s_suppkey) AS snk, concat('customer/', c_custkey) AS s, concat('order/', o_orderkey) AS mid, concat('supplier/', s_suppkey) AS t, concat('e3/', o_orderkey) AS e1, concat('e4/', l_orderkey, '/', l_linenumber, '/', l_partkey, '/', l_suppkey) AS e2,
+ CASE WHEN l_returnflag = 'R' THEN 'virtual' ELSE 'direct' END AS dispatch, CASE WHEN l_tax >= 0.08 THEN 'unresolved' WHEN l_discount >= 0.05 THEN 'may' ELSE 'must' END AS certainty, CASE WHEN s_acctbal > 5000 THEN 'high' ELSE 'low' END AS severity, c_mktsegment AS category,
+ concat('mod/', s_nationkey, '.py') AS path, CAST(s_suppkey % 40 + 1 AS INT) AS line, l_linenumber AS col, CASE WHEN l_returnflag = 'A' THEN 'propagation_path' ELSE 'structural_lead' END AS kind, CASE WHEN l_linestatus = 'O' THEN 'unknown' WHEN l_linenumber = 1 THEN 'satisfiable_under_model' ELSE 'not_checked' END AS condition_status,
+ l_linenumber = 7 AS truncated FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey WHERE c_acctbal > 9000) x""",
+    "flows": """SELECT candidate_id, s, mid, t, path, truncated, list_transform(range(1, col * 2 + 2), lambda i: {'ord': i, 'kind': CASE WHEN i = 1 THEN 'source' WHEN i = col * 2 + 1 THEN 'sink' WHEN i % 3 = 2 THEN 'call' WHEN i % 3 = 0 THEN 'return' ELSE 'assign' END, 'symbol': CASE WHEN i <= col THEN s WHEN i <= col + 2 THEN mid ELSE t END, 'path': CASE WHEN i = 4 THEN concat('out/', col, '.py') ELSE path END, 'line': i}) AS steps FROM candidates""",
 }
 
 VIEW_NEEDS = {
     "v_lines": ["v_files"],
     "cfg_edges": ["cfg_nodes"],
     "g_paths": ["g_calls"],
-    "candidates": ["g_paths", "facts"],
+    "flows": ["candidates"],
 }
 
 
@@ -199,17 +202,23 @@ class Tables:
 
     @cached_property
     def facts(self) -> DataFrame:
-        def fact(df, prefix, kind, key, symbol, category, severity):
+        """Sources, sinks and checks, each at a node of the property graph."""
+        def fact(df, prefix, kind, key, node, category, severity, path, line, rule):
+            text = F.col(key).cast("string")
             return df.select(
-                F.concat(F.lit(prefix + "/"), F.col(key).cast("string")).alias("fact_id"), F.lit(kind).alias("fact_kind"),
-                F.col(symbol).alias("symbol"), category.alias("category"), severity.alias("severity"),
+                F.concat(F.lit(prefix + "/"), text).alias("fact_id"), kind.alias("fact_kind"), F.concat(F.lit(node + "/"), text).alias("symbol"),
+                category.alias("category"), severity.alias("severity"), path.alias("path"), (F.col(key) % line + 1).cast("int").alias("line"), rule.alias("rule_id"),
             )
 
+        file = lambda folder, col: F.concat(F.lit(folder + "/"), col.cast("string"), F.lit(".py"))
+        checks = self.orders.filter("o_orderpriority = '1-URGENT' or (o_orderpriority = '5-LOW' and o_orderstatus = 'F')")
         return (
-            fact(self.customer.filter("c_acctbal > 9500"), "src", "source", "c_custkey", "c_nationkey", F.col("c_mktsegment"), F.lit("medium"))
-            .unionByName(fact(self.supplier, "snk", "sink", "s_suppkey", "s_nationkey", F.lit("supplier"),
-                              F.when(F.col("s_acctbal") > 5000, "high").otherwise("low")))
-            .unionByName(fact(self.customer.filter("c_acctbal < 0"), "grd", "guard", "c_custkey", "c_nationkey", F.col("c_mktsegment"), F.lit("informational")))
+            fact(self.customer.filter("c_acctbal > 9000"), "src", F.lit("source"), "c_custkey", "customer", F.col("c_mktsegment"), F.lit("medium"),
+                 file("mod", F.col("c_nationkey")), 60, F.lit("r1"))
+            .unionByName(fact(self.supplier, "snk", F.lit("sink"), "s_suppkey", "supplier", F.lit("supplier"), F.when(F.col("s_acctbal") > 5000, "high").otherwise("low"),
+                              file("mod", F.col("s_nationkey")), 40, F.concat(F.lit("r"), (F.col("s_suppkey") % 3).cast("string"))))
+            .unionByName(fact(checks, "grd", F.when(F.col("o_orderpriority") == "1-URGENT", "guard").otherwise("sanitizer"), "o_orderkey", "order",
+                              F.col("o_orderstatus"), F.lit("informational"), file("ord", F.col("o_orderkey") % 97), 80, F.lit("r9")))
         )
 
     @cached_property
@@ -234,13 +243,39 @@ class Tables:
 
     @cached_property
     def candidates(self) -> DataFrame:
+        """Routes source customer -> order -> supplier: one per order line, so their number grows with the data."""
         from tracewell.functions.ids import digest_id
 
-        facts = self.facts
-        sources = facts.filter("fact_kind = 'source'").select(F.col("symbol").alias("s"), F.col("fact_id").alias("src"), F.col("category").alias("src_category"))
-        sinks = facts.filter("fact_kind = 'sink'").select(F.col("symbol").alias("t"), F.col("fact_id").alias("snk"), "severity")
-        return (
-            self.g_paths.join(sources, "s").join(sinks, "t")
-            .withColumn("route", F.array_join(F.col("nodes").cast("array<string>"), ">"))
-            .withColumn("candidate_id", digest_id("candidate:", "src", "snk", "route"))
+        ref = lambda prefix, *cols: F.concat_ws("/", F.lit(prefix), *[F.col(c).cast("string") for c in cols])
+        rows = (
+            self.lineitem.join(self.orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+            .join(self.customer.filter("c_acctbal > 9000").select("c_custkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))
+            .join(self.supplier.select("s_suppkey", "s_nationkey", "s_acctbal"), F.col("l_suppkey") == F.col("s_suppkey"))
+            .select(
+                ref("src", "c_custkey").alias("src"), ref("snk", "s_suppkey").alias("snk"), ref("customer", "c_custkey").alias("s"), ref("order", "o_orderkey").alias("mid"),
+                ref("supplier", "s_suppkey").alias("t"), ref("e3", "o_orderkey").alias("e1"), ref("e4", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("e2"),
+                F.when(F.col("l_returnflag") == "R", "virtual").otherwise("direct").alias("dispatch"),
+                F.when(F.col("l_tax") >= 0.08, "unresolved").when(F.col("l_discount") >= 0.05, "may").otherwise("must").alias("certainty"),
+                F.when(F.col("s_acctbal") > 5000, "high").otherwise("low").alias("severity"), F.col("c_mktsegment").alias("category"),
+                F.concat(F.lit("mod/"), F.col("s_nationkey").cast("string"), F.lit(".py")).alias("path"), (F.col("s_suppkey") % 40 + 1).cast("int").alias("line"),
+                F.col("l_linenumber").alias("col"), F.when(F.col("l_returnflag") == "A", "propagation_path").otherwise("structural_lead").alias("kind"),
+                F.when(F.col("l_linestatus") == "O", "unknown").when(F.col("l_linenumber") == 1, "satisfiable_under_model").otherwise("not_checked").alias("condition_status"),
+                (F.col("l_linenumber") == 7).alias("truncated"),
+            )
         )
+        group = F.concat(F.lit("pathgroup:"), F.substring(F.sha2(F.concat_ws("|", "src", "snk"), 256), 1, 24))
+        ident = digest_id("candidate:", "src", "snk", F.concat_ws(",", "e1", "e2"), F.lit("structural"))
+        return rows.select(ident.alias("candidate_id"), group.alias("path_group_id"), "*").distinct()
+
+    @cached_property
+    def flows(self) -> DataFrame:
+        """Ordered steps of each route, made row by row."""
+        last = F.col("col") * 2 + 1
+
+        def step(n):
+            kind = F.when(n == 1, "source").when(n == last, "sink").when(n % 3 == 2, "call").when(n % 3 == 0, "return").otherwise("assign")
+            symbol = F.when(n <= F.col("col"), F.col("s")).when(n <= F.col("col") + 2, F.col("mid")).otherwise(F.col("t"))
+            path = F.when(n == 4, F.concat(F.lit("out/"), F.col("col").cast("string"), F.lit(".py"))).otherwise(F.col("path"))
+            return F.struct(n.alias("ord"), kind.alias("kind"), symbol.alias("symbol"), path.alias("path"), n.alias("line"))
+
+        return self.candidates.select("candidate_id", "s", "mid", "t", "path", "truncated", F.transform(F.sequence(F.lit(1), last), step).alias("steps"))
