@@ -181,9 +181,7 @@ def explode_lines(files: DataFrame, *keep: str) -> DataFrame:
 
     Lines end at LF, CRLF or CR; a final line end does not start another line.
     """
-    binary = F.instr(F.hex(F.substring("content", 1, 4096)), "00") > 0
-    probe = F.regexp_replace(F.hex(F.substring("content", 1, 4096)), "(..)", "$1 ")
-    binary = F.contains(probe, F.lit("00 "))
+    binary = F.contains(F.substring("content", 1, 4096), F.lit(bytearray(b"\0")))
     text = F.regexp_replace(F.try_validate_utf8(F.col("content").cast("string")), r"(\r\n|\n|\r)\z", "")
     readable = files.filter(~binary).withColumn("_text", text).filter("_text is not null and octet_length(content) > 0")
     return readable.select("path", *keep, F.posexplode(F.split("_text", r"\r\n|\n|\r")).alias("_pos", "text")).select(
@@ -358,7 +356,7 @@ def snapshot_manifest(files: DataFrame) -> DataFrame:
     )
 
 
-def snapshot_digest(manifest: DataFrame, buckets: int = 4096, rounds: int = 2) -> DataFrame:
+def snapshot_digest(manifest: DataFrame) -> DataFrame:
     """One digest over a whole manifest as a hash tree.
 
     Leaves are grouped by hash prefix, so a bucket stays small for any number of files; equal
@@ -446,3 +444,76 @@ def snippets_around(
         F.when(F.col("truncated"), F.col("req_start")).alias("requested_start_line"), F.when(F.col("truncated"), F.col("req_end")).alias("requested_end_line"),
     )
     return out.withColumn("snippet_id", digest_id("snippet:", "path", F.lit(role), "start_line", "stop_line", "text"))
+
+
+def rank_symbols(symbols: DataFrame, central: DataFrame, limit: int = 160) -> DataFrame:
+    """Symbols (id, kind, path, name) by score: 10 when central, 3 for types and callables; best first."""
+    marked = symbols.join(central.select("id").distinct().withColumn("_central", F.lit(True)), "id", "left")
+    score = F.when(F.col("_central"), 10).otherwise(0) + F.when(F.col("kind").isin("class", "function", "method", "interface"), 3).otherwise(0)
+    return marked.withColumn("score", score).drop("_central").orderBy(F.desc("score"), "path", "name", "id").limit(limit)
+
+
+def search_symbols(symbols: DataFrame, text: str, limit: int) -> DataFrame:
+    """Case-insensitive substring on name or qualified name; one row more than ``limit`` tells whether it was cut."""
+    folded = F.lit(text.lower())
+    hits = symbols.filter(F.contains(F.lower("name"), folded) | F.contains(F.lower("fqn"), folded)).orderBy("fqn", "id").limit(limit + 1)
+    more = hits.agg(F.count("*") > limit).scalar()
+    return hits.orderBy("fqn", "id").limit(limit).withColumn("truncated", more)
+
+
+def duplicate_root_causes(rows: DataFrame, text: str) -> DataFrame:
+    """Normalised texts that occur more than once."""
+    normal = F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
+    return rows.groupBy(F.sha2(normal, 256).alias("digest")).agg(F.count("*").alias("occurrences")).filter("occurrences > 1")
+
+
+def overview(files: DataFrame) -> DataFrame:
+    """Markdown summary per project from its aggregates; languages come from a closed catalogue."""
+    stats = files.groupBy("project_id", "lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+    per = stats.groupBy("project_id").agg(
+        F.sum("n").alias("files"), F.sum("bytes").alias("bytes"), F.array_sort(F.collect_list(F.struct("lang", "n"))).alias("langs"))
+    languages = F.array_join(F.transform("langs", lambda x: F.concat(x["lang"], F.lit(" "), x["n"].cast("string"))), ", ")
+    body = F.concat(F.lit("## "), "project_id", F.lit("\n\nLanguages: "), languages, F.lit("\n\n- files: "), F.col("files").cast("string"), F.lit("\n- bytes: "), F.col("bytes").cast("string"))
+    return per.select("project_id", body.alias("overview"))
+
+
+def check_repo_url(url: Column | str, hosts: Sequence[str] = ("github.com", "gitlab.com")) -> Column:
+    """Why a repository address is refused; null when it may be used."""
+    url = _col(url)
+    scheme = F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1)
+    authority = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
+    host = F.lower(F.regexp_replace(F.regexp_replace(authority, r"^.*@", ""), r"(:\d*)?$|\.+(:\d*)?$", ""))
+    return (
+        F.when(~F.lower(scheme).isin("http", "https") | (host == ""), "scheme_or_host").when(F.contains(authority, F.lit("@")), "credentials")
+        .when(~host.isin(*hosts), "host_not_allowed").when(host.isin("localhost", "localhost.localdomain"), "local_host")
+    )
+
+
+def symbol_outline(symbols: DataFrame) -> DataFrame:
+    """Parent of each symbol (file, fqn, kind) by its dotted prefix; orphans go to the roots or a group."""
+    known = symbols.select("file", F.col("fqn").alias("parent")).distinct().withColumn("_has", F.lit(True))
+    prefix = F.when(F.contains("fqn", F.lit(".")), F.regexp_replace("fqn", r"\.[^.]*$", ""))
+    joined = symbols.withColumn("parent", prefix).join(known, ["file", "parent"], "left")
+    group = (
+        F.when(F.col("_has"), "child").when(F.col("kind").isin("constant", "property"), "constants").when(F.col("kind") == "class", "root").otherwise("functions")
+    )
+    return joined.select("file", "fqn", "kind", F.when(F.col("_has"), F.col("parent")).alias("parent"), group.alias("placement"))
+
+
+def mentions(texts: DataFrame, key: str, text: str, ids: DataFrame) -> DataFrame:
+    """Ids that a text names as whole tokens: texts are tokenised once and meet the ids by an equi join."""
+    token = F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(r"[\w:.-]+"), F.lit(0))))
+    return texts.select(key, token.alias("id")).join(ids.select("id").distinct(), "id")
+
+
+def project_inventory(projects: DataFrame, files: DataFrame, artifacts: DataFrame, tasks: DataFrame) -> DataFrame:
+    """Sizes and flags per project; tables are aggregated before they meet."""
+    size = lambda df, name: df.groupBy("project_id").agg(F.sum("bytes").alias(name))
+    active = tasks.filter("active").select("project_id").distinct().withColumn("_active", F.lit(True))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    joined = projects.join(size(files, "workspace_bytes"), "project_id", "left").join(size(artifacts, "artifact_bytes"), "project_id", "left").join(active, "project_id", "left")
+    return joined.select(
+        "project_id", F.col("workspace_bytes").isNotNull().alias("workspace_exists"), F.col("artifact_bytes").isNotNull().alias("artifact_exists"),
+        zero("workspace_bytes").alias("workspace_bytes"), zero("artifact_bytes").alias("artifact_bytes"),
+        (zero("workspace_bytes") + zero("artifact_bytes")).alias("total_bytes"), F.coalesce("_active", F.lit(False)).alias("active_tasks"),
+    )
