@@ -80,3 +80,15 @@ def url_host(url: Column | str) -> Column:
 
 def url_path(url: Column | str) -> Column:
     return F.regexp_extract(_col(url), r"^[a-z]+://[^/?#]+/([^?#]*)", 1)
+
+
+def value_identity(name: Column | str, object_slots: Column, explicit: Column, declarations: Column) -> Column:
+    """Identity of a value: object slot, else explicit id, else declaration of the root plus the member path, else lexical."""
+    name = _col(name)
+    root = F.regexp_extract(name, r"^([^.\[]*)", 1)
+    declared = F.when(root.rlike(r"^[A-Za-z_]\w*$"), F.element_at(declarations, root))
+    return F.coalesce(
+        F.element_at(object_slots, name), F.element_at(explicit, name),
+        F.when(F.coalesce(declared, F.lit("")) != "", F.concat(declared, F.substring(name, F.length(root) + 1, F.length(name)))),
+        F.concat(F.lit("lexical:"), name),
+    )

@@ -130,9 +130,9 @@ def agg32_wilcoxon(t):
     return evaluation.wilcoxon_signed_rank(_pairs(t))
 
 
-@query("agg32_mcnemar", "WITH " + _PAIRS + ", m AS (SELECT count(*) FILTER (WHERE a > 1500 AND b <= 1500) AS only_a, count(*) FILTER (WHERE a <= 1500 AND b > 1500) AS only_b FROM pr) SELECT only_a, only_b, pow(abs(only_a - only_b) - 1, 2) / (only_a + only_b) AS statistic FROM m")
+@query("agg32_mcnemar", "WITH " + _PAIRS + ", m AS (SELECT count(*) FILTER (WHERE a > 3300 AND b <= 3300) AS only_a, count(*) FILTER (WHERE a <= 3300 AND b > 3300) AS only_b FROM pr) SELECT only_a, only_b, pow(abs(only_a - only_b) - 1, 2) / (only_a + only_b) AS statistic FROM m")
 def agg32_mcnemar(t):
-    return evaluation.mcnemar(_pairs(t).select((F.col("a") > 1500).alias("a"), (F.col("b") > 1500).alias("b")))
+    return evaluation.mcnemar(_pairs(t).select((F.col("a") > 3300).alias("a"), (F.col("b") > 3300).alias("b")))
 
 
 @query("agg32_cluster_bootstrap", "WITH " + _PAIRS + """, r AS (SELECT rep, ('0x' || substr(sha256(concat('s:', pair_id, ':', rep)), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u, a - b AS d FROM pr, (SELECT unnest(range(1, 201)) AS rep) q),

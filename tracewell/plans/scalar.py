@@ -136,8 +136,7 @@ def fn11(t):
     return t.orders.select("o_orderkey", verdicts.normalise_certainty(raw).alias("certainty"), verdicts.normalise_confidence(level).alias("confidence"))
 
 
-@query("fn12_conditions_match", with_views("run_events") + """SELECT sequence, CASE WHEN k % 4 = 0 THEN NULL WHEN k % 4 = 1 THEN NULL WHEN k < 50 AND NOT (k % 4 = 3) THEN CASE WHEN event_type LIKE '%started%' THEN true ELSE false END WHEN k % 4 = 3 THEN CASE WHEN event_type LIKE '%started%' THEN true ELSE false END ELSE false END AS matched
- FROM run_events""")
+@query("fn12_conditions_match", with_views("run_events") + """SELECT sequence, CASE WHEN k % 4 < 2 THEN NULL WHEN k % 4 = 2 AND k >= 50 THEN false ELSE event_type LIKE '%started%' END AS matched FROM run_events""")
 def fn12(t):
     k = F.col("k")
     literal = T.StructType([T.StructField("literal", T.StringType()), T.StructField("is_literal", T.BooleanType())])
@@ -305,3 +304,21 @@ def fn34(t):
     key = F.col("doc_id") % 3
     symbol = F.when(key == 0, F.col("path")).when(key == 1, F.concat("path", F.lit("::run"))).otherwise(F.concat("path", F.lit("::Outer::"), "lang", F.lit("::run")))
     return t.v_files.select("doc_id", text.display_name(symbol).alias("display_name"))
+
+
+@query("fn35_value_identity", """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_partkey % 5 = 0 THEN concat('object:', l_orderkey, '.f') WHEN l_partkey % 5 = 1 THEN concat('value:', l_suppkey) WHEN l_partkey % 5 < 4 THEN concat('declaration:', l_suppkey, '.f[0]') ELSE concat('lexical:v', l_partkey % 9, '.f[0]') END AS identity FROM lineitem""")
+def fn35(t):
+    part, key = F.col("l_partkey") % 5, lambda c: F.col(c).cast("string")
+    name = F.concat(F.lit("v"), (F.col("l_partkey") % 9).cast("string"), F.lit(".f[0]"))
+    empty = F.create_map().cast("map<string,string>")
+    slots = F.when(part == 0, F.create_map(name, F.concat(F.lit("object:"), key("l_orderkey"), F.lit(".f")))).otherwise(empty)
+    explicit = F.when(part <= 1, F.create_map(name, F.concat(F.lit("value:"), key("l_suppkey")))).otherwise(empty)
+    declared = F.when(part < 4, F.create_map(F.concat(F.lit("v"), (F.col("l_partkey") % 9).cast("string")), F.concat(F.lit("declaration:"), key("l_suppkey")))).otherwise(empty)
+    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", text.value_identity(name, slots, explicit, declared).alias("identity"))
+
+
+@query("ext04_token_counter", "SELECT doc_id, len(string_split(text, ' ')) AS tokens FROM documents")
+def ext04(t):
+    """A counter of one's own, registered by name."""
+    text.register_counter("blanks", lambda c: F.size(F.split(c if not isinstance(c, str) else F.col(c), " ")).cast("long"))
+    return t.documents.select("doc_id", text.count_tokens("text", "blanks").alias("tokens"))
