@@ -122,7 +122,7 @@ def control_dependence(edges: DataFrame, ipdom: DataFrame, max_rounds: int = 100
     stop = tree.select("fn", F.col("node").alias("source"), F.col("ipdom").alias("stop"))
     walk = edges.join(stop, ["fn", "source"]).filter(F.col("target") != F.col("stop")).select("fn", "source", "branch", "stop", F.col("target").cast("long").alias("node"))
     up = lambda d: d.join(tree, ["fn", "node"]).filter((F.col("ipdom") != F.col("stop")) & (F.col("ipdom") != -1)).select("fn", "source", "branch", "stop", F.col("ipdom").alias("node"))
-    return closure(walk, up, ["fn", "source", "branch", "stop", "node"], max_rounds).select("fn", "source", "branch", F.col("node").alias("target")).distinct()
+    return closure(walk, up, ["fn", "source", "branch", "stop", "node"], max_rounds, unroll=2).select("fn", "source", "branch", F.col("node").alias("target")).distinct()
 
 
 def reaching_definitions(edges: DataFrame, definitions: DataFrame, uses: DataFrame, reachable: DataFrame | None = None, max_rounds: int = 100_000) -> DataFrame:
@@ -147,7 +147,7 @@ def reaching_definitions(edges: DataFrame, definitions: DataFrame, uses: DataFra
     # a definition that comes back to its own node is written again there, not ended
     passes = F.col("before_write") | ~ended | (F.col("at") == F.col("def"))
     step = lambda d: d.join(hops, ["fn", "at"]).filter(passes).select("fn", "def", "var", "certain", F.col("_to").alias("at"))
-    states = closure(seed, step, ["fn", "def", "var", "at", "certain"], max_rounds)
+    states = closure(seed, step, ["fn", "def", "var", "at", "certain"], max_rounds, unroll=4)
     found = states.join(uses.select("fn", F.col("node").alias("at"), F.col("var").cast("string").alias("var")).distinct(), ["fn", "at", "var"])
     totals = found.groupBy("fn", "at", "var").agg(F.count("*").alias("_n"))
     certainty = F.when((F.col("_n") == 1) & F.col("certain"), "must").otherwise("may")
@@ -235,9 +235,9 @@ def may_refer(
     """
     allocs = pin(allocs)
     flow = pin(edges.select("fn", F.col("source").alias("at"), F.col("target").alias("_to")).distinct())
-    around = closure(
-        allocs.select("fn", F.col("node").alias("alloc_node")).join(flow, (F.col("at") == F.col("alloc_node")) & (allocs["fn"] == flow["fn"])).select(allocs["fn"], "alloc_node", F.col("_to").alias("at")),
-        lambda d: d.join(flow, ["fn", "at"]).select("fn", "alloc_node", F.col("_to").alias("at")), ["fn", "alloc_node", "at"], max_rounds)
+    far = hop_table(edges).select("fn", F.col("source").alias("at"), F.col("target").alias("_to"))
+    leave = allocs.select("fn", F.col("node").alias("alloc_node"), F.col("node").alias("at")).distinct().join(far, ["fn", "at"]).select("fn", "alloc_node", F.col("_to").alias("at"))
+    around = closure(leave, lambda d: d.join(far, ["fn", "at"]).select("fn", "alloc_node", F.col("_to").alias("at")), ["fn", "alloc_node", "at"], max_rounds)
     cyclic = pin(around.filter("alloc_node = at").select("fn", F.col("alloc_node").alias("node")).distinct())
     born = allocs.unionByName(allocs.join(cyclic, ["fn", "node"], "left_semi").withColumn("alloc", F.lit("unknown")))
     writes = allocs.select("fn", "node", F.col("name").alias("_w"), "certain").unionByName(copies.select("fn", "node", F.col("dst").alias("_w"), "certain"))
@@ -257,7 +257,7 @@ def may_refer(
 
     keys = ["fn", "at", "name", "alloc"]
     seed = born.select("fn", F.col("node").alias("at"), "name", "alloc").join(flow, ["fn", "at"]).select("fn", F.col("_to").alias("at"), "name", "alloc")
-    states = closure(seed, step, keys, max_rounds)
+    states = closure(seed, step, keys, max_rounds, unroll=4)
     if stores is not None and loads is not None:
         heap = None
         for _ in range(max_heap_rounds):
@@ -271,7 +271,7 @@ def may_refer(
             heap = new_heap
             seen = loads.join(refer("base"), ["fn", "node", "base"]).select("fn", F.col("node").alias("at"), F.col("dst").alias("name"), F.col("_base").alias("cell"), "field").join(heap, ["fn", "cell", "field"])
             loaded = seen.select("fn", "at", "name", "alloc").join(flow, ["fn", "at"]).select("fn", F.col("_to").alias("at"), "name", "alloc")
-            states = closure(refs.unionByName(loaded), step, keys, max_rounds)
+            states = closure(refs.unionByName(loaded), step, keys, max_rounds, unroll=4)
         else:
             raise NotConverged("heap cells still grow")
     sizes = states.groupBy("fn").agg(F.count("*").alias("entries"))
