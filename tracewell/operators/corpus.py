@@ -403,17 +403,17 @@ def snippets_around(
     """Snippet of +-``context`` lines around each hit (path, line, end_line).
 
     A snippet beyond ``max_chars`` keeps the focus line, then grows down, then up, and keeps the
-    requested range. Every hit sees at most 2 * context + its own span, found by equi joins on line numbers.
+    requested range. Lines are found by equi joins on line numbers, and only those that can fit are gathered.
     """
     numbered = lines.select("path", F.col("line").alias("n"), F.concat(F.col("line").cast("string"), F.lit(": "), F.col("text")).alias("shown"))
-    wanted = (
-        hits.select("path", "line", "end_line").distinct()
-        .withColumn("n", F.explode(F.sequence(F.greatest(F.lit(1), F.col("line") - context), F.col("end_line") + context)))
-    )
+    ends = lines.groupBy("path").agg(F.max("line").alias("_last"))
+    # a numbered line has at least four characters with its line end, so further lines cannot fit
+    reach = F.least(F.col("end_line") + context, F.col("line") + max_chars // 4 + 1)
+    wanted = hits.select("path", "line", "end_line").distinct().join(ends, "path").withColumn("n", F.explode(F.sequence(F.greatest(F.lit(1), F.col("line") - context), reach)))
     cells = wanted.join(numbered, ["path", "n"]).withColumn("len", F.length("shown"))
     grouped = cells.groupBy("path", "line", "end_line").agg(
-        F.array_sort(F.collect_list(F.struct("n", "shown", "len"))).alias("cells"), F.min("n").alias("req_start"), F.max("n").alias("req_end"),
-        (F.sum("len") + F.count("*") - 1).alias("chars"),
+        F.array_sort(F.collect_list(F.struct("n", "shown", "len"))).alias("cells"), F.min("n").alias("req_start"),
+        F.least(F.col("end_line") + context, F.max("_last")).alias("req_end"), (F.sum("len") + F.count("*") - 1).alias("chars"),
     )
     focus = F.filter("cells", lambda c: c["n"] == F.col("line"))
     down = F.filter("cells", lambda c: c["n"] > F.col("line"))

@@ -78,21 +78,23 @@ def f1(hit: Column, predicted: Column, gold: Column) -> Column:
     return F.coalesce(ratio(2 * hit, predicted + gold), F.lit(0.0))
 
 
-def _overlap(predicted: DataFrame, gold: DataFrame, columns: list[str], prefix: str) -> DataFrame:
+def _overlap(predicted: DataFrame, gold: DataFrame, columns: list[str], section: str) -> DataFrame:
+    """One row: how many distinct items each side has and how many they share."""
     both = predicted.select(*columns).distinct().withColumn("_p", F.lit(1)).join(gold.select(*columns).distinct().withColumn("_g", F.lit(1)), columns, "full")
-    return both.agg(F.count("_p").alias(f"{prefix}_predicted"), F.count("_g").alias(f"{prefix}_gold"), F.count_if(F.col("_p").isNotNull() & F.col("_g").isNotNull()).alias(f"{prefix}_hit"))
+    return both.agg(F.count("_p").alias("predicted"), F.count("_g").alias("gold"), F.count_if(F.col("_p").isNotNull() & F.col("_g").isNotNull()).alias("hit")).withColumn("section", F.lit(section))
 
 
 def relation_reasoning(predicted: DataFrame, gold: DataFrame, gold_steps: DataFrame, predicted_steps: DataFrame) -> DataFrame:
     """0.30 node F1 + 0.40 typed, directed edge F1 + 0.30 share of gold neighbour steps in the right order."""
     nodes = lambda df: df.select(F.explode(F.array("source", "target")).alias("node"))
-    node = _overlap(nodes(predicted), nodes(gold), ["node"], "node")
-    edge = _overlap(predicted, gold, ["source", "target", "relation"], "edge")
-    steps = _overlap(predicted_steps, gold_steps, ["path", "before", "after"], "step")
-    one = node.withColumn("_k", F.lit(1)).join(edge.withColumn("_k", F.lit(1)), "_k").join(steps.withColumn("_k", F.lit(1)), "_k").drop("_k")
-    named = one.withColumn("node_f1", f1(F.col("node_hit"), F.col("node_predicted"), F.col("node_gold"))).withColumn("edge_f1", f1(F.col("edge_hit"), F.col("edge_predicted"), F.col("edge_gold")))
-    named = named.withColumn("order_score", F.coalesce(ratio(F.col("step_hit"), F.col("step_gold")), F.lit(0.0)))
-    return named.select("node_f1", "edge_f1", "order_score", (0.30 * F.col("node_f1") + 0.40 * F.col("edge_f1") + 0.30 * F.col("order_score")).alias("relation_score"))
+    parts = (
+        _overlap(nodes(predicted), nodes(gold), ["node"], "node").unionByName(_overlap(predicted, gold, ["source", "target", "relation"], "edge"))
+        .unionByName(_overlap(predicted_steps, gold_steps, ["path", "before", "after"], "step"))
+    )
+    scored = parts.withColumn("score", F.when(F.col("section") == "step", F.coalesce(ratio(F.col("hit"), F.col("gold")), F.lit(0.0))).otherwise(f1(F.col("hit"), F.col("predicted"), F.col("gold"))))
+    pick = lambda section, name: F.max(F.when(F.col("section") == section, F.col("score"))).alias(name)
+    named = scored.agg(pick("node", "node_f1"), pick("edge", "edge_f1"), pick("step", "order_score"))
+    return named.withColumn("relation_score", 0.30 * F.col("node_f1") + 0.40 * F.col("edge_f1") + 0.30 * F.col("order_score"))
 
 
 def evidence_quality(citations: DataFrame, claims: DataFrame, key: str) -> DataFrame:
@@ -141,8 +143,7 @@ def severity_agreement(pairs: DataFrame, levels: int = 4) -> DataFrame:
     left = cells.groupBy("a").agg(F.sum("n").alias("na")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))))
     right = cells.groupBy("b").agg(F.sum("n").alias("nb"))
     expected = left.join(right, "b").agg(F.sum(F.abs(F.col("a") - F.col("b")) * F.col("na") * F.col("nb")).alias("e"))
-    one = seen.withColumn("_k", F.lit(1)).join(expected.withColumn("_k", F.lit(1)), "_k").drop("_k")
-    return one.withColumn("weighted_kappa", 1 - F.try_divide(F.col("mean_absolute_error"), F.col("e") / (F.col("pairs") * F.col("pairs")))).drop("e")
+    return seen.withColumn("weighted_kappa", 1 - F.try_divide(F.col("mean_absolute_error"), expected.scalar() / (F.col("pairs") * F.col("pairs"))))
 
 
 PRIORITY_WEIGHT = {0: 8, 1: 4, 2: 2, 3: 1}

@@ -146,8 +146,8 @@ def pack_by_bytes(rows: DataFrame, keys: Sequence[str], order: Sequence[str], fu
         item = F.struct(row["_rn"].alias("position"), F.when(fits, row["_full"]).otherwise(row["_short"]).alias("body"), (~fits).alias("compacted"))
         return F.struct(
             F.when(~acc["open"], acc["used"]).when(fits, acc["used"] + size_full).when(fits_short, acc["used"] + size_short).otherwise(acc["used"]).alias("used"),
-            (acc["open"] & fits_short).alias("open"),
-            F.when(acc["open"] & fits_short, F.array_append(acc["items"], item)).otherwise(acc["items"]).alias("items"),
+            (acc["open"] & (fits | fits_short)).alias("open"),
+            F.when(acc["open"] & (fits | fits_short), F.array_append(acc["items"], item)).otherwise(acc["items"]).alias("items"),
         )
 
     start = F.struct(F.lit(0).alias("used"), F.lit(True).alias("open"), F.array().cast("array<struct<position:int,body:string,compacted:boolean>>").alias("items"))

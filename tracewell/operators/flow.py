@@ -377,8 +377,10 @@ def locate(points: DataFrame, regions: DataFrame, levels: int = 40) -> DataFrame
     """
     cover = regions.select("region", "path", F.struct("line", "col").alias("_a"), F.struct("end_line", "end_col").alias("_b"), (F.col("end_line") - F.col("line")).alias("_span"), (F.col("end_col") - F.col("col")).alias("_width"),
                            F.explode(dyadic_cover(F.col("line"), F.col("end_line"), levels)).alias("_c")).select("*", "_c.level", "_c.block").drop("_c")
-    blocks = F.transform(F.sequence(F.lit(0), F.lit(levels - 1)), lambda n: F.struct(n.alias("level"), F.floor(F.col("line") / F.pow(F.lit(2.0), n)).alias("block")))
-    asked = points.select("id", "path", F.struct("line", "col").alias("_p"), F.explode(blocks).alias("_c")).select("id", "path", "_p", "_c.level", "_c.block")
+    # a point needs a block only on the levels that its path uses at all
+    used = cover.groupBy("path").agg(F.collect_set("level").alias("_levels"))
+    blocks = F.transform("_levels", lambda n: F.struct(n.alias("level"), F.floor(F.col("line") / F.pow(F.lit(2.0), n)).alias("block")))
+    asked = points.join(used, "path").select("id", "path", F.struct("line", "col").alias("_p"), F.explode(blocks).alias("_c")).select("id", "path", "_p", "_c.level", "_c.block")
     met = asked.join(cover, ["path", "level", "block"]).filter((F.col("_a") <= F.col("_p")) & (F.col("_p") <= F.col("_b")))
     return met.groupBy("id").agg(F.min(F.struct("_span", "_width", "region")).alias("_m")).select("id", "_m.region")
 
