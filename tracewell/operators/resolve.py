@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.operators.skew import top_n
+from tracewell.session import pin
 
 # How a module specifier is completed, and what compiled names stand for.
 JS_SUFFIXES = ("", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs")
@@ -138,21 +139,24 @@ class Rung:
         self.confidence, self.certainty, self.scope = confidence, certainty, scope
 
 
-def resolve_references(references: DataFrame, ladder: Sequence[Rung], no_hit: Column) -> DataFrame:
-    """First rung that knows a target wins; every rung is one left equi join on its own keys.
+def resolve_references(references: DataFrame, ladder: Sequence[Rung], no_hit: Column, key: Sequence[str] = ("id",)) -> DataFrame:
+    """First rung that knows a target wins; every rung is one equi join on its own keys.
 
-    Rung tables have the join keys and ``target``, with at most one row per key. ``no_hit`` gives the
-    reason of a reference that no rung resolves.
+    A rung joins only the references that its condition admits, and only their keys, so a reference is
+    shuffled for the rungs it can use and not for all of them. The hits meet in one pre-aggregated
+    minimum per reference. Rung tables have the join keys and ``target``, with at most one row per
+    key; ``key`` identifies a reference. ``no_hit`` gives the reason of one that no rung resolves.
     """
-    work, hits = references, []
+    key, hits = list(key), []
     for number, rung in enumerate(ladder):
-        name = f"_t{number}"
-        work = work.join(rung.table.select(*rung.on, F.col("target").alias(name)), rung.on, "left")
-        usable = F.col(name).isNotNull() if rung.when is None else F.col(name).isNotNull() & rung.when
-        hits.append(F.when(usable, F.struct(
-            F.col(name).alias("target"), F.lit(rung.method).alias("method"), F.lit(rung.certainty).alias("certainty"),
-            F.lit(rung.confidence).alias("confidence"), F.lit(rung.scope).alias("scope"))))
-    picked = work.withColumn("_r", F.coalesce(*hits))
+        admitted = references if rung.when is None else references.filter(rung.when)
+        columns = list(dict.fromkeys([*key, *rung.on]))
+        met = admitted.select(*columns).join(rung.table.select(*rung.on, "target").filter("target is not null"), rung.on)
+        hits.append(met.select(*key, F.struct(
+            F.lit(number).alias("rung"), F.col("target"), F.lit(rung.method).alias("method"), F.lit(rung.certainty).alias("certainty"),
+            F.lit(rung.confidence).alias("confidence"), F.lit(rung.scope).alias("scope")).alias("_r")))
+    best = reduce(DataFrame.unionByName, hits).groupBy(*key).agg(F.min("_r").alias("_r"))
+    picked = references.join(best, key, "left")
     miss = F.col("_r").isNull()
     return picked.select(
         *references.columns, "_r.target", F.coalesce("_r.method", F.lit("unresolved")).alias("method"), F.coalesce("_r.certainty", F.lit("unresolved")).alias("certainty"),
@@ -298,15 +302,17 @@ def dependency_graph(facts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
     """(nodes, edges, unresolved) from scanned code facts (path, line, position, fact, name), by the phases of the resolver.
 
     Files and definitions are nodes; files contain definitions and import modules; a call goes to the
-    definition of its file, else to the only definition of that name, else it stays unresolved.
+    definition of its file, else to the only definition of that name, else it stays unresolved. The
+    facts are used by every phase, so the scan that makes them is run once and pinned.
     """
+    facts = pin(facts)
     definitions = facts.filter("fact = 'definition'").select(F.concat("path", F.lit("::"), "name").alias("id"), "path", "name", "line")
     defs = definitions.groupBy("id", "path", "name").agg(F.min("line").alias("line"))
     modules = facts.filter("fact = 'import'").select("path", "name").distinct()
     calls = facts.filter("fact = 'call'").select(F.col("path").alias("file"), "line", "position", "name")
     local = defs.select(F.col("path").alias("file"), "name", F.col("id").alias("target"))
     single = defs.groupBy("name").agg(F.count("*").alias("_n"), F.min("id").alias("target")).filter("_n = 1").select("name", "target")
-    resolved = resolve_references(calls, [Rung("local_scope", local, ["file", "name"]), Rung("unique_name_heuristic", single, ["name"], confidence="low", certainty="may")], F.lit("symbol_not_found"))
+    resolved = resolve_references(calls, [Rung("local_scope", local, ["file", "name"]), Rung("unique_name_heuristic", single, ["name"], confidence="low", certainty="may")], F.lit("symbol_not_found"), ["file", "line", "position"])
     external = F.concat(F.lit("<external>::"), "name")
     nodes = reduce(DataFrame.unionByName, [
         facts.select(F.col("path").alias("id"), F.lit("module").alias("level")).distinct(), defs.select("id", F.lit("function").alias("level")),

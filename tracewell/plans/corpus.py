@@ -289,7 +289,7 @@ def flt03_terms(t):
     return corpus.search_terms_table(t.v_lines, words).groupBy("word").agg(F.count("*").alias("lines"))
 
 
-@query("flt04_search_symbols", "SELECT p_partkey AS id, p_name AS name, true AS truncated FROM part WHERE contains(lower(p_name), 'ring') OR contains(lower(p_brand), 'ring') ORDER BY concat(p_brand, '.', p_name), p_partkey LIMIT 25")
+@query("flt04_search_symbols", "SELECT p_partkey AS id, p_name AS name, count(*) OVER () > 25 AS truncated FROM part WHERE contains(lower(p_name), 'ring') OR contains(lower(p_brand), 'ring') ORDER BY concat(p_brand, '.', p_name), p_partkey LIMIT 25")
 def flt04(t):
     symbols = t.part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.concat_ws(".", "p_brand", "p_name").alias("fqn"))
     return corpus.search_symbols(symbols, "RING", 25).select("id", "name", "truncated")

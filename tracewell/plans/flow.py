@@ -207,7 +207,7 @@ def gr29(t):
 _ROUTE = """pt AS (SELECT run_id AS route, sequence // 2500 AS part, bool_or(k = 50) AS gap FROM run_events GROUP BY ALL), rp AS (SELECT run_id AS path, CASE WHEN sequence % 2 = 0 THEN 'v0' ELSE concat('v1|', sequence // 2500) END AS var, CASE WHEN event_type IN ('run.started', 'model.started') THEN '>=' WHEN event_type = 'model.completed' THEN '<=' ELSE '!=' END AS op, CASE WHEN event_type IN ('run.started', 'model.started') THEN k % 45 WHEN event_type = 'model.completed' THEN 44 + k ELSE k END AS value FROM run_events)"""
 
 
-@query("gr30_compose_route", with_views("run_events", more=_ROUTE + _FEAS.format(p="rp")) + "SELECT route, count(*) AS parts, CASE WHEN bool_or(gap) OR route % 5 = 0 THEN 'unknown' ELSE max(status) END AS status FROM pt LEFT JOIN rpf ON rpf.path = route GROUP BY route")
+@query("gr30_compose_route", with_views("run_events", more=_ROUTE + _FEAS.format(p="rp")) + "SELECT route, count(*) AS parts, CASE WHEN bool_or(gap) OR count(*) > 32 OR (max(part) > 0 AND route % 5 = 0) THEN 'unknown' ELSE max(status) END AS status FROM pt LEFT JOIN rpf ON rpf.path = route GROUP BY route")
 def gr30(t):
     part, k, kind = F.floor(F.col("sequence") / 2500), F.col("k"), F.col("event_type")
     parts = t.run_events.groupBy(F.col("run_id").alias("route"), part.alias("part")).agg(F.bool_or(k == 50).alias("gap")).withColumn("frame", F.col("part"))
@@ -215,9 +215,9 @@ def gr30(t):
     predicates = t.run_events.select(F.col("run_id").alias("route"), part.alias("frame"), F.when(F.col("sequence") % 2 == 0, "v0").otherwise("v1").alias("var"), F.when(low, ">=").when(high, "<=").otherwise("!=").alias("op"),
                                      F.when(low, k % 45).when(high, 44 + k).otherwise(k).alias("value"), F.lit(None).cast("string").alias("text"))
     # every frame but the first takes v0 from the frame before it; frames are numbered without holes
-    bindings = parts.select("route", F.explode(F.sequence(F.lit(1), F.lit(64))).alias("frame")).distinct()
-    last = parts.groupBy("route").agg(F.max("part").alias("_last"))
-    bindings = bindings.join(last, "route").filter(F.col("frame") <= F.col("_last")).select("route", F.col("frame").cast("long").alias("frame"), F.lit("v0").alias("name"), (F.col("frame") - 1).cast("long").alias("source_frame"), F.lit("v0").alias("source_name"), (F.col("route") % 5 != 0).alias("exact"))
+    last = parts.groupBy("route").agg(F.max("part").alias("_last")).filter("_last > 0")
+    frames = last.select("route", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_last"))).alias("frame"))
+    bindings = frames.select("route", "frame", F.lit("v0").alias("name"), (F.col("frame") - 1).alias("source_frame"), F.lit("v0").alias("source_name"), (F.col("route") % 5 != 0).alias("exact"))
     return flow.compose_route(parts, predicates, bindings)
 
 
