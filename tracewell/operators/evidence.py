@@ -119,13 +119,15 @@ def retain_variants(flows: DataFrame, pair: Sequence[str], flow: str, status: st
 
 
 def interleave_variants(pairs: DataFrame, leads: DataFrame, pair: Sequence[str], order: Sequence[str], cap: int) -> DataFrame:
-    """First variant of every pair, then second variants, then structural leads; at most ``cap`` rows in all.
+    """First variant of every pair, then second variants, then structural leads; at most ``cap`` rows in all, flagged.
 
     No pair can contribute more than ``cap`` rows, so only that many per pair are ranked.
     """
     first = top_n(pairs, pair, order, cap, "variant_no").withColumn("phase", F.lit(1))
     second = top_n(leads, pair, order, cap, "variant_no").withColumn("phase", F.lit(2))
-    return first.unionByName(second).orderBy("phase", "variant_no", *pair, *order).limit(cap)
+    every = first.unionByName(second)
+    over = every.agg(F.count("*") > cap).scalar()
+    return every.orderBy("phase", "variant_no", *pair, *order).limit(cap).withColumn("budget_reached", over)
 
 
 def pack_by_bytes(rows: DataFrame, keys: Sequence[str], order: Sequence[str], full: Column, short: Column, max_bytes: int, max_items: int = 8) -> DataFrame:

@@ -267,7 +267,9 @@ def fair_neighbours(edges: DataFrame, target: str, order: Sequence[str], per_tar
     ranked = top_n(edges, [target], order, per_target, "turn")
     totals = edges.groupBy(target).agg(F.count("*").alias("_available"))
     kept = ranked.orderBy("turn", target, *order).limit(max_edges)
-    return kept.join(totals, target).withColumn("omitted_for_target", F.greatest(F.lit(0), F.col("_available") - per_target)).drop("_available")
+    over = ranked.agg(F.count("*") > max_edges).scalar()
+    flagged = kept.join(totals, target).withColumn("omitted_for_target", F.greatest(F.lit(0), F.col("_available") - per_target))
+    return flagged.withColumn("budget_reached", over).drop("_available")
 
 
 def incoming_context(edges: DataFrame, targets: DataFrame, depth: int = 2, per_target: int = 8, max_edges: int = 2048) -> DataFrame:
