@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import simhash
+from tracewell.llm import embedding_dedup, simhash
 from tracewell.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,3 +22,9 @@ def register(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSes
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class of every document by 64-bit SimHash over three-word shingles."""
     return simhash.simhash_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@register
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and near-duplicate class of every vector at a cosine of 0.98 within its label."""
+    return embedding_dedup.embedding_components(table(spark, sf_dir, "embeddings"))
