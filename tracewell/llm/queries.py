@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import embedding_dedup, simhash
+from tracewell.llm import embedding_dedup, quality_rules, simhash
 from tracewell.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,3 +28,12 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and near-duplicate class of every vector at a cosine of 0.98 within its label."""
     return embedding_dedup.embedding_components(table(spark, sf_dir, "embeddings"))
+
+
+@register
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, ratios and rule verdict of every document."""
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+ORACLES["op5_quality_rules"] = quality_rules.oracle()
