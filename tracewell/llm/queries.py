@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tracewell.llm import embedding_dedup, quality_rules, simhash
-from tracewell.llm.common import table
+from tracewell.llm import embedding_dedup, mixing, quality_rules, simhash
+from tracewell.llm.common import table, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,3 +38,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op5_quality_rules"] = quality_rules.oracle()
+
+
+@register
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of all sources at weights 3, 1, 2 takes from every document."""
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    return mixing.mix(rows).select("doc_id", "size", "source_size", "target", "taken")
