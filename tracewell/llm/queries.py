@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import embedding_dedup, mixing, packing, quality_rules, simhash, toxicity
+from tracewell.llm import embedding_dedup, mixing, packing, quality_rules, simhash, toxicity, weak_quality
 from tracewell.llm.common import table, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +58,9 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document by a classifier trained on the labels that are not held out."""
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and verdict of every document by a scorer trained on weak labels of all documents."""
+    return weak_quality.quality(table(spark, sf_dir, "documents"))
