@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import embedding_dedup, mixing, packing, quality_rules, simhash, toxicity, weak_quality
+from tracewell.llm import embedding_dedup, licenses, mixing, packing, quality_rules, simhash, token_counts, toxicity, warc, weak_quality
 from tracewell.llm.common import table, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +64,22 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score and verdict of every document by a scorer trained on weak labels of all documents."""
     return weak_quality.quality(table(spark, sf_dir, "documents"))
+
+
+@register
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best find of every license in every document."""
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
+@register
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact histogram of encoded lengths per source with its suffix sums."""
+    histogram = token_counts.length_histogram(table(spark, sf_dir, "documents"), ["source"])
+    return token_counts.suffix_sums(histogram, ["source"])
+
+
+@register
+def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata and conversion record of every page."""
+    return warc.derivatives(warc.responses_from_pages(table(spark, sf_dir, "pages")))
