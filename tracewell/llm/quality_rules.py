@@ -109,9 +109,18 @@ def quality_rules(
     has null ratios. Rows are judged alone: repeated rows and a null doc_id come back as they are.
     Other columns are not read, whatever their names.
     """
+    return _judged(docs, text, rules, stop_words, F.col(doc_id).alias("doc_id"))
+
+
+def passing(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES, stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, all columns as they are."""
+    return _judged(docs, text, rules, stop_words, F.struct("*").alias("row")).filter("kept").select("row.*")
+
+
+def _judged(docs: DataFrame, text: str, rules: Sequence[Rule], stop_words: Sequence[str], key: Column) -> DataFrame:
     body = F.coalesce(F.col(text), F.lit(""))
-    found = docs.select(F.col(doc_id).alias("doc_id"), let(body, lambda t: _of_text(t, stop_words)).alias("m"))
-    plain = found.select("doc_id", "m.*")
+    found = docs.select(key, let(body, lambda t: _of_text(t, stop_words)).alias("m"))
+    plain = found.select(found.columns[0], "m.*")
     ratios = {
         "mean_word_chars": F.try_divide(F.col("word_chars").cast("double"), F.col("n_words").cast("double")),
         "symbols_per_word": F.try_divide(F.col("n_symbols").cast("double"), F.col("n_words").cast("double")),
