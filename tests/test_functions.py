@@ -89,3 +89,52 @@ def test_ledger_rules(spark):
     rows = [(1, json.dumps(finding)), (2, "{"), (3, json.dumps(finding | {"impact": {"status": "conditional", "scope": "local"}}))]
     got = {(r.k, r.rule) for r in evaluation.validate_ledger(spark.createDataFrame(rows, "k int, b string"), "k", "b").collect()}
     assert got == {(1, "external_impact_needs_closed_chain"), (2, "not_valid_json"), (3, "conditional_without_conditions")}
+
+
+def test_masking_does_not_look_matches_up_by_text(spark):
+    source = ['xtoken="""a"""\ntoken="""a"""\ntoken="""a"""', "token='''x'''\n" * 3 + "end", "-----BEGIN PRIVATE KEY-----\nA\n-----END PRIVATE KEY-----\nA\n-----BEGIN PRIVATE KEY-----\nA"]
+    got = column(spark, source, redact.redact_source("v", F.lit("a.py")))
+    assert got == [
+        'xtoken="""a"""\ntoken="""[REDACTED]"""\ntoken="""[REDACTED]"""', "token='''[REDACTED]'''\n" * 3 + "end",
+        "[REDACTED]\n[REDACTED]\n[REDACTED]\nA\n[REDACTED]\n[REDACTED]",
+    ]
+
+
+def test_flat_rows_build_the_same_document():
+    from tracewell.functions import json_rows
+
+    document = {"a": [1, {"b": [], "c": {}}, [[None, "x"]]], "": {"0": [True]}, "z": 1.5}
+    assert json_rows.built(json_rows.flat(document)) == document
+    assert json_rows.built(json_rows.flat([])) == [] and json_rows.built(json_rows.flat("s")) == "s"
+
+
+def test_shown_lines_of_all_contexts(spark):
+    from tracewell.sources.documents import visible_lines
+
+    hit = lambda path, **more: {"path": path, "text": "one\ntwo", **more}
+    messages = [
+        {"role": "tool", "content": json.dumps({"deep": [hit("a", start_line=5, end_line=90)], "code": json.dumps(hit("fake", line=1))})},
+        {"role": "tool", "content": [{"type": "text", "text": "x"}, hit("b", line=3), json.dumps(hit("c", line=4))]},
+        {"type": "function_call_output", "output": "STATIC_SECURITY_EVIDENCE\n" + json.dumps([{"path": "d\\e", "text": "7:x\n8: [REDACTED]\n9:y [line exceeds the snippet budget]\n10:z"}])},
+        {"role": "user", "content": "APPLICATION_BATCH_EVIDENCE\n" + json.dumps(hit("f", line=1))},
+        {"role": "user", "content": "ask\n\nTRUSTED_STATIC_CONTEXT\nFULL_SOURCE_CONTEXT\n" + json.dumps(hit("g", line=2))},
+        {"role": "user", "content": "ask\n\nTRUSTED_STATIC_CONTEXT\nSTATIC_SECURITY_EVIDENCE\n" + json.dumps(hit("h", line=2))},
+        {"role": "user", "content": "ask\n\nTRUSTED_STATIC_CONTEXT\nother\n" + json.dumps(hit("i", line=2))},
+        {"role": "user", "content": [hit("j", line=1)]}, {"role": "assistant", "content": json.dumps(hit("k", line=1))}, "text", None, {"role": "tool"}, {"role": "tool", "content": "no json"},
+    ]
+    rows = [(1, json.dumps({"messages": messages})), (2, None), (3, json.dumps({"input": messages[1:2]})), (4, "[]")]
+    got = visible_lines(spark.createDataFrame(rows, "k int, p string"), ["k"], "p").collect()
+    want = {("a", 5), ("a", 6), ("b", 3), ("c", 4), ("d/e", 7), ("d/e", 10), ("f", 1), ("g", 2), ("h", 2)}
+    assert {(r.path, r.line) for r in got if r.k == 1} == want
+    assert {(r.path, r.line) for r in got if r.k == 3} == {("b", 3), ("c", 4)} and not [r for r in got if r.k in (2, 4)]
+
+
+def test_requests_and_responses_show_allowed_fields_only(spark):
+    secret, clean = 'token = "abc"', 'token = "[REDACTED]"'
+    message = {"role": "user", "content": [{"type": "text", "text": secret, "x": 1}, {"type": "image", "url": "u"}, "s"], "thinking": "t", "tool_calls": [{"id": "1", "type": "function", "function": {"name": "f", "arguments": secret, "x": 1}}, "no"]}
+    shown = {"role": "user", "content": [{"type": "text", "text": clean}], "tool_calls": [{"id": "1", "type": "function", "function": {"name": "f", "arguments": clean}}]}
+    request = {"model": "m", "api_key": "k", "input": [message, {"type": "reasoning", "content": "r"}, "no", {"role": "tool", "content": secret}], "tools": [{"function": {"name": "f", "password": "p"}}], "stream": True}
+    response = {"id": "r", "provider_items": 1, "output": [{"type": "message", **message}, {"type": "reasoning"}, {"type": "function_call", "arguments": secret}], "incomplete_details": {"reason": "x"}, "choices": [{"finish_reason": "stop", "message": message, "x": 1}, 3], "usage": {"total_tokens": 3}}
+    get = lambda value, expr: json.loads(column(spark, [json.dumps(value)], expr)[0])
+    assert get(request, runs.visible_request(F.col("v"))) == {"model": "m", "input": [shown, {"role": "tool", "content": clean}], "tools": [{"function": {"name": "f", "password": "[REDACTED]"}}], "stream": True}
+    assert get(response, runs.visible_response(F.col("v"))) == {"id": "r", "output": [{"type": "message", **shown}, {"type": "function_call", "arguments": clean}], "incomplete_details": {"reason": "x"}, "choices": [{"finish_reason": "stop", "message": shown}], "usage": {"total_tokens": 3}}

@@ -15,17 +15,15 @@ def _mask_lines(text: Column) -> Column:
 
 
 def _mask_spans(text: Column, pattern: str, mask) -> Column:
-    """Rebuild the text around all matches of ``pattern``, each replaced by ``mask(match)``."""
+    """The text with each match of ``pattern`` replaced by ``mask(match)``.
+
+    The text is split at the matches and joined again around the masks: a match is never looked up
+    by its text, which may occur elsewhere too.
+    """
     spans = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    state = F.aggregate(
-        spans,
-        F.struct(F.lit("").alias("done"), text.alias("rest")),
-        lambda acc, span: F.struct(
-            F.concat(acc["done"], F.substring(acc["rest"], F.lit(1), F.instr(acc["rest"], span) - 1), mask(span)).alias("done"),
-            F.substring(acc["rest"], F.instr(acc["rest"], span) + F.length(span), F.length(acc["rest"])).alias("rest"),
-        ),
-    )
-    return F.when(F.size(spans) == 0, text).otherwise(F.concat(state["done"], state["rest"]))
+    between = F.split(text, pattern, -1)
+    joined = F.zip_with(between, spans, lambda part, span: F.concat(part, F.coalesce(mask(span), F.lit(""))))
+    return F.when(F.size(spans) == 0, text).otherwise(F.array_join(joined, ""))
 
 
 def _mask_triple(span: Column) -> Column:

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.functions.json_rows import shown_requests, shown_responses
 from tracewell.operators.fixpoint import NotConverged
 from tracewell.operators.skew import prefix_sums, with_neighbour
 from tracewell.session import pin
@@ -336,20 +337,14 @@ def channel_sizes(payload: Column) -> Column:
         part for n in ("content", "reasoning_content", "thinking") for part in (field(m, n).isNotNull().alias(f"has_{n}"), F.length(field(m, n)).alias(f"{n}_characters"))]))
 
 
-MESSAGE_SCHEMA = "id string, type string, role string, status string, content string, refusal string, tool_call_id string, name string, call_id string, arguments string, output string"
-
-
 def visible_request(payload: Column) -> Column:
-    """Requests with allowed fields only; reasoning items and unknown message fields are gone: the schema is the allowlist."""
-    body = F.from_json(payload, f"model string, instructions string, messages array<struct<{MESSAGE_SCHEMA.replace(' string', ':string')}>>, temperature double, max_tokens bigint, tool_choice string")
-    kept = F.filter(body["messages"], lambda m: ~F.coalesce(m["type"] == "reasoning", F.lit(False)))
-    return F.to_json(F.struct(body["model"].alias("model"), body["instructions"].alias("instructions"), kept.alias("messages"), body["temperature"].alias("temperature"),
-                              body["max_tokens"].alias("max_tokens"), body["tool_choice"].alias("tool_choice")))
+    """Requests with the allowed fields only, messages, content parts and tool calls included; secrets in any string are masked."""
+    return shown_requests(payload)
 
 
 def visible_response(payload: Column) -> Column:
-    body = F.from_json(payload, f"id string, model string, status string, usage map<string,string>, choices array<struct<finish_reason:string,message:struct<{MESSAGE_SCHEMA.replace(' string', ':string')}>>>, output_text string")
-    return F.to_json(F.struct(*[body[c].alias(c) for c in ("id", "model", "status", "usage", "choices", "output_text")]))
+    """Responses with choices, output items, end state and usage; hidden reasoning is gone and secrets are masked."""
+    return shown_responses(payload)
 
 
 def extract_references(pages: DataFrame, keys: Sequence[str], body: str) -> DataFrame:
@@ -370,7 +365,8 @@ def assess_answer(answer: Column, finish_reason: Column, sections: Sequence[str]
     trimmed = F.regexp_replace(answer, r"\s+\z", "")
     ended = trimmed.endswith(end_mark)
     inner = F.when(ended, F.substring(trimmed, F.lit(1), F.length(trimmed) - len(end_mark))).otherwise(trimmed)
-    bodies = F.slice(F.split(inner, r"(?m)^##\s+.+?\s*$"), 2, 1000)
+    parts = F.split(inner, r"(?m)^##\s+.+?\s*$")
+    bodies = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
     filled = ~F.exists(bodies, lambda b: F.trim(F.regexp_replace(b, r"\s+", "")) == "")
     whole = (names == F.array(*[F.lit(s) for s in sections])) & ended & filled
     transport = F.when(finish_reason.isin("length", "content_filter", "tool_calls", "function_call"), False).when(finish_reason == "stop", True)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions.ids import _col, digest_id
-from tracewell.functions.json_walk import clean_documents, shown_ranges
+from tracewell.functions.json_rows import clean_documents, shown_ranges
 
 
 def load_node_link(documents: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
