@@ -190,3 +190,26 @@ def test_smallest_region_for_ranges_of_any_length(spark):
     got = {r.id: r.region for r in flow.locate(asked, table).collect()}
     # a point on the first or last line still has to lie between the columns
     assert got == want
+
+
+@pytest.mark.parametrize("through", ["returns", "boundaries"])
+def test_depth_cuts_are_flagged(spark, through):
+    """A chain of six steps under a limit of three: the near sink is found, the far one is reported as cut."""
+    make = lambda rows, schema: spark.createDataFrame(rows, schema)
+    use = "fn string, var string, use_kind string, use_id string, name string, certainty string"
+    ends = [("f1", "v", "sink", "near", "v", "must"), ("f6", "v", "sink", "far", "v", "must")]
+    back = [(f"f{i}", "v", "return", f"r{i}", "v", "must") for i in range(6)] if through == "returns" else []
+    calls = make([(f"c{i}", f"f{i + 1}", f"f{i}", "must") for i in range(6)], "call_id string, caller string, callee string, certainty string")
+    results = make([(f"c{i}", "v") for i in range(6)], "call_id string, result string")
+    sides = make([(f"b{i}", f"f{i}", "v", f"f{i + 1}", "v") for i in range(6)], "boundary_id string, fn string, var string, to_fn string, to_var string")
+    sinks = make([("near", "near"), ("far", "far")], "use_id string, snk string")
+    sources = make([("s", "f0", "v")], "src string, fn string, var string")
+    bindings = make([], "call_id string, name string, param string")
+
+    def run(depth):
+        more = {"boundaries": sides} if through == "boundaries" else {}
+        flows, _ = flow.propagate_taint(sources, make(back + ends, use), calls, bindings, results, sinks, max_depth=depth, **more)
+        return {(r.snk, r.truncated) for r in flows.collect()}
+
+    assert run(3) == {("near", True)}
+    assert run(6) == {("near", False), ("far", False)}

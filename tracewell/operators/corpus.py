@@ -101,8 +101,11 @@ def scan_corpus(
     return marked.filter("reason is null").drop("reason"), marked.filter("reason is not null")
 
 
-def detect_language(files: DataFrame) -> DataFrame:
-    """``files`` (path, text) with ``language``; ``.h`` follows its sibling, then its content."""
+def detect_language(files: DataFrame, head_chars: int | None = None) -> DataFrame:
+    """``files`` (path, text) with ``language``; ``.h`` follows its sibling, then its content.
+
+    ``head_chars`` limits how much of a header is read; by default all of it.
+    """
     ext = extension("path")
     stem = F.regexp_replace("path", r"\.[^./]*$", "")
     work = files.withColumn("_ext", ext).withColumn("_stem", stem)
@@ -110,7 +113,9 @@ def detect_language(files: DataFrame) -> DataFrame:
         work.filter(F.col("_ext").isin(".c", *CPP_SIBLINGS))
         .groupBy("_stem").agg(F.max(F.when(F.col("_ext") == ".c", 1).otherwise(2)).alias("_rank"))
     )
-    head = F.substring(F.coalesce(F.col("text"), F.lit("")), 1, 64 * 1024)
+    head = F.coalesce(F.col("text"), F.lit(""))
+    if head_chars is not None:
+        head = F.substring(head, 1, head_chars)
     marked = F.lit(False)
     for marker in CPP_MARKERS:
         marked = marked | F.contains(head, F.lit(marker))
@@ -176,12 +181,14 @@ def audit_archive_entries(
     )
 
 
-def explode_lines(files: DataFrame, *keep: str) -> DataFrame:
+def explode_lines(files: DataFrame, *keep: str, probe_bytes: int | None = None) -> DataFrame:
     """Numbered lines of ``files`` (path, content); binary and non-UTF-8 content is skipped.
 
-    Lines end at LF, CRLF or CR; a final line end does not start another line.
+    Lines end at LF, CRLF or CR; a final line end does not start another line. A zero byte makes
+    content binary, wherever it stands or within the first ``probe_bytes``.
     """
-    binary = F.contains(F.substring("content", 1, 4096), F.lit(bytearray(b"\0")))
+    probe = F.col("content") if probe_bytes is None else F.substring("content", 1, probe_bytes)
+    binary = F.contains(probe, F.lit(bytearray(b"\0")))
     text = F.regexp_replace(F.try_validate_utf8(F.col("content").cast("string")), r"(\r\n|\n|\r)\z", "")
     readable = files.filter(~binary).withColumn("_text", text).filter("_text is not null and octet_length(content) > 0")
     return readable.select("path", *keep, F.posexplode(F.split("_text", r"\r\n|\n|\r")).alias("_pos", "text")).select(
@@ -343,10 +350,11 @@ def file_tree(files: DataFrame) -> DataFrame:
     return rows.groupBy("parent", "name", "is_folder").agg(F.count("*").alias("files"))
 
 
-def module_counts(files: DataFrame, limit: int = 30) -> DataFrame:
-    """Files per top folder (``.`` for the root), largest first."""
+def module_counts(files: DataFrame, limit: int | None = None) -> DataFrame:
+    """Files per top folder (``.`` for the root), largest first; all of them unless the caller sets a limit."""
     module = F.when(F.contains("path", F.lit("/")), F.substring_index("path", "/", 1)).otherwise(".")
-    return files.groupBy(module.alias("module")).agg(F.count("*").alias("files")).orderBy(F.desc("files"), "module").limit(limit)
+    counts = files.groupBy(module.alias("module")).agg(F.count("*").alias("files")).orderBy(F.desc("files"), "module")
+    return counts if limit is None else counts.limit(limit)
 
 
 def snapshot_manifest(files: DataFrame) -> DataFrame:
@@ -446,11 +454,12 @@ def snippets_around(
     return out.withColumn("snippet_id", digest_id("snippet:", "path", F.lit(role), "start_line", "stop_line", "text"))
 
 
-def rank_symbols(symbols: DataFrame, central: DataFrame, limit: int = 160) -> DataFrame:
+def rank_symbols(symbols: DataFrame, central: DataFrame, limit: int | None = None) -> DataFrame:
     """Symbols (id, kind, path, name) by score: 10 when central, 3 for types and callables; best first."""
     marked = symbols.join(central.select("id").distinct().withColumn("_central", F.lit(True)), "id", "left")
     score = F.when(F.col("_central"), 10).otherwise(0) + F.when(F.col("kind").isin("class", "function", "method", "interface"), 3).otherwise(0)
-    return marked.withColumn("score", score).drop("_central").orderBy(F.desc("score"), "path", "name", "id").limit(limit)
+    ranked = marked.withColumn("score", score).drop("_central").orderBy(F.desc("score"), "path", "name", "id")
+    return ranked if limit is None else ranked.limit(limit)
 
 
 def search_symbols(symbols: DataFrame, text: str, limit: int) -> DataFrame:

@@ -497,10 +497,13 @@ def propagate_taint(
         up = out.select(
             "src", F.col("_to").alias("fn"), F.col("_var").alias("var"), F.slice("stack", F.lit(1), F.greatest(F.size("stack") - 1, F.lit(0))).alias("stack"), step("return", F.col("_call")).alias("steps"),
             (F.col("uncertain") | F.col("_u") | (F.col("_lc") == "may")).alias("uncertain"), (F.col("depth") + F.col("_top").isNull().cast("int")).alias("depth"))
+        cuts.append(up.filter(F.col("depth") > max_depth).select("src"))
         up = up.filter(F.col("depth") <= max_depth)
         grown = down.unionByName(up)
         if boundaries is not None:
-            side = level.join(boundaries, ["fn", "var"]).filter(F.col("depth") < max_depth)
+            side = level.join(boundaries, ["fn", "var"])
+            cuts.append(side.filter(F.col("depth") >= max_depth).select("src"))
+            side = side.filter(F.col("depth") < max_depth)
             grown = grown.unionByName(side.select("src", F.col("to_fn").alias("fn"), F.col("to_var").alias("var"), none.alias("stack"), step("boundary", F.col("boundary_id")).alias("steps"), F.lit(True).alias("uncertain"), (F.col("depth") + 1).alias("depth")))
         grown = grown.distinct()
         if max_states is not None:

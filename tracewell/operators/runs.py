@@ -204,13 +204,14 @@ def missing_jobs(runs: DataFrame, jobs: DataFrame, active: Sequence[str]) -> Dat
 
 
 def run_history(runs: DataFrame, jobs: DataFrame, limit: int) -> DataFrame:
-    """Newest runs with the default strategy or no job at all."""
+    """The ``limit`` newest runs with the default strategy or no job at all."""
     joined = runs.join(jobs.select("run_id", "strategy"), "run_id", "left").filter(F.col("strategy").isNull() | (F.col("strategy") == "default"))
-    return joined.withColumn("strategy", F.coalesce("strategy", F.lit("default"))).orderBy(F.desc("created_at"), F.desc("run_id")).limit(max(1, min(limit, 100)))
+    return joined.withColumn("strategy", F.coalesce("strategy", F.lit("default"))).orderBy(F.desc("created_at"), F.desc("run_id")).limit(max(1, limit))
 
 
 def recent(rows: DataFrame, when: str, ident: str, n: int) -> DataFrame:
-    return rows.orderBy(F.desc(when), F.desc(ident)).limit(max(1, min(n, 100)))
+    """The ``n`` newest rows."""
+    return rows.orderBy(F.desc(when), F.desc(ident)).limit(max(1, n))
 
 
 def next_queued(tasks: DataFrame, by: Sequence[str]) -> DataFrame:

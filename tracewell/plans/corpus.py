@@ -147,6 +147,17 @@ def src08(t):
     return files.call_edges(_callsites(t), t.g_edges)
 
 
+@query("src08_edges_by_project", f"""SELECT concat('s/', {_SITES}) AS id, concat('order/', l_orderkey) AS source, concat('supplier/', l_suppkey) AS target, 'calls' AS relation, 'direct' AS dispatch, concat('c/', {_SITES}) AS callsite_id FROM lineitem WHERE l_returnflag <> 'N' AND l_orderkey % 5 <> 0
+ UNION ALL SELECT concat('p/', {_SITES}), concat('order/', l_orderkey), concat('part/', l_partkey), 'calls', 'virtual', concat('c/', {_SITES}) FROM lineitem WHERE l_returnflag = 'R' AND l_orderkey % 5 <> 0
+ UNION ALL SELECT concat('e4/', {_SITES}), concat('order/', l_orderkey), concat('supplier/', l_suppkey), 'calls', CASE WHEN l_returnflag = 'R' THEN 'virtual' ELSE 'direct' END, NULL FROM lineitem WHERE l_orderkey % 5 = 0""")
+def src08_projects(t):
+    """One project in five has no call-site facts and keeps its legacy edges."""
+    project = lambda col: F.regexp_extract(col, r"/(\d+)", 1).cast("long") % 5
+    sites = _callsites(t).withColumn("project", project("caller")).filter("project <> 0")
+    legacy = t.g_edges.filter("source like 'order/%'").withColumn("project", project("source"))
+    return files.call_edges(sites, legacy, "project")
+
+
 @query("src08_legacy_edges", with_views("g_edges") + "SELECT id, source, target, relation, dispatch, CAST(NULL AS VARCHAR) AS callsite_id FROM g_edges WHERE relation = 'calls'")
 def src08_legacy(t):
     return files.call_edges(_callsites(t).filter(F.lit(False)), t.g_edges)
@@ -367,7 +378,7 @@ def agg01(t):
     return t.documents.groupBy("lang").agg(F.count("*").alias("files")).orderBy(F.desc("files"), "lang")
 
 
-@query("agg01_module_counts", with_views("v_files") + "SELECT project_id AS module, count(*) AS files FROM v_files GROUP BY project_id ORDER BY files DESC, module LIMIT 30")
+@query("agg01_module_counts", with_views("v_files") + "SELECT project_id AS module, count(*) AS files FROM v_files GROUP BY project_id")
 def agg01_modules(t):
     return corpus.module_counts(t.v_files)
 
@@ -386,18 +397,18 @@ def agg21(t):
     return corpus.duplicate_root_causes(t.documents, "text")
 
 
-@query("srt02_rank_symbols", with_views("g_nodes", "g_edges") + """SELECT id, score FROM (SELECT n.id, CASE WHEN n.id IN (SELECT id FROM (SELECT id, count(*) AS d FROM (SELECT source AS id FROM g_edges UNION ALL SELECT target FROM g_edges) x GROUP BY id ORDER BY d DESC, id LIMIT 20) c) THEN 10 ELSE 0 END + CASE WHEN level IN ('class', 'function', 'method') THEN 3 ELSE 0 END AS score, level, name FROM g_nodes n) y ORDER BY score DESC, level, name, id LIMIT 160""")
+@query("srt02_rank_symbols", with_views("g_nodes", "g_edges") + """SELECT id, score FROM (SELECT n.id, CASE WHEN n.id IN (SELECT id FROM (SELECT id, count(*) AS d FROM (SELECT source AS id FROM g_edges UNION ALL SELECT target FROM g_edges) x GROUP BY id ORDER BY d DESC, id LIMIT 20) c) THEN 10 ELSE 0 END + CASE WHEN level IN ('class', 'function', 'method') THEN 3 ELSE 0 END AS score, level, name FROM g_nodes n) y""")
 def srt02(t):
     symbols = t.g_nodes.select("id", "name", F.col("level").alias("kind"), F.col("level").alias("path"))
     return corpus.rank_symbols(symbols, graphs.central_nodes(t.g_edges)).select("id", "score")
 
 
-_SNIP = """hit AS (SELECT path, line, line + 1 AS end_line FROM v_lines WHERE contains(text, 'sch ') AND line % 2 = 0), n AS (SELECT h.path, h.line, h.end_line, v.line AS k, concat(v.line, ': ', v.text) AS shown FROM hit h JOIN v_lines v ON v.path = h.path AND v.line BETWEEN greatest(1, h.line - 2) AND h.end_line + 2)"""
+_SNIP = """hit AS (SELECT path, line, line + 1 AS end_line FROM v_lines WHERE contains(text, 'sch ')), n AS (SELECT h.path, h.line, h.end_line, v.line AS k, concat(v.line, ': ', v.text) AS shown FROM hit h JOIN v_lines v ON v.path = h.path AND v.line BETWEEN greatest(1, h.line - 2) AND h.end_line + 2)"""
 
 
 @query("win10_snippets", with_views("v_lines", more=_SNIP) + "SELECT path, CAST(line AS INT) AS line, CAST(min(k) AS INT) AS start_line, CAST(max(k) AS INT) AS stop_line, sha256(string_agg(shown, chr(10) ORDER BY k)) AS body FROM n GROUP BY path, line HAVING sum(length(shown)) + count(*) - 1 <= 700")
 def win10(t):
-    hits = t.v_lines.filter(F.contains("text", F.lit("sch ")) & (F.col("line") % 2 == 0)).select("path", "line", (F.col("line") + 1).alias("end_line"))
+    hits = t.v_lines.filter(F.contains("text", F.lit("sch "))).select("path", "line", (F.col("line") + 1).alias("end_line"))
     found = corpus.snippets_around(t.v_lines, hits, context=2, max_chars=700).filter("not truncated")
     return found.select("path", "line", "start_line", "stop_line", F.sha2("text", 256).alias("body"))
 

@@ -177,7 +177,7 @@ def gr27_choice(t):
     return _complete(t)[1]
 
 
-_PRED = """pr AS (SELECT run_id * 1000 + sequence // 400 AS path, concat('v', sequence % 3) AS var, CASE WHEN k % 10 = 0 THEN '==' WHEN event_type = 'run.started' THEN '>' WHEN event_type = 'model.started' THEN '<' WHEN event_type = 'model.completed' THEN '!=' WHEN event_type = 'tool.requested' THEN '>=' WHEN k % 9 = 0 THEN 'matches' ELSE '<=' END AS op, k AS value FROM run_events)"""
+_PRED = """pr AS (SELECT concat(run_id, '/', sequence // 400) AS path, concat('v', sequence % 3) AS var, CASE WHEN k % 10 = 0 THEN '==' WHEN event_type = 'run.started' THEN '>' WHEN event_type = 'model.started' THEN '<' WHEN event_type = 'model.completed' THEN '!=' WHEN event_type = 'tool.requested' THEN '>=' WHEN k % 9 = 0 THEN 'matches' ELSE '<=' END AS op, k AS value FROM run_events)"""
 _FEAS = """, {p}b AS (SELECT path, var, max(CASE op WHEN '>=' THEN value WHEN '==' THEN value WHEN '>' THEN value + 1 END) AS lo, min(CASE op WHEN '<=' THEN value WHEN '==' THEN value WHEN '<' THEN value - 1 END) AS hi FROM {p} GROUP BY path, var),
  {p}h AS (SELECT b.path, b.var, count(DISTINCT p.value) AS n FROM {p}b b JOIN {p} p ON p.path = b.path AND p.var = b.var AND p.op = '!=' AND p.value BETWEEN lo AND hi GROUP BY b.path, b.var),
  {p}f AS (SELECT p.path, CASE WHEN p.path IN (SELECT b.path FROM {p}b b LEFT JOIN {p}h h ON h.path = b.path AND h.var = b.var WHERE lo > hi OR coalesce(n, 0) >= hi - lo + 1) THEN 'infeasible_under_model' WHEN bool_or(op = 'matches') THEN 'unknown' ELSE 'satisfiable_under_model' END AS status FROM {p} p GROUP BY p.path)"""
@@ -189,7 +189,7 @@ def _predicates(t):
         F.when(k % 10 == 0, "==").when(kind == "run.started", ">").when(kind == "model.started", "<").when(kind == "model.completed", "!=").when(kind == "tool.requested", ">=")
         .when(k % 9 == 0, "matches").otherwise("<=")
     )
-    return t.run_events.select((F.col("run_id") * 1000 + F.floor(F.col("sequence") / 400)).alias("path"), _txt("v", F.col("sequence") % 3).alias("var"), op.alias("op"), k.alias("value"), F.lit(None).cast("string").alias("text"))
+    return t.run_events.select(_txt("", F.col("run_id"), "/", F.floor(F.col("sequence") / 400)).alias("path"), _txt("v", F.col("sequence") % 3).alias("var"), op.alias("op"), k.alias("value"), F.lit(None).cast("string").alias("text"))
 
 
 @query("gr28_branch_feasibility", with_views("run_events", more=_PRED + _FEAS.format(p="pr")) + "SELECT path, status FROM prf")

@@ -180,13 +180,13 @@ def fn41(t):
     return per.select("run_id", evaluation.progress_percent(F.col("d"), F.col("t")).cast("long").alias("percent"))
 
 
-@query("fn26_assess_answer", """SELECT conv_id, turn, CASE WHEN conv_id % 4 IN (1, 2) OR turn % 3 = 1 THEN 'incomplete' WHEN turn % 3 = 0 THEN 'complete' ELSE 'unknown' END AS status FROM conversations WHERE trim(text) <> ''""")
+@query("fn26_assess_answer", r"""SELECT conv_id, turn, CASE WHEN text IS NULL OR NOT regexp_matches(text, '\S') OR conv_id % 4 IN (1, 2) OR turn % 3 = 1 THEN 'incomplete' WHEN turn % 3 = 0 THEN 'complete' ELSE 'unknown' END AS status FROM conversations""")
 def fn26(t):
     tail = F.when(F.col("conv_id") % 4 == 1, "").otherwise("\n<!-- END -->\n")
     second = F.when(F.col("conv_id") % 4 == 2, "\n \n").otherwise("\nscope\n")
-    answer = F.concat(F.lit("## Result\n"), "text", F.lit("\n## Limits"), second, tail)
+    answer = F.concat(F.lit("## Result\n"), F.coalesce("text", F.lit("")), F.lit("\n## Limits"), second, tail)
     finish = F.when(F.col("turn") % 3 == 0, "stop").when(F.col("turn") % 3 == 1, "length")
-    return t.conversations.filter("trim(text) <> ''").select("conv_id", "turn", runs.assess_answer(answer, finish, ["Result", "Limits"], "<!-- END -->").alias("status"))
+    return t.conversations.select("conv_id", "turn", runs.assess_answer(answer, finish, ["Result", "Limits"], "<!-- END -->").alias("status"))
 
 
 _READS = r"""rd AS (SELECT project_id, path, line, strlen(text) AS bytes, CAST(regexp_extract(path, '/([0-9]+)\.', 1) AS BIGINT) AS doc FROM v_lines), rr AS (SELECT *, doc * 1000 + line AS seq FROM rd UNION ALL SELECT *, doc * 1000 + line + 1000000000000 FROM rd WHERE doc % 2 = 0),
@@ -308,7 +308,7 @@ def set08(t):
     return runs.dependents(roots, [("run", t.orders, "o_custkey", "o_orderkey"), ("event", t.lineitem.withColumn("event_id", event), "l_orderkey", "event_id")])
 
 
-@query("srt06_recent", "SELECT o_orderkey FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 100")
+@query("srt06_recent", "SELECT o_orderkey FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 500")
 def srt06(t):
     return runs.recent(t.orders, "o_orderdate", "o_orderkey", 500).select("o_orderkey")
 

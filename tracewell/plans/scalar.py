@@ -248,13 +248,13 @@ def fn20(t):
     return t.documents.select("doc_id", text.line_of("text", F.floor(F.col("n_chars") / 2).cast("int")).cast("long").alias("line"))
 
 
-_ANSWERS = """answers AS (SELECT path, line, concat('see [', path, ':', line, '-', line + 1, '] and [', path, ':L', line, '] or [same: 12x] again [', path, ':', line, '-', line + 1, ']') AS answer FROM v_lines WHERE line % 5 = 1)"""
+_ANSWERS = """answers AS (SELECT path, line, concat('see [', path, ':', line, '-', line + 1, '] and [', path, ':L', line, '] or [same: 12x] again [', path, ':', line, '-', line + 1, ']') AS answer FROM v_lines)"""
 
 
 def _answers(t):
     n, p = F.col("line").cast("string"), F.col("path")
     both = F.concat(p, F.lit(":"), n, F.lit("-"), (F.col("line") + 1).cast("string"))
-    return t.v_lines.filter("line % 5 = 1").select(
+    return t.v_lines.select(
         "path", "line", F.concat(F.lit("see ["), both, F.lit("] and ["), p, F.lit(":L"), n, F.lit("] or [same: 12x] again ["), both, F.lit("]")).alias("answer"))
 
 
