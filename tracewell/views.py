@@ -11,7 +11,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.operators.skew import top_n
+from tracewell.operators.skew import prefix_sums, top_n
 
 EXT_OF_LANG = {"en": ".py", "fr": ".js", "de": ".go"}
 
@@ -31,7 +31,7 @@ SELECT concat('e4/', CAST(l_orderkey AS VARCHAR(20)), '/', CAST(l_linenumber AS
  SELECT s, c, n, row_number() OVER (PARTITION BY s ORDER BY n DESC, c) AS rk FROM (
   SELECT s_nationkey AS s, c_nationkey AS c, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE s_nationkey <> c_nationkey GROUP BY s_nationkey, c_nationkey) t) u WHERE rk <= 2""",
     "cfg_nodes": """SELECT user_id AS fn, event_id AS node, event_type AS kind, CAST(event_id % 3 AS INT) AS var, rn FROM (
- SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events) t WHERE rn <= 24""",
+ SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events) t""",
     "cfg_edges": """SELECT a.fn, a.node AS source, b.node AS target, CASE WHEN a.kind = 'signup' THEN 'true' ELSE 'normal' END AS branch FROM cfg_nodes a JOIN cfg_nodes b ON a.fn = b.fn AND b.rn = a.rn + 1 UNION ALL
 SELECT a.fn, a.node, b.node, 'false' FROM cfg_nodes a JOIN cfg_nodes b ON a.fn = b.fn AND b.rn = a.rn + 2 WHERE a.kind = 'signup' UNION ALL
 SELECT a.fn, a.node, b.node, 'back' FROM cfg_nodes a JOIN cfg_nodes b ON a.fn = b.fn AND b.rn = a.rn - 3 WHERE a.kind = 'error'""",
@@ -166,12 +166,11 @@ class Tables:
 
     @cached_property
     def cfg_nodes(self) -> DataFrame:
-        first = top_n(
-            self.events.select("user_id", "event_id", "event_type", "ts"), ["user_id"], ["ts", "event_id"], 24, "rn"
-        )
-        return first.select(
+        events = self.events.select("user_id", "event_id", "event_type", "ts")
+        placed = prefix_sums(events, ["user_id"], F.to_date("ts"), ["ts", "event_id"], {"rn": F.lit(1)})
+        return placed.select(
             F.col("user_id").alias("fn"), F.col("event_id").alias("node"), F.col("event_type").alias("kind"),
-            (F.col("event_id") % 3).cast("int").alias("var"), "rn",
+            (F.col("event_id") % 3).cast("int").alias("var"), F.col("rn").cast("long").alias("rn"),
         )
 
     @cached_property
