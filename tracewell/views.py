@@ -11,7 +11,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.operators.skew import prefix_sums, top_n
+from tracewell.operators.skew import prefix_sums
 
 EXT_OF_LANG = {"en": ".py", "fr": ".js", "de": ".go"}
 
@@ -27,9 +27,8 @@ SELECT concat('order/', CAST(o_orderkey AS VARCHAR(20))), o_orderpriority, 'meth
 SELECT concat('e2/', CAST(c_custkey AS VARCHAR(20))), concat('nation/', CAST(c_nationkey AS VARCHAR(20))), concat('customer/', CAST(c_custkey AS VARCHAR(20))), 'contains', '' FROM customer UNION ALL
 SELECT concat('e3/', CAST(o_orderkey AS VARCHAR(20))), concat('customer/', CAST(o_custkey AS VARCHAR(20))), concat('order/', CAST(o_orderkey AS VARCHAR(20))), 'calls', 'direct' FROM orders UNION ALL
 SELECT concat('e4/', CAST(l_orderkey AS VARCHAR(20)), '/', CAST(l_linenumber AS VARCHAR(20)), '/', CAST(l_partkey AS VARCHAR(20)), '/', CAST(l_suppkey AS VARCHAR(20))), concat('order/', CAST(l_orderkey AS VARCHAR(20))), concat('supplier/', CAST(l_suppkey AS VARCHAR(20))), 'calls', CASE WHEN l_returnflag = 'R' THEN 'virtual' ELSE 'direct' END FROM lineitem""",
-    "g_calls": """SELECT s AS source, c AS target, n AS weight, CASE WHEN rk = 1 THEN 'must' ELSE 'may' END AS certainty FROM (
- SELECT s, c, n, row_number() OVER (PARTITION BY s ORDER BY n DESC, c) AS rk FROM (
-  SELECT s_nationkey AS s, c_nationkey AS c, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE s_nationkey <> c_nationkey GROUP BY s_nationkey, c_nationkey) t) u WHERE rk <= 2""",
+    "g_calls": """SELECT source, target, 1 AS weight, certainty FROM (SELECT c_custkey AS source, c_custkey // 2 AS target, 'must' AS certainty FROM customer UNION ALL SELECT c_custkey, c_custkey // 3, 'may' FROM customer WHERE c_custkey // 3 <> c_custkey // 2
+ UNION ALL SELECT c_custkey, c_custkey * 2, 'may' FROM customer WHERE c_custkey % 100 = 99) e WHERE source <> target AND target IN (SELECT c_custkey FROM customer)""",
     "cfg_nodes": """SELECT user_id AS fn, event_id AS node, event_type AS kind, CAST(event_id % 3 AS INT) AS var, rn FROM (
  SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events) t""",
     "cfg_edges": """SELECT a.fn, a.node AS source, b.node AS target, CASE WHEN a.kind = 'signup' THEN 'true' ELSE 'normal' END AS branch FROM cfg_nodes a JOIN cfg_nodes b ON a.fn = b.fn AND b.rn = a.rn + 1 UNION ALL
@@ -145,24 +144,13 @@ class Tables:
 
     @cached_property
     def g_calls(self) -> DataFrame:
-        pairs = (
-            self.lineitem.select("l_orderkey", "l_suppkey")
-            .join(self.supplier.select("s_suppkey", F.col("s_nationkey").alias("source")), F.col("l_suppkey") == F.col("s_suppkey"))
-            .join(
-                self.orders.select("o_orderkey", "o_custkey").join(
-                    self.customer.select("c_custkey", F.col("c_nationkey").alias("target")),
-                    F.col("o_custkey") == F.col("c_custkey"),
-                ),
-                F.col("l_orderkey") == F.col("o_orderkey"),
-            )
-            .filter("source <> target")
-            .groupBy("source", "target").agg(F.count("*").alias("weight"))
-        )
-        ranked = top_n(pairs, ["source"], [F.desc("weight"), "target"], 2, "rk")
-        return ranked.select(
-            "source", "target", "weight",
-            F.when(F.col("rk") == 1, "must").otherwise("may").alias("certainty"),
-        )
+        """Customers call those with half and a third of their key, a few also one with twice: shared callees and cycles, in step with the table."""
+        key = F.col("c_custkey")
+        call = lambda cond, target, certainty: F.when(cond, F.struct(target.alias("target"), F.lit(certainty).alias("certainty")))
+        half, third = F.floor(key / 2), F.floor(key / 3)
+        calls = F.array_compact(F.array(call(half != key, half, "must"), call((third != half) & (third != key), third, "may"), call(key % 100 == 99, key * 2, "may")))
+        wanted = self.customer.select(key.alias("source"), F.explode(calls).alias("c")).select("source", "c.target", F.lit(1).alias("weight"), "c.certainty")
+        return wanted.join(self.customer.select(key.alias("target")), "target", "left_semi").select("source", "target", "weight", "certainty")
 
     @cached_property
     def cfg_nodes(self) -> DataFrame:
