@@ -171,3 +171,22 @@ def test_pages_join_up_to_the_whole(spark, hot, table):
     assert seen == sorted((v, i) for _, i, v in hot)
     with pytest.raises(ValueError):
         evidence.cursor_page(table, order, "other", cursor, 5)
+
+
+def test_running_sums_over_a_range_sort(spark):
+    from tracewell.operators.skew import ranked, running_sums
+
+    rng = random.Random(8)
+    rows = [("hot" if i % 3 else f"k{i % 5}", rng.randrange(50), i, rng.randrange(-5, 9)) for i in range(2000)] + [(None, 1, 5000, 3)]
+    df = spark.createDataFrame(rows, "k string, o int, id int, v int").repartition(7)
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1], r[2]))
+    total, per, want = 0, {}, {}
+    for number, (k, _, i, v) in enumerate(order):
+        total, per[k] = total + v, per.get(k, 0) + v
+        want[i] = (total, per[k], sum(1 for x in order[: number + 1] if x[0] == k))
+    every = {r.id: r.s for r in running_sums(df, [], ["k", "o", "id"], {"s": F.col("v")}).collect()}
+    keyed = {r.id: r.s for r in running_sums(df.filter("k is not null"), ["k"], ["o", "id"], {"s": F.col("v")}).collect()}
+    numbers = {r.id: r.rn for r in ranked(df.filter("k is not null"), ["k"], ["o", "id"]).collect()}
+    assert every == {i: w[0] for i, w in want.items()}
+    assert keyed == {i: w[1] for i, w in want.items() if i != 5000} and numbers == {i: w[2] for i, w in want.items() if i != 5000}
+    assert running_sums(df.limit(0), ["k"], ["o"], {"s": F.col("v")}).collect() == []

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions.ids import _tidy
-from tracewell.operators.skew import prefix_sums
+from tracewell.operators.skew import running_sums
 
 # A bracketed reference, a citation, and what merely looks like one.
 _BRACKET = r"\[([^\]\n]+)\]"
@@ -180,10 +180,10 @@ def net_win_rate(pairs: DataFrame, key: str) -> DataFrame:
     return pairs.groupBy(key).agg(count("win").alias("wins"), count("tie").alias("ties"), count("loss").alias("losses"), ((count("win") + 0.5 * count("tie")) / F.count("*")).alias("net_win_rate"))
 
 
-def exact_quantiles(rows: DataFrame, keys: list[str], value: str, wanted: dict[str, float], block: Column | None = None) -> DataFrame:
-    """Linear-interpolated quantiles from counts of distinct values, chained over value blocks; no group is gathered."""
+def exact_quantiles(rows: DataFrame, keys: list[str], value: str, wanted: dict[str, float]) -> DataFrame:
+    """Linear-interpolated quantiles from running counts of distinct values; no group is gathered."""
     counts = rows.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
-    cum = prefix_sums(counts, keys, F.floor("_v") if block is None else block, ["_v"], {"_c": F.col("_n")})
+    cum = running_sums(counts, keys, ["_v"], {"_c": F.col("_n")})
     totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_t"))
     joined = cum.join(totals, keys) if keys else cum.withColumn("_t", totals.select("_t").scalar())
     aggs = []
@@ -213,7 +213,7 @@ def wilcoxon_signed_rank(pairs: DataFrame) -> DataFrame:
     """Signed-rank sums with average ranks for ties, and the normal approximation. Zero differences are dropped."""
     signs = pairs.select((F.col("a") - F.col("b")).alias("d")).filter("d <> 0")
     sizes = signs.groupBy(F.abs("d").alias("m")).agg(F.count("*").alias("n"), F.count_if(F.col("d") > 0).alias("up"))
-    ranked = prefix_sums(sizes, [], F.floor("m"), ["m"], {"c": F.col("n")}).withColumn("rank", F.col("c") - (F.col("n") - 1) / 2)
+    ranked = running_sums(sizes, [], ["m"], {"c": F.col("n")}).withColumn("rank", F.col("c") - (F.col("n") - 1) / 2)
     out = ranked.agg(F.sum("n").alias("n"), F.sum(F.col("rank") * F.col("up")).alias("w_plus"), F.sum(F.col("rank") * (F.col("n") - F.col("up"))).alias("w_minus"), F.sum(F.pow("n", F.lit(3)) - F.col("n")).alias("_ties"))
     n = F.col("n").cast("double")
     spread = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("_ties") / 48)

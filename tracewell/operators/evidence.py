@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions.ids import digest_id
 from tracewell.functions.verdicts import certainty_rank, severity_rank
-from tracewell.operators.skew import first_by, prefix_sums, top_n
+from tracewell.operators.skew import first_by, prefix_sums, ranked, top_n
 
 # Order of kinds and of condition results.
 PRIORITY = {"propagation_path": 1, "structural_lead": 2, "operation_lead": 3}
@@ -97,7 +97,7 @@ def rank_evidence(items: DataFrame, with_rank: bool = True) -> DataFrame:
     """Order of evidence: priority, then first hit of each call site, shell context, severity, place, id.
 
     ``items``: id, priority, shell, severity, path, line, col, rule_id. The first hit of a site is found
-    by partial aggregation; ``rank`` is exact and comes from chained block counts.
+    by partial aggregation; ``rank`` is exact and comes from one range sort.
     """
     keyed = items.withColumn("_not_shell", ~F.coalesce("shell", F.lit(False))).withColumn("_severity", severity_rank("severity"))
     keyed = keyed.withColumn("_site", F.struct("priority", "path", "line", F.coalesce("col", F.lit(-1)).alias("col"), "rule_id"))
@@ -105,8 +105,7 @@ def rank_evidence(items: DataFrame, with_rank: bool = True) -> DataFrame:
     first = keyed.groupBy("_site").agg(F.min("_place").alias("_first"))
     marked = keyed.join(first, "_site").withColumn("is_repeat", F.col("_place") != F.col("_first")).drop("_site", "_place", "_first")
     if with_rank:
-        coarse = F.struct("priority", "is_repeat", "_not_shell", "_severity")
-        marked = prefix_sums(marked, [], [coarse, F.col("path"), F.struct("line", "col"), F.substring("id", 1, 14)], RANK_ORDER, {"rank": F.lit(1)})
+        marked = ranked(marked, [], RANK_ORDER, "rank")
     return marked
 
 
@@ -118,11 +117,14 @@ def retain_variants(flows: DataFrame, pair: Sequence[str], flow: str, status: st
     return kept.join(totals, list(pair)).withColumn("family_truncated", F.col("observed_variants") > limit).drop("_status")
 
 
-def interleave_variants(pairs: DataFrame, leads: DataFrame, pair: Sequence[str], order: Sequence[str], cap: int) -> DataFrame:
-    """First variant of every pair, then second variants, then structural leads; at most ``cap`` rows in all, flagged.
+def interleave_variants(pairs: DataFrame, leads: DataFrame, pair: Sequence[str], order: Sequence[str], cap: int | None = None) -> DataFrame:
+    """First variant of every pair, then second variants, then structural leads; all of them, or ``cap`` rows in all, flagged.
 
     No pair can contribute more than ``cap`` rows, so only that many per pair are ranked.
     """
+    if cap is None:
+        every = ranked(pairs, pair, order, "variant_no").withColumn("phase", F.lit(1)).unionByName(ranked(leads, pair, order, "variant_no").withColumn("phase", F.lit(2)))
+        return every.withColumn("budget_reached", F.lit(False))
     first = top_n(pairs, pair, order, cap, "variant_no").withColumn("phase", F.lit(1))
     second = top_n(leads, pair, order, cap, "variant_no").withColumn("phase", F.lit(2))
     every = first.unionByName(second)

@@ -536,7 +536,7 @@ def taint_frontier(states: DataFrame, local_uses: DataFrame, unresolved: DataFra
     return met.select("src", "call_id", "reason", "name", F.slice("steps", 1, prefix).alias("known_prefix"), F.greatest(F.lit(0), F.size("steps") - prefix).alias("omitted_steps"))
 
 
-def evidence_graph(routes: DataFrame, operations: DataFrame, edges: DataFrame, per_target: int = 8, max_edges: int = 2048) -> tuple[DataFrame, DataFrame]:
+def evidence_graph(routes: DataFrame, operations: DataFrame, edges: DataFrame, per_target: int = 8, max_edges: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(nodes, merged edges) of all candidate routes plus unpaired operations with two rounds of callers.
 
     ``routes``: route, nodes, edge_ids. ``operations``: id (a node). Parallel edges are merged, and
@@ -555,7 +555,7 @@ def evidence_graph(routes: DataFrame, operations: DataFrame, edges: DataFrame, p
     return nodes.groupBy("id").agg(F.min_by("role", order).alias("role")), merge_parallel_edges(used)
 
 
-def build_candidates(flows: DataFrame, leads: DataFrame, facts: DataFrame, unresolved: DataFrame, cap: int, fact_limit: int = 12, unresolved_limit: int = 20) -> DataFrame:
+def build_candidates(flows: DataFrame, leads: DataFrame, facts: DataFrame, unresolved: DataFrame, cap: int | None = None, fact_limit: int = 12, unresolved_limit: int = 20) -> DataFrame:
     """Candidate rows from flows first and structural leads after, with what lies on their way.
 
     ``flows`` / ``leads``: src, snk, nodes, edge_ids, flow_id (null for leads), steps. Every cut is flagged.

@@ -262,17 +262,17 @@ def path_variants(
     return found.join(flags, "s", "left").withColumn("truncated", F.coalesce("truncated", F.lit(False)))
 
 
-def fair_neighbours(edges: DataFrame, target: str, order: Sequence[str], per_target: int = 8, max_edges: int = 2048) -> DataFrame:
-    """Every target gets its first incoming edge before any gets a second; per-target and global caps, both flagged."""
+def fair_neighbours(edges: DataFrame, target: str, order: Sequence[str], per_target: int = 8, max_edges: int | None = None) -> DataFrame:
+    """Every target gets its first incoming edge before any gets a second; a cap per target and, if given, one for all, both flagged."""
     ranked = top_n(edges, [target], order, per_target, "turn")
     totals = edges.groupBy(target).agg(F.count("*").alias("_available"))
-    kept = ranked.orderBy("turn", target, *order).limit(max_edges)
-    over = ranked.agg(F.count("*") > max_edges).scalar()
+    kept = ranked if max_edges is None else ranked.orderBy("turn", target, *order).limit(max_edges)
+    over = F.lit(False) if max_edges is None else ranked.agg(F.count("*") > max_edges).scalar()
     flagged = kept.join(totals, target).withColumn("omitted_for_target", F.greatest(F.lit(0), F.col("_available") - per_target))
     return flagged.withColumn("budget_reached", over).drop("_available")
 
 
-def incoming_context(edges: DataFrame, targets: DataFrame, depth: int = 2, per_target: int = 8, max_edges: int = 2048) -> DataFrame:
+def incoming_context(edges: DataFrame, targets: DataFrame, depth: int = 2, per_target: int = 8, max_edges: int | None = None) -> DataFrame:
     """Callers of the targets, round by round, under the fair caps; a node is expanded once."""
     calls = pin(edges.filter("source <> target"))
     frontier, seen, rounds = targets.select(F.col("id").alias("target")).distinct(), None, []

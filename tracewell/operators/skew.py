@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tracewell.session import pin
+
 Order = Sequence[Column | str]
 
 # Catalyst places a map-side group limit under row_number() <= n up to this n
@@ -32,6 +34,43 @@ def top_n(df: DataFrame, keys: Sequence[str], order: Order, n: int, rank: str =
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(rank) <= n)
 
 
+def running_sums(df: DataFrame, keys: Sequence[str], order: Order, values: dict[str, Column]) -> DataFrame:
+    """Inclusive running sums per key in ``order``, in two passes over one range sort.
+
+    A range partition never holds more than its share, whatever one key holds. Sums run inside each
+    partition; the totals of the earlier partitions, one row each, are chained on the driver.
+    """
+    names = {f"_v{i}": n for i, n in enumerate(values)}
+    work = df
+    for temporary, name in names.items():
+        work = work.withColumn(temporary, values[name])
+    local = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = pin(work.orderBy(*keys, *order).select("*", F.spark_partition_id().alias("_part"), local.alias("_at")))
+    totals = placed.groupBy("_part").agg(F.count("*").alias("_rows"), *[F.sum(t).alias(t) for t in names])
+    before, rows = [0] * (len(names) + 1), []
+    for part, *own in sorted(tuple(r) for r in totals.collect()):
+        rows.append((part, *before))
+        before = [a + (b or 0) for a, b in zip(before, own)]
+    types = ", ".join(f"_o{f.name} {f.dataType.simpleString()}" for f in totals.schema if f.name != "_part")
+    offsets = df.sparkSession.createDataFrame(rows, f"_part int, {types}")
+    inner = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    summed = placed.join(offsets, "_part").withColumn("_pos", F.col("_o_rows") + F.col("_at"))
+    for temporary, name in names.items():
+        summed = summed.withColumn(name, F.col(f"_o{temporary}") + F.coalesce(F.sum(temporary).over(inner), F.lit(0)))
+    if keys:
+        summed = pin(summed)
+        starts = F.min(F.struct("_pos", *[(F.col(n) - F.coalesce(t, F.lit(0))).alias(t) for t, n in names.items()])).alias("_s")
+        summed = summed.join(summed.groupBy(*keys).agg(starts), list(keys))
+        for temporary, name in names.items():
+            summed = summed.withColumn(name, F.col(name) - F.col(f"_s.{temporary}"))
+    return summed.select(*[c for c in df.columns if c not in values], *values)
+
+
+def ranked(df: DataFrame, keys: Sequence[str], order: Order, rank: str = "rn") -> DataFrame:
+    """Row number per key in ``order`` over all its rows, however many one key has."""
+    return running_sums(df, keys, order, {rank: F.lit(1).cast("long")})
+
+
 def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[str], keep: Sequence[str]) -> DataFrame:
     """Row with the smallest ``order`` per key, by partial aggregation instead of a window."""
     head = [c for c in order]

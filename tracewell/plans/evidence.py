@@ -75,8 +75,16 @@ def win02(t):
 
 
 @query("win05_interleave_variants", with_views("candidates") + """SELECT phase, CAST(variant_no AS INT) AS variant_no, s, candidate_id FROM (SELECT 1 AS phase, row_number() OVER (PARTITION BY s ORDER BY col, candidate_id) AS variant_no, s, col, candidate_id FROM candidates WHERE kind = 'propagation_path'
- UNION ALL SELECT 2, row_number() OVER (PARTITION BY s ORDER BY col, candidate_id), s, col, candidate_id FROM candidates WHERE kind <> 'propagation_path') x ORDER BY phase, variant_no, s, col, candidate_id LIMIT 900""")
+ UNION ALL SELECT 2, row_number() OVER (PARTITION BY s ORDER BY col, candidate_id), s, col, candidate_id FROM candidates WHERE kind <> 'propagation_path') x""")
 def win05(t):
+    rows = t.candidates.select("s", "kind", "col", "candidate_id")
+    pairs, leads = rows.filter("kind = 'propagation_path'"), rows.filter("kind <> 'propagation_path'")
+    return evidence.interleave_variants(pairs, leads, ["s"], ["col", "candidate_id"]).select("phase", "variant_no", "s", "candidate_id")
+
+
+@query("win05_interleave_variants_budget", with_views("candidates") + """SELECT phase, CAST(variant_no AS INT) AS variant_no, s, candidate_id FROM (SELECT 1 AS phase, row_number() OVER (PARTITION BY s ORDER BY col, candidate_id) AS variant_no, s, col, candidate_id FROM candidates WHERE kind = 'propagation_path'
+ UNION ALL SELECT 2, row_number() OVER (PARTITION BY s ORDER BY col, candidate_id), s, col, candidate_id FROM candidates WHERE kind <> 'propagation_path') x ORDER BY phase, variant_no, s, col, candidate_id LIMIT 900""")
+def win05_budget(t):
     rows = t.candidates.select("s", "kind", "col", "candidate_id")
     pairs, leads = rows.filter("kind = 'propagation_path'"), rows.filter("kind <> 'propagation_path'")
     return evidence.interleave_variants(pairs, leads, ["s"], ["col", "candidate_id"], 900).select("phase", "variant_no", "s", "candidate_id")
@@ -250,10 +258,10 @@ def fn29(t):
 
 @query("srt03_stable_order", with_views("facts") + "SELECT fact_id, row_number() OVER (ORDER BY path, line, rule_id, fact_id) AS position FROM facts")
 def srt03(t):
-    from tracewell.operators.skew import prefix_sums
+    from tracewell.operators.skew import ranked
 
     order = ["path", "line", "rule_id", "fact_id"]
-    return prefix_sums(t.facts, [], [F.col("path"), F.col("line")], order, {"position": F.lit(1)}).select("fact_id", F.col("position").cast("long").alias("position"))
+    return ranked(t.facts, [], order, "position").select("fact_id", "position")
 
 
 @query("srt04_cursor_page", with_views("facts") + "SELECT fact_id, path, line FROM facts WHERE fact_kind = 'guard' ORDER BY path, line, fact_id LIMIT 25 OFFSET 25")

@@ -380,7 +380,7 @@ _EG = """op AS (SELECT concat('supplier/', s_suppkey) AS id FROM supplier WHERE
 def _evidence_graph(t):
     routes = t.candidates.select(F.col("candidate_id").alias("route"), F.array("s", "mid", "t").alias("nodes"), F.array("e1", "e2").alias("edge_ids"))
     operations = t.supplier.filter("s_acctbal > 9000").select(_txt("supplier/", F.col("s_suppkey")).alias("id"))
-    return flow.evidence_graph(routes, operations, t.g_edges, per_target=3, max_edges=1_000_000)
+    return flow.evidence_graph(routes, operations, t.g_edges, per_target=3)
 
 
 @query("gr31_evidence_graph_edges", with_views("candidates", "g_edges", more=_EG) + "SELECT source, target, relation, dispatch, min(id) AS id, count(*) AS occurrence_count FROM us GROUP BY ALL")
@@ -394,7 +394,7 @@ def gr31_nodes(t):
 
 
 _BC = """ul AS (SELECT concat('u/', l_orderkey, '/', l_linenumber, '/', l_partkey, '/', l_suppkey) AS id, concat('order/', l_orderkey) AS symbol FROM lineitem WHERE l_tax >= 0.06), rk AS (SELECT *, CASE WHEN kind = 'propagation_path' THEN 1 ELSE 2 END AS phase, concat(e1, ',', e2) AS edge_key, row_number() OVER (PARTITION BY src, snk, kind ORDER BY col, concat(e1, ',', e2)) AS variant_no FROM candidates),
- ch AS (SELECT * FROM rk ORDER BY phase, variant_no, src, snk, col, edge_key LIMIT 4000), mk AS (SELECT *, concat('candidate:', substr(sha256(concat_ws(chr(31), src, snk, edge_key, CASE WHEN phase = 1 THEN concat('flow/', e2) ELSE 'structural' END)), 1, 24)) AS cid FROM ch)"""
+ ch AS (SELECT * FROM rk), mk AS (SELECT *, concat('candidate:', substr(sha256(concat_ws(chr(31), src, snk, edge_key, CASE WHEN phase = 1 THEN concat('flow/', e2) ELSE 'structural' END)), 1, 24)) AS cid FROM ch)"""
 
 
 @query("gr32_build_candidates", with_views("candidates", "facts", more=_BC) + """SELECT cid AS candidate_id, path_group_id, src, snk, phase, CAST(variant_no AS INT) AS variant_no, kind, (SELECT count(*) FROM facts f WHERE f.symbol = mid AND fact_kind = 'guard') AS guards, (SELECT count(*) FROM facts f WHERE f.symbol = mid AND fact_kind = 'sanitizer') AS sanitizers, (SELECT count(*) FROM ul WHERE ul.symbol = mid) AS unresolved FROM mk""")
@@ -403,5 +403,5 @@ def gr32(t):
     flows = rows.filter("kind = 'propagation_path'").drop("kind")
     leads = rows.filter("kind <> 'propagation_path'").drop("kind").withColumn("flow_id", F.lit(None).cast("string"))
     unresolved = t.lineitem.filter("l_tax >= 0.06").select(F.concat_ws("/", F.lit("u"), *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]).alias("id"), _txt("order/", F.col("l_orderkey")).alias("symbol"))
-    made = flow.build_candidates(flows, leads, t.facts, unresolved, cap=4000)
+    made = flow.build_candidates(flows, leads, t.facts, unresolved)
     return made.select("candidate_id", "path_group_id", "src", "snk", "phase", "variant_no", "kind", "guards", "sanitizers", "unresolved")
