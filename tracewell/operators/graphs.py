@@ -136,24 +136,27 @@ def filter_graph(
     nodes: DataFrame, edges: DataFrame, levels: Sequence[str] | None, relations: Sequence[str] | None, min_degree: int = 0,
     hidden: Sequence[str] = (), selected: str | None = None, focus: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
-    """(visible nodes, visible edges). Degrees count after the level and relation filter; structural levels ignore them."""
+    """(visible nodes, visible edges). Degrees count after the level and relation filter; structural levels ignore them.
+
+    Candidates and the edges between them are worked out once; degrees decide on these two tables.
+    """
     is_selected = F.col("id") == F.lit(selected) if selected is not None else F.lit(False)
     in_level = F.col("level").isin(*levels) if levels is not None else F.lit(True)
     candidates = nodes.filter(is_selected | (in_level & ~F.col("id").isin(*hidden)))
     if focus and selected is not None:
         touching = edges.filter((F.col("source") == selected) | (F.col("target") == selected))
-        near = touching.select(F.explode(F.array("source", "target")).alias("id")).distinct()
-        candidates = candidates.join(near, "id", "left_semi").unionByName(candidates.filter(is_selected)).distinct()
+        near = touching.select(F.explode(F.array("source", "target")).alias("id")).unionByName(candidates.filter(is_selected).select("id")).distinct()
+        candidates = candidates.join(near, "id", "left_semi")
+    candidates = pin(candidates)
     kept = edges.filter(F.col("relation").isin(*relations)) if relations is not None else edges
-    ids = candidates.select("id")
-    inner = kept.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
+    between = lambda rows, ids: rows.join(ids.select(F.col("id").alias("source")), "source", "left_semi").join(ids.select(F.col("id").alias("target")), "target", "left_semi")
+    inner = between(kept, candidates)
     if min_degree > 0:
-        enough = degrees(inner).filter(F.col("degree") >= min_degree).select("id")
-        exempt = candidates.filter(F.col("level").isin(*STRUCTURAL_LEVELS) | is_selected)
-        rest = candidates.filter(~(F.col("level").isin(*STRUCTURAL_LEVELS) | is_selected)).join(enough, "id", "left_semi")
-        candidates = exempt.unionByName(rest)
-        ids = candidates.select("id")
-        inner = inner.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
+        inner = pin(inner)
+        counted = candidates.join(degrees(inner).select("id", "degree"), "id", "left")
+        exempt = F.col("level").isin(*STRUCTURAL_LEVELS) | is_selected
+        candidates = pin(counted.filter(exempt | (F.col("degree") >= min_degree)).drop("degree"))
+        inner = between(inner, candidates)
     return candidates, inner.select(*edges.columns)
 
 
