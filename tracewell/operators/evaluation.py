@@ -62,6 +62,17 @@ def check_citations(citations: DataFrame, manifest: DataFrame, shown: DataFrame,
     return joined.select(*ident, "path", "abbreviated", final.alias("reason"), exposure.alias("exposure"))
 
 
+def citation_receipts(checked: DataFrame, shown: DataFrame, key: str) -> DataFrame:
+    """Requests that showed some line of an accepted citation (key, cited_path, start_line, end_line, request_id, notice).
+
+    ``checked`` comes from ``check_citations``. ``shown``: path, line, request_id. ``notice`` marks
+    citations whose lines were all shown, but not all in the last request. One flat row per request.
+    """
+    ident = [key, "cited_path", "start_line", "end_line"]
+    lines = checked.filter("reason is null").select(*ident, "path", (F.col("exposure") == "earlier_request").alias("notice"), F.explode(F.sequence("start_line", "end_line")).alias("line"))
+    return lines.join(shown.select("path", "line", "request_id"), ["path", "line"]).select(*ident, "request_id", "notice").distinct()
+
+
 def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), b)
 

@@ -239,8 +239,20 @@ def check_references(candidates: DataFrame, facts: DataFrame, edges: DataFrame)
     )
 
 
-def search_evidence(rows: DataFrame, query: str = "", category: str = "", path: str = "", severity: str = "") -> DataFrame:
-    """Conjunctive filters: category and severity equality, path prefix on any endpoint, literal text anywhere in the row."""
+def search_evidence(
+    rows: DataFrame, query: str = "", category: str = "", path: str = "", severity: str = "", trust: str = "", group: str = "", excluded: DataFrame | None = None
+) -> DataFrame:
+    """Conjunctive filters: category and severity equality, path prefix and trust class on any endpoint, one path group, literal text anywhere in the row.
+
+    ``excluded`` holds the candidate_id of rows that were seen before. Trust classes are in
+    ``source_trust`` and ``sink_trust``.
+    """
+    if excluded is not None:
+        rows = rows.join(excluded.select("candidate_id"), "candidate_id", "left_anti")
+    if group:
+        rows = rows.filter(F.col("path_group_id") == group)
+    if trust:
+        rows = rows.filter((F.col("source_trust") == trust) | (F.col("sink_trust") == trust))
     if category:
         rows = rows.filter(F.col("category") == category)
     if severity:
@@ -286,17 +298,24 @@ def detail_sections(candidates: DataFrame, flows: DataFrame, protections: DataFr
 
 
 def detail_page(section: DataFrame, keys: Sequence[str], order: Sequence[str], offset: int, limit: int, max_bytes: int = 24_000) -> DataFrame:
-    """Rows ``offset``..``offset+limit`` of a section per key with paging facts; too large a page is an error, not a cut."""
-    limit = max(1, min(limit, 10))
+    """Rows ``offset``..``offset+limit`` of a section per key with paging facts.
+
+    A page over ``max_bytes`` is neither cut nor an error of the whole job: its key has one row with
+    ``status`` page_too_large, no position and null contents; all other rows have the status ok.
+    """
+    limit = max(1, limit)
     totals = section.groupBy(*keys).agg(F.count("*").alias("total_items"))
     rows = top_n(section, keys, order, offset + limit, "_rn").filter(F.col("_rn") > offset)
     body = F.to_json(F.struct(*section.columns))
     page = rows.withColumn("position", F.col("_rn") - 1).withColumn("_bytes", F.octet_length(body)).join(totals, list(keys))
     page = page.withColumn("has_more", F.col("total_items") > offset + limit).withColumn("next_offset", F.least(F.col("total_items"), F.lit(offset + limit)))
     sizes = page.groupBy(*keys).agg(F.sum("_bytes").alias("_total"))
-    checked = page.join(sizes, list(keys))
-    guard = F.when(F.col("_total") > max_bytes, F.raise_error(F.lit("detail page exceeds the delivery budget; use a smaller limit"))).otherwise(F.col("position"))
-    return checked.withColumn("position", guard).drop("_rn", "_bytes", "_total")
+    checked = page.join(sizes, list(keys)).withColumn("status", F.when(F.col("_total") > max_bytes, "page_too_large").otherwise("ok"))
+    large = F.col("status") == "page_too_large"
+    # of a page that is too large its first row stays, emptied
+    first = checked.filter(~large | (F.col("_rn") == offset + 1))
+    hidden = [c for c in (*section.columns, "position") if c not in keys]
+    return first.withColumns({c: F.when(~large, F.col(c)) for c in hidden}).drop("_rn", "_bytes", "_total")
 
 
 def page_identity(snapshot: str, filters: Sequence[object]) -> str:

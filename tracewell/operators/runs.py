@@ -43,6 +43,25 @@ def run_metrics(events: DataFrame) -> DataFrame:
     )
 
 
+def run_metric_counts(events: DataFrame) -> DataFrame:
+    """Counters of a run whose keys are open: (run_id, section, key, n), one row per key that occurs.
+
+    Sections: phase (requests by phase), model (completions by model that answered), finish (completions
+    by how they ended), format (retries, rejections with their reason, and skips). ``events``: run_id,
+    event_type, phase, model, finish_reason, response_status, reason.
+    """
+    kind = F.col("event_type")
+    entry = lambda cond, section, key: F.when(cond & key.isNotNull(), F.struct(F.lit(section).alias("section"), key.alias("key")))
+    done = kind == "model.completed"
+    action = F.element_at(F.split(kind, r"\."), -1)
+    reason = F.concat(action, F.coalesce(F.concat(F.lit(":"), F.col("reason")), F.lit("")))
+    entries = F.array_compact(F.array(
+        entry(kind == "model.started", "phase", F.coalesce("phase", F.lit("unknown"))), entry(done, "model", F.col("model")),
+        entry(done, "finish", F.coalesce("finish_reason", "response_status", F.lit("unknown"))), entry(kind.startswith("report.format."), "format", reason),
+    ))
+    return events.select("run_id", F.explode(entries).alias("e")).groupBy("run_id", "e.section", "e.key").agg(F.count("*").alias("n"))
+
+
 def run_durations(events: DataFrame, created: DataFrame) -> DataFrame:
     """Last start to last terminal event, and creation to that start, in milliseconds; never below zero.
 

@@ -229,6 +229,26 @@ def flt11(t):
     return evidence.detail_sections(t.candidates, t.flows, mids.join(t.facts, "symbol"), mids.join(_unresolved(t), "symbol"))
 
 
+@query("flt05_search_by_trust", with_views("candidates") + "SELECT candidate_id, src, snk FROM candidates WHERE (category = 'BUILDING' OR dispatch = 'virtual') AND certainty <> 'must'")
+def flt05_trust(t):
+    """Sources of one category and virtual sinks share a trust class; certain rows were seen before."""
+    outside = lambda cond: F.when(cond, "external").otherwise("internal")
+    rows = t.candidates.withColumns({"source_trust": outside(F.col("category") == "BUILDING"), "sink_trust": outside(F.col("dispatch") == "virtual")})
+    return evidence.search_evidence(rows, trust="external", excluded=t.candidates.filter("certainty = 'must'")).select("candidate_id", "src", "snk")
+
+
+@query("flt05_search_in_group", with_views("candidates") + "SELECT candidate_id, src, snk FROM candidates WHERE path_group_id = (SELECT min(path_group_id) FROM candidates)")
+def flt05_group(t):
+    return evidence.search_evidence(t.candidates, group=t.candidates.agg(F.min("path_group_id")).first()[0] or "").select("candidate_id", "src", "snk")
+
+
+@query("flt11_detail_page_status", with_views("flows") + """SELECT candidate_id, CASE WHEN len(steps) < 5 THEN x.kind END AS kind, CASE WHEN len(steps) < 5 THEN CAST(x.ord - 1 AS INT) END AS position, CASE WHEN len(steps) < 5 THEN 'ok' ELSE 'page_too_large' END AS status FROM (SELECT candidate_id, steps, unnest(steps) AS x FROM flows) f WHERE x.ord <= 9 AND (len(steps) < 5 OR x.ord = 1)""")
+def flt11_status(t):
+    """Pages of five steps or more are over the budget and say so; the others are delivered."""
+    section = t.flows.select("candidate_id", F.size("steps").alias("n"), F.explode("steps").alias("s")).select("candidate_id", "s.ord", "s.kind", F.when(F.col("n") >= 5, F.repeat(F.lit("x"), 1000)).alias("body"))
+    return evidence.detail_page(section, ["candidate_id"], ["ord"], offset=0, limit=9, max_bytes=2000).select("candidate_id", "kind", "position", "status")
+
+
 @query("flt11_detail_page", with_views("flows") + """SELECT candidate_id, x.kind AS kind, x.line AS line, CAST(x.ord - 1 AS INT) AS position, CAST(len(steps) AS BIGINT) AS total_items, len(steps) > 7 AS has_more, least(len(steps), 7) AS next_offset FROM (SELECT candidate_id, steps, unnest(steps) AS x FROM flows) f WHERE x.ord BETWEEN 3 AND 7""")
 def flt11_page(t):
     section = t.flows.select("candidate_id", F.explode("steps").alias("s")).select("candidate_id", "s.ord", "s.kind", "s.symbol", "s.line")

@@ -66,6 +66,18 @@ def agg12(t):
     return runs.run_metrics(_log(t))
 
 
+@query("agg12_run_metric_counts", with_views("run_events") + """SELECT run_id, section, key, count(*) AS n FROM (SELECT run_id, 'phase' AS section, CASE WHEN k % 5 = 0 THEN 'report' WHEN k % 5 = 1 THEN 'unknown' ELSE 'investigate' END AS key FROM run_events WHERE event_type = 'model.started'
+ UNION ALL SELECT run_id, 'model', concat('m', k % 3) FROM run_events WHERE event_type = 'model.completed' UNION ALL SELECT run_id, 'finish', CASE WHEN k % 4 = 0 THEN 'stop' WHEN k % 4 = 1 THEN 'incomplete' ELSE 'unknown' END FROM run_events WHERE event_type = 'model.completed'
+ UNION ALL SELECT run_id, 'format', CASE k % 3 WHEN 0 THEN 'retry' WHEN 1 THEN concat('rejected:r', k % 2) ELSE 'skipped' END FROM run_events WHERE event_type = 'run.failed') x GROUP BY ALL""")
+def agg12_counts(t):
+    k, kind = F.col("k"), F.col("event_type")
+    form = F.when(k % 3 == 0, "report.format.retry").when(k % 3 == 1, "report.format.rejected").otherwise("report.format.skipped")
+    events = t.run_events.select(
+        "run_id", F.when(kind == "run.failed", form).otherwise(kind).alias("event_type"), F.when(k % 5 == 0, "report").when(k % 5 > 1, "investigate").alias("phase"), _txt("m", k % 3).alias("model"),
+        F.when(k % 4 == 0, "stop").alias("finish_reason"), F.when(k % 4 == 1, "incomplete").alias("response_status"), F.when((kind == "run.failed") & (k % 3 == 1), _txt("r", k % 2)).alias("reason"))
+    return runs.run_metric_counts(events)
+
+
 _DUR = f"""dd AS (SELECT run_id, arg_max(epoch_us(created_at), sequence) FILTER (WHERE event_type = 'run.started') AS s, arg_max(epoch_us(created_at), sequence) FILTER (WHERE event_type = 'run.failed') AS e, min(epoch_us(created_at)) AS c FROM run_events GROUP BY run_id),
  dur AS (SELECT run_id, CASE WHEN e < s THEN 0.0 WHEN e >= s THEN {r2('e - s')} END AS duration_ms, CASE WHEN s >= c THEN {r2('s - c')} END AS queue_ms FROM dd)"""
 
@@ -259,6 +271,17 @@ def join31(t):
     return evaluation.check_citations(citations, manifest, shown, "answer_id")
 
 
+@query("join31_citation_receipts", with_views("v_lines", more=_CITED) + """SELECT answer_id, cited_path, start_line, end_line, r AS request_id, exposure = 'earlier_request' AS notice FROM (SELECT answer_id, real, cited_path, start_line, end_line, CASE WHEN fin = end_line - start_line + 1 THEN 'final_request' ELSE 'earlier_request' END AS exposure FROM rs WHERE reason IS NULL) a
+ JOIN (SELECT DISTINCT path, line, line % 2 AS r FROM sh UNION SELECT path, line, 7 FROM sh WHERE line % 5 = 0) q ON q.path = a.real AND q.line BETWEEN start_line AND end_line GROUP BY ALL""")
+def join31_receipts(t):
+    """Requests 0 and 1 showed the even and odd lines, request 7 every fifth one again."""
+    checked = join31(t)
+    line = F.col("line").cast("long")
+    base = t.v_lines.filter("line % 3 <> 0")
+    shown = base.select("path", line.alias("line"), (line % 2).alias("request_id")).unionByName(base.filter("line % 5 = 0").select("path", line.alias("line"), F.lit(7).cast("long").alias("request_id")))
+    return evaluation.citation_receipts(checked, shown, "answer_id")
+
+
 _SHOWN = r"""ln AS (SELECT path, line, strlen(text) AS bytes, CAST(regexp_extract(path, '/([0-9]+)\.', 1) AS BIGINT) AS doc FROM v_lines), rq AS (SELECT conv_id, turn, unnest(range(turn * 2 + 1, turn * 2 + 5)) AS line FROM conversations WHERE turn % 3 <> 2)"""
 
 
