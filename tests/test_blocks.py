@@ -190,3 +190,22 @@ def test_running_sums_over_a_range_sort(spark):
     assert every == {i: w[0] for i, w in want.items()}
     assert keyed == {i: w[1] for i, w in want.items() if i != 5000} and numbers == {i: w[2] for i, w in want.items() if i != 5000}
     assert running_sums(df.limit(0), ["k"], ["o"], {"s": F.col("v")}).collect() == []
+
+
+def test_window_with_thousands_of_skips(spark):
+    """Rounds alternate between one that is kept and one that only just no longer fits."""
+    rows, room = [], 6000
+    for i in range(3000):
+        rows.append(("long", 10_000 - 2 * i, 1, 1))
+        rows.append(("long", 9_999 - 2 * i, room + 50, room))
+        room -= 1
+    rows += [("short", i, 5, 2) for i in range(10)] + [("none", 1, 90_000, 90_000)]
+    want, state = {}, {}
+    for k, o, full, floor in sorted(rows, key=lambda r: (r[0], -r[1])):
+        left = state.get(k, 6000)
+        if floor <= left:
+            want[k, o] = (min(full, left), full > left)
+            state[k] = left - full if full <= left else -1
+    df = spark.createDataFrame(rows, "g string, i int, full_size long, floor_size long").repartition(5)
+    got = {(r.g, r.i): (r.size, r.compacted) for r in runs.latest_first_window(df, "g", "i", 6000).collect()}
+    assert got == want and sum(1 for k in want if k[0] == "long") == 3000

@@ -174,18 +174,19 @@ def unique_line_allowance(reads: DataFrame, run: str, order: str, block: Column,
     return joined.filter(F.col("_stop").isNull() | (F.col(order) < F.col("_stop"))).withColumn("run_stopped", F.col("_stop").isNotNull()).drop("_stop")
 
 
-def latest_first_window(rounds: DataFrame, key: str, order: str, budget: int, block_width: int = 256, max_passes: int = 50) -> DataFrame:
+def latest_first_window(rounds: DataFrame, key: str, order: str, budget: int, block_width: int = 256, passes: int = 6) -> DataFrame:
     """Rounds of each conversation that a budget keeps, newest first.
 
     ``rounds`` has full_size and floor_size (the least a compacted round needs). Rounds are kept whole
     while they fit; the first that does not is compacted into what is left, or skipped when even its
     floor does not fit, and the search goes on with older rounds. Each pass settles all conversations
-    at once with running sums over blocks, so a long conversation is not one task.
+    at once with running sums over blocks, up to the next round that is skipped. What is still open
+    after ``passes`` skips is read once in order, batch by batch, with the room left as only state.
     """
     pending = rounds.select(key, order, "full_size", "floor_size")
     room = pending.select(key).distinct().withColumn("_room", F.lit(budget))
     kept = []
-    for _ in range(max_passes):
+    for _ in range(passes):
         eligible = pending.join(room, key).filter(F.col("floor_size") <= F.col("_room"))
         summed = pin(prefix_sums(eligible, [key], -F.floor(F.col(order) / block_width), [F.desc(order)], {"_sum": F.col("full_size")}))
         over = summed.filter(F.col("_sum") > F.col("_room")).groupBy(key).agg(F.max(F.struct(order, "floor_size")).alias("_o"))
@@ -201,7 +202,35 @@ def latest_first_window(rounds: DataFrame, key: str, order: str, budget: int, bl
             return reduce(DataFrame.unionByName, kept)
         pending = summed.select(key, order, "full_size", "floor_size").join(open_keys.select(key, "_cut"), key).filter(F.col(order) < F.col("_cut")).drop("_cut")
         room = open_keys.select(key, F.col("_room").cast("int").alias("_room"))
-    raise NotConverged(f"windows still open after {max_passes} passes")
+    rest = pending.join(room, key).filter(F.col("floor_size") <= F.col("_room")).select(F.col(key).alias("k"), F.col(order).alias("o"), "full_size", "floor_size", F.col("_room").alias("room"))
+    ordered = rest.withColumns({c: F.col(c).cast("long") for c in ("full_size", "floor_size", "room")}).repartition("k").sortWithinPartitions("k", F.desc("o"))
+    kinds = {f.name: f.dataType.simpleString() for f in ordered.schema}
+    taken = ordered.mapInArrow(_scan_windows, f"k {kinds['k']}, o {kinds['o']}, size long, compacted boolean")
+    sizes = kept[0].schema["size"].dataType
+    kept.append(taken.select(F.col("k").alias(key), F.col("o").alias(order), F.col("size").cast(sizes).alias("size"), "compacted"))
+    return reduce(DataFrame.unionByName, kept)
+
+
+def _scan_windows(batches):
+    """Newest-first scan of sorted rounds; the state is the current conversation and its room."""
+    import pyarrow as pa
+
+    current, room = object(), 0
+    for batch in batches:
+        places, sizes, compacted = [], [], []
+        columns = [batch.column(c).to_pylist() for c in ("k", "full_size", "floor_size", "room")]
+        for place, (key, full, floor, start) in enumerate(zip(*columns)):
+            if key != current:
+                current, room = key, start
+            if floor > room:
+                continue
+            places.append(place)
+            sizes.append(min(full, room))
+            compacted.append(full > room)
+            # a compacted round takes all that is left
+            room = room - full if full <= room else -1
+        at = pa.array(places, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("k").take(at), batch.column("o").take(at), pa.array(sizes, pa.int64()), pa.array(compacted, pa.bool_())], names=["k", "o", "size", "compacted"])
 
 
 def compact_text(rows: DataFrame, text: str, max_chars: int) -> DataFrame:
