@@ -43,12 +43,12 @@ def sequence_graph(steps: DataFrame, order: Sequence[str], block: Column, back:
     return enter.unionByName(inner).unionByName(leave)
 
 
-def hop_table(edges: DataFrame, stride: int = 8) -> DataFrame:
-    """(fn, source, target) pairs of one to ``stride`` hops (a power of two), so that a closure needs that many fewer rounds."""
-    hops, length = pin(edges.select("fn", "source", "target").distinct()), 1
+def hop_table(edges: DataFrame, stride: int = 8, keys: Sequence[str] = ("fn",)) -> DataFrame:
+    """(*keys, source, target) pairs of one to ``stride`` hops (a power of two), so that a closure needs that many fewer rounds."""
+    hops, length = pin(edges.select(*keys, "source", "target").distinct()), 1
     while length < stride:
-        far = hops.select("fn", F.col("source").alias("target"), F.col("target").alias("_far"))
-        hops = pin(hops.unionByName(hops.join(far, ["fn", "target"]).select("fn", "source", F.col("_far").alias("target"))).distinct())
+        far = hops.select(*keys, F.col("source").alias("target"), F.col("target").alias("_far"))
+        hops = pin(hops.unionByName(hops.join(far, [*keys, "target"]).select(*keys, "source", F.col("_far").alias("target"))).distinct())
         length *= 2
     return hops
 
@@ -125,12 +125,16 @@ def control_dependence(edges: DataFrame, ipdom: DataFrame, max_rounds: int = 100
     return closure(walk, up, ["fn", "source", "branch", "stop", "node"], max_rounds, unroll=2).select("fn", "source", "branch", F.col("node").alias("target")).distinct()
 
 
-def reaching_definitions(edges: DataFrame, definitions: DataFrame, uses: DataFrame, reachable: DataFrame | None = None, max_rounds: int = 100_000) -> DataFrame:
+def reaching_definitions(edges: DataFrame, definitions: DataFrame, uses: DataFrame, reachable: DataFrame | None = None, max_rounds: int = 100_000, stride: int = 16) -> DataFrame:
     """Def-use edges (fn, source, target, var, certainty).
 
     ``edges``: fn, source, target, before_write (true: the edge carries the state from before the write).
     ``definitions``: fn, node, var, certain; only certain ones end earlier definitions. A write to a name
     also ends definitions of its member paths ``name.x`` and ``name[x]``. ``uses``: fn, node, var.
+
+    Which edges a name survives does not depend on where it was defined. So the surviving edges of
+    each name are first joined into tables of up to ``stride`` hops, and a round moves all
+    definitions that far.
     """
     if reachable is not None:
         keep = reachable.select("fn", "node")
@@ -140,14 +144,15 @@ def reaching_definitions(edges: DataFrame, definitions: DataFrame, uses: DataFra
     # what one node overwrites is as small as the node, so it travels with the edges
     kills = definitions.filter("certain").groupBy("fn", F.col("node").alias("source")).agg(F.collect_set("var").alias("_kills"))
     nothing = F.array().cast("array<string>")
-    hops = pin(edges.join(kills, ["fn", "source"], "left").select("fn", F.col("source").alias("at"), F.col("target").alias("_to"), "before_write", F.coalesce("_kills", nothing).alias("_kills")))
+    hops = pin(edges.join(kills, ["fn", "source"], "left").select("fn", "source", "target", "before_write", F.coalesce("_kills", nothing).alias("_kills")))
     ended = F.exists("_kills", lambda k: (F.col("var") == k) | F.col("var").startswith(F.concat(k, F.lit("."))) | F.col("var").startswith(F.concat(k, F.lit("["))))
-    start = definitions.select("fn", F.col("node").alias("def"), "var", F.col("node").alias("at"), "certain").join(hops.filter("not before_write"), ["fn", "at"])
-    seed = start.select("fn", "def", "var", "certain", F.col("_to").alias("at"))
-    # a definition that comes back to its own node is written again there, not ended
-    passes = F.col("before_write") | ~ended | (F.col("at") == F.col("def"))
-    step = lambda d: d.join(hops, ["fn", "at"]).filter(passes).select("fn", "def", "var", "certain", F.col("_to").alias("at"))
-    states = closure(seed, step, ["fn", "def", "var", "at", "certain"], max_rounds, unroll=4)
+    # a definition that comes back to its own node is written again there: that is its start once more
+    surviving = hops.join(definitions.select("fn", "var").distinct(), "fn").filter(F.col("before_write") | ~ended)
+    far = hop_table(surviving, stride, ("fn", "var")).select("fn", "var", F.col("source").alias("at"), F.col("target").alias("_to"))
+    start = definitions.select("fn", F.col("node").alias("def"), "var", F.col("node").alias("source"), "certain").join(hops.filter("not before_write").select("fn", "source", "target"), ["fn", "source"])
+    seed = start.select("fn", "def", "var", "certain", F.col("target").alias("at"))
+    step = lambda d: d.join(far, ["fn", "var", "at"]).select("fn", "def", "var", "certain", F.col("_to").alias("at"))
+    states = closure(seed, step, ["fn", "def", "var", "at", "certain"], max_rounds)
     found = states.join(uses.select("fn", F.col("node").alias("at"), F.col("var").cast("string").alias("var")).distinct(), ["fn", "at", "var"])
     totals = found.groupBy("fn", "at", "var").agg(F.count("*").alias("_n"))
     certainty = F.when((F.col("_n") == 1) & F.col("certain"), "must").otherwise("may")
