@@ -302,7 +302,7 @@ def _program_tables(t):
     must = F.lit("must")
     local = (
         row(o, c, "x", "call", k1, "a", must).unionByName(row(t.customer, _txt("c/", F.col("c_custkey")), "res", "sink", _txt("usec/", F.col("c_custkey")), "res", must))
-        .unionByName(row(line.filter("l_linenumber % 2 = 1"), _txt("o/", F.col("l_orderkey")), "p", "call", lid, "b", F.when(F.col("l_discount") >= 0.05, "may").otherwise("must")))
+        .unionByName(row(line, _txt("o/", F.col("l_orderkey")), "p", "call", lid, "b", F.when(F.col("l_discount") >= 0.05, "may").otherwise("must")))
         .unionByName(row(o.filter("o_orderstatus <> 'P'"), order, "r", "return", F.lit("ret"), "r", must))
         .unionByName(row(t.supplier, s, "q", "sink", _txt("uses/", F.col("s_suppkey")), "q", must)).unionByName(row(t.supplier.filter("s_suppkey % 2 = 0"), s, "q", "return", F.lit("ret"), "q", must))
         .unionByName(row(t.nation, _txt("n/", F.col("n_nationkey")), "z", "sink", _txt("usen/", F.col("n_nationkey")), "z", must))
@@ -317,7 +317,7 @@ def _program_tables(t):
     return sources, dedupe(local), dedupe(calls), dedupe(bindings), dedupe(results), sinks
 
 
-_TAINT = """ln AS (SELECT DISTINCT concat('src/', c_custkey) AS src, c_custkey, o_orderkey, o_orderstatus, l_suppkey, s_nationkey, concat_ws('/', 'k2', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS k2, l_returnflag, l_discount, l_tax FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey WHERE c_acctbal > 9000 AND o_orderpriority <> '4-NOT SPECIFIED' AND l_linenumber % 2 = 1),
+_TAINT = """ln AS (SELECT DISTINCT concat('src/', c_custkey) AS src, c_custkey, o_orderkey, o_orderstatus, l_suppkey, s_nationkey, concat_ws('/', 'k2', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS k2, l_returnflag, l_discount, l_tax FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey WHERE c_acctbal > 9000 AND o_orderpriority <> '4-NOT SPECIFIED'),
  tf AS (SELECT src, concat('snk:uses/', l_suppkey) AS snk, concat('call:k1/', o_orderkey, ',call:', k2) AS steps, CASE WHEN l_returnflag = 'R' OR l_discount >= 0.05 THEN 'may' ELSE 'must' END AS certainty FROM ln UNION ALL SELECT src, concat('snk:usec/', c_custkey), concat('call:k1/', o_orderkey, ',call:', k2, ',return:', k2, ',return:k1/', o_orderkey), CASE WHEN l_returnflag = 'R' OR l_discount >= 0.05 THEN 'may' ELSE 'must' END FROM ln WHERE l_suppkey % 2 = 0 AND o_orderstatus <> 'P')"""
 
 
@@ -350,13 +350,13 @@ def gr20(t):
     return flows.filter("snk like 'snk:usen/%'").select("src", "snk", F.array_join("steps", ",").alias("steps"), "certainty")
 
 
-_ROLES = """r0 AS (SELECT concat('c/', c_custkey) AS fn, 'a' AS param, c_mktsegment AS role, [] :: VARCHAR[] AS route FROM customer WHERE c_acctbal > 9500), r1 AS (SELECT concat('o/', o_orderkey) AS fn, 'b' AS param, role, [concat('k1/', o_orderkey)] AS route FROM r0 JOIN orders ON concat('c/', o_custkey) = r0.fn),
+_ROLES = """r0 AS (SELECT concat('c/', c_custkey) AS fn, 'a' AS param, c_mktsegment AS role, [] :: VARCHAR[] AS route FROM customer), r1 AS (SELECT concat('o/', o_orderkey) AS fn, 'b' AS param, role, [concat('k1/', o_orderkey)] AS route FROM r0 JOIN orders ON concat('c/', o_custkey) = r0.fn),
  r2 AS (SELECT concat('s/', l_suppkey) AS fn, 'd' AS param, role, min(list_append(route, concat('k2/', l_orderkey, '/', l_linenumber))) AS route FROM r1 JOIN lineitem ON concat('o/', l_orderkey) = r1.fn GROUP BY ALL HAVING true), al AS (SELECT * FROM r0 UNION ALL SELECT * FROM r1 UNION ALL SELECT * FROM r2), n AS (SELECT fn, param, count(*) AS roles FROM al GROUP BY ALL)"""
 _ROLES = _ROLES.replace("GROUP BY ALL HAVING true", "GROUP BY 1, 2, 3")
 
 
 def _roles(t):
-    parameters = t.customer.filter("c_acctbal > 9500").select(_txt("c/", F.col("c_custkey")).alias("fn"), F.lit("a").alias("param"), F.col("c_mktsegment").alias("role"))
+    parameters = t.customer.select(_txt("c/", F.col("c_custkey")).alias("fn"), F.lit("a").alias("param"), F.col("c_mktsegment").alias("role"))
     passes = t.orders.select(_txt("c/", F.col("o_custkey")).alias("fn"), F.lit("a").alias("param"), _txt("k1/", F.col("o_orderkey")).alias("call"), _txt("o/", F.col("o_orderkey")).alias("target"), F.lit("b").alias("target_param")).unionByName(
         t.lineitem.select(_txt("o/", F.col("l_orderkey")).alias("fn"), F.lit("b").alias("param"), _txt("k2/", F.col("l_orderkey"), "/", F.col("l_linenumber")).alias("call"), _txt("s/", F.col("l_suppkey")).alias("target"), F.lit("d").alias("target_param")))
     return flow.forward_roles(parameters, passes)
