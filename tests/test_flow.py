@@ -213,3 +213,25 @@ def test_depth_cuts_are_flagged(spark, through):
 
     assert run(3) == {("near", True)}
     assert run(6) == {("near", False), ("far", False)}
+
+
+def test_structured_steps(spark):
+    """while a: { if b: break else: continue; c }  try: { d; raise e } handler: { f }  g: return"""
+    rows = [
+        ("w", None, "body", 1, "loop"), ("b", "w", "body", 1, "if"), ("x", "b", "body", 1, "break"), ("y", "b", "else", 1, "continue"), ("c", "w", "body", 2, "plain"),
+        ("t", None, "body", 2, "try"), ("d", "t", "body", 1, "plain"), ("e", "t", "body", 2, "raise"), ("f", "t", "handler", 1, "plain"), ("g", None, "body", 3, "return"),
+    ]
+    # a second function: stray break, raise without handler, empty blocks
+    rows2 = [("i", None, "body", 1, "if"), ("l", None, "body", 2, "loop"), ("t", None, "body", 3, "try"), ("r", "t", "body", 1, "raise"), ("k", None, "body", 4, "break")]
+    steps = spark.createDataFrame([(1, *r) for r in rows] + [(2, *r) for r in rows2], "fn int, node string, parent string, part string, ord int, kind string")
+    got = {(r.fn, r.source, r.target, r.branch) for r in flow.structured_graph(steps, block_width=2).collect()}
+    want = "entry>w w>b:true w>t:false b>x:true b>y:false x>t y>w c>w t>d t>f:exception d>e e>f:exception f>g g>exit".split()
+    want2 = "entry>i i>l:true i>l:false l>l:true l>t:false t>r r>exit:exception k>exit".split()
+
+    def edge(fn, text):
+        ends, _, branch = text.partition(":")
+        a, b = (f"<{x}>" if x in ("entry", "exit") else x for x in ends.split(">"))
+        return fn, a, b, branch or "normal"
+
+    assert got == {edge(1, e) for e in want} | {edge(2, e) for e in want2}
+    assert flow.structured_graph(steps.limit(0)).collect() == []

@@ -17,7 +17,7 @@ from tracewell.functions.dominator_tree import tree_of_one_function
 from tracewell.functions.ids import digest_id
 from tracewell.operators.fixpoint import NotConverged, closure
 from tracewell.operators.graphs import path_variants
-from tracewell.operators.skew import prefix_sums, top_n
+from tracewell.operators.skew import prefix_sums, top_n, with_neighbour
 from tracewell.session import pin
 
 
@@ -43,6 +43,59 @@ def sequence_graph(steps: DataFrame, order: Sequence[str], block: Column, back:
     return enter.unionByName(inner).unionByName(leave)
 
 
+def resolved_upwards(rows: DataFrame, max_rounds: int = 64) -> DataFrame:
+    """(fn, node, value): the value of a node, or that of the nearest one above it that has one; null if none has.
+
+    ``rows``: fn, node, value, up. Every round doubles how far up a node has looked.
+    """
+    current = pin(rows.select("fn", "node", "value", F.when(F.col("value").isNull(), F.col("up")).alias("up")))
+    for _ in range(max_rounds):
+        if current.filter("up is not null").isEmpty():
+            return current.select("fn", "node", "value")
+        above = current.select("fn", F.col("node").alias("up"), F.col("value").alias("_value"), F.col("up").alias("_up"))
+        current = pin(current.join(above, ["fn", "up"], "left").select("fn", "node", F.coalesce("value", "_value").alias("value"), F.when(F.coalesce("value", "_value").isNull(), F.col("_up")).alias("up")))
+    raise NotConverged("blocks are nested in a cycle")
+
+
+def structured_graph(steps: DataFrame, order: str = "ord", block_width: int = 1000) -> DataFrame:
+    """Labelled flow edges (fn, source, target, branch) of nested steps, with entry and exit.
+
+    ``steps``: fn, node, parent (null at the top), part (body, else or handler of the parent), ``order``
+    within that block, and kind: if, loop, try, break, continue, return, raise or plain. After the last
+    step of a block control goes on behind the parent, or back to it if that is a loop. An empty block
+    is passed by; break, continue and raise without a matching parent leave the function.
+    """
+    rows = pin(steps.select("fn", F.col("node").cast("string").alias("node"), F.col("parent").cast("string").alias("parent"), "part", F.col(order).alias("o"), "kind"))
+    block = ["fn", "parent", "part"]
+    above = rows.select("fn", F.col("node").alias("parent"), F.col("kind").alias("above"))
+    placed = with_neighbour(rows.fillna("", ["parent"]), block, F.floor(F.col("o") / block_width), ["o", "node"], ["node"], prefix="_next")
+    placed = pin(placed.withColumn("parent", F.when(F.col("parent") != "", F.col("parent"))).join(above, ["fn", "parent"], "left").select("fn", "node", "parent", "part", "o", "kind", "above", F.col("_next.node").alias("next")))
+    heads = pin(placed.groupBy("fn", F.col("parent").alias("node"), "part").agg(F.min_by("node", F.struct("o", "node")).alias("head")))
+    part = lambda name: heads.filter(F.col("part") == name).select("fn", "node", F.col("head").alias(name))
+    leave = F.lit("<exit>")
+    behind = F.coalesce("next", F.when(F.col("parent").isNull(), leave).when(F.col("above") == "loop", F.col("parent")))
+    follow = resolved_upwards(placed.select("fn", "node", behind.alias("value"), F.col("parent").alias("up"))).withColumnRenamed("value", "follow")
+    loop = resolved_upwards(placed.select("fn", "node", F.when(F.col("above") == "loop", F.col("parent")).alias("value"), F.col("parent").alias("up"))).withColumnRenamed("value", "loop")
+    catches = placed.filter("above = 'try' and part = 'body'").select("fn", "node", "parent").join(part("handler").withColumnRenamed("node", "parent"), ["fn", "parent"]).select("fn", "node", "handler")
+    caught = resolved_upwards(placed.join(catches, ["fn", "node"], "left").select("fn", "node", F.col("handler").alias("value"), F.col("parent").alias("up"))).withColumnRenamed("value", "caught")
+    full = placed.select("fn", "node", "kind").join(follow, ["fn", "node"]).join(loop, ["fn", "node"]).join(caught, ["fn", "node"])
+    for name in ("body", "else", "handler"):
+        full = full.join(part(name), ["fn", "node"], "left")
+    full = full.join(follow.select("fn", F.col("node").alias("loop"), F.col("follow").alias("after_loop")), ["fn", "loop"], "left")
+    kind = F.col("kind")
+    to = lambda cond, target, branch: F.when(cond, F.struct(target.alias("target"), F.lit(branch).alias("branch")))
+    out = F.array_compact(F.array(
+        to(kind == "if", F.coalesce("body", "follow"), "true"), to(kind == "if", F.coalesce("else", "follow"), "false"),
+        to(kind == "loop", F.coalesce("body", "node"), "true"), to(kind == "loop", F.col("follow"), "false"),
+        to(kind == "try", F.coalesce("body", "follow"), "normal"), to((kind == "try") & F.col("handler").isNotNull(), F.col("handler"), "exception"),
+        to(kind == "break", F.coalesce("after_loop", leave), "normal"), to(kind == "continue", F.coalesce("loop", leave), "normal"),
+        to(kind == "return", leave, "normal"), to(kind == "raise", F.coalesce("caught", leave), "exception"), to(kind == "plain", F.col("follow"), "normal"),
+    ))
+    inner = full.select("fn", F.col("node").alias("source"), F.explode(out).alias("e")).select("fn", "source", "e.target", "e.branch")
+    enter = heads.filter("node is null").groupBy("fn").agg(F.min("head").alias("target"))
+    return enter.select("fn", F.lit("<entry>").alias("source"), "target", F.lit("normal").alias("branch")).unionByName(inner)
+
+
 def hop_table(edges: DataFrame, stride: int = 8, keys: Sequence[str] = ("fn",)) -> DataFrame:
     """(*keys, source, target) pairs of one to ``stride`` hops (a power of two), so that a closure needs that many fewer rounds."""
     hops, length = pin(edges.select(*keys, "source", "target").distinct()), 1

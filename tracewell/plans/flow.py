@@ -26,6 +26,34 @@ def gr11(t):
     return flow.sequence_graph(steps, ["node"], F.floor(F.col("node") / 2000))
 
 
+_NESTED = """nn AS (SELECT fn, CAST(node AS VARCHAR) AS node, rn, rn // 4 AS up, max(rn) OVER (PARTITION BY fn) AS last, node AS ident FROM cfg_nodes),
+ ns AS (SELECT n.fn, n.node, n.rn, p.node AS parent, CASE WHEN 4 * n.rn <= n.last THEN CASE n.ident % 3 WHEN 0 THEN 'if' WHEN 1 THEN 'loop' ELSE 'try' END ELSE CASE n.ident % 5 WHEN 0 THEN 'break' WHEN 1 THEN 'continue' WHEN 2 THEN 'return' WHEN 3 THEN 'raise' ELSE 'plain' END END AS kind,
+  CASE WHEN p.ident % 3 = 0 AND n.rn % 4 = 3 THEN 'else' WHEN p.ident % 3 = 2 AND n.rn % 4 = 3 THEN 'handler' ELSE 'body' END AS part FROM nn n LEFT JOIN nn p ON p.fn = n.fn AND p.rn = n.up),
+ nb AS (SELECT s.*, q.kind AS above, lead(s.node) OVER (PARTITION BY s.fn, s.parent, s.part ORDER BY s.rn) AS next FROM ns s LEFT JOIN ns q ON q.fn = s.fn AND q.node = s.parent), hd AS (SELECT fn, parent AS node, part, arg_min(node, rn) AS head FROM nb GROUP BY ALL),
+ fo AS (SELECT fn, node, node AS cur FROM nb UNION ALL SELECT f.fn, f.node, b.parent FROM fo f JOIN nb b ON b.fn = f.fn AND b.node = f.cur WHERE b.next IS NULL AND b.parent IS NOT NULL AND b.above <> 'loop'),
+ fw AS (SELECT f.fn, f.node, coalesce(b.next, CASE WHEN b.parent IS NULL THEN '<exit>' ELSE b.parent END) AS follow FROM fo f JOIN nb b ON b.fn = f.fn AND b.node = f.cur WHERE b.next IS NOT NULL OR b.parent IS NULL OR b.above = 'loop'),
+ an AS (SELECT fn, node, node AS cur, 0 AS d FROM nb UNION ALL SELECT a.fn, a.node, b.parent, d + 1 FROM an a JOIN nb b ON b.fn = a.fn AND b.node = a.cur WHERE b.parent IS NOT NULL),
+ lp AS (SELECT a.fn, a.node, arg_min(b.parent, d) AS loop FROM an a JOIN nb b ON b.fn = a.fn AND b.node = a.cur WHERE b.above = 'loop' GROUP BY ALL),
+ ca AS (SELECT a.fn, a.node, arg_min(h.head, d) AS caught FROM an a JOIN nb b ON b.fn = a.fn AND b.node = a.cur JOIN hd h ON h.fn = b.fn AND h.node = b.parent AND h.part = 'handler' WHERE b.above = 'try' AND b.part = 'body' GROUP BY ALL),
+ al AS (SELECT nb.fn, nb.node, kind, fw.follow, lp.loop, ca.caught, lf.follow AS after_loop, h1.head AS body, h2.head AS other, h3.head AS handler FROM nb JOIN fw ON fw.fn = nb.fn AND fw.node = nb.node LEFT JOIN lp ON lp.fn = nb.fn AND lp.node = nb.node LEFT JOIN ca ON ca.fn = nb.fn AND ca.node = nb.node
+  LEFT JOIN fw lf ON lf.fn = lp.fn AND lf.node = lp.loop LEFT JOIN hd h1 ON h1.fn = nb.fn AND h1.node = nb.node AND h1.part = 'body' LEFT JOIN hd h2 ON h2.fn = nb.fn AND h2.node = nb.node AND h2.part = 'else' LEFT JOIN hd h3 ON h3.fn = nb.fn AND h3.node = nb.node AND h3.part = 'handler')"""
+
+
+@query("gr11_structured_graph", with_views("cfg_nodes", more=_NESTED) + """SELECT fn, '<entry>' AS source, head AS target, 'normal' AS branch FROM hd WHERE node IS NULL UNION ALL SELECT fn, node, coalesce(body, follow), 'true' FROM al WHERE kind = 'if' UNION ALL SELECT fn, node, coalesce(other, follow), 'false' FROM al WHERE kind = 'if'
+ UNION ALL SELECT fn, node, coalesce(body, node), 'true' FROM al WHERE kind = 'loop' UNION ALL SELECT fn, node, follow, 'false' FROM al WHERE kind = 'loop' UNION ALL SELECT fn, node, coalesce(body, follow), 'normal' FROM al WHERE kind = 'try' UNION ALL SELECT fn, node, handler, 'exception' FROM al WHERE kind = 'try' AND handler IS NOT NULL
+ UNION ALL SELECT fn, node, coalesce(after_loop, '<exit>'), 'normal' FROM al WHERE kind = 'break' UNION ALL SELECT fn, node, coalesce(loop, '<exit>'), 'normal' FROM al WHERE kind = 'continue' UNION ALL SELECT fn, node, '<exit>', 'normal' FROM al WHERE kind = 'return' UNION ALL SELECT fn, node, coalesce(caught, '<exit>'), 'exception' FROM al WHERE kind = 'raise' UNION ALL SELECT fn, node, follow, 'normal' FROM al WHERE kind = 'plain'""")
+def gr11_structured(t):
+    """Events of a run as nested blocks: the n-th event holds the four that start at position 4n."""
+    nodes = t.cfg_nodes.select("fn", "node", "rn")
+    last = nodes.groupBy("fn").agg(F.max("rn").alias("last"))
+    up = nodes.select("fn", F.col("rn").alias("up"), F.col("node").alias("parent"))
+    rows = nodes.join(last, "fn").withColumn("up", F.floor(F.col("rn") / 4)).join(up, ["fn", "up"], "left")
+    pick = lambda names: F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("node") % len(names) + 1).cast("int"))
+    kind = F.when(4 * F.col("rn") <= F.col("last"), pick(["if", "loop", "try"])).otherwise(pick(["break", "continue", "return", "raise", "plain"]))
+    part = F.when(F.col("rn") % 4 == 3, F.when(F.col("parent") % 3 == 0, "else").when(F.col("parent") % 3 == 2, "handler")).otherwise("body")
+    return flow.structured_graph(rows.select("fn", "node", "parent", F.coalesce(part, F.lit("body")).alias("part"), F.col("rn").alias("ord"), kind.alias("kind")))
+
+
 _DOM = """ent AS (SELECT fn, node FROM cfg_nodes WHERE rn = 1), av AS (SELECT n.fn, n.node AS x, e.node AS v FROM cfg_nodes n JOIN ent e ON e.fn = n.fn WHERE n.node <> e.node UNION SELECT av.fn, av.x, g.target FROM av JOIN cfg_edges g ON g.fn = av.fn AND g.source = av.v WHERE g.target <> av.x),
  dom AS (SELECT n.fn, x.node AS u, n.node AS v FROM cfg_nodes n JOIN cfg_nodes x ON x.fn = n.fn AND x.node <> n.node LEFT JOIN av ON av.fn = n.fn AND av.x = x.node AND av.v = n.node WHERE av.v IS NULL),
  dep AS (SELECT fn, v, count(*) AS d FROM dom GROUP BY fn, v), idom AS (SELECT dom.fn, dom.v AS node, arg_max(u, coalesce(d, 0)) AS idom FROM dom LEFT JOIN dep ON dep.fn = dom.fn AND dep.v = dom.u GROUP BY dom.fn, dom.v)"""
