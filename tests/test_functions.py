@@ -138,3 +138,13 @@ def test_requests_and_responses_show_allowed_fields_only(spark):
     get = lambda value, expr: json.loads(column(spark, [json.dumps(value)], expr)[0])
     assert get(request, runs.visible_request(F.col("v"))) == {"model": "m", "input": [shown, {"role": "tool", "content": clean}], "tools": [{"function": {"name": "f", "password": "[REDACTED]"}}], "stream": True}
     assert get(response, runs.visible_response(F.col("v"))) == {"id": "r", "output": [{"type": "message", **shown}, {"type": "function_call", "arguments": clean}], "incomplete_details": {"reason": "x"}, "choices": [{"finish_reason": "stop", "message": shown}], "usage": {"total_tokens": 3}}
+
+
+def test_long_quoted_secrets(spark):
+    long = "x" * 200_000
+    source = [f'token = "{long}" end', f"token = '{long}\\'{long}' end", f'token = "{long}', 'password: "a\'b\\"c" x', "secret = 'it\\'s \"q\"' y"]
+    got = column(spark, source, redact.redact_source("v", F.lit("a.py")))
+    assert got == ['token = "[REDACTED]" end', "token = '[REDACTED]' end", source[2], 'password: "[REDACTED]" x', "secret = '[REDACTED]' y"]
+    from tracewell.functions.json_rows import masked
+
+    assert [masked(x) for x in source] == got

@@ -2,7 +2,8 @@
 
 KEY_NAME = r"(?:[A-Za-z_][\w-]*[_-])?(?:api[_-]?key|secret|token|password)"
 ASSIGNED = r"(?<![\w-])(?:[\"']?" + KEY_NAME + r"[\"']?)[ \t]*[:=][ \t]*"
-QUOTED = r"(?i)(" + ASSIGNED + r")([\"'])((?:\\[^\r\n]|(?!\2)[^\r\n\\])+)\2"
+# runs of plain characters are taken whole, so that a long value needs no deep matching stack
+QUOTED = r"(?i)(" + ASSIGNED + r")([\"'])(?:(?<=\")(?:[^\"\r\n\\]++|\\[^\r\n])++|(?<=')(?:[^'\r\n\\]++|\\[^\r\n])++)\2"
 TRIPLE = r"(?is)" + ASSIGNED + r"(\"{3}|'{3}).*?\1"
 BARE = r"(?i)(" + ASSIGNED + r")(\[REDACTED\]|[^\s,\"'\)\]\}]+)"
 API_KEY = r"\bsk-[A-Za-z0-9_-]{12,}\b"

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from tracewell.functions.ids import _col, digest_id
 from tracewell.functions.text import first_match_line, line_count
+from tracewell.functions.redact import redact_literals, redact_source
 from tracewell.operators.skew import prefix_sums, top_n
 
 # Source languages by extension, ignored folders, sanitising lists and header markers.
@@ -205,6 +206,13 @@ def search_literals(lines: DataFrame, queries: Sequence[str]) -> DataFrame:
     return lines.withColumn("query_indices", indices).filter(F.size("query_indices") > 0)
 
 
+def hit_previews(hits: DataFrame, max_chars: int = 240) -> DataFrame:
+    """Hits (path, line, text, query_indices) with the text replaced by a masked preview and whether it was shortened."""
+    masked = redact_source("text", "path")
+    shown = hits.withColumn("preview", masked)
+    return shown.withColumn("shortened", F.length("preview") > max_chars).withColumn("preview", F.substring("preview", 1, max_chars)).drop("text")
+
+
 def search_terms_table(lines: DataFrame, words: DataFrame) -> DataFrame:
     """Hits of a table of literal words (idx, word): whole tokens, by an equi join on the folded token."""
     token = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))))
@@ -448,7 +456,7 @@ def snippets_around(
         "path", "line", "end_line",
         F.when(F.col("truncated"), F.col("line") - F.col("_up.taken")).otherwise(F.col("req_start")).alias("start_line"),
         F.when(F.col("truncated"), F.col("line") + F.col("_down.taken")).otherwise(F.col("req_end")).alias("stop_line"),
-        F.when(F.col("truncated"), part).otherwise(whole).alias("text"), "truncated",
+        redact_literals(F.when(F.col("truncated"), part).otherwise(whole)).alias("text"), "truncated",
         F.when(F.col("truncated"), F.col("req_start")).alias("requested_start_line"), F.when(F.col("truncated"), F.col("req_end")).alias("requested_end_line"),
     )
     return out.withColumn("snippet_id", digest_id("snippet:", "path", F.lit(role), "start_line", "stop_line", "text"))

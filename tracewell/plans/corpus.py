@@ -287,6 +287,13 @@ def flt03(t):
     return hits.select("path", "line", F.array_join(F.col("query_indices").cast("array<string>"), ",").alias("query_indices"))
 
 
+@query("flt03_hit_previews", with_views("v_lines") + r"""SELECT path, CAST(line AS INT) AS line, substr(m, 1, 40) AS preview, length(m) > 40 AS shortened FROM (SELECT path, line, regexp_replace(regexp_replace(concat('token = "', text, '" sk-abcdefghijklmnop ', line), '((?i)token = )"[^"\\\r\n]+"', '\1"[REDACTED]"', 'g'), '\bsk-[A-Za-z0-9_-]{12,}\b', '[REDACTED]', 'g') AS m FROM v_lines) x WHERE m IS NOT NULL""")
+def flt03_previews(t):
+    """Every line as a secret that a search finds: none is shown in clear."""
+    rows = t.v_lines.select("path", "line", F.concat(F.lit('token = "'), "text", F.lit('" sk-abcdefghijklmnop '), F.col("line").cast("string")).alias("text"))
+    return corpus.hit_previews(corpus.search_literals(rows, ["TOKEN"]), 40).select("path", "line", "preview", "shortened")
+
+
 @query("flt03_query_hit_counts", with_views("v_lines", more=_HITS) + "SELECT CAST(i AS INT) AS query_index, count(*) AS hits FROM (SELECT unnest(string_split(query_indices, ',')) AS i FROM h WHERE query_indices <> '') x GROUP BY 1")
 def flt03_counts(t):
     hits = corpus.search_literals(t.v_lines, WORDS)
@@ -406,7 +413,7 @@ def srt02(t):
 _SNIP = """hit AS (SELECT path, line, line + 1 AS end_line FROM v_lines WHERE contains(text, 'sch ')), n AS (SELECT h.path, h.line, h.end_line, v.line AS k, concat(v.line, ': ', v.text) AS shown FROM hit h JOIN v_lines v ON v.path = h.path AND v.line BETWEEN greatest(1, h.line - 2) AND h.end_line + 2)"""
 
 
-@query("win10_snippets", with_views("v_lines", more=_SNIP) + "SELECT path, CAST(line AS INT) AS line, CAST(min(k) AS INT) AS start_line, CAST(max(k) AS INT) AS stop_line, sha256(string_agg(shown, chr(10) ORDER BY k)) AS body FROM n GROUP BY path, line HAVING sum(length(shown)) + count(*) - 1 <= 700")
+@query("win10_snippets", with_views("v_lines", more=_SNIP) + r"""SELECT path, CAST(line AS INT) AS line, CAST(min(k) AS INT) AS start_line, CAST(max(k) AS INT) AS stop_line, sha256(regexp_replace(regexp_replace(string_agg(shown, chr(10) ORDER BY k), '((?i)token = )"[^"\r\n]+"', '\1"[REDACTED]"', 'g'), '\bsk-[A-Za-z0-9_-]{12,}\b', '[REDACTED]', 'g')) AS body FROM n GROUP BY path, line HAVING sum(length(shown)) + count(*) - 1 <= 700""")
 def win10(t):
     hits = t.v_lines.filter(F.contains("text", F.lit("sch "))).select("path", "line", (F.col("line") + 1).alias("end_line"))
     found = corpus.snippets_around(t.v_lines, hits, context=2, max_chars=700).filter("not truncated")
