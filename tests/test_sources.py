@@ -55,3 +55,21 @@ def test_inventory_of_frameworks(spark):
     text = '{"dependencies": {"vue": "3"}, "devDependencies": {"vite": "5", "left-pad": "1"}}'
     got = corpus.package_frameworks(spark.createDataFrame([("package.json", text), ("x/package.json", "{")], "path string, text string")).collect()
     assert {(r.path, r.framework) for r in got} == {("package.json", "Vue"), ("package.json", "Vite")}
+
+
+def test_sink_is_compacted(spark, tmp_path):
+    """Twelve drains with a compaction every four: few folders, and always the newest version of each row."""
+    from pyspark.sql import functions as F
+
+    from tracewell.streaming import feeds
+
+    schema = spark.createDataFrame([(1, 1)], "k long, v long").schema
+    counts = []
+    for i in range(12):
+        spark.createDataFrame([(k, i) for k in range(i % 5, 20)], schema).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+        feeds.upsert_available(stream.groupBy("k").agg(F.max("v").alias("v")), f"{tmp_path}/sink", f"{tmp_path}/checkpoint", ["k"], compact_every=4)
+        got = {r.k: r.v for r in feeds.latest_rows(spark, f"{tmp_path}/sink", ["k"]).collect()}
+        assert got == {k: max(j for j in range(i + 1) if k >= j % 5) for k in range(20) if any(k >= j % 5 for j in range(i + 1))}
+        counts.append(len([p for p in (tmp_path / "sink").iterdir() if p.name.startswith("batch=")]))
+    assert max(counts) <= 5 and counts[-1] < 5

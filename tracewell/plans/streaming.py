@@ -48,14 +48,14 @@ _STATE = """ev AS (SELECT run_id, sequence, CASE WHEN event_type = 'run.failed'
 def st02(t):
     folder = feeds.scratch(t.spark, "state")
     per_run = _kinds(_live(t).run_events).groupBy("run_id").agg(*feeds.run_state_aggregates())
-    feeds.upsert_available(per_run, f"{folder}/sink", f"{folder}/checkpoint")
+    feeds.upsert_available(per_run, f"{folder}/sink", f"{folder}/checkpoint", ["run_id"])
     return feeds.run_state(feeds.latest_rows(t.spark, f"{folder}/sink", ["run_id"]))
 
 
 @query("st03_expire_leases_stream", with_views("run_events") + "SELECT run_id, CASE WHEN epoch_us(TIMESTAMP '2024-01-31 12:00:00') - max(epoch_us(created_at)) > 7200000000 THEN 'failed' ELSE 'running' END AS status FROM run_events GROUP BY run_id")
 def st03_stream(t):
     folder = feeds.scratch(t.spark, "lease")
-    feeds.upsert_available(_live(t).run_events.groupBy("run_id").agg(*feeds.heartbeat_aggregates()), f"{folder}/sink", f"{folder}/checkpoint")
+    feeds.upsert_available(_live(t).run_events.groupBy("run_id").agg(*feeds.heartbeat_aggregates()), f"{folder}/sink", f"{folder}/checkpoint", ["run_id"])
     now = F.unix_micros(F.lit("2024-01-31 12:00:00").cast("timestamp"))
     last = feeds.latest_rows(t.spark, f"{folder}/sink", ["run_id"])
     return last.select("run_id", F.when(now - F.col("last_heartbeat") > 7_200_000_000, "failed").otherwise("running").alias("status"))
@@ -71,7 +71,7 @@ def _progress(t):
     kind = F.col("event_type")
     status = F.when(kind == "run.failed", "failed").when(kind == "tool.requested", "completed").when(kind == "run.started", "pending").otherwise("running")
     updates = _live(t).run_events.select("run_id", (F.col("run_id") * 10 + F.col("sequence") % 7).alias("request_id"), "sequence", "created_at", kind.alias("stage"), status.alias("status"), F.col("k").alias("done"))
-    feeds.upsert_available(updates.groupBy("run_id", "request_id").agg(*feeds.progress_aggregates()), f"{folder}/sink", f"{folder}/checkpoint")
+    feeds.upsert_available(updates.groupBy("run_id", "request_id").agg(*feeds.progress_aggregates()), f"{folder}/sink", f"{folder}/checkpoint", ["run_id", "request_id"])
     return feeds.progress_snapshot(feeds.latest_rows(t.spark, f"{folder}/sink", ["run_id", "request_id"]), F.lit("2024-01-30 00:00:00").cast("timestamp"), 86_400)
 
 
@@ -101,7 +101,7 @@ def st05_stream(t):
  CAST(coalesce(sum(k) FILTER (WHERE event_type = 'model.started'), 0) AS BIGINT) AS request_characters, CAST(coalesce(sum(k) FILTER (WHERE event_type = 'model.completed'), 0) AS BIGINT) AS response_characters, max(sequence) AS last_sequence FROM run_events GROUP BY run_id""")
 def st06(t):
     folder = feeds.scratch(t.spark, "metrics")
-    feeds.upsert_available(_live(t).run_events.groupBy("run_id").agg(*feeds.metric_aggregates()), f"{folder}/sink", f"{folder}/checkpoint")
+    feeds.upsert_available(_live(t).run_events.groupBy("run_id").agg(*feeds.metric_aggregates()), f"{folder}/sink", f"{folder}/checkpoint", ["run_id"])
     return feeds.latest_rows(t.spark, f"{folder}/sink", ["run_id"])
 
 

@@ -35,10 +35,25 @@ def append_available(stream: DataFrame, sink: str, checkpoint: str) -> None:
     query.awaitTermination()
 
 
-def upsert_available(stream: DataFrame, sink: str, checkpoint: str) -> None:
-    """Deliver changed result rows; each micro-batch owns one partition, so a repeated batch replaces itself."""
+def upsert_available(stream: DataFrame, sink: str, checkpoint: str, keys: Sequence[str] = (), compact_every: int = 16) -> None:
+    """Deliver changed result rows; each micro-batch owns one partition, so a repeated batch replaces itself.
+
+    With ``keys``, every ``compact_every`` batches the newest version of each row goes into the partition
+    of that batch and the older ones are removed. A reader sees the same rows before, during and after.
+    """
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{sink}/batch={number}")
+        older = [n for n in _batches(batch.sparkSession, sink) if n < number]
+        if keys and len(older) >= compact_every:
+            spark = batch.sparkSession
+            past = spark.read.option("basePath", sink).parquet(*[f"{sink}/batch={n}" for n in older])
+            values = [c for c in batch.columns if c not in keys]
+            both = past.select(*keys, *values, "batch").unionByName(batch.select(*keys, *values).withColumn("batch", F.lit(number)))
+            batch = _newest(both, keys, values)
+            batch.write.mode("overwrite").parquet(f"{sink}/batch={number}")
+            for n in older:
+                _remove(spark, f"{sink}/batch={n}")
+        else:
+            batch.write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
     query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode("update").start()
     query.awaitTermination()
@@ -47,11 +62,34 @@ def upsert_available(stream: DataFrame, sink: str, checkpoint: str) -> None:
 def latest_rows(spark: SparkSession, sink: str, keys: Sequence[str]) -> DataFrame:
     """Newest version of each result row of an ``upsert_available`` sink."""
     rows = spark.read.option("basePath", sink).parquet(sink)
-    values = [c for c in rows.columns if c not in (*keys, "batch")]
+    return _newest(rows, keys, [c for c in rows.columns if c not in (*keys, "batch")])
+
+
+def _newest(rows: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
     newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_v"))
     return newest.select(*keys, *[F.col(f"_v.{c}").alias(c) for c in values])
 
 
+def _folder(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def _batches(spark: SparkSession, sink: str) -> list[int]:
+    """Numbers of the finished batches of a sink, on any storage that Spark reaches."""
+    files, place = _folder(spark, sink)
+    if not files.exists(place):
+        return []
+    names = [status.getPath() for status in files.listStatus(place)]
+    done = [p for p in names if files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return sorted(int(p.getName().split("=")[1]) for p in done if p.getName().startswith("batch="))
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    files, place = _folder(spark, path)
+    files.delete(place, True)
+
+
 def tail_events(events: DataFrame, terminal: Sequence[str] = TERMINAL) -> DataFrame:
     """The ordered feed: every event with whether it ends its run; the checkpoint replaces the cursor."""
     return events.withColumn("ends_run", F.col("event_type").isin(*terminal))
