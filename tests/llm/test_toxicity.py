@@ -57,6 +57,13 @@ def test_empty_and_one_class(spark):
         assert {(r.score, r.predicted) for r in T.toxicity(docs, some).collect()} == {(0.0, 0)}
 
 
+def test_filter_loses_no_labelled_text(spark):
+    texts = spark.range(20_000).select(F.col("id").alias("_id"), F.concat(F.lit("t"), F.col("id")).alias("text"))
+    known = spark.range(0, 30_000, 7).select(F.col("id").alias("_id"), F.lit(1).alias("toxic"))
+    got = T.labelled_texts(texts, known)
+    assert sorted(map(tuple, got.collect())) == [(i, f"t{i}", 1) for i in range(0, 20_000, 7)]
+
+
 def test_spans_keep_all_ngrams():
     rng = np.random.default_rng(0)
     text = "".join(rng.choice(list("abcde "), SPAN + 5000))

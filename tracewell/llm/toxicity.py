@@ -22,6 +22,8 @@ LEAST_TEXTS = 10
 FIT_ROWS = 6000
 POSITIVE_WEIGHT = 4.0
 _RANGE = 1 << 14
+# bits of the filter that keeps unlabelled texts out of the shuffle: a fixed 8 MB, however many labels
+_FILTER_BITS = 26
 
 
 @dataclass(frozen=True)
@@ -69,6 +71,29 @@ def log_count_ratios(clean: np.ndarray, toxic: np.ndarray, n_clean: int, n_toxic
     return np.where(clean + toxic >= least, ratio, 0.0)
 
 
+def labelled_texts(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows of (_id, text) joined with ``known`` on ``_id``.
+
+    A filter of fixed size, gathered from the known ids, drops most texts without a label in place,
+    so that they are not shuffled; the join is exact. More labels only let more texts through.
+    """
+    place = F.pmod(F.xxhash64("_id"), F.lit(1 << _FILTER_BITS)) + 1
+    marked = known.groupBy(F.bitmap_bucket_number(place).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    parts = dict(map(tuple, marked.collect()))
+    size = 1 << 15
+    blank = bytes(size // 8)
+    bits = b"".join(bytes(parts.get(b + 1, blank)) for b in range((1 << _FILTER_BITS) // size))
+    shared = docs.sparkSession.sparkContext.broadcast(np.frombuffer(bits, np.uint8))
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column("place").to_numpy() - 1
+            yield batch.filter(pa.array((shared.value[at >> 3] >> (at & 7) & 1).astype(bool)))
+
+    rows = docs.filter("_id is not null").withColumn("place", place).mapInArrow(likely, "_id long, text string, place long")
+    return rows.drop("place").join(known, "_id")
+
+
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", fit_rows: int = FIT_ROWS) -> Model | None:
     """Model from the labelled rows that are not held out; None if a class is missing.
 
@@ -84,7 +109,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     n_known = known.count()
     texts = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("text"))
     schema = "start int, clean binary, toxic binary, n_clean long, n_toxic long"
-    labelled = texts.join(known, "_id").select("text", "toxic")
+    labelled = labelled_texts(texts, known).select("text", "toxic")
     ranges = labelled.mapInArrow(_count, schema).repartition(shares(1 << BITS, _RANGE), "start").groupBy("start").applyInArrow(_add, schema)
     parts = sorted(ranges.collect())
     if not parts:
