@@ -64,6 +64,16 @@ def test_given_table(spark, folder):
     assert sorted(map(tuple, E.embedding_components(vectors).collect())) == brute(rows)
 
 
+def test_sql(spark, tmp_path):
+    """Planted neighbours in one file, read by both."""
+    import duckdb
+
+    spark.createDataFrame(planted(np.random.default_rng(6), 40), SCHEMA).coalesce(1).write.parquet(str(tmp_path / "v"))
+    want = duckdb.connect().execute(E.oracle(f"read_parquet('{tmp_path}/v/*.parquet')")).fetchall()
+    got = E.embedding_components(spark.read.parquet(str(tmp_path / "v"))).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and sum(r[1] for r in want) > 100
+
+
 def test_large_buckets_are_split(spark, monkeypatch):
     monkeypatch.setattr(E, "BLOCK", 40)
     rng = np.random.default_rng(4)

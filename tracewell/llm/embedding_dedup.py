@@ -209,3 +209,22 @@ def embedding_components(
         component.alias("component_id"),
         F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"),
     )
+
+
+def oracle(vectors: str = "embeddings", threshold: float = THRESHOLD) -> str:
+    """The same rows in SQL, by all pairs."""
+    return f"""
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM {vectors}
+), u AS MATERIALIZED (
+  SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), pr AS MATERIALIZED (
+  SELECT a.r AS x, b.r AS y FROM u a JOIN u b ON a.label = b.label AND len(a.e) = len(b.e) AND a.r <> b.r WHERE list_cosine_similarity(a.e, b.e) >= {threshold}
+), cc AS (
+  SELECT r, r AS s FROM v UNION SELECT cc.r, pr.y FROM cc JOIN pr ON pr.x = cc.s
+), co AS (
+  SELECT cc.r, min(w.vec_id) AS component_id FROM cc JOIN v w ON w.r = cc.s GROUP BY cc.r
+), ln AS (
+  SELECT x AS r, count(*) AS n FROM pr GROUP BY x
+)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, coalesce(vec_id = component_id, false) AS kept FROM v JOIN co USING (r) LEFT JOIN ln USING (r)"""

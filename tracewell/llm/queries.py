@@ -31,6 +31,9 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.embedding_components(table(spark, sf_dir, "embeddings"))
 
 
+ORACLES["op1_embedding_dedup"] = embedding_dedup.oracle()
+
+
 @register
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, ratios and rule verdict of every document."""
