@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 
 SPAN = 1 << 20
+_ROWS = 256
 
 
 def spans(text: str, overlap: int) -> Iterator[np.ndarray]:
@@ -51,28 +52,36 @@ def fit_logistic(
     A feature has the value ``scale[bucket]``; targets may be soft. Full-batch Adam from zero, so the
     same rows in the same order give the same model.
     """
-    rows = [r[scale[r] != 0] for r in rows]
-    owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
-    flat = np.concatenate(rows) if rows else np.zeros(0, np.int32)
-    used, column = np.unique(flat, return_inverse=True)
-    column, value = column.astype(np.int32), scale[flat].astype(np.float32)
-    del flat
+    used = np.flatnonzero(scale)
+    place = np.full(len(scale), -1, np.int32)
+    place[used] = np.arange(len(used), dtype=np.int32)
+    # one copy of the features, 4 bytes each; sums run over blocks of rows
+    columns = [place[r][place[r] >= 0] for r in rows]
+    sizes = np.array([len(c) for c in columns])
+    blocks = [(low, np.concatenate(columns[low : low + _ROWS])) for low in range(0, len(columns), _ROWS)]
+    del columns
+    factor = scale[used]
     total = importance.sum()
     prior = float((importance * target).sum() / total)
     w, bias = np.zeros(len(used)), float(np.log(prior / (1 - prior)))
     m, v, mb, vb = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
     for t in range(1, rounds + 1):
-        z = np.bincount(owner, weights=w[column] * value, minlength=len(rows)) + bias
-        error = importance * (sigmoid(z) - target)
-        g = np.bincount(column, weights=error[owner] * value, minlength=len(used)) / total + l2 * w
-        gb = error.sum() / total
+        weights, g, gb = w * factor, np.zeros(len(used)), 0.0
+        for low, flat in blocks:
+            own = sizes[low : low + _ROWS]
+            owner = np.repeat(np.arange(len(own)), own)
+            z = np.bincount(owner, weights=weights[flat], minlength=len(own)) + bias
+            error = importance[low : low + _ROWS] * (sigmoid(z) - target[low : low + _ROWS])
+            g += np.bincount(flat, weights=error[owner], minlength=len(used))
+            gb += error.sum()
+        g, gb = g * factor / total + l2 * w, gb / total
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         one, two = 1 - 0.9**t, 1 - 0.999**t
         w -= rate * (m / one) / (np.sqrt(v / two) + 1e-8)
         bias -= rate * (mb / one) / (np.sqrt(vb / two) + 1e-8)
     out = np.zeros(len(scale))
-    out[used] = w * scale[used]
+    out[used] = w * factor
     return out, bias
 
 
