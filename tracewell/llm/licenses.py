@@ -15,12 +15,13 @@ from tracewell.llm.common import let, lower_ascii
 
 SHINGLE = 5
 CONTAINMENT = 0.8
-# A window holds a run of up to one and a half template lengths whole and has twice the shingles of
-# the template, so a copy that contains 0.8 of it has a similarity of at least 0.36 to the window and
-# an exact copy of the shortest template 0.25: a band of one row meets with that chance, and none of
-# 48 with less than one in a million.
+# Windows of four blocks, one block apart; a block has at least half as many shingles as the template,
+# rounded up to a power of two. So a run of up to one and a half template lengths lies whole in some
+# window, and a copy with 0.8 of the shingles has a similarity of at least 0.2 to it: a band of one row
+# meets with that chance, and none of 48 does with a chance of 2 in 100,000.
 BANDS = 48
-_SEGMENT = 1 << 15
+_SEGMENT = 1 << 12
+_NEVER = np.iinfo(np.uint32).max
 
 # Wording of public license notices.
 TEMPLATES: tuple[tuple[str, str], ...] = (
@@ -61,35 +62,42 @@ class Bands:
     """Templates by number of distinct shingles, and the sorted (band, value) pairs that lead to them."""
 
     def __init__(self, templates: Sequence[tuple[str, str]], bands: int = BANDS):
-        self.factors = np.random.default_rng(23).integers(0, 1 << 63, bands, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.factors = np.random.default_rng(23).integers(0, 1 << 31, bands, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
         self.names = [name for name, _ in templates]
         self.shingles = [frozenset(shingle_list(plain_words(text))) for _, text in templates]
-        self.classes: dict[int, list[int]] = {}
+        self.steps: dict[int, list[int]] = {}
         for t, s in enumerate(self.shingles):
             if s:
-                self.classes.setdefault(len(s), []).append(t)
+                self.steps.setdefault(1 << (-(-len(s) // 2) - 1).bit_length(), []).append(t)
         hashes = [np.array([xxhash.xxh64_intdigest(x.encode(), 42) for x in s], np.uint64) for s in self.shingles]
         self.minima = [self.hashed(h).min(axis=1) if len(h) else None for h in hashes]
 
     def hashed(self, shingles: np.ndarray) -> np.ndarray:
-        return shingles[None, :] * self.factors[:, None]
+        """One value per band and shingle; equal minima of two sets mean a meeting in that band."""
+        return (shingles >> np.uint64(32)).astype(np.uint32)[None, :] * self.factors[:, None]
 
     def windows(self, shingles: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(template, first shingle, end) of each window that meets a template in a band."""
-        widest = 4 * max((-(-m // 2) for m in self.classes), default=1)
-        for low in range(0, max(1, len(shingles) - widest), _SEGMENT):
-            part = shingles[low : low + _SEGMENT + widest]
+        widest = max(self.steps, default=1)
+        for low in range(0, max(1, len(shingles) - 4 * widest), _SEGMENT):
+            part = shingles[low : low + _SEGMENT + 4 * widest]
             if not len(part):
                 return
-            values = self.hashed(part)
-            for m, members in self.classes.items():
-                step = -(-m // 2)
-                blocks = np.minimum.reduceat(values, np.arange(0, len(part), step), axis=1)
-                padded = np.pad(blocks, ((0, 0), (0, 3)), constant_values=np.iinfo(np.uint64).max)
-                least = np.minimum.reduce([padded[:, k : k + blocks.shape[1]] for k in range(4)])
-                for t in members:
-                    for at in np.flatnonzero((least == self.minima[t][:, None]).any(axis=0)):
-                        yield t, low + int(at) * step, min(len(shingles), low + (int(at) + 4) * step)
+            # room for whole blocks of every length and three more behind the last
+            blocks, step = np.full((len(self.factors), (-(-len(part) // widest) + 4) * widest), _NEVER, np.uint32), 1
+            blocks[:, : len(part)] = self.hashed(part)
+            while True:
+                if step in self.steps:
+                    n = -(-len(part) // step)
+                    pairs = np.minimum(blocks[:, : n + 2], blocks[:, 1 : n + 3])
+                    least = np.minimum(pairs[:, :n], pairs[:, 2:])
+                    for t in self.steps[step]:
+                        for at in np.flatnonzero((least == self.minima[t][:, None]).any(axis=0)):
+                            yield t, low + int(at) * step, min(len(shingles), low + (int(at) + 4) * step)
+                if step >= widest:
+                    break
+                # blocks twice as long are minima of two
+                blocks, step = np.minimum(blocks[:, ::2], blocks[:, 1::2]), 2 * step
 
 
 def _scan(bands: Bands, threshold: float):
