@@ -155,6 +155,19 @@ def test_objects_with_fields(spark, graphs, edges):
     assert flow.may_refer(edges, allocs, copies, max_entries=1)[1].count() > 0
 
 
+def test_objects_of_a_large_function_are_kept(spark):
+    edges = spark.range(12).select(F.lit(1).cast("int").alias("fn"), F.col("id").alias("source"), (F.col("id") + 1).alias("target"))
+    edges = edges.unionByName(edges.filter("source < 2").withColumn("fn", F.lit(2)))
+    allocs = spark.range(10_000).select(F.lit(1).alias("fn"), F.lit(0).cast("long").alias("node"), F.concat(F.lit("n"), "id").alias("name"), F.lit("o").alias("alloc"), F.lit(True).alias("certain"))
+    allocs = allocs.unionByName(allocs.limit(1).withColumn("fn", F.lit(2)))
+    copies = spark.createDataFrame([], "fn int, node long, src string, dst string, certain boolean")
+    states, over = flow.may_refer(edges, allocs, copies)
+    assert {r.fn: r["count"] for r in states.groupBy("fn").count().collect()} == {1: 120_000, 2: 2} and over.count() == 0
+    states, over = flow.may_refer(edges, allocs, copies, max_entries=100_000)
+    assert {(r.fn, r.at, r.given_up) for r in states.collect()} == {(1, None, True), (2, 1, False), (2, 2, False)}
+    assert [r.fn for r in over.collect()] == [1]
+
+
 def test_conditions(spark):
     rows = [(1, "x", ">", 3), (1, "x", "<", 5), (2, "x", ">", 3), (2, "x", "<", 5), (2, "x", "!=", 4), (3, "x", "==", 1), (3, "y", "regex", 0), (4, "x", "==", 1), (4, "x", "==", 2), (4, "y", "regex", 0)]
     predicates = spark.createDataFrame([(p, v, o, n, None) for p, v, o, n in rows] + [(5, "s", "eq_text", None, "a"), (5, "s", "ne_text", None, "a"), (6, "s", "eq_text", None, "a"), (6, "s", "ne_text", None, "b")],

@@ -282,14 +282,15 @@ def value_paths(edges: DataFrame, sources: DataFrame, sinks: DataFrame, max_dept
 
 def may_refer(
     edges: DataFrame, allocs: DataFrame, copies: DataFrame, stores: DataFrame | None = None, loads: DataFrame | None = None,
-    max_entries: int = 100_000, max_rounds: int = 100_000, max_heap_rounds: int = 50,
+    max_entries: int | None = None, max_rounds: int = 100_000, max_heap_rounds: int = 50,
 ) -> tuple[DataFrame, DataFrame]:
     """(states, unavailable functions): which allocations a name may refer to before each node.
 
     ``allocs``: fn, node, name, alloc, certain. ``copies``: fn, node, src, dst, certain. ``stores``: fn,
     node, base, field, value. ``loads``: fn, node, dst, base, field. A certain assignment replaces, an
     uncertain one merges; an allocation inside a cycle also carries ``unknown``; heap cells only grow.
-    A function over ``max_entries`` is given up whole.
+    No function is given up unless ``max_entries`` is set; then the states have a column ``given_up``,
+    and a function over the budget is one row with that mark and neither place, name nor allocation.
     """
     allocs = pin(allocs)
     flow = pin(edges.select("fn", F.col("source").alias("at"), F.col("target").alias("_to")).distinct())
@@ -332,9 +333,12 @@ def may_refer(
             states = closure(refs.unionByName(loaded), step, keys, max_rounds, unroll=4)
         else:
             raise NotConverged("heap cells still grow")
+    if max_entries is None:
+        return states, states.select("fn").limit(0)
     sizes = states.groupBy("fn").agg(F.count("*").alias("entries"))
-    over = sizes.filter(F.col("entries") > max_entries).select("fn")
-    return states.join(over, "fn", "left_anti"), over
+    over = pin(sizes.filter(F.col("entries") > max_entries).select("fn"))
+    kept = states.join(over, "fn", "left_anti").withColumn("given_up", F.lit(False))
+    return kept.unionByName(over.withColumn("given_up", F.lit(True)), allowMissingColumns=True), over
 
 
 def prefer_complete_group(external: DataFrame, local: DataFrame, checks: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
