@@ -31,6 +31,15 @@ def rows_of(spark, n=400):
     return docs, labels
 
 
+def test_one_threshold_whatever_the_size(spark, monkeypatch):
+    """An n-gram counts from the same number of texts on in a small table."""
+    seen, ratios = [], T.log_count_ratios
+    monkeypatch.setattr(T, "log_count_ratios", lambda clean, toxic, *n: seen.append((clean + toxic, out := ratios(clean, toxic, *n))) or out)
+    T.train(*rows_of(spark))
+    (texts, out), = seen
+    assert ((texts > 0) & (texts < T.LEAST_TEXTS)).any() and not out[texts < T.LEAST_TEXTS].any() and out[texts >= T.LEAST_TEXTS].any()
+
+
 def test_held_out_labels_change_nothing(spark):
     docs, labels = rows_of(spark)
     turned = labels.withColumn("toxic", F.when(T.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))

@@ -118,7 +118,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     n_clean, n_toxic = (sum(p[k] for p in parts) for k in ("n_clean", "n_toxic"))
     if not n_clean or not n_toxic:
         return None
-    ratios = log_count_ratios(clean, toxic, n_clean, n_toxic, min(LEAST_TEXTS, max(2, (n_clean + n_toxic) // 300)))
+    ratios = log_count_ratios(clean, toxic, n_clean, n_toxic)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
