@@ -31,17 +31,18 @@ def keep_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the one with the smallest doc_id.
+    """One row of each near-duplicate group stays: the one with the smallest doc_id, whatever its id.
 
-    doc_id is the identity of a document: repeated rows become one, of rows with one id and several
-    texts the text with the smallest hash stays, and rows without an id go, as no later stage could
-    name them. A null text is an empty one.
+    Rows are numbered in a staged copy, so that rows without an id and rows that share one are linked
+    by their own text; rows without an id stand behind all others, and of equal ids the row with the
+    smallest hash stays. A null text is an empty one.
     """
     prepared(spark)
-    classes = simhash.simhash_components(docs.select("doc_id", "text"))
-    kept = docs.join(classes.filter("kept").select("doc_id"), "doc_id", "left_semi")
-    one = kept.groupBy("doc_id").agg(F.min_by(F.struct(*COLUMNS), F.xxhash64("text", "source", "lang", "n_chars")).alias("row"))
-    return one.select("row.*").select(*COLUMNS)
+    numbered = staged(docs.select(*COLUMNS, F.xxhash64("text", "source", "lang", "n_chars").alias("_hash"), F.monotonically_increasing_id().alias("_row")))
+    classes = simhash.simhash_components(numbered.select("_row", "text"), doc_id="_row").select(F.col("doc_id").alias("_row"), "component_id")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_hash", "_row")
+    kept = numbered.select("_row", "doc_id", "_hash").join(classes, "_row").groupBy("component_id").agg(F.min(place).alias("place")).select("place._row")
+    return numbered.join(kept, "_row", "left_semi").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -89,3 +89,12 @@ def test_odd_rows(spark, folder, name, stage):
     if name == "packing":
         assert {1, 2, 3, 4, 5, None} == set(counts)
     assert stage(spark, frame.limit(0), folder).count() == 0
+
+
+def test_near_copies_keep_what_is_no_copy(spark, folder):
+    """Rows without an id, and different texts under one id, stay unless they are copies."""
+    text = lambda k: " ".join(f"w{k}x{i} and" for i in range(60))
+    rows = [(None, text(1)), (None, text(2)), (7, text(3)), (7, text(4)), (7, text(5)), (5, text(5)), (None, text(3)), (None, text(6)), (None, text(6))]
+    frame = spark.createDataFrame([(i, x, "en", "a", len(x)) for i, x in rows], SCHEMA).repartition(3)
+    got = sorted(((r.doc_id, r.text) for r in C.drop_near_copies(spark, frame, folder).collect()), key=repr)
+    assert got == sorted([(None, text(1)), (None, text(2)), (7, text(3)), (7, text(4)), (5, text(5)), (None, text(6))], key=repr)
