@@ -66,6 +66,19 @@ def test_empty_and_one_class(spark):
         assert {(r.score, r.predicted) for r in T.toxicity(docs, some).collect()} == {(0.0, 0)}
 
 
+def test_fit_rows_are_bounded_whatever_repeats(spark):
+    copies = spark.range(500).select(F.lit(1).cast("long").alias("_id"), F.lit("same").alias("text"))
+    many = spark.range(500).select(F.lit(2).cast("long").alias("_id"), F.concat(F.lit("t"), "id").alias("text"))
+    single = spark.range(10, 30).select(F.col("id").alias("_id"), F.lit("one").alias("text"))
+    known = spark.createDataFrame([(i, i % 2) for i in (1, 2, *range(10, 30))], "_id long, toxic int")
+    texts = copies.unionByName(many).unionByName(single)
+    rows = T.fit_sample(texts, known, 22, 40).collect()
+    assert len(rows) == len(set(rows)) == 40 and {r._id for r in rows} == {1, 2, *range(10, 30)}
+    assert sum(r._id == 1 for r in rows) == 1 and all(r.toxic == r._id % 2 for r in rows)
+    rows = T.fit_sample(texts, known, 22, 5).collect()
+    assert len(rows) == len({r._id for r in rows}) == 5
+
+
 def test_filter_loses_no_labelled_text(spark):
     texts = spark.range(20_000).select(F.col("id").alias("_id"), F.concat(F.lit("t"), F.col("id")).alias("text"))
     known = spark.range(0, 30_000, 7).select(F.col("id").alias("_id"), F.lit(1).alias("toxic"))

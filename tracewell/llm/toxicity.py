@@ -94,13 +94,27 @@ def labelled_texts(docs: DataFrame, known: DataFrame) -> DataFrame:
     return rows.drop("place").join(known, "_id")
 
 
+def fit_sample(texts: DataFrame, known: DataFrame, n_known: int, fit_rows: int) -> DataFrame:
+    """(_id, text, toxic): at most ``fit_rows`` rows, one for each text of an id.
+
+    Ids with the smallest hashes are chosen. Each gives one text first; further texts of an id only
+    fill what is left, so no id crowds out others. Rows are chosen by keys, before any text moves.
+    """
+    chosen = known if n_known <= fit_rows else known.orderBy(F.xxhash64("_id"), "_id").limit(fit_rows)
+    rows = texts.join(F.broadcast(staged(chosen)), "_id").withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    keys = staged(rows.select("_id", "_hash").distinct())
+    least = keys.groupBy("_id").agg(F.min("_hash").alias("_least"))
+    kept = keys.join(F.broadcast(least), "_id").orderBy(F.col("_hash") != F.col("_least"), F.xxhash64("_id", "_hash"), "_id", "_hash").limit(fit_rows)
+    return rows.join(F.broadcast(staged(kept.select("_id", "_hash"))), ["_id", "_hash"]).dropDuplicates(["_id", "_hash"]).select("_id", "text", "toxic")
+
+
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", fit_rows: int = FIT_ROWS) -> Model | None:
     """Model from the labelled rows that are not held out; None if a class is missing.
 
     Texts of each class are counted per bucket over all labelled rows, per task, range by range of
-    the fixed number of buckets. The weights are fitted in one task on at most ``fit_rows`` rows,
-    those with the smallest hash of their id, so every label has the same chance. The driver holds
-    one number per bucket. A null label or id teaches nothing, of several labels of an id the largest
+    the fixed number of buckets. The weights are fitted in one task on at most ``fit_rows`` rows
+    of ids with the smallest hashes, so every label has the same chance; repeated rows count once
+    there. The driver holds one number per bucket. A null label or id teaches nothing, of several labels of an id the largest
     counts.
     """
     known = labels.select(F.col(doc_id).cast("long").alias("_id"), F.col(label).cast("int").alias("toxic"))
@@ -134,9 +148,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         weights, bias = fit_logistic(buckets, y, ratios, np.where(y == 1, POSITIVE_WEIGHT, 1.0), 1e-3)
         return pa.table({"weights": pa.array([weights.astype("<f4").tobytes()]), "bias": pa.array([bias])})
 
-    # the smallest hashes, at most fit_rows of them: a bounded set of ids
-    chosen = known if n_known <= fit_rows else known.orderBy(F.xxhash64("_id"), "_id").limit(fit_rows)
-    sample = texts.join(F.broadcast(chosen), "_id").mapInArrow(features, "_id long, toxic int, raw binary")
+    sample = fit_sample(texts, known, n_known, fit_rows).mapInArrow(features, "_id long, toxic int, raw binary")
     found = sample.withColumn("one", F.lit(1)).groupBy("one").applyInArrow(lambda key, rows: fit(key, rows.drop_columns(["one"])), "weights binary, bias double").collect()
     if not found:
         return None
