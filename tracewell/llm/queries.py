@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import embedding_dedup, licenses, mixing, packing, quality_rules, simhash, token_counts, toxicity, warc, weak_quality
+from tracewell.llm import embedding_dedup, licenses, mixing, packing, quality_rules, sharding, simhash, token_counts, toxicity, warc, weak_quality
 from tracewell.llm.common import table, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,12 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metadata and conversion record of every page."""
     return warc.derivatives(warc.responses_from_pages(table(spark, sf_dir, "pages")))
+
+
+@register
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document; every shard holds the mixture of all sources."""
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_sharding"] = sharding.oracle()
