@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import embedding_dedup, licenses, mixing, packing, quality_rules, sharding, simhash, token_counts, toxicity, warc, weak_quality
+from tracewell.llm import clustering, embedding_dedup, licenses, mixing, packing, periodic_runs, quality_rules, sharding, simhash, token_counts, toxicity, warc, weak_quality
 from tracewell.llm.common import table, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +95,23 @@ def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op13_sharding"] = sharding.oracle()
+
+
+@register
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster, distance and inertia of every vector after three exact rounds over 16 centroids."""
+    found = clustering.cluster(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", clustering.centroid_digest(F.col("centroid")).alias("centroid_sha256"))
+
+
+ORACLES["op12_centroid_clustering"] = clustering.oracle()
+
+
+@register
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all periodic runs of every document, some of which carry a planted one."""
+    planted = periodic_runs.with_planted_runs(table(spark, sf_dir, "documents"))
+    return periodic_runs.run_digests(periodic_runs.periodic_runs(planted))
+
+
+ORACLES["op11_periodic_runs"] = periodic_runs.oracle()
