@@ -63,10 +63,11 @@ def post_tree(es):
     return brute_tree(back | {(-1, n) for n in stuck | {NODES - 1}}, -1, range(NODES))
 
 
-def test_post_dominators_and_control_dependence(spark, graphs, edges):
+@pytest.mark.parametrize("local_edges", [1000, 9])
+def test_post_dominators_and_control_dependence(spark, graphs, edges, local_edges):
     nodes = spark.createDataFrame([(fn, n) for fn in graphs for n in range(NODES)], "fn int, node long")
     exits = spark.createDataFrame([(fn, NODES - 1) for fn in graphs], "fn int, node long")
-    ipdom = flow.post_dominators(edges, nodes, exits).cache()
+    ipdom = flow.post_dominators(edges, nodes, exits, local_edges).cache()
     trees = {fn: post_tree(es) for fn, es in graphs.items()}
     assert {(r.fn, r.node): r.ipdom for r in ipdom.collect()} == {(fn, v): d for fn, t in trees.items() for v, d in t.items()}
     want = set()

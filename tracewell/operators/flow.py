@@ -18,7 +18,8 @@ from tracewell.functions.ids import digest_id
 from tracewell.operators.fixpoint import NotConverged, closure
 from tracewell.operators.graphs import path_variants
 from tracewell.operators.skew import prefix_sums, top_n, with_neighbour
-from tracewell.session import pin
+from tracewell.operators.trees import depths, distances, dominator_tree, jump_tables, ways_up
+from tracewell.session import pin, stored
 
 
 def sequence_graph(steps: DataFrame, order: Sequence[str], block: Column, back: int = 3) -> DataFrame:
@@ -112,70 +113,71 @@ def reachable_nodes(edges: DataFrame, seeds: DataFrame, stride: int = 8) -> Data
     return closure(seeds.select("fn", "node"), lambda d: d.join(hops, ["fn", "node"]).select("fn", F.col("_to").alias("node")), ["fn", "node"], 100_000)
 
 
-def _dominator_rounds(edges: DataFrame, roots: DataFrame, max_rounds: int) -> DataFrame:
-    """Immediate dominators by set intersection over predecessors, as (node, dominator) rows; for functions of any size."""
-    edges = pin(edges.select("fn", "source", "target").distinct())
-    known = pin(roots.select("fn", F.col("root").alias("node"), F.col("root").alias("dom")))
-    count = -1
-    for _ in range(max_rounds):
-        flowing = edges.join(known.select("fn", F.col("node").alias("source"), "dom"), ["fn", "source"])
-        preds = flowing.groupBy("fn", "target").agg(F.countDistinct("source").alias("_preds"))
-        shared = flowing.groupBy("fn", "target", "dom").agg(F.countDistinct("source").alias("_n")).join(preds, ["fn", "target"]).filter("_n = _preds")
-        inner = shared.select("fn", F.col("target").alias("node"), "dom").join(roots.select("fn", F.col("root").alias("node")), ["fn", "node"], "left_anti")
-        self_rows = preds.select("fn", F.col("target").alias("node"), F.col("target").alias("dom")).unionByName(roots.select("fn", F.col("root").alias("node"), F.col("root").alias("dom")))
-        nxt = pin(inner.unionByName(self_rows).distinct())
-        size, nodes = nxt.agg(F.count("*"), F.countDistinct("fn", "node")).first()
-        # sets only grow by new nodes and then shrink: equal counts of both mean an unchanged table
-        if (size, nodes) == count:
-            break
-        known, count = nxt, (size, nodes)
-    else:
-        raise NotConverged("dominator sets did not settle")
-    depth = known.groupBy("fn", "node").agg(F.count("*").alias("depth"))
-    strict = known.filter("node <> dom").join(depth.select("fn", F.col("node").alias("dom"), F.col("depth").alias("_d")), ["fn", "dom"])
-    return strict.groupBy("fn", "node").agg(F.max_by("dom", "_d").alias("idom"))
+def _hung(flow: DataFrame, dist: DataFrame) -> DataFrame:
+    """A spanning tree (fn, node, up): every node below a predecessor that is nearer to the root."""
+    far = dist.select("fn", F.col("node").alias("target"), F.col("dist").alias("_far"))
+    near = flow.join(dist.select("fn", F.col("node").alias("source"), "dist"), ["fn", "source"]).join(far, ["fn", "target"]).filter("dist < _far")
+    return near.groupBy("fn", F.col("target").alias("node")).agg(F.min_by("source", F.struct("dist", "source")).alias("up"))
+
 
+def _large_dominators(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """Dominators of functions of any size and depth, in rounds that grow with the logarithm of their length."""
+    dist = stored(distances(edges, roots))
+    flow = stored(edges.join(dist.select("fn", F.col("node").alias("source")), ["fn", "source"], "left_semi"))
+    return dominator_tree(flow, roots, _hung(flow, dist))
 
-def immediate_dominators(edges: DataFrame, roots: DataFrame, local_edges: int = 20_000, max_rounds: int = 10_000) -> DataFrame:
-    """(fn, node, idom) for nodes reachable from the root of each function.
 
-    Functions up to ``local_edges`` edges are solved whole inside one task each, after one exchange;
-    larger ones go through distributed rounds. Both give the same tree.
+def immediate_dominators(edges: DataFrame, roots: DataFrame, local_edges: int = 20_000) -> DataFrame:
+    """(fn, node, idom) for nodes reachable from the root of each function (fn, root).
+
+    ``local_edges`` bounds what one task may hold: functions of up to so many edges are solved in one
+    group each, after one exchange. Larger ones are never gathered: distances from the root give a
+    spanning tree, and nearest common ancestors of predecessors turn it into the dominator tree.
     """
-    edges = pin(edges.select("fn", "source", "target").distinct().join(roots.select("fn", "root"), "fn"))
-    sizes = edges.groupBy("fn").agg(F.count("*").alias("_n"))
-    large = pin(sizes.filter(F.col("_n") > local_edges).select("fn"))
     kinds = {f.name: f.dataType for f in edges.schema}
+    roots = pin(roots.select("fn", F.col("root").cast(kinds["target"]).alias("root")).distinct())
+    edges = pin(edges.select("fn", "source", "target").filter("source <> target").distinct().join(roots, "fn"))
+    large = pin(edges.groupBy("fn").agg(F.count("*").alias("_n")).filter(F.col("_n") > local_edges).select("fn"))
     schema = T.StructType([T.StructField("fn", kinds["fn"]), T.StructField("node", kinds["target"]), T.StructField("idom", kinds["target"])])
     if large.isEmpty():
         return edges.groupBy("fn").applyInPandas(tree_of_one_function, schema)
     small = edges.join(large, "fn", "left_anti").groupBy("fn").applyInPandas(tree_of_one_function, schema)
-    big = edges.join(large, "fn", "left_semi")
-    return small.unionByName(_dominator_rounds(big, roots.join(large, "fn", "left_semi"), max_rounds))
+    big = edges.join(large, "fn", "left_semi").filter("target <> root").drop("root")
+    return small.unionByName(_large_dominators(big, roots.join(large, "fn", "left_semi")))
 
 
 def post_dominators(edges: DataFrame, nodes: DataFrame, exits: DataFrame, local_edges: int = 20_000) -> DataFrame:
     """(fn, node, ipdom); ipdom is -1 for nodes whose next certain node is the virtual exit.
 
     Nodes that cannot reach the exit get a virtual way out, so that endless loops do not fake certainty.
-    Node ids must not be -1.
+    Only functions that have such nodes are solved again. Node ids must not be -1.
     """
-    reverse = pin(edges.select("fn", F.col("target").alias("source"), F.col("source").alias("target")).distinct())
-    reaching = reachable_nodes(reverse, exits.select("fn", "node"))
-    stuck = nodes.select("fn", "node").join(reaching, ["fn", "node"], "left_anti")
-    out = stuck.unionByName(exits.select("fn", "node")).select("fn", F.lit(-1).cast("long").alias("source"), F.col("node").cast("long").alias("target"))
-    whole = reverse.select("fn", F.col("source").cast("long").alias("source"), F.col("target").cast("long").alias("target")).unionByName(out)
-    roots = nodes.select("fn").distinct().withColumn("root", F.lit(-1).cast("long"))
-    return immediate_dominators(whole, roots, local_edges).select("fn", "node", F.col("idom").alias("ipdom"))
-
-
-def control_dependence(edges: DataFrame, ipdom: DataFrame, max_rounds: int = 100_000) -> DataFrame:
+    top = F.lit(-1).cast("long")
+    nodes = pin(nodes.select("fn", F.col("node").cast("long").alias("node")).distinct())
+    turned = edges.select("fn", F.col("target").cast("long").alias("source"), F.col("source").cast("long").alias("target"))
+    reverse = pin(turned.unionByName(exits.select("fn", top.alias("source"), F.col("node").cast("long").alias("target"))).distinct())
+    roots = pin(nodes.select("fn").distinct().withColumn("root", top))
+    tree = pin(immediate_dominators(reverse, roots, local_edges))
+    stuck = pin(nodes.join(tree, ["fn", "node"], "left_anti"))
+    if not stuck.isEmpty():
+        again = stuck.select("fn").distinct()
+        whole = reverse.join(again, "fn", "left_semi").unionByName(stuck.select("fn", top.alias("source"), F.col("node").alias("target")))
+        solved = immediate_dominators(whole, roots.join(again, "fn", "left_semi"), local_edges)
+        tree = tree.join(again, "fn", "left_anti").unionByName(solved)
+    return tree.select("fn", "node", F.col("idom").alias("ipdom"))
+
+
+def control_dependence(edges: DataFrame, ipdom: DataFrame) -> DataFrame:
     """For each edge the nodes from its target up the post-dominator tree to, but without, the post-dominator of its source."""
-    tree = pin(ipdom.select("fn", "node", "ipdom"))
-    stop = tree.select("fn", F.col("node").alias("source"), F.col("ipdom").alias("stop"))
-    walk = edges.join(stop, ["fn", "source"]).filter(F.col("target") != F.col("stop")).select("fn", "source", "branch", "stop", F.col("target").cast("long").alias("node"))
-    up = lambda d: d.join(tree, ["fn", "node"]).filter((F.col("ipdom") != F.col("stop")) & (F.col("ipdom") != -1)).select("fn", "source", "branch", "stop", F.col("ipdom").alias("node"))
-    return closure(walk, up, ["fn", "source", "branch", "stop", "node"], max_rounds, unroll=2).select("fn", "source", "branch", F.col("node").alias("target")).distinct()
+    tree = pin(ipdom.select("fn", "node", F.col("ipdom").alias("up")))
+    top = tree.select("fn").distinct().select("fn", F.lit(-1).cast("long").alias("node"), F.lit(None).cast("long").alias("up"))
+    tables = jump_tables(tree.unionByName(top))
+    depth = pin(depths(tables))
+    stop = tree.select("fn", F.col("node").alias("source"), F.col("up").alias("node")).join(depth, ["fn", "node"]).select("fn", "source", F.col("depth").alias("_stop"))
+    walk = edges.select("fn", F.col("source").cast("long").alias("source"), "branch", F.col("target").cast("long").alias("node")).distinct()
+    # the post-dominator of a source lies on the way up from each of its targets
+    counted = walk.join(stop, ["fn", "source"]).join(depth, ["fn", "node"]).select("fn", "node", "source", "branch", (F.col("depth") - F.col("_stop")).alias("count"))
+    return ways_up(counted, tables).select("fn", "source", "branch", F.col("node").alias("target")).distinct()
 
 
 def reaching_definitions(edges: DataFrame, definitions: DataFrame, uses: DataFrame, reachable: DataFrame | None = None, max_rounds: int = 100_000, stride: int = 16) -> DataFrame:

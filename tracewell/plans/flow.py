@@ -340,12 +340,12 @@ def _program_tables(t):
     bindings = o.filter("o_orderpriority <> '4-NOT SPECIFIED'").select(k1.alias("call_id"), F.lit("a").alias("name"), F.lit("p").alias("param")).unionByName(line.select(lid.alias("call_id"), F.lit("b").alias("name"), F.lit("q").alias("param")))
     results = o.select(k1.alias("call_id"), F.lit("res").alias("result")).unionByName(line.select(lid.alias("call_id"), F.lit("r").alias("result")))
     sinks = local.filter("use_kind = 'sink'").select("use_id", F.concat(F.lit("snk:"), "use_id").alias("snk"))
-    sources = t.customer.filter("c_acctbal > 9000").select(_txt("src/", F.col("c_custkey")).alias("src"), _txt("c/", F.col("c_custkey")).alias("fn"), F.lit("x").alias("var"))
+    sources = t.customer.select(_txt("src/", F.col("c_custkey")).alias("src"), _txt("c/", F.col("c_custkey")).alias("fn"), F.lit("x").alias("var"))
     dedupe = lambda df: df.distinct()
     return sources, dedupe(local), dedupe(calls), dedupe(bindings), dedupe(results), sinks
 
 
-_TAINT = """ln AS (SELECT DISTINCT concat('src/', c_custkey) AS src, c_custkey, o_orderkey, o_orderstatus, l_suppkey, s_nationkey, concat_ws('/', 'k2', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS k2, l_returnflag, l_discount, l_tax FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey WHERE c_acctbal > 9000 AND o_orderpriority <> '4-NOT SPECIFIED'),
+_TAINT = """ln AS (SELECT DISTINCT concat('src/', c_custkey) AS src, c_custkey, o_orderkey, o_orderstatus, l_suppkey, s_nationkey, concat_ws('/', 'k2', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS k2, l_returnflag, l_discount, l_tax FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey WHERE o_orderpriority <> '4-NOT SPECIFIED'),
  tf AS (SELECT src, concat('snk:uses/', l_suppkey) AS snk, concat('call:k1/', o_orderkey, ',call:', k2) AS steps, CASE WHEN l_returnflag = 'R' OR l_discount >= 0.05 THEN 'may' ELSE 'must' END AS certainty FROM ln UNION ALL SELECT src, concat('snk:usec/', c_custkey), concat('call:k1/', o_orderkey, ',call:', k2, ',return:', k2, ',return:k1/', o_orderkey), CASE WHEN l_returnflag = 'R' OR l_discount >= 0.05 THEN 'may' ELSE 'must' END FROM ln WHERE l_suppkey % 2 = 0 AND o_orderstatus <> 'P')"""
 
 
@@ -400,14 +400,14 @@ def gr21_ambiguous(t):
     return _roles(t)[1]
 
 
-_EG = """op AS (SELECT concat('supplier/', s_suppkey) AS id FROM supplier WHERE s_acctbal > 9000), ca AS (SELECT * FROM g_edges WHERE relation = 'calls'),
+_EG = """op AS (SELECT concat('supplier/', s_suppkey) AS id FROM supplier), ca AS (SELECT * FROM g_edges WHERE relation = 'calls'),
  c1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY id) AS rn FROM ca WHERE target IN (SELECT id FROM op)) z WHERE rn <= 3), c2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY id) AS rn FROM ca WHERE target IN (SELECT source FROM c1)) z WHERE rn <= 3),
  us AS (SELECT DISTINCT * FROM g_edges WHERE id IN (SELECT e1 FROM candidates UNION SELECT e2 FROM candidates UNION SELECT id FROM c1 UNION SELECT id FROM c2))"""
 
 
 def _evidence_graph(t):
     routes = t.candidates.select(F.col("candidate_id").alias("route"), F.array("s", "mid", "t").alias("nodes"), F.array("e1", "e2").alias("edge_ids"))
-    operations = t.supplier.filter("s_acctbal > 9000").select(_txt("supplier/", F.col("s_suppkey")).alias("id"))
+    operations = t.supplier.select(_txt("supplier/", F.col("s_suppkey")).alias("id"))
     return flow.evidence_graph(routes, operations, t.g_edges, per_target=3)
 
 

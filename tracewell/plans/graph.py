@@ -176,12 +176,12 @@ def gr03_budget(t):
     return found.select("s", "t", F.array_join("edge_ids", ",").alias("edge_ids"))
 
 
-@query("gr04_incoming_context", with_views("g_edges", more="""t0 AS (SELECT concat('supplier/', CAST(s_suppkey AS VARCHAR)) AS id FROM supplier WHERE s_acctbal > 9000),
+@query("gr04_incoming_context", with_views("g_edges", more="""t0 AS (SELECT concat('supplier/', CAST(s_suppkey AS VARCHAR)) AS id FROM supplier),
  r1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY id) AS turn FROM g_edges WHERE target IN (SELECT id FROM t0)) a WHERE turn <= 8),
  f1 AS (SELECT DISTINCT source AS id FROM r1 WHERE source NOT IN (SELECT id FROM t0)),
  r2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY id) AS turn FROM g_edges WHERE target IN (SELECT id FROM f1)) a WHERE turn <= 8)""") + "SELECT id, source, target, CAST(turn AS INT) AS turn, 1 AS round FROM r1 UNION ALL SELECT id, source, target, CAST(turn AS INT), 2 FROM r2")
 def gr04(t):
-    targets = t.supplier.filter("s_acctbal > 9000").select(F.concat(F.lit("supplier/"), F.col("s_suppkey").cast("string")).alias("id"))
+    targets = t.supplier.select(F.concat(F.lit("supplier/"), F.col("s_suppkey").cast("string")).alias("id"))
     found = graphs.incoming_context(t.g_edges, targets, depth=2, per_target=8)
     return found.select("id", "source", "target", "turn", "round")
 

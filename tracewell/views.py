@@ -35,7 +35,7 @@ SELECT concat('e4/', CAST(l_orderkey AS VARCHAR(20)), '/', CAST(l_linenumber AS
 SELECT a.fn, a.node, b.node, 'false' FROM cfg_nodes a JOIN cfg_nodes b ON a.fn = b.fn AND b.rn = a.rn + 2 WHERE a.kind = 'signup' UNION ALL
 SELECT a.fn, a.node, b.node, 'back' FROM cfg_nodes a JOIN cfg_nodes b ON a.fn = b.fn AND b.rn = a.rn - 3 WHERE a.kind = 'error'""",
     "run_events": """SELECT user_id AS run_id, event_id AS sequence, CASE event_type WHEN 'signup' THEN 'run.started' WHEN 'view' THEN 'model.started' WHEN 'click' THEN 'model.completed' WHEN 'purchase' THEN 'tool.requested' ELSE 'run.failed' END AS event_type, ts AS created_at, value, props AS payload, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events""",
-    "facts": """SELECT concat('src/', c_custkey) AS fact_id, 'source' AS fact_kind, concat('customer/', c_custkey) AS symbol, c_mktsegment AS category, 'medium' AS severity, concat('mod/', c_nationkey, '.py') AS path, CAST(c_custkey % 60 + 1 AS INT) AS line, 'r1' AS rule_id FROM customer WHERE c_acctbal > 9000 UNION ALL
+    "facts": """SELECT concat('src/', c_custkey) AS fact_id, 'source' AS fact_kind, concat('customer/', c_custkey) AS symbol, c_mktsegment AS category, 'medium' AS severity, concat('mod/', c_nationkey, '.py') AS path, CAST(c_custkey % 60 + 1 AS INT) AS line, 'r1' AS rule_id FROM customer UNION ALL
 SELECT concat('snk/', s_suppkey), 'sink', concat('supplier/', s_suppkey), 'supplier', CASE WHEN s_acctbal > 5000 THEN 'high' ELSE 'low' END, concat('mod/', s_nationkey, '.py'), CAST(s_suppkey % 40 + 1 AS INT), concat('r', s_suppkey % 3) FROM supplier UNION ALL
 SELECT concat('grd/', o_orderkey), CASE WHEN o_orderpriority = '1-URGENT' THEN 'guard' ELSE 'sanitizer' END, concat('order/', o_orderkey), o_orderstatus, 'informational', concat('ord/', o_orderkey % 97, '.py'), CAST(o_orderkey % 80 + 1 AS INT), 'r9' FROM orders WHERE o_orderpriority = '1-URGENT' OR (o_orderpriority = '5-LOW' AND o_orderstatus = 'F')""",
     "g_paths": """SELECT source AS s, target AS t, [source, target] AS nodes, certainty AS worst, 1 AS hops FROM g_calls
@@ -46,7 +46,7 @@ SELECT concat('grd/', o_orderkey), CASE WHEN o_orderpriority = '1-URGENT' THEN '
  SELECT concat('src/', c_custkey) AS src, concat('snk/', s_suppkey) AS snk, concat('customer/', c_custkey) AS s, concat('order/', o_orderkey) AS mid, concat('supplier/', s_suppkey) AS t, concat('e3/', o_orderkey) AS e1, concat('e4/', l_orderkey, '/', l_linenumber, '/', l_partkey, '/', l_suppkey) AS e2,
  CASE WHEN l_returnflag = 'R' THEN 'virtual' ELSE 'direct' END AS dispatch, CASE WHEN l_tax >= 0.08 THEN 'unresolved' WHEN l_discount >= 0.05 THEN 'may' ELSE 'must' END AS certainty, CASE WHEN s_acctbal > 5000 THEN 'high' ELSE 'low' END AS severity, c_mktsegment AS category,
  concat('mod/', s_nationkey, '.py') AS path, CAST(s_suppkey % 40 + 1 AS INT) AS line, l_linenumber AS col, CASE WHEN l_returnflag = 'A' THEN 'propagation_path' ELSE 'structural_lead' END AS kind, CASE WHEN l_linestatus = 'O' THEN 'unknown' WHEN l_linenumber = 1 THEN 'satisfiable_under_model' ELSE 'not_checked' END AS condition_status,
- l_linenumber = 7 AS truncated FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey WHERE c_acctbal > 9000) x""",
+ l_linenumber = 7 AS truncated FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey) x""",
     "flows": """SELECT candidate_id, s, mid, t, path, truncated, list_transform(range(1, col * 2 + 2), lambda i: {'ord': i, 'kind': CASE WHEN i = 1 THEN 'source' WHEN i = col * 2 + 1 THEN 'sink' WHEN i % 3 = 2 THEN 'call' WHEN i % 3 = 0 THEN 'return' ELSE 'assign' END, 'symbol': CASE WHEN i <= col THEN s WHEN i <= col + 2 THEN mid ELSE t END, 'path': CASE WHEN i = 4 THEN concat('out/', col, '.py') ELSE path END, 'line': i}) AS steps FROM candidates""",
 }
 
@@ -200,7 +200,7 @@ class Tables:
         file = lambda folder, col: F.concat(F.lit(folder + "/"), col.cast("string"), F.lit(".py"))
         checks = self.orders.filter("o_orderpriority = '1-URGENT' or (o_orderpriority = '5-LOW' and o_orderstatus = 'F')")
         return (
-            fact(self.customer.filter("c_acctbal > 9000"), "src", F.lit("source"), "c_custkey", "customer", F.col("c_mktsegment"), F.lit("medium"),
+            fact(self.customer, "src", F.lit("source"), "c_custkey", "customer", F.col("c_mktsegment"), F.lit("medium"),
                  file("mod", F.col("c_nationkey")), 60, F.lit("r1"))
             .unionByName(fact(self.supplier, "snk", F.lit("sink"), "s_suppkey", "supplier", F.lit("supplier"), F.when(F.col("s_acctbal") > 5000, "high").otherwise("low"),
                               file("mod", F.col("s_nationkey")), 40, F.concat(F.lit("r"), (F.col("s_suppkey") % 3).cast("string"))))
@@ -236,7 +236,7 @@ class Tables:
         ref = lambda prefix, *cols: F.concat_ws("/", F.lit(prefix), *[F.col(c).cast("string") for c in cols])
         rows = (
             self.lineitem.join(self.orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-            .join(self.customer.filter("c_acctbal > 9000").select("c_custkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))
+            .join(self.customer.select("c_custkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))
             .join(self.supplier.select("s_suppkey", "s_nationkey", "s_acctbal"), F.col("l_suppkey") == F.col("s_suppkey"))
             .select(
                 ref("src", "c_custkey").alias("src"), ref("snk", "s_suppkey").alias("snk"), ref("customer", "c_custkey").alias("s"), ref("order", "o_orderkey").alias("mid"),
