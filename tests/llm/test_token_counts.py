@@ -50,3 +50,9 @@ def test_odd_rows(spark):
 
 def test_empty(spark):
     assert C.suffix_sums(C.length_histogram(spark.createDataFrame([], "text string"))).collect() == []
+
+
+def test_texts_are_encoded_once(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    plan = C.suffix_sums(C.length_histogram(docs, ["source"]), ["source"])._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan

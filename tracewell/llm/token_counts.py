@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.llm.common import staged
 from tracewell.llm.tokens import byte_bpe
 
 _BLOCK = 1024
@@ -40,9 +41,10 @@ def suffix_sums(histogram: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     Adds docs_from and tokens_from (documents of this length or more, and their tokens), n_total,
     tokens_total, share_below (documents that are shorter, as a quantile) and truncated_total: the
     tokens left if every document is cut at this length. Sums run inside blocks of lengths and over
-    the block totals of a key, so no task sees all lengths. An empty histogram stays empty.
+    the block totals of a key, so no task sees all lengths. The histogram is staged, as it is read
+    twice. An empty histogram stays empty.
     """
-    rows = histogram.withColumn("_block", F.floor(F.col("length") / _BLOCK)).withColumn("_tokens", F.col("length") * F.col("n_docs"))
+    rows = staged(histogram).withColumn("_block", F.floor(F.col("length") / _BLOCK)).withColumn("_tokens", F.col("length") * F.col("n_docs"))
     keys = list(by)
     longer = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*(keys or [F.lit(0)]))
