@@ -98,3 +98,17 @@ def test_odd_rows(spark):
     meta = [r for r in records if r.page_id is None and r.record_type == "metadata"]
     assert meta[0].block == "outlink: http://b/c\r\n"
     assert W.derivatives(W.responses_from_pages(frame.limit(0))).collect() == []
+
+
+def test_control_characters_forge_no_header(spark):
+    url = "http://a/x\r\nWARC-Type: forged\n\u2028\x85\x00y"
+    pages = spark.createDataFrame([(1, url, "<title>t</title><a href='b&#13;&#10;WARC-Type: forged'>z</a>")], "page_id long, url string, html string")
+    records = W.derivatives(W.responses_from_pages(pages))
+    assert {r.target_uri for r in records.collect()} == {url}
+    for (record,) in W.serialized(records).collect():
+        head = record.split("\r\n\r\n")[0]
+        lines = head.splitlines()
+        assert len(lines) == 13 and [x for x in lines if x.startswith("WARC-Type")] == [lines[1]] and "forged" not in lines[1]
+        assert "WARC-Target-URI: http://a/x%0D%0AWARC-Type: forged%0A%E2%80%A8%C2%85%00y" in lines
+    (meta,) = [r.block for r in records.collect() if r.record_type == "metadata"]
+    assert all(x.split(":")[0] in ("title", "outlink") for x in meta.split("\r\n") if x)

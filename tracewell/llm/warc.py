@@ -8,6 +8,7 @@ import html
 import re
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 from urllib.parse import urljoin
 
 import pyarrow as pa
@@ -28,6 +29,9 @@ _BREAKS = re.compile(r"</?(?:address|article|aside|blockquote|body|br|dd|div|dl|
 _TAG = re.compile(r"<[a-zA-Z/!?](?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*+>|<[a-zA-Z/!?][^<>]*>")
 _LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z0-9-]+)", re.I)
 _CHARSET = re.compile(r"<meta\b[^>]*?\bcharset\s*=\s*[\"']?([A-Za-z0-9_-]+)", re.I)
+# control characters and the line ends of Unicode
+_CONTROL_CHARS = "".join(map(chr, [*range(32), *range(127, 160), 0x2028, 0x2029]))
+_CONTROL = re.compile(f"[{_CONTROL_CHARS}]")
 _HREF = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 
 
@@ -49,6 +53,11 @@ def plain_text(page: str) -> str:
     return "\n".join(line for line in (_tidy(x) for x in body.split("\n")) if line)
 
 
+def one_line(value: str) -> str:
+    """A field value that cannot end its line: control characters in percent notation."""
+    return _CONTROL.sub(lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), value)
+
+
 def metadata_fields(page: str, uri: str) -> str:
     """warc-fields block: what the page says of itself and every link target once, in order."""
     visible = _DROPPED.sub(" ", page)
@@ -61,7 +70,7 @@ def metadata_fields(page: str, uri: str) -> str:
             fields.append(("outlink", urljoin(uri, link)))
         except ValueError:
             fields.append(("outlink", link))
-    return "".join(f"{name}: {value}\r\n" for name, value in fields)
+    return "".join(f"{name}: {one_line(value)}\r\n" for name, value in fields)
 
 
 def responses_from_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url", body: str = "html", date: str = DATE) -> DataFrame:
@@ -116,8 +125,13 @@ def derivatives(responses: DataFrame) -> DataFrame:
 
 
 def serialized(records: DataFrame) -> DataFrame:
-    """(record): each record as WARC/1.1 text, without the line end that the text sink adds."""
-    line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
+    """(record): each record as WARC/1.1 text, without the line end that the text sink adds.
+
+    Control characters in a header value, line ends among them, are written in percent notation.
+    """
+    shown = lambda value: reduce(lambda v, c: F.replace(v, F.lit(c), F.lit(one_line(c))), _CONTROL_CHARS, value)
+    safe = lambda value: F.when(value.rlike(f"[{_CONTROL_CHARS}]"), shown(value)).otherwise(value)
+    line = lambda name, value: F.concat(F.lit(f"{name}: "), safe(F.coalesce(value, F.lit(""))), F.lit("\r\n"))
     head = F.concat(
         F.lit("WARC/1.1\r\n"),
         line("WARC-Type", F.col("record_type")),
