@@ -78,6 +78,29 @@ def test_odd_rows(spark):
     assert all(r[3:6] == (0.0, 0, 0) for r in run(spark, [(1, "a", 0), (2, None, 0)]))
 
 
+def test_repeated_rows_share_no_leaf_and_no_draw(spark, monkeypatch):
+    monkeypatch.setattr(M, "FAN_IN", 64)
+    rows = [(None, "a", 10)] * 3000 + [(7, "a", 10)] * 500 + [(i, f"s{i % 5}", 10 + i % 90) for i in range(3000)]
+    ranks = M.with_copies(spark.createDataFrame(rows, SCHEMA), ["source", "doc_id", "size"]).groupBy("source", "doc_id", "size").agg(F.count("*").alias("n"), F.countDistinct("_copy").alias("d"), F.max("_copy").alias("m"))
+    assert all(r.n == r.d + 1 and (r.m or 0) == r.n - 1 for r in ranks.collect())
+    got = run(spark, rows)
+    taken, want = check(rows, got)
+    share = sum(r[4] for r in got if r[0] is None) / 3000
+    assert abs(share - want["a"] / 35_000) < 0.05
+    assert sorted(got, key=repr) == sorted(run(spark, rows[::-1]), key=repr)
+
+
+def test_leaves_stay_small_under_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(M, "FAN_IN", 64)
+
+    def leaf(rows):
+        assert rows.num_rows < 2 * 64
+        return M._rounded(rows, leaf=True)
+
+    monkeypatch.setattr(M, "_leaf", leaf)
+    assert M.mix(spark.createDataFrame([(None, "a", 10)] * 4000 + [(i, "a", 10) for i in range(1000)], SCHEMA)).count() == 5000
+
+
 def test_empty(spark):
     assert run(spark, []) == []
 

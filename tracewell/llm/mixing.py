@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import shares, staged
+from tracewell.llm.common import positions, shares, staged
 
 WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
@@ -146,6 +147,25 @@ def _draw(level: int, *columns: str) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(f"mix{level}"), *columns), 11) * F.lit(2.0**-53)
 
 
+def with_copies(rows: DataFrame, keys: Sequence[str], name: str = "_copy") -> DataFrame:
+    """``rows``, staged, with the rank among rows of equal ``keys``; null for the first, so that it leaves a hash as it is.
+
+    Only rows whose keys repeat are ranked, by a range sort that also splits the rows of one key.
+    """
+    number = "_copy_row"
+    rows = staged(rows.withColumn(number, F.monotonically_increasing_id()))
+    same = [f"_k{i}" for i in range(len(keys))]
+    meet = lambda: reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(s)) for k, s in zip(keys, same)])
+    repeated = rows.groupBy(*[F.col(k).alias(s) for k, s in zip(keys, same)]).agg(F.count("*").alias("_n")).filter("_n > 1")
+    repeated = staged(repeated)
+    if repeated.isEmpty():
+        return rows.withColumn(name, F.lit(None).cast("long"))
+    placed, _ = positions(rows.join(repeated, meet(), "left_semi").select(number, *keys), [F.col(k) for k in keys] + [F.col(number)], "_place")
+    first = placed.groupBy(*[F.col(k).alias(s) for k, s in zip(keys, same)]).agg(F.min("_place").alias("_first"))
+    ranks = placed.join(first, meet()).select(number, F.nullif(F.col("_place") - F.col("_first"), F.lit(0)).alias(name))
+    return staged(rows.join(ranks, number, "left"))
+
+
 def mix(
     rows: DataFrame,
     weights: Sequence[float] = WEIGHTS,
@@ -160,13 +180,14 @@ def mix(
     rounded so that the words taken of a source differ from its target by half of the one document
     that stays open at the root at most. Leaves are blocks of a source fixed by a hash of doc_id and size,
     so a hot source spreads over many of them, and draws come from the same hash: reruns agree.
-    Null source: a source of its own. Null size: 0. Rows of size 0 add no word; their copies are
+    Rows of equal doc_id, source and size are told apart by their rank, which enters both hashes, so they
+    spread over the leaves and are drawn each for itself. Null source: a source of its own. Null size: 0. Rows of size 0 add no word; their copies are
     drawn alone. A null doc_id is drawn like any other value; equal rows are interchangeable.
     An empty table gives an empty result.
     """
     carry = list(carry)
     base = rows.select("doc_id", "source", F.coalesce(F.col("size").cast("long"), F.lit(0)).alias("size"), *carry)
-    base = staged(base)
+    base = with_copies(base, ["source", "doc_id", "size"])
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     sources = staged(targets(sizes, weights, budget, most).withColumn("blocks", F.ceil(F.col("n") / FAN_IN)))
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -177,10 +198,11 @@ def mix(
         "source_size",
         "target",
         "rank",
-        F.pmod(F.xxhash64("doc_id", "size"), F.col("blocks")).alias("block"),
+        F.pmod(F.xxhash64("doc_id", "size", "_copy"), F.col("blocks")).alias("block"),
         F.floor(expected).alias("sure"),
         (expected - F.floor(expected)).alias("f"),
-        _draw(0, "doc_id", "size").alias("draw"),
+        _draw(0, "doc_id", "size", "_copy").alias("draw"),
+        "_copy",
         *carry,
     )
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in leaves.schema) + ", open boolean"
@@ -190,7 +212,7 @@ def mix(
 
     # inner nodes: residuals of up to FAN_IN children meet, level by level, until one per source is left
     key = "rank long, block long, leaf long, size long, id long, f double"
-    left = settled.filter("open").select("rank", "block", F.col("block").alias("leaf"), "size", F.xxhash64("doc_id").alias("id"), "f")
+    left = settled.filter("open").select("rank", "block", F.col("block").alias("leaf"), "size", F.xxhash64("doc_id", "_copy").alias("id"), "f")
     decided = [settled.sparkSession.createDataFrame([], key)]
     level, width = 0, most_blocks
     while width > 1:

@@ -7,29 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import staged
+from tracewell.llm.common import positions, staged
 
 SHARDS = 16
 SEED = "interleave"
 
 
-def positions(df: DataFrame, order: Sequence[Column], name: str) -> tuple[DataFrame, int]:
-    """(rows with their place from 0 in ``order``, number of rows): a range sort, no task sees all rows.
-
-    The sorted rows are staged; the driver learns one count per partition of the sort, and the sums of
-    the counts before each partition go back as one literal array.
-    """
-    placed = staged(df.orderBy(*order).select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at")))
-    counts = dict(map(tuple, placed.groupBy("_part").count().collect()))
-    before, total = [0] * (max(counts, default=0) + 1), 0
-    for part in sorted(counts):
-        before[part], total = total, total + counts[part]
-    # the low 33 bits of the id count the rows of a partition
-    within = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    starts = F.array(*[F.lit(n).cast("long") for n in before])
-    return placed.withColumn(name, F.get(starts, F.col("_part")) + within).drop("_part", "_at"), total
-
-
 def _hashed(seed: str, value: Column) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), value))
 
