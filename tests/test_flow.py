@@ -249,3 +249,60 @@ def test_structured_steps(spark):
 
     assert got == {edge(1, e) for e in want} | {edge(2, e) for e in want2}
     assert flow.structured_graph(steps.limit(0)).collect() == []
+
+
+def test_two_bindings_of_one_name(spark):
+    """x = b and x = c make b and c one name; so does a chain of 100 bindings with its far end."""
+    parts = spark.createDataFrame([(r, 0, 0, False) for r in (1, 2, 3)], "route int, part int, frame int, gap boolean")
+    predicates = spark.createDataFrame(
+        [(1, 0, "b", "<", 5, None), (1, 0, "c", ">", 9, None), (2, 0, "n0", "<", 5, None), (2, 0, "n100", ">", 9, None), (3, 0, "b", "<", 5, None), (3, 0, "c", ">", 9, None)],
+        "route int, frame int, var string, op string, value long, text string")
+    links = [(1, "x", "b"), (1, "x", "c"), (3, "x", "b"), (3, "y", "c")] + [(2, f"n{i}", f"n{i + 1}") for i in range(100)]
+    bindings = spark.createDataFrame([(r, 0, a, 0, b, True) for r, a, b in links], "route int, frame int, name string, source_frame int, source_name string, exact boolean")
+    got = {r.route: r.status for r in flow.compose_route(parts, predicates, bindings).collect()}
+    assert got == {1: "infeasible_under_model", 2: "infeasible_under_model", 3: "satisfiable_under_model"}
+
+
+def test_long_copy_chains_end_in_an_unknown_origin(spark):
+    """Twelve copies in a row: found within twelve steps, unknown (and no error) within four; a loop of copies ends by itself."""
+    def_use = spark.createDataFrame([(1, i, i + 1, f"v{i}", "must") for i in range(13)] + [(2, 0, 1, "a", "must"), (2, 1, 0, "b", "must")], "fn int, source long, target long, var string, certainty string")
+    copies = spark.createDataFrame([(1, i, f"v{i - 1}", f"v{i}") for i in range(1, 13)] + [(2, 0, "b", "a"), (2, 1, "a", "b")], "fn int, node long, in_var string, out_var string")
+    uses = spark.createDataFrame([(1, 13, "v12"), (1, 3, "v2"), (2, 1, "a")], "fn int, node long, var string")
+    origins = lambda depth: {(r.fn, r.use_node): (r.origin, r.origin_var) for r in flow.backward_origins(uses, def_use, copies, max_depth=depth).collect()}
+    assert origins(12) == {(1, 13): (0, "v0"), (1, 3): (0, "v0")}
+    assert origins(4) == {(1, 13): (None, None), (1, 3): (0, "v0")}
+    assert origins(1) == {(1, 13): (None, None), (1, 3): (None, None), (2, 1): (None, None)} or origins(1) == {(1, 13): (None, None), (1, 3): (None, None)}
+
+
+def holds(op, a, b):
+    return {"<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b, "==": a == b, "!=": a != b}[op]
+
+
+def test_comparisons_of_names_by_enumeration(spark):
+    rng, cases = random.Random(11), {}
+    for path in range(400):
+        rows = [(v, op, c, None) for v in "xyz" for op, c in ((">=", 0), ("<=", 3))]
+        for _ in range(rng.randint(1, 4)):
+            a, b = rng.choice("xyz"), rng.choice(["x", "y", "z", None])
+            rows.append((a, rng.choice(["<", "<=", ">", ">=", "==", "!="]), rng.randint(-2, 3), b))
+        cases[path] = rows
+    cases[400] = [("x", "<", 0, "y"), ("y", "<", 0, "z"), ("z", "<", 0, "x")]
+    frame = spark.createDataFrame([(p, v, op, c, None, o) for p, rows in cases.items() for v, op, c, o in rows], "path int, var string, op string, value long, text string, other string")
+    got = {r.path: r.status for r in flow.branch_feasibility(frame).collect()}
+    values = range(0, 4)
+    unknown = 0
+    for path, rows in cases.items():
+        some = any(all(holds(op, at[v], c + (at[o] if o else 0)) for v, op, c, o in rows) for x in values for y in values for z in values for at in [{"x": x, "y": y, "z": z}])
+        if got[path] == "unknown":
+            unknown += 1
+            assert sum(op == "!=" for _, op, _, _ in rows) > 1
+        else:
+            assert (got[path] == "satisfiable_under_model") == some, (path, rows)
+    assert unknown < 80 and got[400] == "infeasible_under_model"
+    asked = spark.createDataFrame([(p, "x", "<=", 0, "y") for p in cases], "path int, var string, op string, value long, other string")
+    for r in flow.implies(frame, asked).collect():
+        fits = [(x, y) for x in values for y in values for z in values for at in [{"x": x, "y": y, "z": z}] if all(holds(op, at[v], c + (at[o] if o else 0)) for v, op, c, o in cases[r.path])]
+        if r.status == "implied_under_model":
+            assert fits and all(x <= y for x, y in fits)
+        elif r.status == "counterexample_under_model":
+            assert any(x > y for x, y in fits)

@@ -111,3 +111,30 @@ def test_paths_are_normalised(spark):
     raw = ["a/b/../c", "./a/./b", "../x", "a/../../b", "a//b/"]
     df = spark.createDataFrame([(i, r) for i, r in enumerate(raw)], "i int, p string").select("i", resolve.normalise_path(F.col("p")).alias("x")).orderBy("i")
     assert [r.x for r in df.collect()] == ["a/c", "a/b", "../x", "../b", "a/b"]
+
+
+def test_long_chains_and_rings_have_no_round_limit(spark):
+    """A chain and a ring of 1,000 nodes, five times the old limit; the number of rounds is far below that."""
+    n = 1000
+    hops = spark.range(n).select(F.concat(F.lit("c"), "id").alias("source"), F.concat(F.lit("c"), F.col("id") + 1).alias("target")).unionByName(
+        spark.range(n).select(F.concat(F.lit("r"), "id").alias("source"), F.concat(F.lit("r"), (F.col("id") + 1) % n).alias("target")))
+    seeds = spark.createDataFrame([("c0",), ("r7",)], "seed string")
+    got = {(r.seed, r.node): r.level for r in graphs.reachable(hops, seeds, level="level").collect()}
+    assert got == {("c0", f"c{i}"): i for i in range(n + 1)} | {("r7", f"r{(7 + i) % n}"): i for i in range(n)}
+
+
+def test_components(spark):
+    rng = random.Random(2)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(200)] + [(5000, 5001 + i) for i in range(300)] + [(7, 7), (9999, 9999)]
+    label = {}
+    for a, b in links:
+        label.setdefault(a, a), label.setdefault(b, b)
+    changed = True
+    while changed:
+        changed = False
+        for a, b in links:
+            low = min(label[a], label[b])
+            changed |= label[a] != low or label[b] != low
+            label[a] = label[b] = low
+    got = {r.id: r.component for r in graphs.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == label

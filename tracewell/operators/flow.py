@@ -6,7 +6,7 @@ one round per hop, and only new states drive the next round.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -15,8 +15,8 @@ from pyspark.sql import types as T
 
 from tracewell.functions.dominator_tree import tree_of_one_function
 from tracewell.functions.ids import digest_id
-from tracewell.operators.fixpoint import NotConverged, closure
-from tracewell.operators.graphs import path_variants
+from tracewell.operators.fixpoint import NotConverged, closure, walk
+from tracewell.operators.graphs import components, path_variants
 from tracewell.operators.skew import prefix_sums, top_n, with_neighbour
 from tracewell.operators.trees import depths, distances, dominator_tree, jump_tables, ways_up
 from tracewell.session import pin, stored
@@ -107,10 +107,9 @@ def hop_table(edges: DataFrame, stride: int = 8, keys: Sequence[str] = ("fn",))
     return hops
 
 
-def reachable_nodes(edges: DataFrame, seeds: DataFrame, stride: int = 8) -> DataFrame:
+def reachable_nodes(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(fn, node) reachable from ``seeds`` (fn, node), the seeds included."""
-    hops = hop_table(edges, stride).select("fn", F.col("source").alias("node"), F.col("target").alias("_to"))
-    return closure(seeds.select("fn", "node"), lambda d: d.join(hops, ["fn", "node"]).select("fn", F.col("_to").alias("node")), ["fn", "node"], 100_000)
+    return walk(seeds.select("fn", "node"), edges.select("fn", F.col("source").alias("node"), F.col("target").alias("next")), ["fn"])
 
 
 def _hung(flow: DataFrame, dist: DataFrame) -> DataFrame:
@@ -241,11 +240,24 @@ def value_flow_edges(def_use: DataFrame, transfers: DataFrame, definitions: Data
     ).distinct()
 
 
+def _reached_within(seed: DataFrame, step: Callable[[DataFrame], DataFrame], keys: Sequence[str], max_depth: int) -> DataFrame:
+    """Rows reached by at most ``max_depth`` steps, with their number as ``_depth``."""
+    level = stored(seed.select(*keys).distinct().withColumn("_depth", F.lit(0)))
+    levels = [level]
+    for depth in range(1, max_depth + 1):
+        seen = reduce(DataFrame.unionByName, levels)
+        level = stored(step(level).select(*keys).distinct().join(seen, list(keys), "left_anti").withColumn("_depth", F.lit(depth)))
+        if level.isEmpty():
+            break
+        levels.append(level)
+    return reduce(DataFrame.unionByName, levels)
+
+
 def backward_origins(uses: DataFrame, def_use: DataFrame, copies: DataFrame, max_depth: int = 64) -> DataFrame:
     """Origins (fn, use_node, use_var, origin, origin_var) of used values, followed back through copies.
 
-    ``copies``: fn, node, in_var, out_var. A chain longer than ``max_depth`` or a copied name without
-    any definition ends in an unknown origin (null).
+    ``copies``: fn, node, in_var, out_var. A copied name without any definition ends in an unknown origin
+    (null). So does a chain of more than ``max_depth`` copies: what lies behind them is not followed.
     """
     back = pin(def_use.select("fn", F.col("target").alias("node"), "var", F.col("source").alias("_def")))
     moves = copies.select("fn", F.col("node").alias("_def"), F.col("out_var").alias("var"), F.col("in_var").alias("_in"))
@@ -254,11 +266,12 @@ def backward_origins(uses: DataFrame, def_use: DataFrame, copies: DataFrame, max
     keys = ["fn", "use_node", "use_var", "node", "var"]
     moving = steps.filter("_in is not null").select("fn", "node", "var", F.col("_def").alias("_n"), F.col("_in").alias("_v"))
     step = lambda d: d.join(moving, ["fn", "node", "var"]).select("fn", "use_node", "use_var", F.col("_n").alias("node"), F.col("_v").alias("var"))
-    reached = closure(seed, step, keys, max_depth)
+    reached = _reached_within(seed, step, keys, max_depth)
+    beyond = step(reached.filter(F.col("_depth") == max_depth)).join(reached, keys, "left_anti").select("fn", "use_node", "use_var")
     roots = reached.join(steps.filter("_in is null").select("fn", "node", "var", "_def"), ["fn", "node", "var"])
     known = roots.select("fn", "use_node", "use_var", F.col("_def").alias("origin"), F.col("var").alias("origin_var"))
     open_end = reached.join(back.select("fn", "node", "var").distinct(), ["fn", "node", "var"], "left_anti")
-    unknown = open_end.select("fn", "use_node", "use_var", F.lit(None).cast(known.schema["origin"].dataType).alias("origin"), F.lit(None).cast("string").alias("origin_var"))
+    unknown = open_end.select("fn", "use_node", "use_var").unionByName(beyond).select("fn", "use_node", "use_var", F.lit(None).cast(known.schema["origin"].dataType).alias("origin"), F.lit(None).cast("string").alias("origin_var"))
     return known.unionByName(unknown).distinct()
 
 
@@ -357,8 +370,8 @@ def prefer_complete_group(external: DataFrame, local: DataFrame, checks: DataFra
     return taken.unionByName(kept), choice
 
 
-def branch_feasibility(predicates: DataFrame) -> DataFrame:
-    """Status of each path's conjunction of scalar predicates (path, var, op, value or text).
+def _scalar_feasibility(predicates: DataFrame) -> DataFrame:
+    """Status of each path's conjunction of predicates on one name each.
 
     ``op`` is one of < <= > >= == != over whole numbers, eq_text / ne_text over text, anything else is
     unsupported. A contradiction makes the path infeasible; otherwise an unsupported term makes it unknown.
@@ -380,12 +393,76 @@ def branch_feasibility(predicates: DataFrame) -> DataFrame:
     return open_terms.join(bad, "path", "left").select("path", status.alias("status"))
 
 
+def _linked_feasibility(predicates: DataFrame) -> DataFrame:
+    """Status of paths that compare names with each other: difference bounds, closed by doubling.
+
+    Every comparison is one or two bounds i - j <= w, with a name for zero; the closure joins them as
+    often as it takes to cover all names of the longest path. A name below itself is a contradiction.
+    Of the differences that must not take a value, a single one that matters is decided exactly;
+    several may exclude each other in ways that bounds do not show, which is unknown.
+    """
+    zero, c = F.lit("0"), F.coalesce("value", F.lit(0)).cast("long")
+    numeric = predicates.filter(F.col("op").isin("<", "<=", ">", ">=", "==", "!="))
+    named = stored(numeric.select("path", F.concat(F.lit("="), "var").alias("x"), F.coalesce(F.concat(F.lit("="), "other"), zero).alias("y"), "op", c.alias("c")))
+    op, bound = F.col("op"), lambda i, j, w: F.struct(F.col(i).alias("i"), F.col(j).alias("j"), w.alias("w"))
+    up = F.when(op.isin("<=", "=="), F.col("c")).when(op == "<", F.col("c") - 1)
+    down = F.when(op.isin(">=", "=="), -F.col("c")).when(op == ">", -F.col("c") - 1)
+    rows = named.select("path", F.explode(F.array(bound("x", "y", up), bound("y", "x", down))).alias("b")).select("path", "b.*").filter("w is not null")
+    itself = named.select("path", F.explode(F.array("x", "y")).alias("i")).distinct().select("path", "i", F.col("i").alias("j"), F.lit(0).cast("long").alias("w"))
+    bounds = stored(rows.unionByName(itself).groupBy("path", "i", "j").agg(F.min("w").alias("w")))
+    names = itself.groupBy("path").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
+    for _ in range((names - 1).bit_length()):
+        then = bounds.select("path", F.col("i").alias("j"), F.col("j").alias("_k"), F.col("w").alias("_w"))
+        bounds = stored(bounds.join(then, ["path", "j"]).select("path", "i", F.col("_k").alias("j"), (F.col("w") + F.col("_w")).alias("w")).groupBy("path", "i", "j").agg(F.min("w").alias("w")))
+    below = bounds.filter("i = j and w < 0").select("path").distinct()
+    # x - y must not be c; each pair once, with the range that the bounds leave to it
+    turned = F.col("x") > F.col("y")
+    barred = named.filter("op = '!='").select("path", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), F.when(turned, -F.col("c")).otherwise(F.col("c")).alias("c")).distinct()
+    high = bounds.withColumnRenamed("w", "_high")
+    low = bounds.select("path", F.col("i").alias("j"), F.col("j").alias("i"), (-F.col("w")).alias("_low"))
+    met = barred.join(high, ["path", "i", "j"], "left").join(low, ["path", "i", "j"], "left")
+    inside = met.filter((F.col("_high").isNull() | (F.col("c") <= F.col("_high"))) & (F.col("_low").isNull() | (F.col("c") >= F.col("_low"))))
+    pairs = stored(inside.groupBy("path", "i", "j").agg(F.count("*").alias("_holes"), (F.first("_high") - F.first("_low") + 1).alias("_room")))
+    # nothing lets a pair of equal names differ
+    full = pairs.filter("_holes >= _room").select("path").distinct()
+    several = pairs.groupBy("path").agg(F.count("*").alias("_pairs")).filter("_pairs > 1").select("path", F.lit(True).alias("_open"))
+    # texts and unsupported terms are judged as on any other path
+    texts = _scalar_feasibility(predicates.filter(~F.col("op").isin("<", "<=", ">", ">=", "==", "!="))).withColumnRenamed("status", "_texts")
+    bad = below.unionByName(full).distinct().withColumn("_bad", F.lit(True))
+    every = predicates.select("path").distinct().join(bad, "path", "left").join(several, "path", "left").join(texts, "path", "left")
+    status = (
+        F.when(F.col("_bad") | (F.col("_texts") == "infeasible_under_model"), "infeasible_under_model")
+        .when(F.col("_open") | (F.col("_texts") == "unknown"), "unknown").otherwise("satisfiable_under_model")
+    )
+    return every.select("path", status.alias("status"))
+
+
+def branch_feasibility(predicates: DataFrame) -> DataFrame:
+    """Status of each path's conjunction of predicates (path, var, op, value or text, and if given other).
+
+    A row compares ``var`` with ``value``, or with the name ``other`` plus ``value`` (null: 0). Paths
+    without any comparison of two names are decided name by name, the rest by difference bounds; a
+    contradiction makes a path infeasible, otherwise a term beyond the model makes it unknown.
+    """
+    if "other" not in predicates.columns:
+        return _scalar_feasibility(predicates)
+    predicates = stored(predicates)
+    linked = stored(predicates.filter("other is not null").select("path").distinct())
+    alone = _scalar_feasibility(predicates.join(linked, "path", "left_anti"))
+    return alone.unionByName(_linked_feasibility(predicates.join(linked, "path", "left_semi")))
+
+
 def implies(predicates: DataFrame, required: DataFrame) -> DataFrame:
-    """Whether each path forces its required condition (path, var, op, value): the path is feasible and its negation is not."""
+    """Whether each path forces its required condition (path, var, op, value, and if given other): the path is feasible and its negation is not."""
     negated = F.create_map(*[F.lit(x) for x in ("<", ">=", "<=", ">", ">", "<=", ">=", "<", "==", "!=", "!=", "==")])
     reach = branch_feasibility(predicates).withColumnRenamed("status", "_reach")
-    flipped = required.select("path", "var", F.element_at(negated, F.col("op")).alias("op"), "value", F.lit(None).cast("string").alias("text"))
-    counter = branch_feasibility(predicates.select("path", "var", "op", "value", "text").unionByName(flipped)).withColumnRenamed("status", "_counter")
+    nameless = F.lit(None).cast("string").alias("other")
+    if "other" in predicates.columns or "other" in required.columns:
+        predicates = predicates if "other" in predicates.columns else predicates.select("*", nameless)
+        required = required if "other" in required.columns else required.select("*", nameless)
+    flipped = required.withColumn("op", F.element_at(negated, F.col("op"))).withColumn("text", F.lit(None).cast("string"))
+    flipped = flipped.select([c for c in ("path", "var", "op", "value", "text", "other") if c in flipped.columns])
+    counter = branch_feasibility(predicates.select(*flipped.columns).unionByName(flipped)).withColumnRenamed("status", "_counter")
     verdict = (
         F.when(F.col("_reach") != "satisfiable_under_model", "unknown").when(F.col("_counter") == "infeasible_under_model", "implied_under_model")
         .when(F.col("_counter") == "satisfiable_under_model", "counterexample_under_model").otherwise("unknown")
@@ -397,16 +474,16 @@ def compose_route(parts: DataFrame, predicates: DataFrame, bindings: DataFrame,
     """Feasibility of routes joined from per-function pieces.
 
     ``parts``: route, part, frame, gap. ``predicates``: route, frame, var, op, value, text. ``bindings``:
-    route, frame, name, source_frame, source_name, exact. Names are told apart by frame; an exact
-    binding makes two names one. A gap, an inexact binding or too many parts makes the route unknown.
+    route, frame, name, source_frame, source_name, exact. Names are told apart by frame; exact bindings
+    make all names that they connect one, in chains of any length. A gap, an inexact binding or too many parts makes the route unknown.
     """
-    from tracewell.operators.graphs import canonical
-
     name = lambda frame, var: F.concat_ws("|", F.col("route").cast("string"), F.col(frame).cast("string"), F.col(var))
-    links = bindings.filter("exact").select(name("frame", "name").alias("id"), name("source_frame", "source_name").alias("alias"))
-    roots = canonical(links.groupBy("id").agg(F.min("alias").alias("alias")), 32)
-    scoped = predicates.withColumn("id", name("frame", "var")).join(roots, "id", "left")
-    merged = scoped.select(F.col("route").alias("path"), F.coalesce("canonical", "id").alias("var"), "op", "value", "text")
+    links = bindings.filter("exact").select(name("frame", "name").alias("a"), name("source_frame", "source_name").alias("b"))
+    roots = components(links)
+    scoped = predicates.withColumn("id", name("frame", "var")).join(roots, "id", "left").withColumn("var", F.coalesce("component", "id")).drop("id", "component")
+    if "other" in predicates.columns:
+        scoped = scoped.withColumn("id", F.when(F.col("other").isNotNull(), name("frame", "other"))).join(roots, "id", "left").withColumn("other", F.coalesce("component", "id"))
+    merged = scoped.select(F.col("route").alias("path"), *[c for c in ("var", "op", "value", "text", "other") if c in scoped.columns])
     solved = branch_feasibility(merged).withColumnRenamed("path", "route")
     shape = parts.groupBy("route").agg(F.count("*").alias("parts"), F.bool_or("gap").alias("_gap"))
     loose = bindings.filter("not exact").select("route").distinct().withColumn("_loose", F.lit(True))

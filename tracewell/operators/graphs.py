@@ -8,9 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.operators.fixpoint import closure
+from tracewell.operators.fixpoint import walk
 from tracewell.operators.skew import top_n
-from tracewell.session import pin
+from tracewell.session import pin, stored
 
 STRUCTURAL_LEVELS = ("module", "external_module", "stdlib_module")
 # Levels, relations and the degree threshold above 200 nodes of each preset view.
@@ -191,15 +191,10 @@ def remap_aggregated_edges(edges: DataFrame, merged: DataFrame) -> DataFrame:
     return edges.select("id", *keys).join(merged.select(*keys, F.col("id").alias("retained_id")), keys).select("id", "retained_id")
 
 
-def reachable(
-    edges: DataFrame, seeds: DataFrame, direction: str = "forward", max_rounds: int = 200, level: str | None = None
-) -> DataFrame:
+def reachable(edges: DataFrame, seeds: DataFrame, direction: str = "forward", level: str | None = None) -> DataFrame:
     """All (seed, node) pairs with a path from (or to) the seed, the seed itself included; cycles end by themselves."""
     here, there = ("source", "target") if direction == "forward" else ("target", "source")
-    hops = pin(edges.select(F.col(here).alias("node"), F.col(there).alias("_next")).distinct())
-    start = seeds.select("seed", F.col("seed").alias("node"))
-    step = lambda delta: delta.join(hops, "node").select("seed", F.col("_next").alias("node"))
-    return closure(start, step, ["seed", "node"], max_rounds, level=level)
+    return walk(seeds.select("seed", F.col("seed").alias("node")), edges.select(F.col(here).alias("node"), F.col(there).alias("next")), level=level)
 
 
 def shortest_paths(edges: DataFrame, sources: DataFrame, max_depth: int = 6) -> DataFrame:
@@ -232,8 +227,7 @@ def path_variants(
     """
     # a node is relevant when it reaches any target: one marker closure backward, whatever the number of targets
     hops = pin(edges.select(F.col("source").alias("node"), F.col("target").alias("_t"), F.col("id").alias("_e")))
-    back = hops.select(F.col("_t").alias("node"), F.col("node").alias("_p")).distinct()
-    marked = closure(targets.select(F.col("t").alias("node")).distinct(), lambda d: d.join(back, "node").select(F.col("_p").alias("node")), ["node"])
+    marked = stored(walk(targets.select(F.col("t").alias("node")), hops.select(F.col("_t").alias("node"), F.col("node").alias("next"))))
     hops = pin(hops.join(marked.select(F.col("node").alias("_t")), "_t", "left_semi"))
     open_paths = pin(sources.select("s").distinct().join(marked.select(F.col("node").alias("s")), "s", "left_semi").select(
         "s", F.col("s").alias("t"), F.array("s").alias("nodes"), F.array().cast("array<string>").alias("edge_ids")))
@@ -302,13 +296,34 @@ def canonical(aliases: DataFrame, hops: int = 8) -> DataFrame:
     return jump.select("id", F.col("to").alias("canonical"))
 
 
-def ancestors(bases: DataFrame, max_depth: int = 64) -> DataFrame:
-    """(type, ancestor, level) for every type with a base; level is the shortest distance."""
-    hops = pin(bases.select(F.col("type").alias("_t"), F.col("base").alias("_b")).distinct())
-    seed = hops.select(F.col("_t").alias("type"), F.col("_b").alias("ancestor"))
-    step = lambda d: d.join(hops, F.col("ancestor") == F.col("_t")).select("type", F.col("_b").alias("ancestor"))
-    found = closure(seed, step, ["type", "ancestor"], max_depth, level="_r")
-    return found.filter("type <> ancestor").select("type", "ancestor", (F.col("_r") + 1).alias("level"))
+def ancestors(bases: DataFrame) -> DataFrame:
+    """(type, ancestor, level) for every type with a base, at any depth; level is the shortest distance, cycles end by themselves."""
+    hops = pin(bases.select(F.col("type").alias("node"), F.col("base").alias("next")).distinct())
+    found = walk(hops.select(F.col("node").alias("type"), "node").distinct(), hops, level="level")
+    return found.filter("type <> node").select("type", F.col("node").alias("ancestor"), "level")
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(id, component) of every node of the undirected links (a, b): the smallest node it hangs together with.
+
+    Alternating stars: larger neighbours, then smaller ones, are hung on the smallest neighbour, until
+    nothing moves. Smallest neighbours are partial aggregates, so a hub is never gathered, and rounds
+    grow with the logarithm of the longest chain.
+    """
+    nodes = stored(links.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    edges = stored(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    while True:
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min(F.least("a", "b")).alias("_m"))
+        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("_m").alias("b")).distinct()
+        lower = large.groupBy("a").agg(F.min("b").alias("_m"))
+        hung = large.join(lower, "a")
+        small = hung.filter("b <> _m").select(F.col("b").alias("a"), F.col("_m").alias("b")).unionByName(lower.select("a", F.col("_m").alias("b")))
+        after = stored(small.distinct())
+        if edges.count() == after.count() and after.join(edges, ["a", "b"], "left_anti").isEmpty():
+            break
+        edges = after
+    return nodes.join(edges.withColumnRenamed("a", "id"), "id", "left").select("id", F.coalesce("b", "id").alias("component"))
 
 
 def nearest_declaring_ancestor(lookups: DataFrame, members: DataFrame, up: DataFrame, kinds: DataFrame) -> DataFrame:

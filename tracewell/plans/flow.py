@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tracewell.operators import evidence, flow, graphs
 from tracewell.plans.registry import query
-from tracewell.session import pin
+from tracewell.session import pin, stored
 from tracewell.views import with_views
 
 
@@ -140,11 +141,11 @@ _BO = """, cp AS (SELECT fn, node, CAST((var + 1) % 3 AS VARCHAR) AS i, CAST(var
  og AS (SELECT DISTINCT b.fn, use_node, use_var, du.source AS origin, du.var AS origin_var FROM bo b JOIN du ON du.fn = b.fn AND du.target = b.node AND du.var = b.var LEFT JOIN cp ON cp.fn = du.fn AND cp.node = du.source AND cp.o = du.var WHERE cp.node IS NULL UNION SELECT DISTINCT b.fn, use_node, use_var, CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR) FROM bo b LEFT JOIN du ON du.fn = b.fn AND du.target = b.node AND du.var = b.var WHERE du.source IS NULL)"""
 
 
-def _origins(t):
+def _origins(t, **how):
     nodes, var = t.cfg_nodes, F.col("var")
     copies = nodes.filter("kind = 'view'").select("fn", "node", ((var + 1) % 3).cast("string").alias("in_var"), var.cast("string").alias("out_var"))
     uses = nodes.filter("kind = 'purchase'").select("fn", "node", var.cast("string").alias("var"))
-    return flow.backward_origins(uses, pin(_def_use(t)), copies)
+    return flow.backward_origins(uses, pin(_def_use(t)), copies, **how)
 
 
 @query("gr26_backward_origins", with_views("cfg_nodes", "cfg_edges", more=_RD + _BO) + "SELECT * FROM og")
@@ -152,6 +153,16 @@ def gr26(t):
     return _origins(t)
 
 
+_BO_DEPTH = """, bd AS (SELECT fn, node AS use_node, CAST(var AS VARCHAR) AS use_var, node, CAST(var AS VARCHAR) AS var, 0 AS d FROM cfg_nodes WHERE kind = 'purchase' UNION SELECT b.fn, use_node, use_var, cp.node, cp.i, d + 1 FROM bd b JOIN du ON du.fn = b.fn AND du.target = b.node AND du.var = b.var JOIN cp ON cp.fn = du.fn AND cp.node = du.source AND cp.o = du.var WHERE d < 2),
+ bm AS (SELECT fn, use_node, use_var, node, var, min(d) AS d FROM bd GROUP BY ALL)"""
+
+
+@query("gr26_backward_origins_depth", with_views("cfg_nodes", "cfg_edges", more=_RD + _BO + _BO_DEPTH) + """SELECT DISTINCT b.fn, use_node, use_var, du.source AS origin, du.var AS origin_var FROM bm b JOIN du ON du.fn = b.fn AND du.target = b.node AND du.var = b.var LEFT JOIN cp ON cp.fn = du.fn AND cp.node = du.source AND cp.o = du.var WHERE d < 2 AND cp.node IS NULL
+ UNION SELECT DISTINCT b.fn, use_node, use_var, CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR) FROM bm b LEFT JOIN du ON du.fn = b.fn AND du.target = b.node AND du.var = b.var WHERE d = 2 OR du.source IS NULL""")
+def gr26_depth(t):
+    return _origins(t, max_depth=1)
+
+
 @query("gr16_constant_keys", with_views("cfg_nodes", "cfg_edges", more=_RD + _BO + """, lv AS (SELECT og.*, CASE WHEN n.node IS NOT NULL THEN concat('k', n.node % 4) END AS value FROM og LEFT JOIN cfg_nodes n ON n.fn = og.fn AND n.node = og.origin AND n.kind = 'click'),
  ck AS (SELECT fn, use_node, use_var, count(DISTINCT value) AS c, count(*) FILTER (WHERE value IS NULL) AS o, min(value) AS one FROM lv GROUP BY ALL), cc AS (SELECT *, CASE WHEN o > 0 OR c > 2 THEN 'unknown' WHEN c = 1 THEN 'exact' ELSE 'finite' END AS kind FROM ck)""") + "SELECT fn, use_node, use_var, kind, CASE WHEN kind = 'exact' THEN one END AS value, CASE WHEN kind <> 'unknown' THEN c END AS \"values\" FROM cc")
 def gr16(t):
@@ -232,6 +243,51 @@ def gr29(t):
     return flow.implies(predicates, required)
 
 
+# lines of an order in a row: each compares its name with that of the line before, and some with that of the first
+_LINE = """ln AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag, l_linestatus, l_tax) AS rn FROM lineitem)"""
+_NAMES = _LINE + """, st AS (SELECT *, sum(CASE WHEN rn > 1 AND l_returnflag = 'A' THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY rn) AS strict FROM ln),
+ nf AS (SELECT concat('o', l_orderkey) AS path, bool_or(rn > 1 AND l_linestatus = 'O' AND strict > CAST(l_quantity AS BIGINT) % 3) AS bad, max(CASE WHEN rn = 3 THEN strict END) > 0 AS third FROM st GROUP BY l_orderkey)"""
+
+
+def _lines(t):
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus", "l_tax")
+    return t.lineitem.select("l_orderkey", "l_quantity", "l_returnflag", "l_linestatus", "l_tax", F.row_number().over(order).alias("rn"))
+
+
+def _named_predicates(t):
+    rn, flag, name = F.col("rn"), F.col("l_returnflag"), lambda n: F.concat(F.lit("l"), n.cast("string"))
+    term = lambda op, other, value: F.struct(op.alias("op"), other.alias("other"), value.cast("long").alias("value"))
+    before = term(F.when(flag == "A", ">").when(flag == "R", ">=").otherwise("=="), name(rn - 1), F.lit(0))
+    first = term(F.lit("<="), F.lit("l1"), F.col("l_quantity").cast("long") % 3)
+    terms = F.when(rn == 1, F.array(term(F.lit(">="), F.lit(None).cast("string"), F.lit(0)))).when(F.col("l_linestatus") == "O", F.array(before, first)).otherwise(F.array(before))
+    rows = _lines(t).select(_txt("o", F.col("l_orderkey")).alias("path"), name(rn).alias("var"), F.explode(terms).alias("t"))
+    return rows.select("path", "var", "t.op", "t.value", F.lit(None).cast("string").alias("text"), "t.other")
+
+
+@query("gr28_branch_names", "WITH " + _NAMES + " SELECT path, CASE WHEN bad THEN 'infeasible_under_model' ELSE 'satisfiable_under_model' END AS status FROM nf")
+def gr28_names(t):
+    return flow.branch_feasibility(_named_predicates(t))
+
+
+@query("gr29_implies_names", "WITH " + _NAMES + " SELECT path, CASE WHEN bad THEN 'unknown' WHEN third THEN 'implied_under_model' ELSE 'counterexample_under_model' END AS status FROM nf")
+def gr29_names(t):
+    predicates = stored(_named_predicates(t))
+    required = predicates.select("path").distinct().select("path", F.lit("l3").alias("var"), F.lit(">").alias("op"), F.lit(0).cast("long").alias("value"), F.lit("l1").alias("other"))
+    return flow.implies(predicates, required)
+
+
+# every frame takes its name from the frame before it and from one shared by the whole route
+@query("gr30_compose_route_names", "WITH " + _LINE + """ SELECT l_orderkey AS route, count(*) AS parts, CASE WHEN bool_or(l_tax >= 0.08) THEN 'unknown' WHEN max(CASE WHEN l_returnflag = 'A' THEN CAST(l_quantity AS BIGINT) END) > min(CASE WHEN l_returnflag <> 'A' THEN CAST(l_quantity AS BIGINT) + 20 END) THEN 'infeasible_under_model' ELSE 'satisfiable_under_model' END AS status FROM ln GROUP BY l_orderkey""")
+def gr30_names(t):
+    lines = _lines(t).select(F.col("l_orderkey").alias("route"), F.col("rn").alias("frame"), F.col("l_quantity").cast("long").alias("q"), (F.col("l_returnflag") == "A").alias("least"), "l_tax")
+    parts = lines.select("route", F.col("frame").alias("part"), "frame", F.lit(False).alias("gap"))
+    predicates = lines.select("route", "frame", F.lit("v").alias("var"), F.when(F.col("least"), ">=").otherwise("<=").alias("op"), F.when(F.col("least"), F.col("q")).otherwise(F.col("q") + 20).alias("value"), F.lit(None).cast("string").alias("text"))
+    bind = lambda frame, name: F.struct(frame.alias("source_frame"), F.lit(name).alias("source_name"))
+    sources = F.when(F.col("frame") > 1, F.array(bind(F.col("frame") - 1, "v"), bind(F.lit(0), "shared"))).otherwise(F.array(bind(F.lit(0), "shared")))
+    bindings = lines.select("route", "frame", F.lit("v").alias("name"), F.explode(sources).alias("s"), (F.col("l_tax") < 0.08).alias("exact")).select("route", "frame", "name", "s.*", "exact")
+    return flow.compose_route(parts, predicates, bindings)
+
+
 _ROUTE = """pt AS (SELECT run_id AS route, sequence // 2500 AS part, bool_or(k = 50) AS gap FROM run_events GROUP BY ALL), rp AS (SELECT run_id AS path, CASE WHEN sequence % 2 = 0 THEN 'v0' ELSE concat('v1|', sequence // 2500) END AS var, CASE WHEN event_type IN ('run.started', 'model.started') THEN '>=' WHEN event_type = 'model.completed' THEN '<=' ELSE '!=' END AS op, CASE WHEN event_type IN ('run.started', 'model.started') THEN k % 45 WHEN event_type = 'model.completed' THEN 44 + k ELSE k END AS value FROM run_events)"""
 
 
