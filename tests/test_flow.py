@@ -306,3 +306,31 @@ def test_comparisons_of_names_by_enumeration(spark):
             assert fits and all(x <= y for x, y in fits)
         elif r.status == "counterexample_under_model":
             assert any(x > y for x, y in fits)
+
+
+def test_one_final_block_serves_every_completion(spark):
+    """try: a; return r / handler: h; raise x / final: f, and the same inside a loop with break and continue."""
+    rows = [
+        # fn 1: a return freezes its value and resumes behind the final block, a raise of the handler too
+        (1, "t", None, "body", 1, "try"), (1, "i", "t", "body", 1, "if"), (1, "r", "i", "body", 1, "return"), (1, "w", "t", "body", 2, "raise"), (1, "h", "t", "handler", 1, "plain"),
+        (1, "f", "t", "final", 1, "plain"), (1, "z", None, "body", 2, "plain"),
+        # fn 2: a return inside the final block replaces the pending one
+        (2, "t", None, "body", 1, "try"), (2, "r", "t", "body", 1, "return"), (2, "q", "t", "final", 1, "return"),
+        # fn 3: nested, in a loop
+        (3, "l", None, "body", 1, "loop"), (3, "o", "l", "body", 1, "try"), (3, "n", "o", "body", 1, "try"), (3, "i", "n", "body", 1, "if"), (3, "b", "i", "body", 1, "break"), (3, "c", "i", "else", 1, "continue"),
+        (3, "g", "n", "final", 1, "plain"), (3, "f", "o", "final", 1, "plain"),
+    ]
+    steps = spark.createDataFrame(rows, "fn int, node string, parent string, part string, ord int, kind string")
+    got = {(r.fn, r.source, r.target, r.branch, r.push, r.pop) for r in flow.structured_graph(steps, block_width=2, completions=True).collect()}
+    want = {
+        (1, "<entry>", "t", "normal", None, None), (1, "t", "i", "normal", None, None), (1, "t", "h", "exception", None, None), (1, "i", "r", "true", None, None), (1, "i", "w", "false", None, None),
+        (1, "r", "f", "normal", "t:return", None), (1, "w", "h", "exception", None, None), (1, "h", "f", "normal", "t:normal", None),
+        (1, "f", "z", "normal", None, "t:normal"), (1, "f", "<exit>", "normal", None, "t:return"), (1, "z", "<exit>", "normal", None, None),
+        (2, "<entry>", "t", "normal", None, None), (2, "t", "r", "normal", None, None), (2, "t", "q", "exception", "t:raise", None), (2, "r", "q", "normal", "t:return", None), (2, "q", "<exit>", "normal", None, None),
+        (3, "<entry>", "l", "normal", None, None), (3, "l", "o", "true", None, None), (3, "l", "<exit>", "false", None, None), (3, "o", "n", "normal", None, None), (3, "n", "i", "normal", None, None),
+        (3, "o", "f", "exception", "o:raise", None), (3, "n", "g", "exception", "n:raise", None), (3, "i", "b", "true", None, None), (3, "i", "c", "false", None, None),
+        (3, "b", "g", "normal", "n:break", None), (3, "c", "g", "normal", "n:continue", None),
+        (3, "g", "f", "normal", "o:break", "n:break"), (3, "g", "f", "normal", "o:continue", "n:continue"), (3, "g", "f", "normal", "o:raise", "n:raise"),
+        (3, "f", "<exit>", "normal", None, "o:break"), (3, "f", "l", "normal", None, "o:continue"), (3, "f", "<exit>", "normal", None, "o:raise"),
+    }
+    assert got == want

@@ -58,43 +58,93 @@ def resolved_upwards(rows: DataFrame, max_rounds: int = 64) -> DataFrame:
     raise NotConverged("blocks are nested in a cycle")
 
 
-def structured_graph(steps: DataFrame, order: str = "ord", block_width: int = 1000) -> DataFrame:
+def structured_graph(steps: DataFrame, order: str = "ord", block_width: int = 1000, completions: bool = False) -> DataFrame:
     """Labelled flow edges (fn, source, target, branch) of nested steps, with entry and exit.
 
-    ``steps``: fn, node, parent (null at the top), part (body, else or handler of the parent), ``order``
-    within that block, and kind: if, loop, try, break, continue, return, raise or plain. After the last
-    step of a block control goes on behind the parent, or back to it if that is a loop. An empty block
-    is passed by; break, continue and raise without a matching parent leave the function.
+    ``steps``: fn, node, parent (null at the top), part (body, else, handler or final of the parent),
+    ``order`` within that block, and kind: if, loop, try, break, continue, return, raise or plain. After
+    the last step of a block control goes on behind the parent, or back to it if that is a loop. An empty
+    block is passed by; break, continue and raise without a matching parent leave the function.
+
+    One final block serves every way out of its try: whatever leaves the other parts enters it, and
+    where it ends control resumes each completion that is pending there, normal or abrupt; an abrupt
+    step inside it replaces them. With ``completions`` the edges also have ``push`` and ``pop``, the
+    completion (try:kind) that an edge into a final block leaves pending and that an edge out of it
+    takes up, so that a reader can match them like calls and returns.
     """
-    rows = pin(steps.select("fn", F.col("node").cast("string").alias("node"), F.col("parent").cast("string").alias("parent"), "part", F.col(order).alias("o"), "kind"))
+    rows = stored(steps.select("fn", F.col("node").cast("string").alias("node"), F.col("parent").cast("string").alias("parent"), "part", F.col(order).alias("o"), "kind"))
     block = ["fn", "parent", "part"]
     above = rows.select("fn", F.col("node").alias("parent"), F.col("kind").alias("above"))
-    placed = with_neighbour(rows.fillna("", ["parent"]), block, F.floor(F.col("o") / block_width), ["o", "node"], ["node"], prefix="_next")
-    placed = pin(placed.withColumn("parent", F.when(F.col("parent") != "", F.col("parent"))).join(above, ["fn", "parent"], "left").select("fn", "node", "parent", "part", "o", "kind", "above", F.col("_next.node").alias("next")))
-    heads = pin(placed.groupBy("fn", F.col("parent").alias("node"), "part").agg(F.min_by("node", F.struct("o", "node")).alias("head")))
+    heads = stored(rows.groupBy("fn", F.col("parent").alias("node"), "part").agg(F.min_by("node", F.struct("o", "node")).alias("head")))
     part = lambda name: heads.filter(F.col("part") == name).select("fn", "node", F.col("head").alias(name))
+    of_parent = lambda name: part(name).select("fn", F.col("node").alias("parent"), F.col(name).alias(f"_{name}"))
+    placed = with_neighbour(rows.fillna("", ["parent"]), block, F.floor(F.col("o") / block_width), ["o", "node"], ["node"], prefix="_next")
+    placed = placed.withColumn("parent", F.when(F.col("parent") != "", F.col("parent"))).join(above, ["fn", "parent"], "left")
+    placed = stored(placed.join(of_parent("final"), ["fn", "parent"], "left").join(of_parent("handler"), ["fn", "parent"], "left").select(
+        "fn", "node", "parent", "part", "o", "kind", "above", F.col("_next.node").alias("next"), "_final", "_handler"))
     leave = F.lit("<exit>")
-    behind = F.coalesce("next", F.when(F.col("parent").isNull(), leave).when(F.col("above") == "loop", F.col("parent")))
-    follow = resolved_upwards(placed.select("fn", "node", behind.alias("value"), F.col("parent").alias("up"))).withColumnRenamed("value", "follow")
-    loop = resolved_upwards(placed.select("fn", "node", F.when(F.col("above") == "loop", F.col("parent")).alias("value"), F.col("parent").alias("up"))).withColumnRenamed("value", "loop")
-    catches = placed.filter("above = 'try' and part = 'body'").select("fn", "node", "parent").join(part("handler").withColumnRenamed("node", "parent"), ["fn", "parent"]).select("fn", "node", "handler")
-    caught = resolved_upwards(placed.join(catches, ["fn", "node"], "left").select("fn", "node", F.col("handler").alias("value"), F.col("parent").alias("up"))).withColumnRenamed("value", "caught")
-    full = placed.select("fn", "node", "kind").join(follow, ["fn", "node"]).join(loop, ["fn", "node"]).join(caught, ["fn", "node"])
-    for name in ("body", "else", "handler"):
+    # the nearest parent that answers, looked up by doubling
+    upwards = lambda value, name, up=F.col("parent"): resolved_upwards(placed.select("fn", "node", value.alias("value"), up.alias("up"))).withColumnRenamed("value", name)
+    guarded = (F.col("above") == "try") & (F.col("part") != "final") & F.col("_final").isNotNull()
+    goal = lambda target, via: F.struct(target.alias("target"), via.alias("via"))
+    none = F.lit(None).cast("string")
+    into = goal(F.col("_final"), F.col("parent"))
+    top, in_loop = F.col("parent").isNull(), F.col("above") == "loop"
+    follow = upwards(F.when(F.col("next").isNotNull(), goal(F.col("next"), none)).when(top, goal(leave, none)).when(in_loop, goal(F.col("parent"), none)).when(guarded, into), "follow")
+    caught = F.when((F.col("above") == "try") & (F.col("part") == "body") & F.col("_handler").isNotNull(), goal(F.col("_handler"), none)).when(guarded, into).when(top, goal(leave, none))
+    raised, returned = upwards(caught, "raise"), upwards(F.when(guarded, into).when(top, goal(leave, none)), "return")
+    left = upwards(F.when(in_loop, goal(F.col("parent"), none)).when(guarded, into).when(top, goal(leave, none)), "around")
+    finished = upwards(F.when(F.col("part") == "final", F.col("parent")), "ends", F.when(F.col("next").isNull() & ~in_loop & ~guarded, F.col("parent")))
+    # a step with a successor, or at the end of a loop, ends no final block
+    last = placed.filter(F.col("next").isNull()).select("fn", "node")
+    finished = finished.join(last, ["fn", "node"], "left_semi").filter("ends is not null")
+    full = placed.select("fn", "node", "kind")
+    for table in (follow, raised, returned, left):
+        full = full.join(table, ["fn", "node"])
+    for name in ("body", "else", "handler", "final"):
         full = full.join(part(name), ["fn", "node"], "left")
-    full = full.join(follow.select("fn", F.col("node").alias("loop"), F.col("follow").alias("after_loop")), ["fn", "loop"], "left")
-    kind = F.col("kind")
-    to = lambda cond, target, branch: F.when(cond, F.struct(target.alias("target"), F.lit(branch).alias("branch")))
+    full = stored(full)
+    behind = full.select("fn", F.col("node").alias("_loop"), F.col("follow").alias("_behind"))
+    full = full.withColumn("_loop", F.when(F.col("around.via").isNull(), F.col("around.target"))).join(behind, ["fn", "_loop"], "left")
+    resume = {
+        "normal": F.col("follow"), "raise": F.col("raise"), "return": F.col("return"), "continue": F.col("around"),
+        "break": F.when(F.col("around.via").isNull(), F.coalesce("_behind", goal(leave, none))).otherwise(F.col("around")),
+    }
+    kind, inner = F.col("kind"), F.coalesce("final", F.col("follow.target"))
+    final_via = F.when(F.col("final").isNotNull(), F.col("node")).otherwise(F.col("follow.via"))
+    direct = lambda cond, name, branch: F.when(cond & F.col(name).isNotNull(), edge(goal(F.col(name), none), branch))
+    edge = lambda to, branch, of="normal", ends=False: F.struct(to["target"].alias("target"), F.lit(branch).alias("branch"), to["via"].alias("via"), F.lit(of).alias("of"), F.lit(ends).alias("ends"))
+    empty = lambda name: F.col(name).isNull()
     out = F.array_compact(F.array(
-        to(kind == "if", F.coalesce("body", "follow"), "true"), to(kind == "if", F.coalesce("else", "follow"), "false"),
-        to(kind == "loop", F.coalesce("body", "node"), "true"), to(kind == "loop", F.col("follow"), "false"),
-        to(kind == "try", F.coalesce("body", "follow"), "normal"), to((kind == "try") & F.col("handler").isNotNull(), F.col("handler"), "exception"),
-        to(kind == "break", F.coalesce("after_loop", leave), "normal"), to(kind == "continue", F.coalesce("loop", leave), "normal"),
-        to(kind == "return", leave, "normal"), to(kind == "raise", F.coalesce("caught", leave), "exception"), to(kind == "plain", F.col("follow"), "normal"),
+        direct(kind == "if", "body", "true"), F.when((kind == "if") & empty("body"), edge(F.col("follow"), "true", ends=True)),
+        direct(kind == "if", "else", "false"), F.when((kind == "if") & empty("else"), edge(F.col("follow"), "false", ends=True)),
+        F.when(kind == "loop", edge(goal(F.coalesce("body", "node"), none), "true")), F.when(kind == "loop", edge(F.col("follow"), "false", ends=True)),
+        direct(kind == "try", "body", "normal"), F.when((kind == "try") & empty("body"), edge(goal(inner, final_via), "normal")),
+        direct(kind == "try", "handler", "exception"), F.when((kind == "try") & empty("handler") & ~empty("final"), edge(goal(F.col("final"), F.col("node")), "exception", "raise")),
+        F.when(kind == "break", edge(resume["break"], "normal", "break")), F.when(kind == "continue", edge(resume["continue"], "normal", "continue")),
+        F.when(kind == "return", edge(resume["return"], "normal", "return")), F.when(kind == "raise", edge(resume["raise"], "exception", "raise")),
+        F.when(kind == "plain", edge(F.col("follow"), "normal", ends=True)),
     ))
-    inner = full.select("fn", F.col("node").alias("source"), F.explode(out).alias("e")).select("fn", "source", "e.target", "e.branch")
+    made = full.select("fn", F.col("node").alias("source"), F.explode(out).alias("e")).select("fn", "source", "e.*")
+    made = stored(made.withColumn("push", F.when(F.col("via").isNotNull(), F.concat_ws(":", "via", "of"))))
     enter = heads.filter("node is null").groupBy("fn").agg(F.min("head").alias("target"))
-    return enter.select("fn", F.lit("<entry>").alias("source"), "target", F.lit("normal").alias("branch")).unionByName(inner)
+    entry = enter.select("fn", F.lit("<entry>").alias("source"), "target", F.lit("normal").alias("branch"), none.alias("push"), none.alias("pop"))
+    columns = ["fn", "source", "target", "branch", "push", "pop"]
+    # what is pending where a final block ends: completions that enter it, and those that inner ones resume with
+    after = F.explode(F.array(*[F.struct(F.lit(k).alias("of"), to.alias("to")) for k, to in resume.items()]))
+    resumes = stored(full.filter("final is not null").select("fn", F.col("node").alias("ends"), after.alias("r")).select("fn", "ends", "r.of", "r.to.target", "r.to.via"))
+    # an inner try that is the last step of a final block ends that block too
+    chain = walk(finished.select("fn", "node", F.col("node").alias("step")), finished.select("fn", "node", F.col("ends").alias("next")), ["fn"]).filter("node <> step")
+    closing = made.filter("ends").join(chain.select("fn", F.col("step").alias("source"), F.col("node").alias("ends_of")).distinct(), ["fn", "source"])
+    # behind a final block nothing follows but what is pending there
+    plain = stored(made.join(closing.select("fn", "source", "branch", F.lit(True).alias("ends")).distinct(), ["fn", "source", "branch", "ends"], "left_anti"))
+    entered = plain.filter("via is not null").select("fn", "of", F.col("via").alias("node")).distinct()
+    pending = walk(entered, resumes.filter("via is not null").select("fn", "of", F.col("ends").alias("node"), F.col("via").alias("next")), ["fn", "of"])
+    resumes = resumes.join(pending.withColumnRenamed("node", "ends"), ["fn", "of", "ends"])
+    resumed = closing.select("fn", "source", "branch", F.col("ends_of").alias("ends")).join(resumes, ["fn", "ends"])
+    resumed = resumed.select("fn", "source", "target", "branch", F.when(F.col("via").isNotNull(), F.concat_ws(":", "via", "of")).alias("push"), F.concat_ws(":", "ends", "of").alias("pop"))
+    edges = entry.unionByName(plain.withColumn("pop", none).select(*columns)).unionByName(resumed).distinct()
+    return edges if completions else edges.select("fn", "source", "target", "branch").distinct()
 
 
 def hop_table(edges: DataFrame, stride: int = 8, keys: Sequence[str] = ("fn",)) -> DataFrame:
@@ -297,22 +347,29 @@ def value_paths(edges: DataFrame, sources: DataFrame, sinks: DataFrame, max_dept
 
 def may_refer(
     edges: DataFrame, allocs: DataFrame, copies: DataFrame, stores: DataFrame | None = None, loads: DataFrame | None = None,
-    max_entries: int | None = None, max_rounds: int = 100_000, max_heap_rounds: int = 50,
+    invalidations: DataFrame | None = None, max_entries: int | None = None, max_aliases: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """(states, unavailable functions): which allocations a name may refer to before each node.
+    """(states, functions given up): which allocations a name may refer to before each node.
 
     ``allocs``: fn, node, name, alloc, certain. ``copies``: fn, node, src, dst, certain. ``stores``: fn,
-    node, base, field, value. ``loads``: fn, node, dst, base, field. A certain assignment replaces, an
-    uncertain one merges; an allocation inside a cycle also carries ``unknown``; heap cells only grow.
-    No function is given up unless ``max_entries`` is set; then the states have a column ``given_up``,
-    and a function over the budget is one row with that mark and neither place, name nor allocation.
+    node, base, field, value. ``loads``: fn, node, dst, base, field. ``invalidations``: fn, node, alloc
+    (``*``: all). A certain assignment replaces, an uncertain one merges; an allocation inside a cycle
+    also carries ``unknown``; behind an invalidation a reference to that allocation is ``unknown``; heap
+    cells only grow.
+
+    How references move from (node, name) to (node, name) does not depend on the allocation, so that
+    table is made once per function, and allocations walk it in strides that double.
+
+    No function is given up unless ``max_entries`` bounds its states or ``max_aliases`` the copies that
+    one reference may have passed; then the states have a column ``given_up``, and a function over a
+    budget is one row with that mark and neither place, name nor allocation.
     """
-    allocs = pin(allocs)
-    flow = pin(edges.select("fn", F.col("source").alias("at"), F.col("target").alias("_to")).distinct())
-    far = hop_table(edges).select("fn", F.col("source").alias("at"), F.col("target").alias("_to"))
-    leave = allocs.select("fn", F.col("node").alias("alloc_node"), F.col("node").alias("at")).distinct().join(far, ["fn", "at"]).select("fn", "alloc_node", F.col("_to").alias("at"))
-    around = closure(leave, lambda d: d.join(far, ["fn", "at"]).select("fn", "alloc_node", F.col("_to").alias("at")), ["fn", "alloc_node", "at"], max_rounds)
-    cyclic = pin(around.filter("alloc_node = at").select("fn", F.col("alloc_node").alias("node")).distinct())
+    allocs = stored(allocs)
+    flow = stored(edges.select("fn", F.col("source").alias("at"), F.col("target").alias("_to")).distinct())
+    around = walk(
+        allocs.select("fn", F.col("node").alias("alloc_node"), F.col("node").alias("at")).distinct().join(flow, ["fn", "at"]).select("fn", "alloc_node", F.col("_to").alias("node")).distinct(),
+        flow.select("fn", F.col("at").alias("node"), F.col("_to").alias("next")), ["fn"], patience=1)
+    cyclic = stored(around.filter("alloc_node = node").select("fn", F.col("alloc_node").alias("node")).distinct())
     born = allocs.unionByName(allocs.join(cyclic, ["fn", "node"], "left_semi").withColumn("alloc", F.lit("unknown")))
     writes = allocs.select("fn", "node", F.col("name").alias("_w"), "certain").unionByName(copies.select("fn", "node", F.col("dst").alias("_w"), "certain"))
     if loads is not None:
@@ -320,40 +377,124 @@ def may_refer(
     killed = writes.filter("certain").groupBy("fn", F.col("node").alias("at")).agg(F.collect_set("_w").alias("_kills"))
     nothing = F.array().cast("array<string>")
     moves = copies.groupBy("fn", F.col("node").alias("at")).agg(F.collect_set(F.struct("src", "dst")).alias("_moves"))
-    # one row per edge with what its source node overwrites and copies: both are bounded by the node itself
-    hops = pin(flow.join(killed, ["fn", "at"], "left").join(moves, ["fn", "at"], "left").select("fn", "at", "_to", F.coalesce("_kills", nothing).alias("_kills"), F.coalesce("_moves", F.array().cast("array<struct<src:string,dst:string>>")).alias("_moves")))
-
-    def step(d: DataFrame) -> DataFrame:
-        met = d.join(hops, ["fn", "at"])
-        copied = F.transform(F.filter("_moves", lambda m: m["src"] == F.col("name")), lambda m: m["dst"])
-        kept = F.when(F.array_contains("_kills", F.col("name")), nothing).otherwise(F.array("name"))
-        return met.select("fn", F.col("_to").alias("at"), F.explode(F.array_distinct(F.concat(kept, copied))).alias("name"), "alloc")
-
-    keys = ["fn", "at", "name", "alloc"]
-    seed = born.select("fn", F.col("node").alias("at"), "name", "alloc").join(flow, ["fn", "at"]).select("fn", F.col("_to").alias("at"), "name", "alloc")
-    states = closure(seed, step, keys, max_rounds, unroll=4)
+    # what one node overwrites and copies is bounded by the node itself
+    hops = flow.join(killed, ["fn", "at"], "left").join(moves, ["fn", "at"], "left").select("fn", "at", "_to", F.coalesce("_kills", nothing).alias("_kills"), F.coalesce("_moves", F.array().cast("array<struct<src:string,dst:string>>")).alias("_moves"))
+    names = writes.select("fn", F.col("_w").alias("name")).unionByName(copies.select("fn", F.col("src").alias("name"))).distinct()
+    copied = F.transform(F.filter("_moves", lambda m: m["src"] == F.col("name")), lambda m: m["dst"])
+    kept = F.when(F.array_contains("_kills", F.col("name")), nothing).otherwise(F.array("name"))
+    place = lambda at, name: F.struct(F.col(at).alias("at"), F.col(name).alias("name"))
+    moved = hops.join(names, "fn").select("fn", "at", "name", "_to", F.explode(F.array_distinct(F.concat(kept, copied))).alias("_name"))
+    moved = stored(moved.select("fn", F.lit("").alias("cls"), place("at", "name").alias("node"), place("_to", "_name").alias("next")))
+    cut = None
+    if invalidations is not None:
+        # an allocation that some node invalidates has a table of its own, without the ways out of these nodes
+        cut = stored(invalidations.select("fn", F.col("node").alias("_at"), F.col("alloc").alias("cls")).distinct())
+        every = cut.filter("cls = '*'").select("fn", "_at")
+        classes = cut.filter("cls <> '*'").select("fn", "cls").distinct()
+        tables = moved.unionByName(moved.drop("cls").join(classes, "fn").select(*moved.columns)).withColumn("_at", F.col("node.at"))
+        limited = tables.join(every, ["fn", "_at"], "left_anti").join(cut, ["fn", "cls", "_at"], "left_anti").drop("_at").select(*moved.columns)
+        moved = stored(limited.unionByName(moved.withColumn("cls", F.lit("unknown"))))
+        classes = stored(classes.withColumn("_own", F.lit(True)))
+
+    def classed(rows: DataFrame) -> DataFrame:
+        if cut is None:
+            return rows.withColumn("cls", F.lit(""))
+        own = rows.join(classes.withColumnRenamed("cls", "alloc"), ["fn", "alloc"], "left")
+        return own.withColumn("cls", F.when((F.col("alloc") == "unknown") | F.col("_own"), F.col("alloc")).otherwise(F.lit(""))).drop("_own")
+
+    def spread(rows: DataFrame) -> DataFrame:
+        """All states that references (fn, at, name, alloc) lead to."""
+        start = classed(rows).select("fn", "cls", "alloc", place("at", "name").alias("node"))
+        found = stored(walk(start, moved, ["fn", "cls"], patience=1))
+        if cut is not None:
+            stops = cut.select("fn", F.col("_at"), F.col("cls").alias("_cls"))
+            hit = found.withColumn("_at", F.col("node.at")).filter("alloc <> 'unknown'").join(stops, ["fn", "_at"]).filter("_cls = '*' or _cls = alloc").select("fn", "node").distinct()
+            lost = hit.join(moved.filter("cls = 'unknown'"), ["fn", "node"]).select("fn", "cls", F.lit("unknown").alias("alloc"), F.col("next").alias("node")).distinct()
+            found = stored(found.unionByName(walk(lost, moved, ["fn", "cls"], patience=1)).distinct())
+        return found.select("fn", "node.at", "node.name", "alloc")
+
+    seed = born.select("fn", F.col("node").alias("at"), "name", "alloc").join(flow, ["fn", "at"]).select("fn", F.col("_to").alias("at"), "name", "alloc").distinct()
+    states = spread(seed)
     if stores is not None and loads is not None:
-        heap = None
-        for _ in range(max_heap_rounds):
-            refs = pin(states)
-            refer = lambda name: refs.select("fn", F.col("at").alias("node"), F.col("name").alias(name), F.col("alloc").alias(f"_{name}"))
+        heap, known = None, 0
+        while True:
+            refs = states
+            refer = lambda name: refs.select("fn", F.col("at").alias("node"), F.col("name").alias(name), F.col("alloc").alias(f"_{name}"))  # noqa: B023, E731
             cells = stores.join(refer("base"), ["fn", "node", "base"]).join(refer("value"), ["fn", "node", "value"]).select("fn", F.col("_base").alias("cell"), "field", F.col("_value").alias("alloc")).distinct()
-            new_heap = pin(cells)
-            fresh = new_heap if heap is None else new_heap.join(heap, ["fn", "cell", "field", "alloc"], "left_anti")
-            if fresh.isEmpty():
+            heap = stored(cells)
+            before, known = known, heap.count()
+            if known == before:  # cells only grow
                 break
-            heap = new_heap
             seen = loads.join(refer("base"), ["fn", "node", "base"]).select("fn", F.col("node").alias("at"), F.col("dst").alias("name"), F.col("_base").alias("cell"), "field").join(heap, ["fn", "cell", "field"])
-            loaded = seen.select("fn", "at", "name", "alloc").join(flow, ["fn", "at"]).select("fn", F.col("_to").alias("at"), "name", "alloc")
-            states = closure(refs.unionByName(loaded), step, keys, max_rounds, unroll=4)
-        else:
-            raise NotConverged("heap cells still grow")
-    if max_entries is None:
+            loaded = seen.select("fn", "at", "name", "alloc").join(flow, ["fn", "at"]).select("fn", F.col("_to").alias("at"), "name", "alloc").distinct()
+            # references known so far have spread already
+            fresh = loaded.join(states, ["fn", "at", "name", "alloc"], "left_anti")
+            states = stored(states.unionByName(spread(stored(fresh))).distinct())
+    if max_entries is None and max_aliases is None:
         return states, states.select("fn").limit(0)
-    sizes = states.groupBy("fn").agg(F.count("*").alias("entries"))
-    over = pin(sizes.filter(F.col("entries") > max_entries).select("fn"))
-    kept = states.join(over, "fn", "left_anti").withColumn("given_up", F.lit(False))
-    return kept.unionByName(over.withColumn("given_up", F.lit(True)), allowMissingColumns=True), over
+    over = []
+    if max_entries is not None:
+        over.append(states.groupBy("fn").agg(F.count("*").alias("_n")).filter(F.col("_n") > max_entries).select("fn"))
+    if max_aliases is not None:
+        origin = copies.select("fn", F.col("node").alias("at"), F.col("dst").alias("name"), F.col("node").alias("alias")).join(flow, ["fn", "at"])
+        start = origin.select("fn", F.lit("" if cut is None else "unknown").alias("cls"), "alias", F.struct(F.col("_to").alias("at"), "name").alias("node")).distinct()
+        passed = walk(start, moved, ["fn", "cls"], patience=1).join(states.select("fn", place("at", "name").alias("node")).distinct(), ["fn", "node"], "left_semi")
+        over.append(passed.groupBy("fn", "node").agg(F.count("*").alias("_n")).filter(F.col("_n") > max_aliases).select("fn"))
+    given_up = stored(reduce(DataFrame.unionByName, over).distinct())
+    rest = states.join(given_up, "fn", "left_anti").withColumn("given_up", F.lit(False))
+    return rest.unionByName(given_up.withColumn("given_up", F.lit(True)), allowMissingColumns=True), given_up
+
+
+# operations whose values can be taken over; the last five only hand a value on
+VALUE_OPERATIONS = ("DebugRef", "BinOp", "UnOp", "Extract", "Call", "Return", "If", "Jump", "Panic", "Phi", "ChangeType", "Convert", "ChangeInterface", "MakeInterface")
+_HANDED_ON = VALUE_OPERATIONS[-5:]
+
+
+def compiler_values(local: DataFrame, native: DataFrame, nodes: DataFrame, instructions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(definition-use rows, verdict per function) of compiler values mapped to the operations of a flow graph.
+
+    ``local`` and ``native``: fn, path, line, col, end_line, end_col of the same function on both sides.
+    ``nodes``: fn, node, the same place columns, uses and defs (arrays of names). ``instructions``: fn,
+    ord, opcode, operator, invocation, result, name, operands (array) and place columns.
+
+    A DebugRef maps the value it names to the smallest operation around its place: a read slot if that
+    operation reads the name, a write slot if it writes it. A read value leads back through merges and
+    conversions to values with a write slot. A function is taken over whole or not at all: the verdict
+    holds the first reason against it, in the order place, operation, dispatch, ambiguous slot, unmapped
+    read; rows are those of functions without a reason.
+    """
+    place = ["path", "line", "col", "end_line", "end_col"]
+    instructions = stored(instructions)
+    owner = native.select("fn", *[F.col(c).alias(f"_{c}") for c in place])
+    apart = reduce(lambda a, b: a | b, [~F.col(c).eqNullSafe(F.col(f"_{c}")) for c in place])
+    reason = lambda df, rank, text: df.select("fn", F.lit(rank).alias("ord"), text.alias("reason"))
+    reasons = [reason(local.join(owner, "fn", "left").filter(apart), 1, F.lit("location_mismatch"))]
+    unfit = ~F.col("opcode").isin(*VALUE_OPERATIONS) | ((F.col("opcode") == "UnOp") & F.col("operator").isin("*", "<-"))
+    reasons.append(reason(instructions.filter(unfit), 2, F.concat(F.lit("operation_unsupported:"), "opcode", F.coalesce("operator", F.lit("")))))
+    reasons.append(reason(instructions.filter(F.col("invocation").isin("invoke", "dynamic")), 3, F.concat(F.lit("dispatch_unsupported:"), "invocation")))
+    # value slots of operations
+    key = lambda at: F.concat_ws("|", F.col("fn").cast("string"), F.col(at).cast("string"))
+    named = stored(instructions.filter((F.col("opcode") == "DebugRef") & F.col("name").isNotNull() & (F.size("operands") == 1)).select(
+        "fn", key("ord").alias("id"), "name", F.col("operands")[0].alias("value"), *place))
+    # only operations of the same function are candidates
+    inner = locate(named.select("id", key("path").alias("path"), *place[1:3]), nodes.select(key("node").alias("region"), key("path").alias("path"), *place[1:]))
+    around = nodes.select("fn", "node", key("node").alias("region"), "uses", "defs", F.struct("end_line", "end_col").alias("_end"))
+    slots = named.join(inner, "id").join(around, ["fn", "region"]).filter(F.struct("end_line", "end_col") <= F.col("_end"))
+    slots = stored(slots.select("fn", "node", "name", "value", F.array_contains("uses", F.col("name")).alias("read"), F.array_contains("defs", F.col("name")).alias("write")).distinct())
+    reasons.append(reason(slots.filter("read and write"), 4, F.concat(F.lit("read_write_ambiguous:"), "name")))
+    wanted = nodes.select("fn", "node", F.explode("uses").alias("name")).distinct()
+    reasons.append(reason(wanted.join(slots.filter("read"), ["fn", "node", "name"], "left_anti"), 5, F.concat(F.lit("read_not_mapped:"), "name")))
+    bad = reduce(DataFrame.unionByName, reasons).groupBy("fn").agg(F.min(F.struct("ord", "reason"))["reason"].alias("reason"))
+    verdicts = stored(local.select("fn").distinct().join(bad, "fn", "left"))
+    # back from what is read to what is written
+    fit = verdicts.filter("reason is null").select("fn")
+    slots = slots.join(fit, "fn", "left_semi")
+    written = slots.filter("write").select("fn", F.col("value"), F.col("node").alias("source"))
+    handed = instructions.filter(F.col("opcode").isin(*_HANDED_ON) & F.col("result").isNotNull()).select("fn", F.col("result").alias("node"), F.explode("operands").alias("next"))
+    handed = handed.join(written.select("fn", F.col("value").alias("node")).distinct(), ["fn", "node"], "left_anti")
+    start = slots.filter("read").select("fn", F.col("node").alias("target"), "name", F.col("value").alias("node")).distinct()
+    found = walk(start, handed, ["fn"], patience=2).withColumnRenamed("node", "value").join(written, ["fn", "value"])
+    return found.select("fn", "source", "target", "name").distinct(), verdicts
 
 
 def prefer_complete_group(external: DataFrame, local: DataFrame, checks: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:

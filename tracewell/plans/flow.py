@@ -55,6 +55,24 @@ def gr11_structured(t):
     return flow.structured_graph(rows.select("fn", "node", "parent", F.coalesce(part, F.lit("body")).alias("part"), F.col("rn").alias("ord"), kind.alias("kind")))
 
 
+_FIN = """ev AS (SELECT fn, concat('t', node) AS t, concat('s', node) AS s, concat('h', node) AS h, concat('f', node) AS f, node % 2 = 0 AS caught, CASE kind WHEN 'purchase' THEN 'return' WHEN 'error' THEN 'raise' ELSE 'plain' END AS k, coalesce(lead(concat('t', node)) OVER (PARTITION BY fn ORDER BY rn), '<exit>') AS nx, rn FROM cfg_nodes)"""
+
+
+@query("gr11_final_blocks", with_views("cfg_nodes", more=_FIN) + """SELECT fn, '<entry>' AS source, t AS target, 'normal' AS branch, CAST(NULL AS VARCHAR) AS push, CAST(NULL AS VARCHAR) AS pop FROM ev WHERE rn = 1 UNION ALL SELECT fn, t, s, 'normal', NULL, NULL FROM ev
+ UNION ALL SELECT fn, t, CASE WHEN caught THEN h ELSE f END, 'exception', CASE WHEN NOT caught THEN concat(t, ':raise') END, NULL FROM ev UNION ALL SELECT fn, s, CASE WHEN k = 'raise' AND caught THEN h ELSE f END, CASE WHEN k = 'raise' THEN 'exception' ELSE 'normal' END, CASE WHEN k = 'plain' THEN concat(t, ':normal') WHEN k = 'return' OR NOT caught THEN concat(t, ':', k) END, NULL FROM ev
+ UNION ALL SELECT fn, h, f, 'normal', concat(t, ':normal'), NULL FROM ev WHERE caught UNION ALL SELECT fn, f, nx, 'normal', NULL, concat(t, ':normal') FROM ev WHERE caught OR k = 'plain' UNION ALL SELECT fn, f, '<exit>', 'normal', NULL, concat(t, ':return') FROM ev WHERE k = 'return' UNION ALL SELECT fn, f, '<exit>', 'normal', NULL, concat(t, ':raise') FROM ev WHERE NOT caught""")
+def gr11_final(t):
+    """Each event is a try with a final block, every other one with a handler; its body goes on, returns or raises."""
+    node, kind = F.col("node").cast("string"), F.col("kind")
+    name = lambda letter: F.concat(F.lit(letter), node)
+    step = lambda letter, parent, part, order, kind: F.struct(name(letter).alias("node"), parent.alias("parent"), F.lit(part).alias("part"), order.alias("ord"), kind.alias("kind"))
+    one, plain = F.lit(1), F.lit("plain")
+    body = F.when(kind == "purchase", "return").when(kind == "error", "raise").otherwise("plain")
+    base = F.array(step("t", F.lit(None).cast("string"), "body", F.col("rn").cast("int"), F.lit("try")), step("s", name("t"), "body", one, body), step("f", name("t"), "final", one, plain))
+    steps = F.when(F.col("node") % 2 == 0, F.array_append(base, step("h", name("t"), "handler", one, plain))).otherwise(base)
+    return flow.structured_graph(t.cfg_nodes.select("fn", F.explode(steps).alias("s")).select("fn", "s.*"), completions=True)
+
+
 _DOM = """ent AS (SELECT fn, node FROM cfg_nodes WHERE rn = 1), av AS (SELECT n.fn, n.node AS x, e.node AS v FROM cfg_nodes n JOIN ent e ON e.fn = n.fn WHERE n.node <> e.node UNION SELECT av.fn, av.x, g.target FROM av JOIN cfg_edges g ON g.fn = av.fn AND g.source = av.v WHERE g.target <> av.x),
  dom AS (SELECT n.fn, x.node AS u, n.node AS v FROM cfg_nodes n JOIN cfg_nodes x ON x.fn = n.fn AND x.node <> n.node LEFT JOIN av ON av.fn = n.fn AND av.x = x.node AND av.v = n.node WHERE av.v IS NULL),
  dep AS (SELECT fn, v, count(*) AS d FROM dom GROUP BY fn, v), idom AS (SELECT dom.fn, dom.v AS node, arg_max(u, coalesce(d, 0)) AS idom FROM dom LEFT JOIN dep ON dep.fn = dom.fn AND dep.v = dom.u GROUP BY dom.fn, dom.v)"""
@@ -197,6 +215,28 @@ def gr22_fields(t):
     return flow.may_refer(t.cfg_edges, *_objects(t), stores, loads)[0].withColumnRenamed("at", "place")
 
 
+# behind a failing node references to the allocation two nodes before it are unknown, behind every 13th node all are
+_INV = _REF.replace("st AS (", """iv AS (SELECT fn, node, concat('a', node - 2) AS alloc FROM cfg_nodes WHERE kind = 'error' UNION ALL SELECT fn, node, '*' FROM cfg_nodes WHERE node % 13 = 0),
+ st AS (""", 1).replace("s.alloc FROM st s", "CASE WHEN s.alloc <> 'unknown' AND EXISTS (SELECT 1 FROM iv WHERE iv.fn = s.fn AND iv.node = s.p AND iv.alloc IN ('*', s.alloc)) THEN 'unknown' ELSE s.alloc END FROM st s")
+
+
+@query("gr22_may_refer_invalidated", with_views("cfg_nodes", "cfg_edges", more=_INV) + "SELECT DISTINCT fn, p AS \"place\", name, alloc FROM st")
+def gr22_invalidated(t):
+    nodes = t.cfg_nodes
+    invalid = nodes.filter("kind = 'error'").select("fn", "node", _txt("a", F.col("node") - 2).alias("alloc")).unionByName(nodes.filter("node % 13 = 0").select("fn", "node", F.lit("*").alias("alloc")))
+    return flow.may_refer(t.cfg_edges, *_objects(t), invalidations=invalid)[0].withColumnRenamed("at", "place")
+
+
+# a reference that more than three copies have touched gives its function up
+_ALIAS = _REF + """, aa AS (SELECT cp.fn, ee.target AS p, dst AS name, cp.node AS alias FROM cp JOIN ee ON ee.fn = cp.fn AND ee.source = cp.node UNION SELECT * FROM (SELECT s.fn, ee.target AS p, unnest(list_filter([CASE WHEN (k.node IS NULL OR k.name <> s.name) AND (c.node IS NULL OR c.dst <> s.name) THEN s.name END, CASE WHEN c.src = s.name THEN c.dst END], lambda x: x IS NOT NULL)) AS name, s.alias FROM aa s JOIN ee ON ee.fn = s.fn AND ee.source = s.p LEFT JOIN al k ON k.fn = s.fn AND k.node = s.p AND k.certain LEFT JOIN cp c ON c.fn = s.fn AND c.node = s.p) z),
+ gu AS (SELECT DISTINCT fn FROM (SELECT fn, p, name FROM aa WHERE (fn, p, name) IN (SELECT (fn, p, name) FROM st) GROUP BY ALL HAVING count(*) > 3) x)"""
+
+
+@query("gr22_may_refer_aliases", with_views("cfg_nodes", "cfg_edges", more=_ALIAS) + "SELECT fn, p AS \"place\", name, alloc, false AS given_up FROM st WHERE fn NOT IN (SELECT fn FROM gu) UNION ALL SELECT fn, NULL, NULL, NULL, true FROM gu")
+def gr22_aliases(t):
+    return flow.may_refer(t.cfg_edges, *_objects(t), max_aliases=3)[0].withColumnRenamed("at", "place")
+
+
 @query("gr27_prefer_complete_group", with_views("cfg_nodes") + "SELECT fn, node, CASE WHEN fn % 3 <> 0 AND fn % 5 <> 0 AND fn % 7 <> 0 THEN 'external' ELSE 'local' END AS origin FROM cfg_nodes WHERE NOT (fn % 3 <> 0 AND fn % 5 <> 0 AND fn % 7 <> 0) OR node % 2 = 0")
 def gr27(t):
     return _complete(t)[0].select("fn", "node", "origin")
@@ -216,6 +256,46 @@ def gr27_choice(t):
     return _complete(t)[1]
 
 
+def _compiler_values(t):
+    """Each click or view writes a value; a purchase reads a merge of the values one and two steps before it."""
+    nodes = t.cfg_nodes.select("fn", "node", "kind", "rn", _txt("v", F.col("var")).alias("name"))
+    rn, none = F.col("rn"), F.array().cast("array<string>")
+    span = lambda line, end, col, end_col: [F.lit("src.py").alias("path"), line.alias("line"), F.lit(col).alias("col"), end.alias("end_line"), F.lit(end_col).alias("end_col")]
+    last = nodes.groupBy("fn").agg(F.max("rn").alias("rn"))
+    local = last.select("fn", *span(F.lit(1), rn, 1, 90))
+    native = last.select("fn", *span(F.lit(1), rn + F.when(F.col("fn") % 5 == 0, 1).otherwise(0), 1, 90))
+    writes, reads = F.col("kind").isin("click", "view"), F.col("kind") == "purchase"
+    operations = nodes.select("fn", "node", *span(rn, rn, 1, 80), F.when(reads, F.array("name")).otherwise(none).alias("uses"), F.when(writes, F.array("name")).otherwise(none).alias("defs"))
+    value = lambda prefix, n: F.concat(F.lit(prefix), n.cast("string"))
+    row = lambda df, number, opcode, result, name, operands: df.select(
+        "fn", (rn * 3 + number).alias("ord"), F.lit(opcode).alias("opcode"), F.lit(None).cast("string").alias("operator"), F.lit(None).cast("string").alias("invocation"), result.cast("string").alias("result"), name.cast("string").alias("name"),
+        operands.alias("operands"), *span(rn, rn, 5, 9))
+    null = F.lit(None)
+    instructions = (
+        row(nodes.filter(writes), 0, "DebugRef", null, F.col("name"), F.array(value("t", rn)))
+        .unionByName(row(nodes.filter(reads & (F.col("node") % 97 != 0)), 0, "DebugRef", null, F.col("name"), F.array(value("p", rn))))
+        .unionByName(row(nodes.filter(reads), 1, "Phi", value("p", rn), null, F.array(value("t", rn - 1), value("c", rn - 2))))
+        .unionByName(row(nodes, 2, "Convert", value("c", rn), null, F.array(value("t", rn))))
+        .unionByName(row(nodes.filter("fn % 7 = 0 and rn = 2"), 1, "Store", null, null, none))
+    )
+    return flow.compiler_values(local, native, operations, instructions)
+
+
+_CV = """bad AS (SELECT fn, min(concat('v', var)) AS name FROM cfg_nodes WHERE kind = 'purchase' AND node % 97 = 0 GROUP BY fn),
+ vd AS (SELECT DISTINCT n.fn, CASE WHEN n.fn % 5 = 0 THEN 'location_mismatch' WHEN n.fn % 7 = 0 AND x.rn >= 2 THEN 'operation_unsupported:Store' WHEN bad.fn IS NOT NULL THEN concat('read_not_mapped:', bad.name) END AS reason
+  FROM cfg_nodes n JOIN (SELECT fn, max(rn) AS rn FROM cfg_nodes GROUP BY fn) x ON x.fn = n.fn LEFT JOIN bad ON bad.fn = n.fn)"""
+
+
+@query("gr27_compiler_values", with_views("cfg_nodes", more=_CV) + """SELECT r.fn, w.node AS source, r.node AS target, concat('v', r.var) AS name FROM cfg_nodes r JOIN cfg_nodes w ON w.fn = r.fn AND w.rn IN (r.rn - 1, r.rn - 2) AND w.kind IN ('click', 'view') JOIN vd ON vd.fn = r.fn AND vd.reason IS NULL WHERE r.kind = 'purchase'""")
+def gr27_values(t):
+    return _compiler_values(t)[0]
+
+
+@query("gr27_compiler_verdicts", with_views("cfg_nodes", more=_CV) + "SELECT fn, reason FROM vd")
+def gr27_verdicts(t):
+    return _compiler_values(t)[1]
+
+
 _PRED = """pr AS (SELECT concat(run_id, '/', sequence // 400) AS path, concat('v', sequence % 3) AS var, CASE WHEN k % 10 = 0 THEN '==' WHEN event_type = 'run.started' THEN '>' WHEN event_type = 'model.started' THEN '<' WHEN event_type = 'model.completed' THEN '!=' WHEN event_type = 'tool.requested' THEN '>=' WHEN k % 9 = 0 THEN 'matches' ELSE '<=' END AS op, k AS value FROM run_events)"""
 _FEAS = """, {p}b AS (SELECT path, var, max(CASE op WHEN '>=' THEN value WHEN '==' THEN value WHEN '>' THEN value + 1 END) AS lo, min(CASE op WHEN '<=' THEN value WHEN '==' THEN value WHEN '<' THEN value - 1 END) AS hi FROM {p} GROUP BY path, var),
  {p}h AS (SELECT b.path, b.var, count(DISTINCT p.value) AS n FROM {p}b b JOIN {p} p ON p.path = b.path AND p.var = b.var AND p.op = '!=' AND p.value BETWEEN lo AND hi GROUP BY b.path, b.var),

@@ -77,9 +77,9 @@ def srt01(t):
     return graphs.central_nodes(t.g_edges)
 
 
-_FILTER = """c AS MATERIALIZED (SELECT * FROM g_nodes WHERE level IN ('module', 'class', 'function', 'method', 'external_module') AND id <> 'nation/3'),
- k AS (SELECT * FROM g_edges WHERE source IN (SELECT id FROM c) AND target IN (SELECT id FROM c)),
- d AS (SELECT id, count(*) AS n FROM (SELECT source AS id FROM k UNION ALL SELECT target FROM k) x GROUP BY id),
+_FILTER = """ge AS MATERIALIZED (SELECT * FROM g_edges), c AS MATERIALIZED (SELECT * FROM g_nodes WHERE level IN ('module', 'class', 'function', 'method', 'external_module') AND id <> 'nation/3'),
+ k AS MATERIALIZED (SELECT * FROM ge WHERE source IN (SELECT id FROM c) AND target IN (SELECT id FROM c)),
+ d AS MATERIALIZED (SELECT id, count(*) AS n FROM (SELECT source AS id FROM k UNION ALL SELECT target FROM k) x GROUP BY id),
  v AS MATERIALIZED (SELECT c.* FROM c LEFT JOIN d USING (id) WHERE level = 'module' OR coalesce(n, 0) >= 2)"""
 
 
@@ -89,7 +89,7 @@ def flt06_nodes(t):
     return graphs.filter_graph(t.g_nodes, t.g_edges, levels, relations, threshold, hidden=["nation/3"])[0]
 
 
-@query("flt06_filter_graph_edges", with_views("g_nodes", "g_edges", more=_FILTER) + "SELECT g.* FROM g_edges g JOIN v a ON a.id = g.source JOIN v b ON b.id = g.target")
+@query("flt06_filter_graph_edges", with_views("g_nodes", "g_edges", more=_FILTER) + "SELECT * FROM ge WHERE source IN (SELECT id FROM v) AND target IN (SELECT id FROM v)")
 def flt06_edges(t):
     levels, relations, threshold = graphs.VIEW_PRESETS["core"]
     return graphs.filter_graph(t.g_nodes, t.g_edges, levels, relations, threshold, hidden=["nation/3"])[1]
