@@ -89,3 +89,18 @@ def test_bands_meet_with_the_promised_chance():
         hashes = L.np.array([L.xxhash.xxh64_intdigest(s.encode(), 42) for s in L.shingle_list(text)], L.np.uint64)
         missed += not list(bands.windows(hashes))
     assert missed <= 1
+
+
+def test_similar_notices_are_told_apart(spark):
+    def gnu(kind, version):
+        return f"x y z This program is free software: you can redistribute it and/or modify it under the terms of the GNU {kind}General Public License as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version. a b c"
+
+    rows = [
+        ("GPL-2.0", gnu("", 2)), ("GPL-3.0", gnu("", 3)), ("LGPL", gnu("Lesser ", 3)), ("AGPL", gnu("Affero ", 3)),
+        ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+        ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+        ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+        ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy it."),
+    ]
+    got = found(spark.createDataFrame([(i, text) for i, (_, text) in enumerate(rows)], "doc_id long, text string"))
+    assert got == {(i, name) for i, (name, _) in enumerate(rows)}
