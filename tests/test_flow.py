@@ -229,6 +229,53 @@ def test_depth_cuts_are_flagged(spark, through):
     assert run(6) == {("near", False), ("far", False)}
 
 
+def _calls(spark, local, calls, bindings, results, sinks, source=("s", "f", "v0")):
+    make = lambda rows, schema: spark.createDataFrame(rows, schema)
+    return (
+        make([source], "src string, fn string, var string"), make(local, "fn string, var string, use_kind string, use_id string, name string, certainty string"),
+        make(calls, "call_id string, caller string, callee string, certainty string"), make(bindings, "call_id string, name string, param string"),
+        make(results, "call_id string, result string"), make(sinks, "use_id string, snk string"))
+
+
+def _first_variants(flows, count):
+    per = {}
+    for r in flows.collect():
+        per.setdefault((r.src, r.snk), []).append((r.length, r.steps, r.certainty))
+    return {key: sorted(rows)[:count] for key, rows in per.items()}, {key for key, rows in per.items() if len(rows) > count}
+
+
+def test_call_diamonds_add_states_instead_of_multiplying_them(spark):
+    """Five diamonds in a row: 32 routes to the sink, of which the first two are kept."""
+    n = 5
+    sites = [(i, side) for i in range(n) for side in "ab"]
+    tables = _calls(
+        spark, [("f", f"v{i}", "call", f"{s}{i}", "n", "must") for i, s in sites] + [(f"g{i}", "p", "return", f"r{i}", "p", "must") for i in range(n)] + [("f", f"v{n}", "sink", "end", "v", "must")],
+        [(f"{s}{i}", "f", f"g{i}", "must") for i, s in sites], [(f"{s}{i}", "n", "p") for i, s in sites], [(f"{s}{i}", f"v{i + 1}") for i, s in sites], [("end", "end")])
+    full, _ = flow.propagate_taint(*tables, max_states=None, max_variants=None)
+    want, more = _first_variants(full, 2)
+    assert full.count() == 2**n and more == {("s", "end")}
+    # the budget counts states, of which a length has two at most, not their routes
+    flows, states = flow.propagate_taint(*tables, max_states=2, max_variants=2)
+    assert _first_variants(flows, 2)[0] == want and all(r.truncated for r in flows.collect())
+    assert states.count() <= 1 + n * (2 * 3 + 3)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_merged_states_keep_the_first_variants(spark, seed):
+    """Random calls with loops, shared callees and returns to every caller, against the full enumeration."""
+    rnd = random.Random(seed)
+    fns, names = ["f", "g", "h"], ["v0", "v1"]
+    calls = [(f"c{i}", rnd.choice(fns), rnd.choice(fns), rnd.choice(["must", "may"])) for i in range(4)]
+    local = {(fn, v, "call", c, "n", rnd.choice(["must", "may"])) for c, fn, _, _ in calls for v in rnd.sample(names, 1)}
+    local |= {(fn, rnd.choice(names), "return", f"r{fn}", "n", "must") for fn in fns} | {(rnd.choice(fns), rnd.choice(names), "sink", f"k{i}", "n", "must") for i in range(3)}
+    tables = _calls(spark, sorted(local), calls, [(c, "n", rnd.choice(names)) for c, *_ in calls], [(c, rnd.choice(names)) for c, *_ in calls], [(f"k{i}", f"k{i}") for i in range(3)])
+    full, _ = flow.propagate_taint(*tables, max_depth=4, max_states=None, max_variants=None)
+    want, more = _first_variants(full, 2)
+    flows, _ = flow.propagate_taint(*tables, max_depth=4, max_states=None, max_variants=2)
+    assert _first_variants(flows, 2)[0] == want
+    assert {r.src for r in flows.filter("truncated").collect()} >= {src for src, _ in more}
+
+
 def test_structured_steps(spark):
     """while a: { if b: break else: continue; c }  try: { d; raise e } handler: { f }  g: return"""
     rows = [

@@ -755,7 +755,13 @@ def propagate_taint(
     use_id, snk. ``boundaries``: boundary_id, fn, var, to_fn, to_var (always may).
 
     A return goes to the call on top of the stack; with an empty stack it goes to every caller.
-    Budgets per source and per (source, sink) set ``truncated``.
+    Budgets per source (in states of one length) and per (source, sink) set ``truncated``.
+
+    With ``max_variants`` equal states are merged: a place with its stack, depth and certainty keeps its
+    first ``max_variants`` + 1 routes, and one that has so many already, none of them deeper, takes no
+    longer route. All of them go on alike, so the kept variants are those of the full enumeration, while
+    diamonds and loops of calls add states one after the other instead of multiplying them. Longer ways
+    round a loop that are left out like this are not followed to the depth limit and do not flag it.
     """
     calls, local = pin(calls), pin(local_uses)
     into = pin(local.filter("use_kind = 'call'").select("fn", "var", F.col("use_id").alias("call_id"), "name", F.col("certainty").alias("_lc")).join(calls, "call_id").join(bindings, ["call_id", "name"]).select(
@@ -764,35 +770,45 @@ def propagate_taint(
     back = pin(calls.join(results, "call_id").select(F.col("call_id").alias("_call"), F.col("caller").alias("_to"), F.col("callee").alias("fn"), F.col("result").alias("_var"), (F.col("certainty") != "must").alias("_u")))
     ends = local.filter("use_kind = 'sink'").select("fn", "var", "use_id", F.col("certainty").alias("_lc")).join(sinks, "use_id")
     none = F.array().cast("array<string>")
-    cuts, level = [], pin(sources.select("src", "fn", "var", none.alias("stack"), none.alias("steps"), F.lit(False).alias("uncertain"), F.lit(0).alias("depth")).distinct())
-    levels = [level]
+    cuts, level = [], stored(sources.select("src", "fn", "var", none.alias("stack"), none.alias("steps"), F.lit(False).alias("uncertain"), F.lit(0).alias("depth")).distinct())
+    levels, visited, columns = [level], None, level.columns
+    place = ["src", "fn", "var", "stack", "uncertain"]
     step = lambda tag, ident: F.array_append("steps", F.concat(F.lit(tag + ":"), ident.cast("string")))
-    for _ in range(max_rounds):
-        down = level.join(into, ["fn", "var"])
-        deep = down.filter(F.col("depth") >= max_depth)
-        cuts.append(deep.select("src"))
-        down = down.filter(F.col("depth") < max_depth).select(
+    for number in range(max_rounds):
+        grown = level.join(into, ["fn", "var"]).select(
             "src", F.col("_to").alias("fn"), F.col("_var").alias("var"), F.array_append("stack", F.col("call_id").cast("string")).alias("stack"), step("call", F.col("call_id")).alias("steps"),
             (F.col("uncertain") | F.col("_u")).alias("uncertain"), (F.col("depth") + 1).alias("depth"))
         out = level.join(leave, ["fn", "var"]).withColumn("_top", F.get("stack", F.size("stack") - 1)).drop("var")
         out = out.join(back, "fn").filter(F.col("_top").isNull() | (F.col("_top") == F.col("_call").cast("string")))
-        up = out.select(
+        grown = grown.unionByName(out.select(
             "src", F.col("_to").alias("fn"), F.col("_var").alias("var"), F.slice("stack", F.lit(1), F.greatest(F.size("stack") - 1, F.lit(0))).alias("stack"), step("return", F.col("_call")).alias("steps"),
-            (F.col("uncertain") | F.col("_u") | (F.col("_lc") == "may")).alias("uncertain"), (F.col("depth") + F.col("_top").isNull().cast("int")).alias("depth"))
-        cuts.append(up.filter(F.col("depth") > max_depth).select("src"))
-        up = up.filter(F.col("depth") <= max_depth)
-        grown = down.unionByName(up)
+            (F.col("uncertain") | F.col("_u") | (F.col("_lc") == "may")).alias("uncertain"), (F.col("depth") + F.col("_top").isNull().cast("int")).alias("depth")))
         if boundaries is not None:
             side = level.join(boundaries, ["fn", "var"])
-            cuts.append(side.filter(F.col("depth") >= max_depth).select("src"))
-            side = side.filter(F.col("depth") < max_depth)
             grown = grown.unionByName(side.select("src", F.col("to_fn").alias("fn"), F.col("to_var").alias("var"), none.alias("stack"), step("boundary", F.col("boundary_id")).alias("steps"), F.lit(True).alias("uncertain"), (F.col("depth") + 1).alias("depth")))
-        grown = grown.distinct()
+        # what lies too deep shrinks to one row per source that flags the cut
+        shallow = F.col("depth") <= max_depth
+        grown = grown.select("src", *[F.when(shallow, F.col(c)).alias(c) for c in columns if c != "src"]).distinct()
+        first = F.col("fn").isNotNull()
+        if max_variants is not None:
+            if number % 4 == 3:  # short searches never come here; between refreshes fewer are known
+                counted = reduce(DataFrame.unionByName, levels[-4:]).groupBy(*place).agg(F.count("*").alias("_routes"), F.max("depth").alias("_deepest"))
+                visited = stored(counted if visited is None else visited.unionByName(counted).groupBy(*place).agg(F.sum("_routes").alias("_routes"), F.max("_deepest").alias("_deepest")))
+            if visited is not None:
+                full = visited.filter(F.col("_routes") > max_variants).select(*[F.col(c).alias(f"_{c}") for c in place], "_deepest")
+                grown = grown.join(full, reduce(lambda a, b: a & b, [F.col(c) == F.col(f"_{c}") for c in place]) & (F.col("depth") >= F.col("_deepest")), "left_anti")
+            grown, first = top_n(grown, [*place, "depth"], ["steps"], max_variants + 1, "_variant"), first & (F.col("_variant") == 1)
         if max_states is not None:
-            ranked = pin(top_n(grown, ["src"], ["steps", "fn", "var"], max_states + 1))
-            cuts.append(ranked.filter(F.col("rn") > max_states).select("src"))
-            grown = ranked.filter(F.col("rn") <= max_states).drop("rn")
-        level = pin(grown)
+            grown = stored(grown)
+            ranked = top_n(grown.filter(first), ["src"], ["steps", "fn", "var", "stack", "depth", "uncertain"], max_states + 1)
+            over = stored(ranked.filter(F.col("rn") > max_states).select("src"))
+            if not over.isEmpty():
+                cuts.append(over)
+                kept = ranked.filter(F.col("rn") <= max_states).select(*place, "depth")
+                grown = stored(grown.filter("fn is null").unionByName(grown.join(kept, [*place, "depth"], "left_semi")))
+        grown = grown.select(*columns) if max_states is not None else stored(grown.select(*columns))
+        cuts.append(grown.filter("fn is null").select("src"))
+        level = grown.filter("fn is not null")
         if level.isEmpty():
             break
         levels.append(level)
@@ -801,7 +817,7 @@ def propagate_taint(
     states = reduce(DataFrame.unionByName, levels)
     flows = states.join(ends, ["fn", "var"]).select("src", "snk", "steps", F.when(F.col("uncertain") | (F.col("_lc") == "may"), "may").otherwise("must").alias("certainty"), F.size("steps").alias("length"))
     if max_variants is not None:
-        ranked = pin(top_n(flows, ["src", "snk"], ["length", "steps"], max_variants + 1))
+        ranked = pin(top_n(flows, ["src", "snk"], ["length", "steps", "certainty"], max_variants + 1))
         cuts.append(ranked.filter(F.col("rn") > max_variants).select("src"))
         flows = ranked.filter(F.col("rn") <= max_variants).drop("rn")
     cut = reduce(DataFrame.unionByName, cuts).distinct().withColumn("truncated", F.lit(True))
