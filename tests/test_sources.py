@@ -57,6 +57,24 @@ def test_inventory_of_frameworks(spark):
     assert {(r.path, r.framework) for r in got} == {("package.json", "Vue"), ("package.json", "Vite")}
 
 
+def test_tombstones_rewrite_only_their_partitions(spark, tmp_path):
+    """Null flags and protected rows stay; a second run finds nothing to do."""
+    from tracewell.sources.files import read_artifact, write_artifact, write_tombstones
+
+    rows = [(1, "a", "done", False, True, 5, 1), (2, "b", "done", True, True, 5, 1), (3, "c", "done", None, True, 5, 1), (4, "d", "done", False, True, 50, 2), (5, "e", "open", False, False, 5, 2), (6, "f", "done", False, True, 5, None)]
+    folder, now = f"{tmp_path}/sessions", F.lit(10)
+    write_artifact(spark.createDataFrame(rows, "id int, body string, status string, protected boolean, terminal boolean, expires_at int, month int"), folder, "month")
+    files = lambda month: {p.name for p in (tmp_path / "sessions" / f"month={month}").iterdir()}
+    first, second = files(1), files(2)
+    want = {1: (None, "expired"), 2: ("b", "done"), 3: ("c", "done"), 4: ("d", "done"), 5: ("e", "open"), 6: (None, "expired")}
+    write_tombstones(spark, folder, "month", now)
+    assert {r.id: (r.body, r.status) for r in read_artifact(spark, folder).collect()} == want
+    assert files(2) == second and not files(1) & first
+    again = files(1)
+    write_tombstones(spark, folder, "month", now)
+    assert {r.id: (r.body, r.status) for r in read_artifact(spark, folder).collect()} == want and files(1) == again
+
+
 def test_sink_is_compacted(spark, tmp_path):
     """Twelve drains with a compaction every four: few folders, and always the newest version of each row."""
     from pyspark.sql import functions as F

@@ -344,9 +344,14 @@ def dependents(roots: DataFrame, links: Sequence[tuple[str, DataFrame, str, str]
     return reduce(DataFrame.unionByName, out)
 
 
+def expired(now: Column) -> Column:
+    """Whether a session may go: unprotected, terminal and past expiry. What is not known to be so stays."""
+    return F.coalesce(~F.col("protected") & F.col("terminal") & (F.col("expires_at") < now), F.lit(False))
+
+
 def expire_retention(sessions: DataFrame, now: Column) -> DataFrame:
     """Sessions with their bodies dropped where they are unprotected, terminal and past expiry; the rest unchanged."""
-    gone = ~F.col("protected") & F.col("terminal") & (F.col("expires_at") < now)
+    gone = expired(now)
     return sessions.withColumn("body", F.when(~gone, F.col("body"))).withColumn("status", F.when(gone, "expired").otherwise(F.col("status")))
 
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tracewell.operators import evaluation, runs
 from tracewell.plans.registry import query
+from tracewell.session import ensure_checkpoint_dir
+from tracewell.sources.files import read_artifact, write_artifact, write_tombstones
 from tracewell.views import with_views
 
 
@@ -370,17 +374,32 @@ def st05(t):
     return runs.pair_requests(sent, resolved, waits).select("request_id", "run_id", "attempt", "status", "resolved_at", "wait_ms")
 
 
-_COOL = """ev AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+COOL = """ev AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
  g AS (SELECT user_id, event_id, rn, t AS last_t, true AS ok FROM ev WHERE rn = 1 UNION ALL SELECT e.user_id, e.event_id, e.rn, CASE WHEN e.t - g.last_t >= 86400000000 THEN e.t ELSE g.last_t END, e.t - g.last_t >= 86400000000 FROM g JOIN ev e ON e.user_id = g.user_id AND e.rn = g.rn + 1)"""
 
 
-@query("st07_cooldown", "WITH RECURSIVE " + _COOL + " SELECT user_id, event_id FROM g WHERE ok")
+@query("st07_cooldown", "WITH RECURSIVE " + COOL + " SELECT user_id, event_id FROM g WHERE ok")
 def st07(t):
     day = 86_400_000_000
     return runs.cooldown_accept(t.events, "user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")), day, 4 * day)
 
 
-@query("st08_expire_retention", "SELECT o_orderkey, CASE WHEN o_orderstatus <> 'O' AND o_orderpriority <> '1-URGENT' AND o_orderdate < TIMESTAMP '1999-01-01' THEN NULL ELSE o_totalprice END AS body, CASE WHEN o_orderstatus <> 'O' AND o_orderpriority <> '1-URGENT' AND o_orderdate < TIMESTAMP '1999-01-01' THEN 'expired' ELSE o_orderstatus END AS status FROM orders")
+_RETENTION = "SELECT o_orderkey, CASE WHEN o_orderstatus <> 'O' AND o_orderpriority <> '1-URGENT' AND o_orderdate < TIMESTAMP '1999-01-01' THEN NULL ELSE o_totalprice END AS body, CASE WHEN o_orderstatus <> 'O' AND o_orderpriority <> '1-URGENT' AND o_orderdate < TIMESTAMP '1999-01-01' THEN 'expired' ELSE o_orderstatus END AS status FROM orders"
+
+
+def _sessions(t):
+    return t.orders.select("o_orderkey", F.col("o_totalprice").alias("body"), F.col("o_orderstatus").alias("status"), (F.col("o_orderpriority") == "1-URGENT").alias("protected"), (F.col("o_orderstatus") != "O").alias("terminal"), F.col("o_orderdate").alias("expires_at"))
+
+
+@query("st08_expire_retention", _RETENTION)
 def st08(t):
-    sessions = t.orders.select("o_orderkey", F.col("o_totalprice").alias("body"), F.col("o_orderstatus").alias("status"), (F.col("o_orderpriority") == "1-URGENT").alias("protected"), (F.col("o_orderstatus") != "O").alias("terminal"), F.col("o_orderdate").alias("expires_at"))
-    return runs.expire_retention(sessions, F.lit("1999-01-01 00:00:00").cast("timestamp")).select("o_orderkey", "body", "status")
+    return runs.expire_retention(_sessions(t), F.lit("1999-01-01 00:00:00").cast("timestamp")).select("o_orderkey", "body", "status")
+
+
+@query("st08_stored_tombstones", _RETENTION)
+def st08_stored(t):
+    """The same in place: sessions stored by month, the months with expired ones rewritten, read back."""
+    folder, now = f"{ensure_checkpoint_dir(t.spark)}/sessions-{uuid.uuid4().hex}", F.lit("1999-01-01 00:00:00").cast("timestamp")
+    write_artifact(_sessions(t).withColumn("month", F.date_format("expires_at", "yyyyMM").cast("int")).hint("rebalance", "month"), folder, "month")
+    write_tombstones(t.spark, folder, "month", now)
+    return read_artifact(t.spark, folder).select("o_orderkey", "body", "status")

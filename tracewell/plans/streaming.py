@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracewell.plans.registry import query
+from tracewell.plans.runs import COOL
 from tracewell.streaming import feeds
+from tracewell.streaming.state import KeyedState, cooldown_available
 from tracewell.views import Tables, with_views
 
 
+_HOUR = 3_600_000_000
+
+
 class _Stream(Tables):
     """The same tables and views, read as streams."""
 
@@ -47,17 +52,16 @@ _STATE = """ev AS (SELECT run_id, sequence, CASE WHEN event_type = 'run.failed'
 @query("st02_run_state", with_views("run_events", more=_STATE) + "SELECT run_id, CASE WHEN c IS NOT NULL AND (s IS NULL OR c < s) THEN 'cancelled' WHEN t IS NOT NULL THEN string_split(t, '.')[2] WHEN s IS NOT NULL THEN 'running' ELSE 'queued' END AS status, c IS NOT NULL AND NOT (s IS NULL OR c < s) AS cancel_requested FROM pr")
 def st02(t):
     folder = feeds.scratch(t.spark, "state")
-    per_run = _kinds(_live(t).run_events).groupBy("run_id").agg(*feeds.run_state_aggregates())
-    feeds.upsert_available(per_run, f"{folder}/sink", f"{folder}/checkpoint", ["run_id"])
-    return feeds.run_state(feeds.latest_rows(t.spark, f"{folder}/sink", ["run_id"]))
+    state = KeyedState(_kinds(_live(t).run_events), folder, ["run_id"], feeds.run_state_parts(), feeds.event_micros(), feeds.idle("last_at", _HOUR, F.col("terminal").isNotNull()))
+    return feeds.run_state(state.drain().rows(t.spark))
 
 
 @query("st03_expire_leases_stream", with_views("run_events") + "SELECT run_id, CASE WHEN epoch_us(TIMESTAMP '2024-01-31 12:00:00') - max(epoch_us(created_at)) > 7200000000 THEN 'failed' ELSE 'running' END AS status FROM run_events GROUP BY run_id")
 def st03_stream(t):
     folder = feeds.scratch(t.spark, "lease")
-    feeds.upsert_available(_live(t).run_events.groupBy("run_id").agg(*feeds.heartbeat_aggregates()), f"{folder}/sink", f"{folder}/checkpoint", ["run_id"])
+    state = KeyedState(_live(t).run_events, folder, ["run_id"], {"last_heartbeat": ("max", feeds.event_micros())}, feeds.event_micros(), feeds.idle("last_heartbeat", 2 * _HOUR))
     now = F.unix_micros(F.lit("2024-01-31 12:00:00").cast("timestamp"))
-    last = feeds.latest_rows(t.spark, f"{folder}/sink", ["run_id"])
+    last = state.drain().rows(t.spark)
     return last.select("run_id", F.when(now - F.col("last_heartbeat") > 7_200_000_000, "failed").otherwise("running").alias("status"))
 
 
@@ -71,8 +75,9 @@ def _progress(t):
     kind = F.col("event_type")
     status = F.when(kind == "run.failed", "failed").when(kind == "tool.requested", "completed").when(kind == "run.started", "pending").otherwise("running")
     updates = _live(t).run_events.select("run_id", (F.col("run_id") * 10 + F.col("sequence") % 7).alias("request_id"), "sequence", "created_at", kind.alias("stage"), status.alias("status"), F.col("k").alias("done"))
-    feeds.upsert_available(updates.groupBy("run_id", "request_id").agg(*feeds.progress_aggregates()), f"{folder}/sink", f"{folder}/checkpoint", ["run_id", "request_id"])
-    return feeds.progress_snapshot(feeds.latest_rows(t.spark, f"{folder}/sink", ["run_id", "request_id"]), F.lit("2024-01-30 00:00:00").cast("timestamp"), 86_400)
+    state = KeyedState(updates, folder, ["run_id", "request_id"], feeds.progress_parts(), feeds.event_micros(), feeds.idle("updated_at", 24 * _HOUR, F.col("newest.status") != "running"))
+    entries = state.drain().rows(t.spark).select("run_id", "request_id", "newest.stage", "newest.status", "newest.done", "started_at", "updated_at")
+    return feeds.progress_snapshot(entries, F.lit("2024-01-30 00:00:00").cast("timestamp"), 86_400)
 
 
 @query("st04_progress_registry", with_views("run_events", more=_PROGRESS) + "SELECT run_id, request_id, stage, status, done, round((CASE WHEN status IN ('completed', 'failed') THEN b ELSE now_us END - a) / 1000000, 1) AS elapsed_s FROM al")
@@ -101,8 +106,16 @@ def st05_stream(t):
  CAST(coalesce(sum(k) FILTER (WHERE event_type = 'model.started'), 0) AS BIGINT) AS request_characters, CAST(coalesce(sum(k) FILTER (WHERE event_type = 'model.completed'), 0) AS BIGINT) AS response_characters, max(sequence) AS last_sequence FROM run_events GROUP BY run_id""")
 def st06(t):
     folder = feeds.scratch(t.spark, "metrics")
-    feeds.upsert_available(_live(t).run_events.groupBy("run_id").agg(*feeds.metric_aggregates()), f"{folder}/sink", f"{folder}/checkpoint", ["run_id"])
-    return feeds.latest_rows(t.spark, f"{folder}/sink", ["run_id"])
+    state = KeyedState(_live(t).run_events, folder, ["run_id"], feeds.metric_parts(), feeds.event_micros(), feeds.idle("last_at", 24 * _HOUR))
+    return state.drain().rows(t.spark).drop("last_at")
+
+
+@query("st07_cooldown_stream", "WITH RECURSIVE " + COOL + " SELECT user_id, event_id FROM g WHERE ok")
+def st07_stream(t):
+    """The events table as a stream: the state holds the last accepted event of each user for a day."""
+    folder = feeds.scratch(t.spark, "cooldown")
+    cooldown_available(_live(t).events, folder, "user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")), 24 * _HOUR, _HOUR)
+    return t.spark.read.parquet(f"{folder}/sink").select("user_id", "event_id")
 
 
 @query("st09_accumulate_seen_lines", """WITH x AS (SELECT conv_id, turn, unnest(range(turn * 2, turn * 2 + 5)) AS line FROM conversations), m AS (SELECT conv_id, max(turn) AS last_turn FROM conversations GROUP BY conv_id)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.operators.corpus import snapshot_digest
+from tracewell.operators.runs import expire_retention, expired
 from tracewell.operators.skew import prefix_sums
 
 
@@ -23,6 +24,19 @@ def write_artifact(result: DataFrame, folder: str, key: str = "project_id") -> N
     (result.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(folder))
 
 
+def write_tombstones(spark: SparkSession, folder: str, key: str, now: Column) -> None:
+    """Expire stored sessions in place: unprotected, terminal ones past expiry lose their body and keep their row.
+
+    Only the partitions of ``key`` with a row to expire are rewritten, each as a whole, so a reader sees a partition
+    before or after and a repeated run finds nothing left to do.
+    """
+    sessions = read_artifact(spark, folder)
+    due = expired(now) & ~F.col("status").eqNullSafe("expired")
+    touched = sessions.filter(due).select(key).distinct()
+    kept = sessions.join(touched, sessions[key].eqNullSafe(touched[key]), "left_semi")
+    write_artifact(expire_retention(kept, now), folder, key)
+
+
 def read_artifact(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(folder)
 

@@ -38,20 +38,23 @@ def append_available(stream: DataFrame, sink: str, checkpoint: str) -> None:
 def upsert_available(stream: DataFrame, sink: str, checkpoint: str, keys: Sequence[str] = (), compact_every: int = 16) -> None:
     """Deliver changed result rows; each micro-batch owns one partition, so a repeated batch replaces itself.
 
-    With ``keys``, every ``compact_every`` batches the newest version of each row goes into the partition
-    of that batch and the older ones are removed. A reader sees the same rows before, during and after.
+    With ``keys`` about ``compact_every`` batches stay: after every half of them the newest version of each row
+    goes into the partition of that batch. What it replaces is removed one compaction later, so a reader that
+    has listed the sink still finds its files, and sees the same rows before, during and after.
     """
+    step = max(1, compact_every // 2)
+
     def write(batch: DataFrame, number: int) -> None:
-        older = [n for n in _batches(batch.sparkSession, sink) if n < number]
-        if keys and len(older) >= compact_every:
-            spark = batch.sparkSession
-            past = spark.read.option("basePath", sink).parquet(*[f"{sink}/batch={n}" for n in older])
+        if keys and number and number % step == 0:
+            spark, since = batch.sparkSession, number - step
+            older = [n for n in finished_batches(spark, sink) if n < number]
+            past = spark.read.option("basePath", sink).parquet(*[f"{sink}/batch={n}" for n in older if n >= since])
             values = [c for c in batch.columns if c not in keys]
             both = past.select(*keys, *values, "batch").unionByName(batch.select(*keys, *values).withColumn("batch", F.lit(number)))
-            batch = _newest(both, keys, values)
-            batch.write.mode("overwrite").parquet(f"{sink}/batch={number}")
+            _newest(both, keys, values).write.mode("overwrite").parquet(f"{sink}/batch={number}")
             for n in older:
-                _remove(spark, f"{sink}/batch={n}")
+                if n < since:
+                    remove_folder(spark, f"{sink}/batch={n}")
         else:
             batch.write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
@@ -75,7 +78,7 @@ def _folder(spark: SparkSession, path: str):
     return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
-def _batches(spark: SparkSession, sink: str) -> list[int]:
+def finished_batches(spark: SparkSession, sink: str) -> list[int]:
     """Numbers of the finished batches of a sink, on any storage that Spark reaches."""
     files, place = _folder(spark, sink)
     if not files.exists(place):
@@ -85,7 +88,7 @@ def _batches(spark: SparkSession, sink: str) -> list[int]:
     return sorted(int(p.getName().split("=")[1]) for p in done if p.getName().startswith("batch="))
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove_folder(spark: SparkSession, path: str) -> None:
     files, place = _folder(spark, path)
     files.delete(place, True)
 
@@ -95,14 +98,17 @@ def tail_events(events: DataFrame, terminal: Sequence[str] = TERMINAL) -> DataFr
     return events.withColumn("ends_run", F.col("event_type").isin(*terminal))
 
 
-def run_state_aggregates() -> list[Column]:
-    """Order-free ingredients of the run status: first start, first cancel request, first terminal event."""
+def event_micros() -> Column:
+    return F.unix_micros(F.col("created_at").cast("timestamp"))
+
+
+def run_state_parts() -> dict[str, tuple[str, Column]]:
+    """Order-free ingredients of the run status: first start, first cancel request, first terminal event, last sign of life."""
     kind, seq = F.col("event_type"), F.col("sequence")
-    first = lambda cond: F.min(F.when(cond, seq))
-    return [
-        first(kind == "run.started").alias("started_at"), first(kind == "run.cancel_requested").alias("cancel_at"),
-        F.min(F.when(kind.isin(*TERMINAL), F.struct(seq.alias("sequence"), kind.alias("event_type")))).alias("terminal"),
-    ]
+    return {
+        "started_at": ("min", F.when(kind == "run.started", seq)), "cancel_at": ("min", F.when(kind == "run.cancel_requested", seq)),
+        "terminal": ("min", F.when(kind.isin(*TERMINAL), F.struct(seq.alias("sequence"), kind.alias("event_type")))), "last_at": ("max", event_micros()),
+    }
 
 
 def run_state(per_run: DataFrame) -> DataFrame:
@@ -113,26 +119,25 @@ def run_state(per_run: DataFrame) -> DataFrame:
     return per_run.select("run_id", status.alias("status"), (F.col("cancel_at").isNotNull() & ~before_start).alias("cancel_requested"))
 
 
-def metric_aggregates() -> list[Column]:
+def metric_parts() -> dict[str, tuple[str, Column]]:
     """Counters of a run that a stream can keep up to date."""
     kind = F.col("event_type")
-    total = lambda name: F.coalesce(F.sum(F.when(kind == name, F.col("k"))), F.lit(0))
-    return [
-        F.count("*").alias("events"), F.count_if(kind == "model.started").alias("model_requests"), F.count_if(kind == "tool.requested").alias("tool_calls"), F.count_if(kind == "run.failed").alias("failures"),
-        total("model.started").alias("request_characters"), total("model.completed").alias("response_characters"), F.max("sequence").alias("last_sequence"),
-    ]
+    count = lambda name: ("sum", (kind == name).cast("long"))
+    total = lambda name: ("sum", F.coalesce(F.when(kind == name, F.col("k")), F.lit(0)).cast("long"))
+    return {
+        "events": ("sum", F.lit(1).cast("long")), "model_requests": count("model.started"), "tool_calls": count("tool.requested"), "failures": count("run.failed"),
+        "request_characters": total("model.started"), "response_characters": total("model.completed"), "last_sequence": ("max", F.col("sequence")), "last_at": ("max", event_micros()),
+    }
 
 
-def heartbeat_aggregates() -> list[Column]:
-    return [F.max(F.unix_micros(F.col("created_at").cast("timestamp"))).alias("last_heartbeat")]
+def progress_parts() -> dict[str, tuple[str, Column]]:
+    """Latest stage and counts of a request, with when it began and last moved."""
+    return {"newest": ("max", F.struct("sequence", "stage", "status", "done")), "started_at": ("min", event_micros()), "updated_at": ("max", event_micros())}
 
 
-def progress_aggregates() -> list[Column]:
-    """Latest stage and counts of a request, with when it began and last moved."""
-    at = F.unix_micros(F.col("created_at").cast("timestamp"))
-    return [
-        F.max_by("stage", "sequence").alias("stage"), F.max_by("status", "sequence").alias("status"), F.max_by("done", "sequence").alias("done"), F.min(at).alias("started_at"), F.max(at).alias("updated_at"),
-    ]
+def idle(last: str, micros: int, finished: Column | None = None):
+    """Rows that leave a keyed state: ``last`` lies ``micros`` behind the newest event (and ``finished`` holds)."""
+    return lambda clock: (F.col(last) < clock - micros) & (F.lit(True) if finished is None else finished)
 
 
 def progress_snapshot(entries: DataFrame, now: Column, ttl_s: int = 600) -> DataFrame:
@@ -150,12 +155,23 @@ def admission(entries: DataFrame, user: str, per_user: int = 8, total: int = 409
     return per.withColumn("may_create", (F.col("active") < per_user) & (entries_in_all < total))
 
 
-def pair_stream(sent: DataFrame, resolved: DataFrame, bound: str) -> DataFrame:
-    """Send attempts joined to their outcome within ``bound`` of event time; an attempt without one is emitted once the watermark passes."""
+def pair_stream(sent: DataFrame, resolved: DataFrame, bound: str, waits: DataFrame | None = None) -> DataFrame:
+    """Send attempts joined to their outcome within ``bound`` of event time; an attempt without one is emitted once the watermark passes.
+
+    ``waits`` (wait_of, waited_at, wait_ms; one per attempt) is a second outer join on the first: the retry wait that
+    begins within twice the bound of a failed attempt is attached to it. Each stream has its watermark, and the state
+    of both joins ends with it.
+    """
     left = sent.withWatermark("sent_at", bound)
     right = resolved.withWatermark("resolved_at", bound)
-    condition = (F.col("request_id") == F.col("answer_to")) & (F.col("resolved_at") >= F.col("sent_at")) & (F.col("resolved_at") <= F.col("sent_at") + F.expr(f"INTERVAL {bound}"))
-    return left.join(right, condition, "leftOuter").select("request_id", "run_id", "status")
+    span = F.expr(f"INTERVAL {bound}")
+    condition = (F.col("request_id") == F.col("answer_to")) & (F.col("resolved_at") >= F.col("sent_at")) & (F.col("resolved_at") <= F.col("sent_at") + span)
+    paired = left.join(right, condition, "leftOuter")
+    if waits is None:
+        return paired.select("request_id", "run_id", "status")
+    later = waits.withWatermark("waited_at", bound)
+    condition = (F.col("request_id") == F.col("wait_of")) & (F.col("waited_at") >= F.col("sent_at")) & (F.col("waited_at") <= F.col("sent_at") + span + span)
+    return paired.join(later, condition, "leftOuter").select("request_id", "run_id", "status", F.when(F.col("status") == "failed", F.col("wait_ms")).alias("wait_ms"))
 
 
 def drain_pending(delivered: DataFrame, sent: DataFrame) -> DataFrame:
@@ -164,6 +180,12 @@ def drain_pending(delivered: DataFrame, sent: DataFrame) -> DataFrame:
     return delivered.unionByName(open_rows).withColumn("status", F.coalesce("status", F.lit("pending")))
 
 
-def seen_lines(shown: DataFrame) -> DataFrame:
-    """Each (run, path, line) once, when it is first shown."""
-    return shown.dropDuplicates(["run_id", "path", "line"])
+def seen_lines(shown: DataFrame, at: str | None = None, within: str | None = None) -> DataFrame:
+    """Each (run, path, line) once, when it is first shown.
+
+    With ``at`` and ``within`` a line is remembered for that long after it was first shown and then forgotten, so the
+    state ends with the runs; a line shown again later comes again, and readers take the distinct rows.
+    """
+    if at is None:
+        return shown.dropDuplicates(["run_id", "path", "line"])
+    return shown.withWatermark(at, within).dropDuplicatesWithinWatermark(["run_id", "path", "line"])
