@@ -41,13 +41,22 @@ def nearest_candidate(lookups: DataFrame, candidates: DataFrame, key: str) -> Da
     Candidates are pre-aggregated to the best one per (key, prefix); a lookup meets only its own
     prefixes, so a key with many candidates never forms pairs.
     """
+    return _nearest(lookups, candidates, key).drop(key)
+
+
+def _nearest(lookups: DataFrame, candidates: DataFrame, key: str) -> DataFrame:
+    """``nearest_candidate`` with the key of each lookup.
+
+    A candidate becomes one row per prefix. Size estimates do not see that, so that the table could be
+    broadcast for being small before it grows; hence the merge join.
+    """
     best = (
         candidates.select(key, "path", F.explode(prefixes(F.col("path"))).alias("_p")).groupBy(key, F.col("_p.prefix").alias("_prefix"), F.col("_p.depth").alias("_depth"))
         .agg(F.min(F.struct(F.size(F.split("path", "/")).alias("n"), F.col("path").alias("path"))).alias("_best"))
     )
     asked = lookups.select("id", key, F.explode(prefixes(F.col("from_path"))).alias("_p")).select("id", key, F.col("_p.prefix").alias("_prefix"), F.col("_p.depth").alias("_depth"))
-    met = asked.join(best, [key, "_prefix", "_depth"])
-    return met.groupBy("id").agg(F.max_by("_best.path", "_depth").alias("path"), F.max("_depth").alias("common"))
+    met = asked.join(best.hint("merge"), [key, "_prefix", "_depth"])
+    return met.groupBy("id").agg(F.max_by(key, "_depth").alias(key), F.max_by("_best.path", "_depth").alias("path"), F.max("_depth").alias("common"))
 
 
 def module_suffixes(files: DataFrame) -> DataFrame:
@@ -65,8 +74,8 @@ def resolve_modules(lookups: DataFrame, files: DataFrame) -> DataFrame:
     parts = F.split("module", r"\.")
     tried = lookups.select("id", "from_path", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(
         i.alias("dropped"), F.array_join(F.slice(parts, i, F.size(parts)), ".").alias("suffix")))).alias("_s")).select("id", "from_path", "_s.*")
-    hit = tried.join(known, "suffix").groupBy("id").agg(F.min(F.struct("dropped", "suffix", "from_path")).alias("m")).select("id", "m.suffix", "m.from_path")
-    return nearest_candidate(hit, index.select(F.col("module").alias("suffix"), "path"), "suffix").join(hit.select("id", "suffix"), "id")
+    hit = tried.join(known.hint("merge"), "suffix").groupBy("id").agg(F.min(F.struct("dropped", "suffix", "from_path")).alias("m")).select("id", "m.suffix", "m.from_path")
+    return _nearest(hit, index.select(F.col("module").alias("suffix"), "path"), "suffix").select("id", "path", "common", "suffix")
 
 
 def first_existing(candidates: DataFrame, files: DataFrame) -> DataFrame:
