@@ -1,8 +1,11 @@
 """Work and memory that grow no faster than the input."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from tracewell.operators import flow
 from tracewell.plans import QUERIES
 
 
@@ -12,3 +15,24 @@ def plan(df) -> str:
 
 def test_a_table_of_prefixes_is_not_broadcast(spark, folder):
     assert "Broadcast" not in plan(QUERIES["join02_module_suffix_index"](spark, folder))
+
+
+def _random_function(rng, fn, nodes=12):
+    edges = {(fn, n, n + 1, rng.random() < 0.2) for n in range(nodes - 1)} | {(fn, rng.randrange(nodes), rng.randrange(nodes), rng.random() < 0.2) for _ in range(8)}
+    writes = {(fn, n, rng.choice(["a", "a.x", "a[0]", "b"]), rng.random() < 0.7) for n in range(nodes) if rng.random() < 0.7}
+    reads = {(fn, n, name) for n in range(nodes) for name in ("a", "a.x", "a[0]", "b") if rng.random() < 0.4}
+    return edges, writes, reads
+
+
+def test_small_functions_leave_no_states_as_rows(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [_random_function(rng, fn) for fn in range(20)]
+    edges, writes, reads = ([r for part in parts for r in part] for parts in zip(*rows))
+    tables = (
+        spark.createDataFrame(edges, "fn long, source long, target long, before_write boolean"),
+        spark.createDataFrame(writes, "fn long, node long, var string, certain boolean"), spark.createDataFrame(reads, "fn long, node long, var string"))
+    answer = lambda **how: sorted(map(tuple, flow.reaching_definitions(*tables, **how).collect()))
+    by_rows = answer(local_rows=0)
+    assert by_rows == answer(local_rows=55) and len(by_rows) > 100
+    monkeypatch.setattr(flow, "closure", None)
+    assert answer() == by_rows
