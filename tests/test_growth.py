@@ -36,3 +36,9 @@ def test_small_functions_leave_no_states_as_rows(spark, monkeypatch):
     assert by_rows == answer(local_rows=55) and len(by_rows) > 100
     monkeypatch.setattr(flow, "closure", None)
     assert answer() == by_rows
+
+
+def test_a_stream_of_a_table_in_parts(spark, folder, tmp_path):
+    spark.read.parquet(f"{folder}/conversations.parquet").repartition(3).write.parquet(str(tmp_path / "conversations.parquet"))
+    answer = lambda place: sorted(map(tuple, QUERIES["st09_accumulate_seen_lines"](spark, place).collect()))
+    assert answer(str(tmp_path)) == answer(folder)

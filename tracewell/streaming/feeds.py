@@ -25,7 +25,10 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def table_stream(spark: SparkSession, folder: str, table: str, schema: T.StructType) -> DataFrame:
-    """Files of one table as an unbounded stream."""
+    """Files of one table as an unbounded stream; the table is one file or a folder of part files."""
+    files, place = _folder(spark, f"{folder}/{table}.parquet")
+    if files.getFileStatus(place).isDirectory():
+        return spark.readStream.schema(schema).parquet(f"{folder}/{table}.parquet")
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(folder)
 
 
