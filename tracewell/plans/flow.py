@@ -378,10 +378,10 @@ def gr30(t):
     low, high = kind.isin("run.started", "model.started"), kind == "model.completed"
     predicates = t.run_events.select(F.col("run_id").alias("route"), part.alias("frame"), F.when(F.col("sequence") % 2 == 0, "v0").otherwise("v1").alias("var"), F.when(low, ">=").when(high, "<=").otherwise("!=").alias("op"),
                                      F.when(low, k % 45).when(high, 44 + k).otherwise(k).alias("value"), F.lit(None).cast("string").alias("text"))
-    # every frame but the first takes v0 from the frame before it; frames are numbered without holes
-    last = parts.groupBy("route").agg(F.max("part").alias("_last")).filter("_last > 0")
-    frames = last.select("route", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_last"))).alias("frame"))
-    bindings = frames.select("route", "frame", F.lit("v0").alias("name"), (F.col("frame") - 1).alias("source_frame"), F.lit("v0").alias("source_name"), (F.col("route") % 5 != 0).alias("exact"))
+    # every frame takes v0 from the frame before it that the route has, its first one from frame 0: numbers without a part make no rows
+    before = F.lag("frame", 1, 0).over(Window.partitionBy("route").orderBy("frame"))
+    frames = parts.select("route", "frame", before.alias("source_frame")).filter("frame > 0")
+    bindings = frames.select("route", "frame", F.lit("v0").alias("name"), "source_frame", F.lit("v0").alias("source_name"), (F.col("route") % 5 != 0).alias("exact"))
     return flow.compose_route(parts, predicates, bindings)
 
 
