@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewell.operators import flow
 from tracewell.plans import QUERIES
+from tracewell.views import Tables
 
 
 def plan(df) -> str:
@@ -42,3 +43,20 @@ def test_a_stream_of_a_table_in_parts(spark, folder, tmp_path):
     spark.read.parquet(f"{folder}/conversations.parquet").repartition(3).write.parquet(str(tmp_path / "conversations.parquet"))
     answer = lambda place: sorted(map(tuple, QUERIES["st09_accumulate_seen_lines"](spark, place).collect()))
     assert answer(str(tmp_path)) == answer(folder)
+
+
+def test_few_names_are_closed_without_rows_for_all_pairs(spark):
+    rng = random.Random(8)
+    rows = [(f"p{p}", rng.choice("abc"), rng.choice(["<", "<=", ">", ">=", "==", "!="]), rng.randint(-2, 2), None, rng.choice(["a", "b", "c", None])) for p in range(150) for _ in range(rng.randint(1, 6))]
+    predicates = spark.createDataFrame(rows, "path string, var string, op string, value long, text string, other string")
+    answer = lambda n: {r.path: r.status for r in flow.branch_feasibility(predicates, n).collect()}
+    alone = answer(16)
+    assert alone == answer(0) == answer(3) and len(set(alone.values())) == 3
+    closed = flow._closed_in_rows(spark.createDataFrame([("p", i, j, w) for i, j, w in (("a", "a", 0), ("b", "b", 0), ("0", "0", 0), ("a", "b", 1), ("b", "0", 2))], "path string, i string, j string, w long"),
+                                  spark.createDataFrame([("p", "0", "a", 5)], "path string, i string, j string, c long"))
+    assert {tuple(r) for r in closed.collect()} == {("p", "a", "0", 3)}
+
+
+def test_routes_are_made_distinct_while_narrow(spark, folder):
+    text = Tables(spark, folder).candidates._jdf.queryExecution().optimizedPlan().toString()
+    assert "sha2" in text and text.index("sha2") < text.index("Aggregate")

@@ -561,11 +561,28 @@ def _scalar_feasibility(predicates: DataFrame) -> DataFrame:
     return open_terms.join(bad, "path", "left").select("path", status.alias("status"))
 
 
-def _linked_feasibility(predicates: DataFrame) -> DataFrame:
-    """Status of paths that compare names with each other: difference bounds, closed by doubling.
+_LOCAL_BOUND = 2**40
 
-    Every comparison is one or two bounds i - j <= w, with a name for zero; the closure joins them as
-    often as it takes to cover all names of the longest path. A name below itself is a contradiction.
+
+def _closed_in_rows(bounds: DataFrame, barred: DataFrame) -> DataFrame:
+    """Closed bounds (path, i, j, w) of paths with few names, one matrix per row: only names below themselves and ``barred`` pairs come out."""
+    asked = barred.groupBy("path").agg(F.collect_set(F.struct("i", "j")).alias("asked"))
+    cells = bounds.groupBy("path").agg(F.collect_list(F.struct("i", "j", "w")).alias("cells")).join(asked, "path", "left")
+    placed = cells.selectExpr("path", "asked", "cells", "transform(filter(cells, c -> c.i = c.j), c -> c.i) as names").selectExpr("*", "size(names) as n")
+    known = placed.selectExpr("path", "asked", "names", "n", "map_from_entries(transform(cells, c -> struct(cast((array_position(names, c.i) - 1) * n + array_position(names, c.j) - 1 as int), c.w))) as known")
+    start = known.selectExpr("path", "asked", "names", "n", "transform(sequence(0, n * n - 1), p -> try_element_at(known, p)) as d")
+    closed = start.selectExpr("path", "asked", "names", "n", "aggregate(sequence(0, n - 1), d, (d, k) -> transform(d, (v, p) -> least(v, get(d, cast(p div n as int) * n + k) + get(d, k * n + p % n)))) as d")
+    rows = closed.selectExpr("path", "asked", "inline(transform(d, (w, p) -> struct(get(names, cast(p div n as int)) as i, get(names, p % n) as j, w)))").filter("w is not null")
+    wanted = F.array_contains("asked", F.struct("i", "j")) | F.array_contains("asked", F.struct(F.col("j").alias("i"), F.col("i").alias("j")))
+    return rows.filter(((F.col("i") == F.col("j")) & (F.col("w") < 0)) | wanted).select("path", "i", "j", "w")
+
+
+def _linked_feasibility(predicates: DataFrame, local_names: int = 16) -> DataFrame:
+    """Status of paths that compare names with each other: closed difference bounds.
+
+    Every comparison is one or two bounds i - j <= w, with a name for zero. Paths of up to
+    ``local_names`` names are closed as one matrix each; the closure of longer ones joins bounds as
+    often as it takes to cover all names of the longest. A name below itself is a contradiction.
     Of the differences that must not take a value, a single one that matters is decided exactly;
     several may exclude each other in ways that bounds do not show, which is unknown.
     """
@@ -578,14 +595,21 @@ def _linked_feasibility(predicates: DataFrame) -> DataFrame:
     rows = named.select("path", F.explode(F.array(bound("x", "y", up), bound("y", "x", down))).alias("b")).select("path", "b.*").filter("w is not null")
     itself = named.select("path", F.explode(F.array("x", "y")).alias("i")).distinct().select("path", "i", F.col("i").alias("j"), F.lit(0).cast("long").alias("w"))
     bounds = stored(rows.unionByName(itself).groupBy("path", "i", "j").agg(F.min("w").alias("w")))
-    names = itself.groupBy("path").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
-    for _ in range((names - 1).bit_length()):
-        then = bounds.select("path", F.col("i").alias("j"), F.col("j").alias("_k"), F.col("w").alias("_w"))
-        bounds = stored(bounds.join(then, ["path", "j"]).select("path", "i", F.col("_k").alias("j"), (F.col("w") + F.col("_w")).alias("w")).groupBy("path", "i", "j").agg(F.min("w").alias("w")))
-    below = bounds.filter("i = j and w < 0").select("path").distinct()
     # x - y must not be c; each pair once, with the range that the bounds leave to it
     turned = F.col("x") > F.col("y")
     barred = named.filter("op = '!='").select("path", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), F.when(turned, -F.col("c")).otherwise(F.col("c")).alias("c")).distinct()
+    shape = bounds.groupBy("path").agg(F.count_if(F.col("i") == F.col("j")).alias("n"), F.min("w").alias("_least"), F.max("w").alias("_most"))
+    large = stored(shape.filter((F.col("n") > local_names) | (F.col("_least") < -_LOCAL_BOUND) | (F.col("_most") > _LOCAL_BOUND)).select("path", "n"))
+    closed = stored(_closed_in_rows(bounds.join(large, "path", "left_anti"), barred))
+    names = large.agg(F.max("n")).first()[0]
+    if names:
+        bounds = bounds.join(large, "path", "left_semi")
+        for _ in range((names - 1).bit_length()):
+            then = bounds.select("path", F.col("i").alias("j"), F.col("j").alias("_k"), F.col("w").alias("_w"))
+            bounds = stored(bounds.join(then, ["path", "j"]).select("path", "i", F.col("_k").alias("j"), (F.col("w") + F.col("_w")).alias("w")).groupBy("path", "i", "j").agg(F.min("w").alias("w")))
+        closed = closed.unionByName(bounds)
+    bounds = closed
+    below = bounds.filter("i = j and w < 0").select("path").distinct()
     high = bounds.withColumnRenamed("w", "_high")
     low = bounds.select("path", F.col("i").alias("j"), F.col("j").alias("i"), (-F.col("w")).alias("_low"))
     met = barred.join(high, ["path", "i", "j"], "left").join(low, ["path", "i", "j"], "left")
@@ -605,7 +629,7 @@ def _linked_feasibility(predicates: DataFrame) -> DataFrame:
     return every.select("path", status.alias("status"))
 
 
-def branch_feasibility(predicates: DataFrame) -> DataFrame:
+def branch_feasibility(predicates: DataFrame, local_names: int = 16) -> DataFrame:
     """Status of each path's conjunction of predicates (path, var, op, value or text, and if given other).
 
     A row compares ``var`` with ``value``, or with the name ``other`` plus ``value`` (null: 0). Paths
@@ -617,7 +641,7 @@ def branch_feasibility(predicates: DataFrame) -> DataFrame:
     predicates = stored(predicates)
     linked = stored(predicates.filter("other is not null").select("path").distinct())
     alone = _scalar_feasibility(predicates.join(linked, "path", "left_anti"))
-    return alone.unionByName(_linked_feasibility(predicates.join(linked, "path", "left_semi")))
+    return alone.unionByName(_linked_feasibility(predicates.join(linked, "path", "left_semi"), local_names))
 
 
 def implies(predicates: DataFrame, required: DataFrame) -> DataFrame:
