@@ -39,6 +39,28 @@ def test_small_functions_leave_no_states_as_rows(spark, monkeypatch):
     assert answer() == by_rows
 
 
+def test_references_of_small_functions_leave_no_states_as_rows(spark, monkeypatch):
+    rng = random.Random(6)
+    pick, sure, rows = (lambda: rng.choice("pqr")), (lambda: rng.random() < 0.7), {k: set() for k in ("edge", "alloc", "copy", "store", "load", "stop")}
+    for fn in range(24):
+        rows["edge"] |= {(fn, n, n + 1) for n in range(11)} | {(fn, rng.randrange(12), rng.randrange(12)) for _ in range(4)}
+        for n in range(12):
+            kind = rng.choice(["alloc", "alloc", "copy", "copy", "store", "load", "stop", "none"])
+            row = {"alloc": lambda: (pick(), f"o{n}", sure()), "copy": lambda: (pick(), pick(), sure()), "store": lambda: (pick(), "f", pick()), "load": lambda: (pick(), pick(), "f"), "stop": lambda: (rng.choice(["*", "o1", "o5"]),)}
+            if kind in row:
+                rows[kind].add((fn, n, *row[kind]()))
+    names = {"edge": "source long, target long", "alloc": "node long, name string, alloc string, certain boolean", "copy": "node long, src string, dst string, certain boolean",
+             "store": "node long, base string, field string, value string", "load": "node long, dst string, base string, field string", "stop": "node long, alloc string"}
+    edge, alloc, copy, store, load, stop = (spark.createDataFrame(sorted(rows[k]), f"fn int, {names[k]}") for k in rows)
+    cases = [(None, None, stop, None, 2), (store, load, stop, 60)]
+    answer = lambda case, **how: sorted(tuple(map(str, r)) for r in flow.may_refer(edge, alloc, copy, *case, **how)[0].collect())
+    by_rows = [answer(case, local_rows=0) for case in cases]
+    assert answer(cases[0], local_rows=26) == by_rows[0] and all(len(set(found)) == len(found) > 100 for found in by_rows)
+    monkeypatch.setattr(flow, "walk", None)
+    assert [answer(case) for case in cases] == by_rows
+    assert {r[-1] for found in by_rows for r in found} == {"True", "False"}
+
+
 def test_a_stream_of_a_table_in_parts(spark, folder, tmp_path):
     spark.read.parquet(f"{folder}/conversations.parquet").repartition(3).write.parquet(str(tmp_path / "conversations.parquet"))
     answer = lambda place: sorted(map(tuple, QUERIES["st09_accumulate_seen_lines"](spark, place).collect()))

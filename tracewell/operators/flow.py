@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from tracewell.functions.definition_flow import DEFINITION, EDGE, USE, uses_of_one_function
 from tracewell.functions.dominator_tree import tree_of_one_function
 from tracewell.functions.ids import digest_id
+from tracewell.functions.object_flow import ALLOC, COPY, LOAD, STOP, STORE, within
 from tracewell.operators.fixpoint import NotConverged, closure, walk
 from tracewell.operators.graphs import components, path_variants
 from tracewell.operators.skew import prefix_sums, top_n, with_neighbour
@@ -374,7 +375,7 @@ def value_paths(edges: DataFrame, sources: DataFrame, sinks: DataFrame, max_dept
 
 def may_refer(
     edges: DataFrame, allocs: DataFrame, copies: DataFrame, stores: DataFrame | None = None, loads: DataFrame | None = None,
-    invalidations: DataFrame | None = None, max_entries: int | None = None, max_aliases: int | None = None,
+    invalidations: DataFrame | None = None, max_entries: int | None = None, max_aliases: int | None = None, local_rows: int = 2_000,
 ) -> tuple[DataFrame, DataFrame]:
     """(states, functions given up): which allocations a name may refer to before each node.
 
@@ -384,13 +385,56 @@ def may_refer(
     also carries ``unknown``; behind an invalidation a reference to that allocation is ``unknown``; heap
     cells only grow.
 
-    How references move from (node, name) to (node, name) does not depend on the allocation, so that
-    table is made once per function, and allocations walk it in strides that double.
+    ``local_rows`` bounds what one task may hold: functions of up to so many edges and operations are
+    solved in one group each, after one exchange. Of a larger one the states are rows: how references
+    move from (node, name) to (node, name) does not depend on the allocation, so that table is made
+    once per function, and allocations walk it in strides that double.
 
     No function is given up unless ``max_entries`` bounds its states or ``max_aliases`` the copies that
     one reference may have passed; then the states have a column ``given_up``, and a function over a
     budget is one row with that mark and neither place, name nor allocation.
     """
+    none, always, columns = F.lit(None), F.lit(True), ["name", "other", "field"]
+    row = lambda df, number, a, b=none, name=none, other=none, field=none, flag=none: df.select(
+        "fn", F.lit(number).alias("row"), F.col(a).alias("a"), b.alias("b"), *[c.cast("string").alias(n) for n, c in zip(columns, (name, other, field))], flag.cast("boolean").alias("flag"))
+    parts = [row(edges, EDGE, "source", F.col("target")), row(allocs, ALLOC, "node", name=F.col("name"), other=F.col("alloc"), flag=F.col("certain")),
+             row(copies, COPY, "node", name=F.col("dst"), other=F.col("src"), flag=F.col("certain"))]
+    if stores is not None:
+        parts.append(row(stores, STORE, "node", name=F.col("base"), other=F.col("value"), field=F.col("field")))
+    if loads is not None:
+        parts.append(row(loads, LOAD, "node", name=F.col("dst"), other=F.col("base"), field=F.col("field"), flag=always))
+    if invalidations is not None:
+        parts.append(row(invalidations, STOP, "node", other=F.col("alloc")))
+    # a write whose value is null still ends references
+    filled = {EDGE: ["b"], ALLOC: ["name"], COPY: ["name"], STORE: columns, LOAD: ["name"], STOP: ["other"]}
+    whole = " or ".join(f"(row = {number} and {' and '.join(f'{n} is not null' for n in names)})" for number, names in filled.items())
+    rows = stored(reduce(DataFrame.unionByName, parts).filter(F.expr(f"fn is not null and a is not null and ({whole})")))
+    sizes = stored(rows.groupBy("fn").agg(F.count("*").alias("_n")).filter(F.col("_n") > local_rows).select("fn"))
+    kinds = {f.name: f.dataType for f in rows.schema}
+    schema = T.StructType([T.StructField("fn", kinds["fn"]), T.StructField("at", kinds["b"]), T.StructField("name", T.StringType()), T.StructField("alloc", T.StringType()), T.StructField("given_up", T.BooleanType())])
+    budgets = max_entries is not None or max_aliases is not None
+    alone = sizes.isEmpty()
+    small = (rows if alone else rows.join(sizes, "fn", "left_anti")).groupBy("fn").applyInArrow(within(max_entries, max_aliases), schema)
+    if budgets:
+        small = stored(small)
+    given_up = small.filter("given_up").select("fn") if budgets else rows.select("fn").limit(0)
+    small = small if budgets else small.drop("given_up")
+    if alone:
+        return small, given_up
+    rows = rows.join(sizes, "fn", "left_semi")
+    part = lambda number, a, **names: rows.filter(F.col("row") == number).select("fn", F.col("a").alias(a), *[F.col(c).alias(n) for c, n in names.items()])
+    states, over = _large_references(
+        part(EDGE, "source", b="target"), part(ALLOC, "node", name="name", other="alloc", flag="certain"), part(COPY, "node", name="dst", other="src", flag="certain"),
+        None if stores is None else part(STORE, "node", name="base", other="value", field="field"), None if loads is None else part(LOAD, "node", name="dst", other="base", field="field"),
+        None if invalidations is None else part(STOP, "node", other="alloc"), max_entries, max_aliases)
+    return small.unionByName(states), given_up.unionByName(over)
+
+
+def _large_references(
+    edges: DataFrame, allocs: DataFrame, copies: DataFrame, stores: DataFrame | None, loads: DataFrame | None, invalidations: DataFrame | None,
+    max_entries: int | None, max_aliases: int | None,
+) -> tuple[DataFrame, DataFrame]:
+    """References in functions of any size: states are rows."""
     allocs = stored(allocs)
     flow = stored(edges.select("fn", F.col("source").alias("at"), F.col("target").alias("_to")).distinct())
     around = walk(
