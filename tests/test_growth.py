@@ -109,3 +109,19 @@ def test_flows_without_ends_are_found_in_one_pass(spark):
     assert plan(lost).count("Join") == 3
     assert sorted((r.flow_id, r.origin) for r in both.collect()) == [("f1", "display_only"), ("f4", "retained")]
     assert sorted(r.flow_id for r in lost.collect()) == ["f2", "f3"]
+
+
+def test_legacy_edges_of_one_project_spread(spark):
+    sites = spark.createDataFrame([(1, "c/0", "f", [("e", "g", "direct")])], "project long, callsite_id string, caller string, targets array<struct<edge_id:string,target:string,dispatch:string>>")
+    legacy = spark.range(2000).select((F.col("id") % 2).alias("project"), F.concat(F.lit("e"), "id").alias("id"), F.lit("f").alias("source"), F.lit("g").alias("target"), F.lit("calls").alias("relation"), F.lit("direct").alias("dispatch"))
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        edges = files.call_edges(sites, legacy, "project")
+        held = edges.filter("callsite_id is null").groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(r["count"] for r in held) == 1000 and max(r["count"] for r in held) < 500

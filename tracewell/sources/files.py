@@ -69,14 +69,16 @@ def events_after(events: DataFrame, cursors: DataFrame) -> DataFrame:
     return events.join(cursors, "run_id").filter(F.col("sequence") > F.col("cursor")).drop("cursor")
 
 
-def call_edges(callsites: DataFrame, legacy: DataFrame, project: str | None = None) -> DataFrame:
+def call_edges(callsites: DataFrame, legacy: DataFrame, project: str | None = None, salts: int = 256) -> DataFrame:
     """Call edges from call-site facts; the legacy graph of a project only where it has no facts at all, never a mix.
 
     ``project`` names a column of both tables; without it all rows are one project.
+    The few projects are repeated per salt, so that the legacy edges of one spread over ``salts`` keys.
     """
     key = F.col(project) if project else F.lit(0)
-    described = callsites.select(key.alias("_p")).distinct()
-    calls = legacy.withColumn("_p", key).filter(F.col("relation").isin("calls", "instantiates")).join(described, "_p", "left_anti")
+    described = callsites.select(key.alias("_p")).distinct().select("_p", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
+    salted = legacy.withColumn("_p", key).withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
+    calls = salted.filter(F.col("relation").isin("calls", "instantiates")).join(described, ["_p", "_salt"], "left_anti")
     semantic = callsites.select("caller", "callsite_id", F.explode("targets").alias("t")).select(
         F.col("t.edge_id").alias("id"), F.col("caller").alias("source"), F.col("t.target").alias("target"), F.lit("calls").alias("relation"), F.col("t.dispatch").alias("dispatch"), "callsite_id")
     return semantic.unionByName(calls.select("id", "source", "target", "relation", "dispatch", F.lit(None).cast("string").alias("callsite_id")))
