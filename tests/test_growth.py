@@ -133,3 +133,10 @@ def test_facts_on_a_route_are_joined_once(spark):
     found = evidence.facts_on_path(routes, facts, "route", limit=2)
     assert plan(found).count("Join") == 1
     assert sorted(map(tuple, found.select("route", "position", "fact_id", "truncated").collect())) == [("r1", 1, "f1", True), ("r1", 2, "f3", True), ("r2", 1, "f3", False), ("r2", 2, "f2", False)]
+
+
+def test_running_sums_leave_no_uncompressed_checkpoint(spark):
+    placed = skew.ranked(spark.range(100).select((F.lit(100) - F.col("id")).alias("v")), [], ["v"], "rank")
+    text = placed._jdf.queryExecution().optimizedPlan().toString()
+    assert "Relation" in text and text.count("ExistingRDD") + text.count("LogicalRDD") == 1  # the totals of the partitions alone
+    assert all(r.v == r["rank"] for r in placed.collect())

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tracewell.session import pin
+from tracewell.session import stored
 
 Order = Sequence[Column | str]
 
@@ -45,7 +45,7 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: Order, values: dict[
     for temporary, name in names.items():
         work = work.withColumn(temporary, values[name])
     local = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    placed = pin(work.orderBy(*keys, *order).select("*", F.spark_partition_id().alias("_part"), local.alias("_at")))
+    placed = stored(work.orderBy(*keys, *order).select("*", F.spark_partition_id().alias("_part"), local.alias("_at")))
     totals = placed.groupBy("_part").agg(F.count("*").alias("_rows"), *[F.sum(t).alias(t) for t in names])
     before, rows = [0] * (len(names) + 1), []
     for part, *own in sorted(tuple(r) for r in totals.collect()):
@@ -58,7 +58,7 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: Order, values: dict[
     for temporary, name in names.items():
         summed = summed.withColumn(name, F.col(f"_o{temporary}") + F.coalesce(F.sum(temporary).over(inner), F.lit(0)))
     if keys:
-        summed = pin(summed)
+        summed = stored(summed)
         starts = F.min(F.struct("_pos", *[(F.col(n) - F.coalesce(t, F.lit(0))).alias(t) for t, n in names.items()])).alias("_s")
         summed = summed.join(summed.groupBy(*keys).agg(starts), list(keys))
         for temporary, name in names.items():
