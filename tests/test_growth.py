@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tracewell.operators import evidence, flow, skew
+from tracewell.operators import evidence, flow, graphs, skew
 from tracewell.plans import QUERIES
 from tracewell.sources import files
 from tracewell.views import Tables
@@ -140,3 +140,14 @@ def test_running_sums_leave_no_uncompressed_checkpoint(spark):
     text = placed._jdf.queryExecution().optimizedPlan().toString()
     assert "Relation" in text and text.count("ExistingRDD") + text.count("LogicalRDD") == 1  # the totals of the partitions alone
     assert all(r.v == r["rank"] for r in placed.collect())
+
+
+def test_paths_and_origins_leave_no_uncompressed_checkpoint(spark, monkeypatch):
+    monkeypatch.setattr(flow, "pin", None)
+    monkeypatch.setattr(graphs, "pin", None)
+    edges = spark.createDataFrame([(1, 1, "a", 2, "a", "e1"), (1, 2, "a", 3, "b", "e2")], "fn int, source long, source_var string, target long, target_var string, edge_id string")
+    ends = lambda node, var: spark.createDataFrame([(1, node, var)], "fn int, node long, var string")
+    assert [r.edge_ids for r in flow.value_paths(edges, ends(1, "a"), ends(3, "b")).collect()] == [["e1", "e2"]]
+    copies = spark.createDataFrame([(1, 2, "a", "b")], "fn int, node long, in_var string, out_var string")
+    def_use = spark.createDataFrame([(1, 1, 2, "a"), (1, 2, 3, "b")], "fn int, source long, target long, var string")
+    assert [(r.origin, r.origin_var) for r in flow.backward_origins(ends(3, "b"), def_use, copies).collect()] == [(1, "a")]

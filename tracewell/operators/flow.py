@@ -337,9 +337,9 @@ def backward_origins(uses: DataFrame, def_use: DataFrame, copies: DataFrame, max
     ``copies``: fn, node, in_var, out_var. A copied name without any definition ends in an unknown origin
     (null). So does a chain of more than ``max_depth`` copies: what lies behind them is not followed.
     """
-    back = pin(def_use.select("fn", F.col("target").alias("node"), "var", F.col("source").alias("_def")))
+    back = stored(def_use.select("fn", F.col("target").alias("node"), "var", F.col("source").alias("_def")))
     moves = copies.select("fn", F.col("node").alias("_def"), F.col("out_var").alias("var"), F.col("in_var").alias("_in"))
-    steps = pin(back.join(moves, ["fn", "_def", "var"], "left"))
+    steps = stored(back.join(moves, ["fn", "_def", "var"], "left"))
     seed = uses.select("fn", F.col("node").alias("use_node"), F.col("var").alias("use_var"), "node", "var")
     keys = ["fn", "use_node", "use_var", "node", "var"]
     moving = steps.filter("_in is not null").select("fn", "node", "var", F.col("_def").alias("_n"), F.col("_in").alias("_v"))

@@ -226,10 +226,10 @@ def path_variants(
     depth bound or a cycle, sets ``truncated`` for the whole source.
     """
     # a node is relevant when it reaches any target: one marker closure backward, whatever the number of targets
-    hops = pin(edges.select(F.col("source").alias("node"), F.col("target").alias("_t"), F.col("id").alias("_e")))
+    hops = stored(edges.select(F.col("source").alias("node"), F.col("target").alias("_t"), F.col("id").alias("_e")))
     marked = stored(walk(targets.select(F.col("t").alias("node")), hops.select(F.col("_t").alias("node"), F.col("node").alias("next"))))
-    hops = pin(hops.join(marked.select(F.col("node").alias("_t")), "_t", "left_semi"))
-    open_paths = pin(sources.select("s").distinct().join(marked.select(F.col("node").alias("s")), "s", "left_semi").select(
+    hops = stored(hops.join(marked.select(F.col("node").alias("_t")), "_t", "left_semi"))
+    open_paths = stored(sources.select("s").distinct().join(marked.select(F.col("node").alias("s")), "s", "left_semi").select(
         "s", F.col("s").alias("t"), F.array("s").alias("nodes"), F.array().cast("array<string>").alias("edge_ids")))
     levels, cuts = [open_paths], []
     for depth in range(max_depth + 1):
@@ -238,12 +238,12 @@ def path_variants(
         if depth == max_depth:
             cuts.append(grown.select("s").distinct())
             break
-        grown = pin(grown.select(
+        grown = stored(grown.select(
             "s", F.col("_t").alias("t"), F.array_append("nodes", F.col("_t")).alias("nodes"), F.array_append("edge_ids", F.col("_e")).alias("edge_ids"), cyclic.alias("_cyclic")))
         cuts.append(grown.filter("_cyclic").select("s").distinct())
         open_paths = grown.filter("not _cyclic").drop("_cyclic")
         if max_states is not None:
-            ranked = pin(top_n(open_paths, ["s"], ["edge_ids"], max_states + 1))
+            ranked = stored(top_n(open_paths, ["s"], ["edge_ids"], max_states + 1))
             cuts.append(ranked.filter(F.col("rn") > max_states).select("s"))
             open_paths = ranked.filter(F.col("rn") <= max_states).drop("rn")
         if open_paths.isEmpty():
@@ -252,7 +252,7 @@ def path_variants(
     found = reduce(DataFrame.unionByName, levels).join(targets.select("t").distinct(), "t", "left_semi").withColumn("hops", F.size("edge_ids"))
     if max_variants is not None:
         ranked = top_n(found, ["s", "t"], ["hops", "edge_ids"], max_variants + 1)
-        found = pin(ranked)
+        found = stored(ranked)
         cuts.append(found.filter(F.col("rn") > max_variants).select("s"))
         found = found.filter(F.col("rn") <= max_variants).drop("rn")
     flags = reduce(DataFrame.unionByName, cuts).distinct().withColumn("truncated", F.lit(True))

@@ -136,7 +136,7 @@ def _value_edges(t):
     transfers = nodes.filter("kind = 'view' and node % 11 <> 0").select("fn", "node", ((var + 1) % 3).cast("string").alias("in_var"), var.cast("string").alias("out_var"), F.lit("copy").alias("kind"), F.lit("must").alias("certainty"),
                                                                       F.when(F.col("node") % 7 == 0, "address").otherwise("value").alias("storage_mode"))
     calls = nodes.filter("node % 2 = 0").select("fn", "node")
-    return flow.value_flow_edges(pin(_def_use(t)), transfers, _defs_uses(t)[1], calls)
+    return flow.value_flow_edges(stored(_def_use(t)), transfers, _defs_uses(t)[1], calls)
 
 
 @query("gr15_value_flow_edges", with_views("cfg_nodes", "cfg_edges", more=_RD + _VF) + "SELECT * FROM ve")
@@ -151,7 +151,7 @@ _VP = """, pt AS (SELECT fn, source AS n0, source_var AS v0, target AS n, target
 @query("gr17_value_paths", with_views("cfg_nodes", "cfg_edges", more=_RD + _VF + _VP) + "SELECT concat_ws('|', fn, n0, v0) AS s, concat_ws('|', pt.fn, n, v) AS t, array_to_string(ids, ',') AS edge_ids FROM pt WHERE n IN (SELECT node FROM cfg_nodes WHERE kind = 'purchase') AND concat(n, '|', v) IN (SELECT concat(node, '|', var) FROM cfg_nodes)")
 def gr17(t):
     nodes = t.cfg_nodes.select("fn", "node", F.col("var").cast("string").alias("var"), "kind")
-    found = flow.value_paths(pin(_value_edges(t)), nodes.filter("kind = 'click'"), nodes.filter("kind = 'purchase'"), max_depth=4, limit=None, max_states=None)
+    found = flow.value_paths(stored(_value_edges(t)), nodes.filter("kind = 'click'"), nodes.filter("kind = 'purchase'"), max_depth=4, limit=None, max_states=None)
     return found.select("s", "t", F.array_join("edge_ids", ",").alias("edge_ids"))
 
 
@@ -163,7 +163,7 @@ def _origins(t, **how):
     nodes, var = t.cfg_nodes, F.col("var")
     copies = nodes.filter("kind = 'view'").select("fn", "node", ((var + 1) % 3).cast("string").alias("in_var"), var.cast("string").alias("out_var"))
     uses = nodes.filter("kind = 'purchase'").select("fn", "node", var.cast("string").alias("var"))
-    return flow.backward_origins(uses, pin(_def_use(t)), copies, **how)
+    return flow.backward_origins(uses, stored(_def_use(t)), copies, **how)
 
 
 @query("gr26_backward_origins", with_views("cfg_nodes", "cfg_edges", more=_RD + _BO) + "SELECT * FROM og")
