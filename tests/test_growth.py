@@ -151,3 +151,25 @@ def test_paths_and_origins_leave_no_uncompressed_checkpoint(spark, monkeypatch):
     copies = spark.createDataFrame([(1, 2, "a", "b")], "fn int, node long, in_var string, out_var string")
     def_use = spark.createDataFrame([(1, 1, 2, "a"), (1, 2, 3, "b")], "fn int, source long, target long, var string")
     assert [(r.origin, r.origin_var) for r in flow.backward_origins(ends(3, "b"), def_use, copies).collect()] == [(1, "a")]
+
+
+def test_returns_meet_the_call_they_came_by(spark, monkeypatch):
+    calls = 60
+    sources = spark.createDataFrame([(f"s{i}", f"f{i}", "x") for i in range(calls)], "src string, fn string, var string")
+    uses = [(f"f{i}", "x", "call", f"c{i}", "a", "must") for i in range(calls)] + [("hub", "p", "return", "ret", "p", "must")] + [(f"f{i}", "r", "sink", f"u{i}", "r", "must") for i in range(calls)]
+    local = spark.createDataFrame(uses, "fn string, var string, use_kind string, use_id string, name string, certainty string")
+    table = lambda rows, names: spark.createDataFrame(rows, names)
+    tables = (sources, local, table([(f"c{i}", f"f{i}", "hub", "must") for i in range(calls)], "call_id string, caller string, callee string, certainty string"),
+              table([(f"c{i}", "a", "p") for i in range(calls)], "call_id string, name string, param string"), table([(f"c{i}", "r") for i in range(calls)], "call_id string, result string"),
+              table([(f"u{i}", f"snk{i}") for i in range(calls)], "use_id string, snk string"))
+    keep, plans = flow.stored, []
+
+    def watched(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return keep(df)
+
+    monkeypatch.setattr(flow, "stored", watched)
+    flows, _ = flow.propagate_taint(*tables, max_states=None, max_variants=None)
+    assert sorted((r.src, r.snk) for r in flows.collect()) == sorted((f"s{i}", f"snk{i}") for i in range(calls))
+    # no join keeps a condition that pairs all values in a callee with all of its calls
+    assert plans and not any("isnull(_top" in line and " OR " in line for text in plans for line in text.splitlines() if "Join" in line)
