@@ -173,3 +173,15 @@ def test_returns_meet_the_call_they_came_by(spark, monkeypatch):
     assert sorted((r.src, r.snk) for r in flows.collect()) == sorted((f"s{i}", f"snk{i}") for i in range(calls))
     # no join keeps a condition that pairs all values in a callee with all of its calls
     assert plans and not any("isnull(_top" in line and " OR " in line for text in plans for line in text.splitlines() if "Join" in line)
+
+
+def test_nodes_of_an_evidence_graph_read_no_edges_of_routes(spark, monkeypatch):
+    monkeypatch.setattr(graphs, "pin", None)
+    monkeypatch.setattr(flow, "pin", None)
+    edges = spark.createDataFrame([("e1", "a", "b", "calls", "direct"), ("e2", "b", "c", "calls", "direct"), ("e3", "b", "c", "calls", "direct"), ("e4", "x", "c", "calls", "direct"), ("e5", "y", "z", "calls", "direct")],
+                                  "id string, source string, target string, relation string, dispatch string")
+    routes = spark.createDataFrame([("r1", ["a", "b", "c"], ["e1", "e2"]), ("r2", ["a", "b", "c"], ["e1", "e3"])], "route string, nodes array<string>, edge_ids array<string>")
+    nodes, merged = flow.evidence_graph(routes, spark.createDataFrame([("c",), ("z",)], "id string"), edges, per_target=3)
+    assert plan(nodes).count("Exchange hashpartitioning") == 1 and "Join" not in plan(nodes)
+    assert sorted(map(tuple, nodes.collect())) == [("a", "route"), ("b", "route"), ("c", "route"), ("x", "context"), ("y", "context"), ("z", "operation")]
+    assert sorted((r.source, r.target, r.id, r.occurrence_count) for r in merged.collect()) == [("a", "b", "e1", 1), ("b", "c", "e2", 2), ("x", "c", "e4", 1), ("y", "z", "e5", 1)]

@@ -947,15 +947,16 @@ def evidence_graph(routes: DataFrame, operations: DataFrame, edges: DataFrame, p
     """
     from tracewell.operators.graphs import incoming_context, merge_parallel_edges
 
-    on_route = routes.select(F.explode("edge_ids").alias("id")).distinct()
+    on_route = routes.select(F.explode("edge_ids").alias("id"))
     context = incoming_context(edges.filter("relation = 'calls'"), operations, 2, per_target, max_edges)
     wanted = on_route.unionByName(context.select("id")).distinct()
-    used = pin(edges.join(wanted, "id", "left_semi"))
-    role = lambda df, name: df.withColumn("role", F.lit(name))
-    nodes = role(routes.select(F.explode("nodes").alias("id")).distinct(), "route").unionByName(role(operations.select("id").distinct(), "operation")).unionByName(
-        role(context.select(F.col("source").alias("id")).distinct(), "context"))
-    order = F.when(F.col("role") == "route", 0).when(F.col("role") == "operation", 1).otherwise(2)
-    return nodes.groupBy("id").agg(F.min_by("role", order).alias("role")), merge_parallel_edges(used)
+    # read once, and only by whoever takes the edges
+    used = edges.join(wanted, "id", "left_semi")
+    # the smallest number of a node is its role: one exchange, and many rows of a node shrink before it
+    role = lambda df, number: df.withColumn("_role", F.lit(number))
+    nodes = role(routes.select(F.explode("nodes").alias("id")), 0).unionByName(role(operations.select("id"), 1)).unionByName(role(context.select(F.col("source").alias("id")), 2))
+    named = F.element_at(F.array(*[F.lit(r) for r in ("route", "operation", "context")]), F.col("_role") + 1)
+    return nodes.groupBy("id").agg(F.min("_role").alias("_role")).select("id", named.alias("role")), merge_parallel_edges(used)
 
 
 def build_candidates(flows: DataFrame, leads: DataFrame, facts: DataFrame, unresolved: DataFrame, cap: int | None = None, fact_limit: int = 12, unresolved_limit: int = 20) -> DataFrame:

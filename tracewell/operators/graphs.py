@@ -271,10 +271,10 @@ def fair_neighbours(edges: DataFrame, target: str, order: Sequence[str], per_tar
 
 def incoming_context(edges: DataFrame, targets: DataFrame, depth: int = 2, per_target: int = 8, max_edges: int | None = None) -> DataFrame:
     """Callers of the targets, round by round, under the fair caps; a node is expanded once."""
-    calls = pin(edges.filter("source <> target"))
+    calls = stored(edges.filter("source <> target"))
     frontier, seen, rounds = targets.select(F.col("id").alias("target")).distinct(), None, []
     for number in range(1, depth + 1):
-        part = pin(fair_neighbours(calls.join(frontier, "target", "left_semi"), "target", ["id"], per_target, max_edges))
+        part = stored(fair_neighbours(calls.join(frontier, "target", "left_semi"), "target", ["id"], per_target, max_edges))
         rounds.append(part.withColumn("round", F.lit(number)))
         seen = frontier if seen is None else seen.unionByName(frontier)
         frontier = part.select(F.col("source").alias("target")).distinct().join(seen, "target", "left_anti")
