@@ -185,3 +185,17 @@ def test_nodes_of_an_evidence_graph_read_no_edges_of_routes(spark, monkeypatch):
     assert plan(nodes).count("Exchange hashpartitioning") == 1 and "Join" not in plan(nodes)
     assert sorted(map(tuple, nodes.collect())) == [("a", "route"), ("b", "route"), ("c", "route"), ("x", "context"), ("y", "context"), ("z", "operation")]
     assert sorted((r.source, r.target, r.id, r.occurrence_count) for r in merged.collect()) == [("a", "b", "e1", 1), ("b", "c", "e2", 2), ("x", "c", "e4", 1), ("y", "z", "e5", 1)]
+
+
+def test_names_of_short_routes_are_connected_in_their_row(spark, monkeypatch):
+    rng = random.Random(9)
+    links = [(r, 0, rng.choice("abcdef"), 0, rng.choice("abcdef"), rng.random() < 0.95) for r in range(80) for _ in range(rng.randint(0, 5))]
+    terms = [(r, 0, rng.choice("abcdef"), rng.choice(["<=", ">=", "=="]), rng.randint(0, 3), None) for r in range(80) for _ in range(3)]
+    parts = spark.createDataFrame([(r, 0, 0, False) for r in range(80)], "route int, part int, frame int, gap boolean")
+    bindings = spark.createDataFrame(links, "route int, frame int, name string, source_frame int, source_name string, exact boolean")
+    predicates = spark.createDataFrame(terms, "route int, frame int, var string, op string, value long, text string")
+    answer = lambda **how: {r.route: r.status for r in flow.compose_route(parts, predicates, bindings, **how).collect()}
+    by_rounds = answer(local_links=0)
+    assert answer(local_links=3) == by_rounds and len(set(by_rounds.values())) == 3
+    monkeypatch.setattr(flow, "components", None)
+    assert answer() == by_rounds
