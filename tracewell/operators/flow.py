@@ -51,12 +51,15 @@ def resolved_upwards(rows: DataFrame, max_rounds: int = 64) -> DataFrame:
 
     ``rows``: fn, node, value, up. Every round doubles how far up a node has looked.
     """
-    current = pin(rows.select("fn", "node", "value", F.when(F.col("value").isNull(), F.col("up")).alias("up")))
+    current, settled = stored(rows.select("fn", "node", "value", F.when(F.col("value").isNull(), F.col("up")).alias("up"))), []
     for _ in range(max_rounds):
-        if current.filter("up is not null").isEmpty():
-            return current.select("fn", "node", "value")
-        above = current.select("fn", F.col("node").alias("up"), F.col("value").alias("_value"), F.col("up").alias("_up"))
-        current = pin(current.join(above, ["fn", "up"], "left").select("fn", "node", F.coalesce("value", "_value").alias("value"), F.when(F.coalesce("value", "_value").isNull(), F.col("_up")).alias("up")))
+        # what has its value or nothing above is read by others but moves no more
+        settled.append(current.filter("up is null"))
+        looking = current.filter("up is not null")
+        if looking.isEmpty():
+            return reduce(DataFrame.unionByName, settled).select("fn", "node", "value")
+        above = reduce(DataFrame.unionByName, [*settled, looking]).select("fn", F.col("node").alias("up"), F.col("value").alias("_value"), F.col("up").alias("_up"))
+        current = stored(looking.join(above, ["fn", "up"], "left").select("fn", "node", F.coalesce("value", "_value").alias("value"), F.when(F.coalesce("value", "_value").isNull(), F.col("_up")).alias("up")))
     raise NotConverged("blocks are nested in a cycle")
 
 
