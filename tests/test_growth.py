@@ -199,3 +199,20 @@ def test_names_of_short_routes_are_connected_in_their_row(spark, monkeypatch):
     assert answer(local_links=3) == by_rounds and len(set(by_rounds.values())) == 3
     monkeypatch.setattr(flow, "components", None)
     assert answer() == by_rounds
+
+
+def test_short_ranges_take_few_steps(spark, monkeypatch):
+    rng = random.Random(10)
+    rows = [(a, a + rng.choice([-2, 0, 0, 1, 6, 7, 8, 63, 1000, 2**20])) for a in (rng.randrange(5000) for _ in range(400))] + [(None, 3), (3, None), (0, 2**31), (2**40, 2**40 + 5)]
+    ranges = spark.createDataFrame(rows, "low long, high long").select("low", "high", flow.dyadic_cover(F.col("low"), F.col("high")).alias("cover"))
+    for r in ranges.collect():
+        tiles = sorted((c.block << c.level, (c.block + 1) << c.level) for c in r.cover)
+        if r.low is None or r.high is None or r.low > r.high:
+            assert not tiles
+        else:
+            assert tiles[0][0] == r.low and tiles[-1][1] == r.high + 1 and all(a[1] == b[0] for a, b in zip(tiles, tiles[1:]))
+    steps, counted = flow.F.sequence, []
+    monkeypatch.setattr(flow.F, "sequence", lambda *bounds: counted.append(bounds[1]) or steps(*bounds))
+    flow.dyadic_cover(F.col("low"), F.col("high"))
+    top = spark.createDataFrame([(7, 7), (1, 9), (0, 2**50)], "low long, high long").select(counted[0].alias("n")).collect()
+    assert [r.n for r in top] == [0, 3, 39]

@@ -764,7 +764,9 @@ def dyadic_cover(low: Column, high: Column, levels: int = 40) -> Column:
 
     cells = "array<struct<level:int,block:bigint>>"
     start = F.struct(low.cast("long").alias("lo"), (high.cast("long") + 1).alias("hi"), F.array().cast(cells).alias("out"))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(levels - 1)), start, step, lambda acc: acc["out"])
+    # no block is longer than the range, so a short one needs few steps; its length in binary digits is exact
+    steps = F.least(F.length(F.bin(F.try_subtract(high.cast("long") + 1, low.cast("long")))) - 1, F.lit(levels - 1))
+    return F.aggregate(F.sequence(F.lit(0), steps), start, step, lambda acc: acc["out"])
 
 
 def locate(points: DataFrame, regions: DataFrame, levels: int = 40) -> DataFrame:
