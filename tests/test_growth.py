@@ -216,3 +216,13 @@ def test_short_ranges_take_few_steps(spark, monkeypatch):
     flow.dyadic_cover(F.col("low"), F.col("high"))
     top = spark.createDataFrame([(7, 7), (1, 9), (0, 2**50)], "low long, high long").select(counted[0].alias("n")).collect()
     assert [r.n for r in top] == [0, 3, 39]
+
+
+def test_settled_nodes_move_no_more(spark, monkeypatch):
+    rows = [(1, f"n{i}", "top" if i == 0 else None, f"n{i - 1}" if i else None) for i in range(12)] + [(2, f"m{i}", f"v{i}", None) for i in range(50)] + [(3, "a", None, "b"), (3, "b", None, None), (3, "c", None, "lost")]
+    keep, moved = flow.stored, []
+    monkeypatch.setattr(flow, "pin", None)
+    monkeypatch.setattr(flow, "stored", lambda df: moved.append(keep(df)) or moved[-1])
+    got = {(r.fn, r.node): r.value for r in flow.resolved_upwards(spark.createDataFrame(rows, "fn int, node string, value string, up string")).collect()}
+    assert got == {(1, f"n{i}"): "top" for i in range(12)} | {(2, f"m{i}"): f"v{i}" for i in range(50)} | {(3, "a"): None, (3, "b"): None, (3, "c"): None}
+    assert [df.count() for df in moved][:2] == [65, 13]
