@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tracewell.functions.ids import packed, unpacked
 from tracewell.operators import evidence, flow, graphs, skew
 from tracewell.plans import QUERIES
 from tracewell.sources import files
@@ -226,3 +227,27 @@ def test_settled_nodes_move_no_more(spark, monkeypatch):
     got = {(r.fn, r.node): r.value for r in flow.resolved_upwards(spark.createDataFrame(rows, "fn int, node string, value string, up string")).collect()}
     assert got == {(1, f"n{i}"): "top" for i in range(12)} | {(2, f"m{i}"): f"v{i}" for i in range(50)} | {(3, "a"): None, (3, "b"): None, (3, "c"): None}
     assert [df.count() for df in moved][:2] == [65, 13]
+
+
+def test_endpoints_meet_the_facts_once(spark):
+    long = "candidate:" + "0a" * 12
+    rows = [(long, "g1", "a", "b", ["e1"]), ("r2", "g2", "b", "a", ["e1", "none"]), ("r3", "g3", None, "b", []), ("r4", "g4", "a", "lost", None), (None, "g1", "a", "c", ["e2"])]
+    routes = spark.createDataFrame(rows, "candidate_id string, path_group_id string, src string, snk string, edge_ids array<string>")
+    facts = spark.createDataFrame([("a", "source"), ("b", "sink"), ("c", "sink"), ("c", "guard")], "fact_id string, fact_kind string")
+    found = evidence.check_references(routes, facts, spark.createDataFrame([("e1",), ("e1",)], "id string"))
+    assert plan(found).count("Join") == 2
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, [
+        ("endpoint_role", "r2"), ("endpoint_role", "r2"), ("endpoint_unknown", "r3"), ("endpoint_unknown", "r4"), ("endpoint_role", None), ("edge_unknown", "r2"), ("edge_unknown", None), ("group_endpoints", "g1")]))
+
+
+def test_packed_ids_are_shorter_and_come_back(spark):
+    texts = ["candidate:" + "0a" * 12, "0a" * 12, "x" + "0A" * 12, "é:" + "9f" * 12, "é:" + "9f" * 12 + "\n", "0a" * 11, "", "\x01ab", "\x00", "ff" * 30, "a" * 23, None]
+    got = spark.createDataFrame([(t,) for t in texts], "v string").select("v", packed("v").alias("p")).select("v", "p", unpacked("p").alias("back")).collect()
+    assert [r.back for r in got] == texts and len({r.p and bytes(r.p) for r in got}) == len(texts)
+    assert len(got[0].p) == 23 and len(got[1].p) == 13
+
+
+def test_lines_meet_suppliers_while_narrow(spark, folder):
+    text = Tables(spark, folder).candidates._jdf.queryExecution().analyzed().toString()
+    at = [i for i, line in enumerate(text.splitlines()) if " Join " in line]
+    assert "l_orderkey" in text.splitlines()[at[0]] and "l_suppkey" in text.splitlines()[at[1]]

@@ -234,7 +234,7 @@ class Tables:
         from tracewell.functions.ids import digest_id
 
         ref = lambda prefix, *cols: F.concat_ws("/", F.lit(prefix), *[F.col(c).cast("string") for c in cols])
-        # equal rows go while they are narrow, where the join has placed them by order; ids and texts are made last
+        # lines meet suppliers while they are narrowest; equal rows go where the join has placed them by order; ids and texts are made last
         lines = self.lineitem.select(
             "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.col("l_returnflag") == "R").alias("virtual"), (F.col("l_returnflag") == "A").alias("flow"), (F.col("l_linestatus") == "O").alias("open"),
             F.when(F.col("l_tax") >= 0.08, 2).when(F.col("l_discount") >= 0.05, 1).otherwise(0).cast("byte").alias("doubt"),
@@ -242,15 +242,14 @@ class Tables:
         callers = self.orders.select("o_orderkey", "o_custkey").join(self.customer.select("c_custkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey")).drop("o_custkey")
         called = self.supplier.select("s_suppkey", "s_nationkey", F.coalesce(F.col("s_acctbal") > 5000, F.lit(False)).alias("rich")).distinct()
         rows = (
-            lines.join(callers, F.col("l_orderkey") == F.col("o_orderkey")).distinct()
-            .join(called, F.col("l_suppkey") == F.col("s_suppkey"))
+            lines.join(called, F.col("l_suppkey") == F.col("s_suppkey")).drop("s_suppkey").join(callers, F.col("l_orderkey") == F.col("o_orderkey")).distinct()
             .select(
-                ref("src", "c_custkey").alias("src"), ref("snk", "s_suppkey").alias("snk"), ref("customer", "c_custkey").alias("s"), ref("order", "o_orderkey").alias("mid"),
-                ref("supplier", "s_suppkey").alias("t"), ref("e3", "o_orderkey").alias("e1"), ref("e4", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("e2"),
+                ref("src", "c_custkey").alias("src"), ref("snk", "l_suppkey").alias("snk"), ref("customer", "c_custkey").alias("s"), ref("order", "o_orderkey").alias("mid"),
+                ref("supplier", "l_suppkey").alias("t"), ref("e3", "o_orderkey").alias("e1"), ref("e4", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("e2"),
                 F.when(F.col("virtual"), "virtual").otherwise("direct").alias("dispatch"),
                 F.when(F.col("doubt") == 2, "unresolved").when(F.col("doubt") == 1, "may").otherwise("must").alias("certainty"),
                 F.when(F.col("rich"), "high").otherwise("low").alias("severity"), F.col("c_mktsegment").alias("category"),
-                F.concat(F.lit("mod/"), F.col("s_nationkey").cast("string"), F.lit(".py")).alias("path"), (F.col("s_suppkey") % 40 + 1).cast("int").alias("line"),
+                F.concat(F.lit("mod/"), F.col("s_nationkey").cast("string"), F.lit(".py")).alias("path"), (F.col("l_suppkey") % 40 + 1).cast("int").alias("line"),
                 F.col("l_linenumber").alias("col"), F.when(F.col("flow"), "propagation_path").otherwise("structural_lead").alias("kind"),
                 F.when(F.col("open"), "unknown").when(F.col("l_linenumber") == 1, "satisfiable_under_model").otherwise("not_checked").alias("condition_status"),
                 (F.col("l_linenumber") == 7).alias("truncated"),
