@@ -321,6 +321,22 @@ def test_long_copy_chains_end_in_an_unknown_origin(spark):
     assert origins(1) == {(1, 13): (None, None), (1, 3): (None, None), (2, 1): (None, None)} or origins(1) == {(1, 13): (None, None), (1, 3): (None, None)}
 
 
+def test_copy_chains_are_followed_to_their_end(spark):
+    """No limit of copies unless the caller gives one: a chain of 80, a ring of 30 with one way in and one without, a name nobody defines."""
+    chain = [(1, i, i + 1, f"v{i}") for i in range(81)]
+    ring = [(fn, i, (i + 1) % 30, f"r{i}") for fn in (2, 3) for i in range(30)]
+    def_use = spark.createDataFrame(chain + ring + [(2, 500, 7, "r6"), (4, 5, 6, "b"), (None, 1, 2, "v1")], "fn int, source long, target long, var string")
+    copies = [(1, i, f"v{i - 1}", f"v{i}") for i in range(1, 81)] + [(fn, i, f"r{(i - 1) % 30}", f"r{i}") for fn in (2, 3) for i in range(30)]
+    copies = spark.createDataFrame(copies + [(4, 5, "a", "b"), (4, None, "a", "b"), (4, 5, None, "b")], "fn int, node long, in_var string, out_var string")
+    uses = spark.createDataFrame([(1, 81, "v80"), (1, 81, "v80"), (2, 0, "r29"), (3, 0, "r29"), (4, 6, "b"), (4, 6, None), (None, 2, "v1")], "fn int, node int, var string")
+    got = {}
+    for r in flow.backward_origins(uses, def_use, copies).collect():
+        got.setdefault((r.fn, r.use_node, r.use_var), []).append((r.origin, r.origin_var))
+    assert got.pop((1, 81, "v80")) == [(0, "v0")] and got.pop((2, 0, "r29")) == [(500, "r6")] and (3, 0, "r29") not in got
+    assert sorted(got.pop((4, 6, "b")), key=str) == [(5, "b"), (None, None)]
+    assert got == {(4, 6, None): [(None, None)], (None, 2, "v1"): [(None, None)]}
+
+
 def holds(op, a, b):
     return {"<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b, "==": a == b, "!=": a != b}[op]
 

@@ -334,11 +334,12 @@ def _reached_within(seed: DataFrame, step: Callable[[DataFrame], DataFrame], key
     return reduce(DataFrame.unionByName, levels)
 
 
-def backward_origins(uses: DataFrame, def_use: DataFrame, copies: DataFrame, max_depth: int = 64) -> DataFrame:
+def backward_origins(uses: DataFrame, def_use: DataFrame, copies: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Origins (fn, use_node, use_var, origin, origin_var) of used values, followed back through copies.
 
     ``copies``: fn, node, in_var, out_var. A copied name without any definition ends in an unknown origin
-    (null). So does a chain of more than ``max_depth`` copies: what lies behind them is not followed.
+    (null). Chains are followed to their end, however long. Only a caller who gives ``max_depth`` has one
+    of more copies end in an unknown origin: what lies behind them is not followed.
     """
     back = stored(def_use.select("fn", F.col("target").alias("node"), "var", F.col("source").alias("_def")))
     moves = copies.select("fn", F.col("node").alias("_def"), F.col("out_var").alias("var"), F.col("in_var").alias("_in"))
@@ -347,12 +348,20 @@ def backward_origins(uses: DataFrame, def_use: DataFrame, copies: DataFrame, max
     keys = ["fn", "use_node", "use_var", "node", "var"]
     moving = steps.filter("_in is not null").select("fn", "node", "var", F.col("_def").alias("_n"), F.col("_in").alias("_v"))
     step = lambda d: d.join(moving, ["fn", "node", "var"]).select("fn", "use_node", "use_var", F.col("_n").alias("node"), F.col("_v").alias("var"))
-    reached = _reached_within(seed, step, keys, max_depth)
-    beyond = step(reached.filter(F.col("_depth") == max_depth)).join(reached, keys, "left_anti").select("fn", "use_node", "use_var")
+    if max_depth is None:
+        # a name at a node is one place of the walk; places without a node or a name lead nowhere
+        number = seed.select("node").union(moving.select("node")).union(moving.select("_n")).schema["node"].dataType
+        place = lambda node, var: F.struct(F.col(node).cast(number).alias("node"), F.col(var).cast("string").alias("var"))
+        hops = moving.filter("node is not null and var is not null and _n is not null").select("fn", place("node", "var").alias("node"), place("_n", "_v").alias("next"))
+        reached = walk(seed.select("fn", "use_node", "use_var", place("node", "var").alias("node")), hops, ["fn"]).select("fn", "use_node", "use_var", "node.*")
+        beyond = []
+    else:
+        reached = _reached_within(seed, step, keys, max_depth)
+        beyond = [step(reached.filter(F.col("_depth") == max_depth)).join(reached, keys, "left_anti")]
     roots = reached.join(steps.filter("_in is null").select("fn", "node", "var", "_def"), ["fn", "node", "var"])
     known = roots.select("fn", "use_node", "use_var", F.col("_def").alias("origin"), F.col("var").alias("origin_var"))
     open_end = reached.join(back.select("fn", "node", "var").distinct(), ["fn", "node", "var"], "left_anti")
-    unknown = open_end.select("fn", "use_node", "use_var").unionByName(beyond).select("fn", "use_node", "use_var", F.lit(None).cast(known.schema["origin"].dataType).alias("origin"), F.lit(None).cast("string").alias("origin_var"))
+    unknown = reduce(DataFrame.unionByName, [end.select("fn", "use_node", "use_var") for end in [open_end, *beyond]]).select("fn", "use_node", "use_var", F.lit(None).cast(known.schema["origin"].dataType).alias("origin"), F.lit(None).cast("string").alias("origin_var"))
     return known.unionByName(unknown).distinct()
 
 
