@@ -371,6 +371,34 @@ def test_comparisons_of_names_by_enumeration(spark):
             assert any(x > y for x, y in fits)
 
 
+def test_paths_are_decided_side_by_side_in_batches(spark, monkeypatch):
+    """Paths that a batch may hold travel once and need no table; the answer is that of the tables, also across batches, for absent values and beyond the limits."""
+    rng, rows = random.Random(5), []
+    for p in range(300):
+        names = [f"v{i}" for i in range(rng.choice([2, 3, 4, 20]))]
+        for _ in range(rng.randint(1, 9 if len(names) < 20 else 40)):
+            op = rng.choice([*"<>", "<=", ">=", "==", "!=", *(["eq_text", "ne_text", "regex", None] if p % 3 else [])])
+            rows.append((f"p{p}" if p % 50 else None, rng.choice([*names, None]), op, rng.choice([None, -2, -1, 0, 1, 2, 2**41 if p % 20 == 1 else 3]), rng.choice([None, "a", "b"]), rng.choice([None, *names]) if p % 4 else None))
+    predicates = spark.createDataFrame(rows, "path string, var string, op string, value long, text string, other string")
+    asked = [(f"p{p}" if p % 60 else None, "v0", rng.choice(["<", "<=", ">", ">=", "==", "!=", None]), rng.choice([0, 1, None]), rng.choice([None, "v1"])) for p in range(310)]
+    required = spark.createDataFrame(asked, "path string, var string, op string, value long, other string")
+    told = lambda df: sorted((str(r.path), r.status) for r in df.collect())
+    by_tables = told(flow.branch_feasibility(predicates, local_rows=0)), told(flow.implies(predicates, required, local_rows=0))
+    assert len({s for _, s in by_tables[0]}) == len({s for _, s in by_tables[1]}) == 3
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        assert (told(flow.branch_feasibility(predicates)), told(flow.implies(predicates, required))) == by_tables
+        assert told(flow.branch_feasibility(predicates, local_rows=12)) == by_tables[0]
+        monkeypatch.setattr(flow, "_linked_feasibility", None)
+        small = {p for p, *_ in rows if p} - {p for p, _, _, value, *_ in rows if value == 2**41}
+        keep = lambda df: df.filter(F.col("path").isin(*small) | F.col("path").isNull())
+        few = flow.branch_feasibility(keep(predicates))
+        assert told(few) == [r for r in by_tables[0] if r[0] in small | {"None"}] and "Join" not in few._jdf.queryExecution().optimizedPlan().toString()
+        assert told(flow.implies(keep(predicates), keep(required))) == [r for r in by_tables[1] if r[0] in small | {"None"}]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_one_final_block_serves_every_completion(spark):
     """try: a; return r / handler: h; raise x / final: f, and the same inside a loop with break and continue."""
     rows = [
