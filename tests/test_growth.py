@@ -307,3 +307,40 @@ def test_facts_on_a_route_travel_with_packed_ids(spark):
     assert sorted(map(tuple, found.collect())) == [("", 1, "a", "f1", "guard", False), (ident, 1, "a", "f1", "guard", True), (ident, 2, "b", "f3", "sink", True), ("plain", 1, "b", "f3", "sink", True), ("plain", 2, "b", "f2", "guard", True)]
     numbered = routes.select(F.length("candidate_id").alias("n"), "nodes")
     assert sorted(r.n for r in evidence.facts_on_path(numbered, facts, "n", limit=1).collect()) == [0, 5, 34]
+
+
+def test_candidates_count_what_lies_on_their_way_by_symbol(spark, monkeypatch):
+    """Also over the limits, for symbols that come twice on a way and for one candidate in two rows."""
+    rows = [("s", "t", ["a", "b", "a", None], ["e1"], "e1", 1, "f1"), ("s", "t", ["c"], ["e2"], "e2", 1, "f2"), ("s", "u", None, ["e3"], "e3", 1, "f3"), ("s", "u", ["b"], ["e4"], "e4", 2, "f4"), ("s", "u", ["b"], ["e4"], "e4", 2, "f4"), ("v", "t", ["x"], ["e5"], "e5", 1, "f5")]
+    flows = spark.createDataFrame(rows, "src string, snk string, nodes array<string>, edge_ids array<string>, edge_key string, steps int, flow_id string")
+    checks = [("a", "g1", "guard"), ("a", "g2", "sanitizer"), ("b", "g3", "guard"), ("b", "g4", "source"), (None, "g5", "guard")]
+    facts = spark.createDataFrame([(s, i, k, "p", 1, "r") for s, i, k in checks], "symbol string, fact_id string, fact_kind string, path string, line int, rule_id string")
+    open_ends = spark.createDataFrame([("u1", "a"), ("u2", "a"), ("u3", "b"), ("u4", None)], "id string, symbol string")
+    leads = flows.filter("src = 'v'").withColumn("flow_id", F.lit(None).cast("string"))
+    made = lambda *limits: sorted((r.src, r.snk, r.variant_no, r.kind[:4], r.guards, r.sanitizers, r.unresolved, r.truncated) for r in flow.build_candidates(flows.filter("src = 's'"), leads, facts, open_ends, None, *limits).collect())
+    cut = made(3, 2)
+    assert cut[0] == ("s", "t", 1, "prop", 2, 1, 2, True) and made(12, 20)[0] == ("s", "t", 1, "prop", 3, 2, 3, False)
+    assert cut[1:] == [("s", "t", 2, "prop", 0, 0, 0, False), ("s", "u", 1, "prop", 0, 0, 0, False), ("s", "u", 2, "prop", 2, 0, 2, False), ("s", "u", 3, "prop", 2, 0, 2, False), ("v", "t", 1, "stru", 0, 0, 0, False)]
+    monkeypatch.setattr(evidence, "facts_on_path", None)
+    monkeypatch.setattr(flow, "pin", None)
+    assert len(made(12, 20)) == 6
+
+
+def test_ranks_need_no_exchange_but_the_sort(spark):
+    """Keys that span partitions and batches, fill them, come once or are null."""
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 50 == 1, None).otherwise(F.concat(F.lit("k"), F.col("id") % 700)).alias("k"), (F.col("id") % 2).alias("j"), (F.hash("id") % 1000).alias("o"), "id")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "29")
+    try:
+        for partitions in ("4", "60"):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+            got = skew.ranked(rows, ["k", "j"], ["o", "id"], "n")
+            text = got._jdf.queryExecution().optimizedPlan().toString()
+            assert "Window" not in text and "Aggregate" not in text
+            want = rows.filter("k is not null").withColumn("n", F.expr("row_number() over (partition by k, j order by o, id)").cast("long"))
+            assert got.schema["n"].dataType == want.schema["n"].dataType and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert skew.ranked(rows.limit(0), ["k"], ["o"]).collect() == []

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from tracewell.functions import difference_bounds
 from tracewell.functions.definition_flow import DEFINITION, EDGE, USE, uses_of_one_function
 from tracewell.functions.dominator_tree import tree_of_one_function
-from tracewell.functions.ids import digest_id
+from tracewell.functions.ids import digest_id, packed, unpacked
 from tracewell.functions.object_flow import ALLOC, COPY, LOAD, STOP, STORE, within
 from tracewell.operators.fixpoint import NotConverged, closure, walk
 from tracewell.operators.graphs import components, path_variants
@@ -1044,13 +1044,29 @@ def build_candidates(flows: DataFrame, leads: DataFrame, facts: DataFrame, unres
     """
     from tracewell.operators import evidence
 
-    chosen = evidence.interleave_variants(flows, leads, ["src", "snk"], ["steps", "edge_key"], cap)
-    made = pin(chosen.withColumn("candidate_id", evidence.candidate_id("src", "snk", F.col("edge_ids"), F.col("flow_id"))).withColumn("path_group_id", evidence.path_group_id("src", "snk")))
-    near = evidence.facts_on_path(made, facts.filter("fact_kind in ('guard', 'sanitizer')"), "candidate_id", fact_limit)
-    checks = near.groupBy("candidate_id").agg(F.count_if(F.col("fact_kind") == "guard").alias("guards"), F.count_if(F.col("fact_kind") == "sanitizer").alias("sanitizers"), F.bool_or("truncated").alias("_t1"))
-    open_refs = evidence.unresolved_on_path(made, unresolved, "candidate_id", unresolved_limit).groupBy("candidate_id").agg(F.count("*").alias("unresolved"), F.bool_or("truncated").alias("_t2"))
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    joined = made.join(checks, "candidate_id", "left").join(open_refs, "candidate_id", "left")
+    # a row moves with its packed id and what it is ranked by; digests of its ends are made last
+    named = lambda df: df.select("src", "snk", "nodes", "steps", "edge_key", packed(evidence.candidate_id("src", "snk", F.col("edge_ids"), F.col("flow_id"))).alias("_id"))
+    made = evidence.interleave_variants(named(flows), named(leads), ["src", "snk"], ["steps", "edge_key"], cap).select("_id", "src", "snk", "nodes", "phase", "variant_no")
+    # without a cap the ranked rows lie in files already
+    made = made if cap is None else stored(made)
+    checking, one = facts.filter("fact_kind in ('guard', 'sanitizer')"), lambda cond: F.when(cond, 1).otherwise(0).cast("long")
+    found = checking.select("symbol", one(F.col("fact_kind") == "guard").alias("_g"), one(F.col("fact_kind") == "sanitizer").alias("_s"), one(F.lit(False)).alias("_u"))
+    found = found.unionByName(unresolved.select("symbol", one(F.lit(False)).alias("_g"), one(F.lit(False)).alias("_s"), one(F.lit(True)).alias("_u")))
+    per_symbol = found.filter("symbol is not null").groupBy("symbol").agg(*[F.sum(c).alias(c) for c in ("_g", "_s", "_u")])
+    # a reference counts once on a route, a check as often as its symbol comes
+    on_way = made.select("_id", "nodes", F.posexplode("nodes").alias("_pos", "symbol")).select("_id", "symbol", (F.array_position("nodes", F.col("symbol")) == F.col("_pos") + 1).alias("_first"))
+    met = stored(on_way.join(per_symbol, "symbol").groupBy("_id").agg(F.sum("_g").alias("guards"), F.sum("_s").alias("sanitizers"), F.sum(F.when(F.col("_first"), F.col("_u"))).alias("_open")))
+    over = F.col("guards") + F.col("sanitizers") > fact_limit
+    if not met.filter(over).isEmpty():
+        # only where there are more than asked for it matters which come first
+        many = evidence.facts_on_path(made.join(met.filter(over), "_id", "left_semi"), checking, "_id", fact_limit)
+        first = many.groupBy("_id").agg(*[F.count_if(F.col("fact_kind") == kind).alias(f"_{kind}") for kind in ("guard", "sanitizer")])
+        met = met.join(first, "_id", "left").select("_id", over.alias("_t1"), *[F.coalesce(f"_{c[:-1]}", c).alias(c) for c in ("guards", "sanitizers")], "_open")
+    else:
+        met = met.withColumn("_t1", F.lit(False))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    joined = made.drop("nodes").join(met, "_id", "left")
     return joined.select(
-        "candidate_id", "path_group_id", "src", "snk", "phase", "variant_no", F.when(F.col("phase") == 1, "propagation_path").otherwise("structural_lead").alias("kind"),
-        zero("guards"), zero("sanitizers"), zero("unresolved"), (F.coalesce("_t1", F.lit(False)) | F.coalesce("_t2", F.lit(False))).alias("truncated"))
+        unpacked("_id").alias("candidate_id"), evidence.path_group_id("src", "snk").alias("path_group_id"), "src", "snk", "phase", "variant_no",
+        F.when(F.col("phase") == 1, "propagation_path").otherwise("structural_lead").alias("kind"), zero("guards").alias("guards"), zero("sanitizers").alias("sanitizers"),
+        F.least(zero("_open"), F.lit(unresolved_limit)).alias("unresolved"), (F.coalesce("_t1", F.lit(False)) | (zero("_open") > unresolved_limit)).alias("truncated"))

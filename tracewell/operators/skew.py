@@ -11,8 +11,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from tracewell.functions import sorted_rows
 from tracewell.session import stored
 
 Order = Sequence[Column | str]
@@ -34,6 +36,24 @@ def top_n(df: DataFrame, keys: Sequence[str], order: Order, n: int, rank: str =
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(rank) <= n)
 
 
+def _placed(df: DataFrame, keys: Sequence[str], order: Order) -> DataFrame:
+    """Rows of one range sort with their partition and their place in it."""
+    local = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return stored(df.orderBy(*keys, *order).select("*", F.spark_partition_id().alias("_part"), local.alias("_at")))
+
+
+def _with_offsets(placed: DataFrame, values: Sequence[str] = ()) -> DataFrame:
+    """``placed`` with the totals of all earlier partitions, chained on the driver, and the place of a row among all."""
+    totals = placed.groupBy("_part").agg(F.count("*").alias("_rows"), *[F.sum(v).alias(v) for v in values])
+    before, rows = [0] * (len(values) + 1), []
+    for part, *own in sorted(tuple(r) for r in totals.collect()):
+        rows.append((part, *before))
+        before = [a + (b or 0) for a, b in zip(before, own)]
+    types = ", ".join(f"_o{f.name} {f.dataType.simpleString()}" for f in totals.schema if f.name != "_part")
+    offsets = placed.sparkSession.createDataFrame(rows, f"_part int, {types}")
+    return placed.join(offsets, "_part").withColumn("_pos", F.col("_o_rows") + F.col("_at"))
+
+
 def running_sums(df: DataFrame, keys: Sequence[str], order: Order, values: dict[str, Column]) -> DataFrame:
     """Inclusive running sums per key in ``order``, in two passes over one range sort.
 
@@ -44,17 +64,8 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: Order, values: dict[
     work = df
     for temporary, name in names.items():
         work = work.withColumn(temporary, values[name])
-    local = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    placed = stored(work.orderBy(*keys, *order).select("*", F.spark_partition_id().alias("_part"), local.alias("_at")))
-    totals = placed.groupBy("_part").agg(F.count("*").alias("_rows"), *[F.sum(t).alias(t) for t in names])
-    before, rows = [0] * (len(names) + 1), []
-    for part, *own in sorted(tuple(r) for r in totals.collect()):
-        rows.append((part, *before))
-        before = [a + (b or 0) for a, b in zip(before, own)]
-    types = ", ".join(f"_o{f.name} {f.dataType.simpleString()}" for f in totals.schema if f.name != "_part")
-    offsets = df.sparkSession.createDataFrame(rows, f"_part int, {types}")
     inner = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
-    summed = placed.join(offsets, "_part").withColumn("_pos", F.col("_o_rows") + F.col("_at"))
+    summed = _with_offsets(_placed(work, keys, order), list(names))
     for temporary, name in names.items():
         summed = summed.withColumn(name, F.col(f"_o{temporary}") + F.coalesce(F.sum(temporary).over(inner), F.lit(0)))
     if keys:
@@ -67,8 +78,28 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: Order, values: dict[
 
 
 def ranked(df: DataFrame, keys: Sequence[str], order: Order, rank: str = "rn") -> DataFrame:
-    """Row number per key in ``order`` over all its rows, however many one key has."""
-    return running_sums(df, keys, order, {rank: F.lit(1).cast("long")})
+    """Row number per key in ``order`` over all its rows, however many one key has.
+
+    The sort is the only exchange: a row counts from the first row of its key in its partition, and what
+    a key has in the partitions before is chained on the driver, one row each.
+    """
+    if not keys:
+        return _with_offsets(_placed(df, keys, order)).select(*[c for c in df.columns if c != rank], (F.col("_pos") + 1).alias(rank))
+    work = df.dropna(subset=list(keys)).orderBy(*keys, *order)
+    headed = work.mapInArrow(sorted_rows.heads(list(keys)), T.StructType([*work.schema.fields, T.StructField("_head", T.LongType())]))
+    local = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = stored(headed.select("*", F.spark_partition_id().alias("_part"), local.alias("_at")))
+    key = F.struct(*keys)
+    ends = placed.groupBy("_part").agg(F.count("*"), F.max("_head"), F.min_by(key, "_at"), F.max_by(key, "_at"))
+    carried, last, rows = 0, None, []
+    for part, count, head, first, end in sorted((tuple(r) for r in ends.collect()), key=lambda r: r[0]):
+        carried = carried if last is not None and last == first else 0
+        rows.append((part, carried))
+        # what the last key has up to here
+        carried, last = (carried + count if head == 0 else count - head), end
+    offsets = df.sparkSession.createDataFrame(rows, "_part int, _carried long")
+    number = F.col("_at") - F.col("_head") + 1 + F.when(F.col("_head") == 0, F.col("_carried")).otherwise(0)
+    return placed.join(offsets, "_part").select(*[c for c in df.columns if c != rank], number.alias(rank))
 
 
 def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[str], keep: Sequence[str]) -> DataFrame:
